@@ -95,8 +95,15 @@ def lines_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Parsing is much more work than reading; a table that lies in fewer pieces than there
+    are cores is dealt out first. A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_from_events(table(spark, sf_dir, "events"))
+    return lines_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def dense_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
