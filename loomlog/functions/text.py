@@ -119,8 +119,22 @@ def escape_html(col: Column) -> Column:
     return _replace_each(F.coalesce(col.cast("string"), F.lit("")), pairs)
 
 
-def _two_decimals(col: Column) -> Column:
-    return F.format_string("%.2f", col)
+def _two_decimals(x: Column) -> Column:
+    """A number >= 0 with two decimals, rounded by its exact binary value, ties to even.
+
+    Java's ``%.2f`` rounds the shortest decimal form upwards instead. ``x`` is split in two
+    halves so that its distance from the middle of two cents is computed without error.
+    """
+    scaled = x * 134_217_729.0
+    high = scaled - (scaled - x)
+    cents = F.floor(x * 100).cast("bigint")
+    above = (high * 1000 - (cents * 10 + 5)) + (x - high) * 1000
+    up = (above > 0) | ((above == 0) & (cents % 2 == 1))
+    whole = cents + up.cast("bigint")
+    return F.concat(
+        F.floor(whole / 100).cast("bigint"), F.lit("."),
+        F.lpad((whole % 100).cast("string"), 2, "0"),
+    )
 
 
 def human_readable_size(size: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlog.plans import parsing
+from loomlog.plans import clock, diagnoses, parsing, reports
 
-MODULES = (parsing,)
+MODULES = (parsing, reports, clock, diagnoses)
 
 
 def registered() -> dict:
