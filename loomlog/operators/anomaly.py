@@ -49,6 +49,8 @@ def spike_ticks(
     ``baseline`` is the one the tick is judged by, ``next_baseline`` the one it leaves.
     """
     width = TICK_SECONDS * chunk_ticks
+    if width < MINUTE_SPAN:
+        raise ValueError("a chunk must hold the minute that its first tick looks back on")
     start = seconds.groupBy(*keys).agg(
         F.min("sec").alias("_start"), F.max("sec").alias("_end")
     )

@@ -39,6 +39,8 @@ def spread_over_stretches(
 ) -> DataFrame:
     """Give each row its stretch ``floor(offset / width)``; rows that the next stretch looks
     back on get that one too. ``is_own`` marks the row in its own stretch."""
+    if width <= reach:
+        raise ValueError("a stretch must hold the window that its first row looks back on")
     stretch = F.floor(offset / width).cast("bigint")
     needed_next = offset % width > width - 1 - reach
     homes = F.when(needed_next, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))

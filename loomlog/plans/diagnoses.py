@@ -88,8 +88,8 @@ def diagnoses(spark, sf_dir):
     return _diagnosed(spark, sf_dir).select(
         "line_number", "rule_id", "category", "summary", "root_cause", "confidence", "severity",
         _joined("evidence").alias("evidence"), _joined("prevention").alias("prevention"),
-        _joined("docs").alias("docs"), F.size("recommendations").alias("steps"),
-        F.size("related_entries").alias("related"),
+        _joined("docs").alias("docs"), F.size("recommendations").cast("bigint").alias("steps"),
+        F.size("related_entries").cast("bigint").alias("related"),
     )
 
 
@@ -191,7 +191,7 @@ FROM dx""")
 def prompts(spark, sf_dir):
     found = ops.with_prompt(_errors_in_context(spark, sf_dir), context="context")
     return found.select(
-        "line_number", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5")
+        "line_number", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("prompt_md5")
     )
 
 

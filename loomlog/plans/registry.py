@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlog.plans import clock, diagnoses, parsing, reports
+from loomlog.plans import clock, diagnoses, files, live, parsing, reports
 
-MODULES = (parsing, reports, clock, diagnoses)
+MODULES = (parsing, reports, clock, diagnoses, files, live)
 
 
 def registered() -> dict:

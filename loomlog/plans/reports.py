@@ -228,7 +228,7 @@ def context_windows(spark, sf_dir):
     found = with_context(entries, F.col("is_error"), half=6, width=256)
     return found.select(
         "line_number", "source",
-        F.size("context").alias("lines"),
+        F.size("context").cast("bigint").alias("lines"),
         F.md5(F.array_join("context", "\n")).alias("context_md5"),
         F.md5(F.array_join(F.slice("context", 1, 12), "\n")).alias("related_md5"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -70,10 +71,14 @@ def _lenient_charsets(spark: SparkSession):
 
 
 def decode_text(value: Column, encoding: str = "utf-8") -> Column:
-    """Bytes as text; what cannot be decoded becomes U+FFFD."""
-    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+    """Bytes as text; what cannot be decoded becomes U+FFFD.
+
+    Encodings go by any name Python knows; its canonical names are known to Java as well.
+    """
+    name = codecs.lookup(encoding).name
+    if name == "utf-8":
         return F.make_valid_utf8(value.cast("string"))
-    return F.decode(value.cast("binary"), encoding)
+    return F.decode(value.cast("binary"), name)
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
