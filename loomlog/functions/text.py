@@ -37,19 +37,6 @@ def group(col: Column, pattern: str, index: int, ignore_case: bool = False) -> C
     return F.regexp_extract(col, regex(pattern, ignore_case), index)
 
 
-def pieces(col: Column, pattern: str, groups: int | tuple[int, ...], ignore_case: bool = False) -> Column:
-    """All wanted groups of a whole-line pattern from one run of it.
-
-    The line is replaced by its groups, one per line, and split; a line that does not match
-    stays one piece. For text without line breaks.
-    """
-    numbers = range(1, groups + 1) if isinstance(groups, int) else groups
-    joined = F.regexp_replace(
-        col, regex(pattern, ignore_case), "\n".join(f"${n}" for n in numbers)
-    )
-    return F.split(joined, "\n")
-
-
 def matches(col: Column, pattern: str, ignore_case: bool = False) -> Column:
     return col.rlike(regex(pattern, ignore_case))
 
@@ -71,8 +58,36 @@ def contains_all_sql(column: str, words: Iterable[str]) -> str:
     return "(" + " AND ".join(f"contains({column}, {quoted(w)})" for w in words) + ")"
 
 
+def pattern_sql(pattern: str, ignore_case: bool = False) -> str:
+    return quoted(regex(pattern, ignore_case))
+
+
 def matches_sql(column: str, pattern: str, ignore_case: bool = False) -> str:
-    return f"{column} RLIKE {quoted(regex(pattern, ignore_case))}"
+    return f"{column} RLIKE {pattern_sql(pattern, ignore_case)}"
+
+
+def group_sql(column: str, pattern: str, index: int, ignore_case: bool = False) -> str:
+    return f"regexp_extract({column}, {pattern_sql(pattern, ignore_case)}, {index})"
+
+
+def pieces_sql(
+    column: str, pattern: str, groups: Iterable[int], ignore_case: bool = False
+) -> str:
+    """All wanted groups of a whole-line pattern from one run of it.
+
+    The line is replaced by its groups, one per line, and split; a line that does not match
+    stays one piece. For text without line breaks.
+    """
+    joined = quoted("\n".join(f"${n}" for n in groups))
+    return f"split(regexp_replace({column}, {pattern_sql(pattern, ignore_case)}, {joined}), '\\n')"
+
+
+def strip_sql(column: str) -> str:
+    return f"btrim({column}, {quoted(WHITESPACE)})"
+
+
+def lstrip_sql(column: str, chars: str = WHITESPACE) -> str:
+    return f"trim(LEADING {quoted(chars)} FROM {column})"
 
 
 def pad_right(col: Column, width: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.fixed.grammar import MONTHS
-from loomlog.functions.text import group, matches, regex
+from loomlog.functions.text import group_sql, matches_sql, pattern_sql, quoted, regex
 
 # The accepted spellings.
 _ZONE = r"(?:Z|z|[+-]\d{2}:?\d{2}(?::?\d{2})?|[+-]\d{2})"
@@ -31,49 +31,45 @@ _CLF = (
 _DAY_SECONDS = 86_400
 
 
-def _month_number(name: Column) -> Column:
+def _month_sql(name: str) -> str:
     """Two-digit month of an abbreviation, null if it is none."""
-    at = F.instr(F.lit(" ".join(MONTHS)), F.lower(name))
-    known = (F.length(name) == 3) & (at % 4 == 1)
-    return F.when(known, F.lpad(((at + 3) / 4).cast("int").cast("string"), 2, "0"))
+    at = f"instr({quoted(' '.join(MONTHS))}, lower({name}))"
+    number = f"lpad(CAST(CAST(({at} + 3) / 4 AS INT) AS STRING), 2, '0')"
+    return f"CASE WHEN length({name}) = 3 AND {at} % 4 = 1 THEN {number} END"
 
 
-def _micros(text: Column) -> Column:
-    return F.unix_micros(text.try_cast("timestamp"))
+def _rewrite_sql(text: str, pattern: str, replacement: str) -> str:
+    return f"regexp_replace({text}, {pattern_sql(pattern)}, {quoted(replacement)})"
 
 
-def _rewrite(text: Column, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(text, regex(pattern), replacement)
+def _is_syslog_sql(stamp: str) -> str:
+    return f"(substring({stamp}, 1, 1) BETWEEN 'A' AND 'Z' AND {matches_sql(stamp, _SYSLOG)})"
 
 
-def _calendar_text(stamp: Column, as_of: Column) -> Column:
-    """The stamp as ``yyyy-MM-dd HH:mm:ss`` text; a syslog stamp gets the year of ``as_of``."""
-    syslog = F.concat(
-        F.year(as_of).cast("string"), F.lit("-"), _month_number(F.substring(stamp, 1, 3)),
-        F.regexp_replace(F.substring(stamp, 4, 80), regex(_AFTER_MONTH, dot_all=True), "-$1 $2"),
+def _calendar_sql(stamp: str) -> str:
+    """The stamp as ``yyyy-MM-dd HH:mm:ss`` text; a syslog stamp gets the year of ``_as_of``."""
+    after_month = quoted(regex(_AFTER_MONTH, dot_all=True))
+    syslog = (
+        f"concat(year(_as_of), '-', {_month_sql(f'substring({stamp}, 1, 3)')}, "
+        f"regexp_replace(substring({stamp}, 4), {after_month}, '-$1 $2'))"
     )
-    clf = F.concat(
-        _month_number(group(stamp, _CLF, 2)), _rewrite(stamp, _CLF, "-$1 $4$5")
+    clf = (
+        f"concat({group_sql(stamp, _CLF, 3)}, '-', {_month_sql(group_sql(stamp, _CLF, 2))}, "
+        f"{_rewrite_sql(stamp, _CLF, '-$1 $4$5')})"
     )
-    return (
-        F.when(matches(stamp, _ISO), F.replace(F.upper(stamp), F.lit(","), F.lit(".")))
-        .when(_is_syslog(stamp), syslog)
-        .when(matches(stamp, _CLF), F.concat(group(stamp, _CLF, 3), F.lit("-"), clf))
-        .when(matches(stamp, _SHORT_ISO), F.replace(stamp, F.lit(","), F.lit(".")))
-        .when(matches(stamp, _SLASHED), _rewrite(stamp, _SLASHED, "$1-$2-$3 $4:$5:$6"))
-        .when(matches(stamp, _US), _rewrite(stamp, _US, "$3-$1-$2 $4:$5:$6"))
-        .when(matches(stamp, _ISO_BASIC), _iso_basic(stamp))
-    )
-
-
-def _is_syslog(stamp: Column) -> Column:
-    return F.substring(stamp, 1, 1).between("A", "Z") & matches(stamp, _SYSLOG)
-
-
-def _iso_basic(stamp: Column) -> Column:
-    return F.when(F.length(stamp) == 8, _rewrite(stamp, _ISO_BASIC, "$1-$2-$3")).otherwise(
-        _rewrite(stamp, _ISO_BASIC, "$1-$2-$3 $4:$5:$6$7")
+    basic = (
+        f"CASE WHEN length({stamp}) = 8 THEN {_rewrite_sql(stamp, _ISO_BASIC, '$1-$2-$3')} "
+        f"ELSE {_rewrite_sql(stamp, _ISO_BASIC, '$1-$2-$3 $4:$5:$6$7')} END"
     )
+    return f"""CASE WHEN {stamp} = '' THEN NULL
+      WHEN {matches_sql(stamp, _ISO)} THEN replace(upper({stamp}), ',', '.')
+      WHEN {_is_syslog_sql(stamp)} THEN {syslog}
+      WHEN NOT substring({stamp}, 1, 1) BETWEEN '0' AND '9' THEN NULL
+      WHEN {matches_sql(stamp, _CLF)} THEN {clf}
+      WHEN {matches_sql(stamp, _SHORT_ISO)} THEN replace({stamp}, ',', '.')
+      WHEN {matches_sql(stamp, _SLASHED)} THEN {_rewrite_sql(stamp, _SLASHED, '$1-$2-$3 $4:$5:$6')}
+      WHEN {matches_sql(stamp, _US)} THEN {_rewrite_sql(stamp, _US, '$3-$1-$2 $4:$5:$6')}
+      WHEN {matches_sql(stamp, _ISO_BASIC)} THEN {basic} END"""
 
 
 def with_epoch(
@@ -85,15 +81,15 @@ def with_epoch(
     date more than a day ahead of it belongs to the year before. Stamps without a zone are
     read in the session time zone.
     """
-    as_of = F.current_timestamp() if as_of is None else as_of
     kept = [c for c in df.columns if c != name]
-    df = df.withColumn("_calendar", _calendar_text(F.col(stamp), as_of))
-    df = df.withColumn("_micros", _micros(F.col("_calendar")))
-    limit = F.unix_micros(as_of) + _DAY_SECONDS * 1_000_000
-    a_year_back = F.concat(
-        (F.year(as_of) - 1).cast("string"), F.substr(F.col("_calendar"), F.lit(5))
+    df = df.withColumn("_as_of", F.current_timestamp() if as_of is None else as_of)
+    df = df.selectExpr("*", f"{_calendar_sql(stamp)} AS _calendar")
+    df = df.selectExpr("*", "unix_micros(try_cast(_calendar AS TIMESTAMP)) AS _micros")
+    limit = f"unix_micros(_as_of) + {_DAY_SECONDS * 1_000_000}"
+    back = (
+        "unix_micros(try_cast(concat(year(_as_of) - 1, substring(_calendar, 5)) AS TIMESTAMP))"
+    )
+    micros = (
+        f"CASE WHEN _micros > {limit} AND {_is_syslog_sql(stamp)} THEN {back} ELSE _micros END"
     )
-    micros = F.when(
-        (F.col("_micros") > limit) & _is_syslog(F.col(stamp)), _micros(a_year_back)
-    ).otherwise(F.col("_micros"))
-    return df.select(*kept, F.coalesce(micros / 1_000_000, F.lit(0.0)).alias(name))
+    return df.selectExpr(*kept, f"coalesce({micros} / 1000000, 0.0D) AS {name}")

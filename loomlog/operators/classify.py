@@ -1,17 +1,16 @@
-"""Signature classification (P14-P18) as column expressions."""
+"""Signature classification."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from loomlog.fixed import grammar
 from loomlog.fixed.levels import DEFAULT_LEVEL
 from loomlog.fixed.signatures import GATE_NUMBERS, GATE_WORDS, SIGNATURES, Signature
-from loomlog.functions.levels import level_from_text
-from loomlog.functions.text import contains_any_sql, group, matches_sql, quoted
+from loomlog.functions.levels import level_from_text_sql
+from loomlog.functions.text import contains_any_sql, group_sql, matches_sql, quoted
 
 
 # Letters a match of a frequently tried pattern can begin with. Testing them first spares
@@ -26,19 +25,17 @@ def by_severity(signatures: Sequence[Signature]) -> list[Signature]:
     return sorted(signatures, key=lambda s: -s.severity)
 
 
-def error_gate(text: str, lowered: str) -> Column:
+def error_gate_sql(text: str, lowered: str) -> str:
     """Only texts passing this are classified.
 
     Substring tests on the lower-cased text cost a tenth of one case-blind alternation.
     """
-    return F.expr(
-        f"{contains_any_sql(lowered, GATE_WORDS)} OR {matches_sql(text, GATE_NUMBERS)}"
-    )
+    return f"({contains_any_sql(lowered, GATE_WORDS)} OR {matches_sql(text, GATE_NUMBERS)})"
 
 
-def signature_name(
+def signature_sql(
     text: str, lowered: str, signatures: Sequence[Signature] = SIGNATURES
-) -> Column:
+) -> str:
     """The first signature whose hint and pattern both match; null if none does.
 
     One CASE in severity order, so a row pays only for the substring tests up to its match
@@ -50,7 +47,7 @@ def signature_name(
         if sig.hints is not None:
             test = f"{contains_any_sql(lowered, sig.hints)} AND {test}"
         tests.append(f"WHEN {test} THEN {quoted(sig.name)}")
-    return F.expr(f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS STRING)")
+    return f"CASE {' '.join(tests)} END" if tests else "CAST(NULL AS STRING)"
 
 
 def _pattern_test(sig: Signature, text: str) -> str:
@@ -64,19 +61,20 @@ def _pattern_test(sig: Signature, text: str) -> str:
     return test
 
 
-def severity_floor(name: str, signatures: Sequence[Signature] = SIGNATURES) -> Column:
+def severity_floor_sql(name: str, signatures: Sequence[Signature] = SIGNATURES) -> str:
     """The lowest level a signature allows; null without a signature."""
     floors = [
         f"{quoted(s.name)}, {max(s.severity // 10 * 10, DEFAULT_LEVEL)}" for s in signatures
     ]
-    return F.expr(f"try_element_at(map({', '.join(floors)}), {name})" if floors else "NULL")
+    return f"try_element_at(map({', '.join(floors)}), {name})" if floors else "CAST(NULL AS INT)"
 
 
-def duration_ms(text: Column) -> Column:
+def duration_sql(text: str) -> str:
     """The first run of three or more digits followed by ``ms``."""
-    found = F.contains(text, F.lit("ms")) | F.contains(text, F.lit("MS"))
-    return F.when(
-        found, group(text, grammar.DURATION_MS, 1, ignore_case=True).try_cast("bigint")
+    digits = group_sql(text, grammar.DURATION_MS, 1, ignore_case=True)
+    return (
+        f"CASE WHEN contains({text}, 'ms') OR contains({text}, 'MS') "
+        f"THEN try_cast({digits} AS BIGINT) END"
     )
 
 
@@ -88,19 +86,18 @@ def classify(
     ``min_level`` is the evidence in the text alone; callers combine it with a stated level.
     """
     kept = df.columns
-    staged = df.withColumn("_lowered", F.lower(F.col(text)))
-    staged = staged.withColumn("_gate", error_gate(text, "_lowered"))
-    staged = staged.withColumn(
-        "signature",
-        F.when(F.col("_gate"), signature_name(text, "_lowered", signatures)),
+    staged = df.selectExpr("*", f"lower({text}) AS _lowered")
+    staged = staged.selectExpr("*", f"{error_gate_sql(text, '_lowered')} AS _gate")
+    staged = staged.selectExpr(
+        "*",
+        f"CASE WHEN _gate THEN {signature_sql(text, '_lowered', signatures)} END AS signature",
     )
-    return staged.select(
-        *[F.col(c) for c in kept],
-        F.greatest(
-            level_from_text(F.col(text)), severity_floor("signature", signatures)
-        ).alias("min_level"),
-        F.coalesce("signature", F.lit("")).alias("signature"),
-        duration_ms(F.col(text)).alias("duration_ms"),
+    floor = severity_floor_sql("signature", signatures)
+    return staged.selectExpr(
+        *kept,
+        f"greatest({level_from_text_sql(text)}, {floor}) AS min_level",
+        "coalesce(signature, '') AS signature",
+        f"{duration_sql(text)} AS duration_ms",
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.fixed import grammar
-from loomlog.fixed.levels import ALIASES, DECORATIONS, DEFAULT_LEVEL, ERROR, LEVELS, SYSLOG_SEVERITY, WARN
+from loomlog.fixed.levels import ALIASES, DEFAULT_LEVEL, ERROR, LEVELS, SYSLOG_SEVERITY, WARN
 from loomlog.fixed.signatures import (
     ACCESS_CLIENT_ERROR,
     ACCESS_SERVER_ERROR,
@@ -22,27 +22,20 @@ from loomlog.fixed.signatures import (
     Signature,
 )
 from loomlog.functions.levels import (
-    alias_level,
-    level_from_text,
-    level_name,
-    lookup_level,
-    parse_level_token,
-)
-from loomlog.functions.text import (
-    empty_to_null,
-    group,
-    lstrip,
-    pieces,
-    quoted,
-    strip,
+    alias_level_sql,
+    level_from_text_sql,
+    level_name_sql,
+    lookup_level_sql,
+    parse_level_sql,
 )
+from loomlog.functions.text import group_sql, lstrip_sql, pieces_sql, quoted, strip_sql
 from loomlog.functions.timestamps import with_epoch
 from loomlog.operators.classify import (
     classify,
-    duration_ms,
-    error_gate,
-    severity_floor,
-    signature_name,
+    duration_sql,
+    error_gate_sql,
+    severity_floor_sql,
+    signature_sql,
 )
 
 ENTRY_COLUMNS = (
@@ -61,12 +54,17 @@ _LATE_LEVEL_TOKEN = rf"^(?:[^ ]* ){{3}}{_DECOR} {_DECOR}({_ALIAS_WORDS}){_DECOR}
 _TAGGED = grammar.ENCLOSED_TAG + r"[ \t:|\-–—]*(.*)$"
 
 
-def _col(name: str) -> Column:
-    return F.col(name)
+def _add(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns given as SQL text; an existing name is replaced."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def _when_format(*formats: str) -> Column:
-    return _col("_format").isin(list(formats))
+def _apart(sql: str) -> str:
+    """The same value through a lambda. Spark does not fuse a projection that holds one with
+    its neighbours, which bounds the size of the fused methods: HotSpot compiles none above
+    8000 bytes, and a parse in one piece would be interpreted."""
+    return f"get(transform(array({sql}), v -> v), 0)"
 
 
 # -- JSON ---------------------------------------------------------------------------------
@@ -81,9 +79,7 @@ _SCALAR = "NOT (startswith(v.kind, 'ARRAY') OR startswith(v.kind, 'OBJECT'))"
 _SHOWN = r"""CASE WHEN v.kind = 'BOOLEAN' THEN initcap(v.text)
  WHEN v.kind RLIKE '^DECIMAL[(]([0-9]|1[0-8]),0[)]$' THEN concat(v.text, '.0') ELSE v.text END"""
 _STATED_LEVEL = f"""CASE
- WHEN v.kind = 'STRING' THEN coalesce(try_element_at(
-   map({', '.join(f"'{a}', {LEVELS[n]}" for a, n in ALIASES.items())}),
-   trim(BOTH {quoted(DECORATIONS)} FROM upper(v.text))), {DEFAULT_LEVEL})
+ WHEN v.kind = 'STRING' THEN {parse_level_sql('v.text')}
  WHEN v.kind = 'BIGINT' AND v.text IN ({', '.join(f"'{n}'" for n in LEVELS.values())})
    THEN CAST(v.text AS INT)
  WHEN v.kind = 'BOOLEAN' THEN {LEVELS['TRACE']} ELSE {DEFAULT_LEVEL} END"""
@@ -105,7 +101,7 @@ def _first_value(keys: Sequence[str], keep: str, show: str, source: str = "_json
       v -> v.text IS NOT NULL AND {keep}), v -> {show}), 0)"""
 
 
-def _json_pieces() -> dict[str, Column]:
+def _json_pieces() -> dict[str, str]:
     level_keys = _first_value(grammar.JSON_LEVEL_KEYS, _TRUTHY, _STATED_LEVEL)
     severity = _first_value(["severity"], "true", _SYSLOG_LEVEL)
     pid = _first_value(["pid"], _TRUTHY, _SHOWN)
@@ -119,15 +115,18 @@ def _json_pieces() -> dict[str, Column]:
         "_json_pid": f"coalesce({pid}, {process_id})",
     }
     return {
-        name: F.expr(f"CASE WHEN _format = 'json' THEN {sql} END") for name, sql in pieces.items()
+        name: f"CASE WHEN _format = 'json' THEN {sql} END" for name, sql in pieces.items()
     }
 
 
 # -- the projection chain -------------------------------------------------------------------
 
 
-def _line_break(text: Column) -> Column:
-    return F.contains(text, F.lit("\n"))
+_DIGIT = "substring(raw, 1, 1) BETWEEN '0' AND '9'"
+_LETTER = (
+    "(substring(raw, 1, 1) BETWEEN 'A' AND 'Z' OR substring(raw, 1, 1) BETWEEN 'a' AND 'z')"
+)
+_ONE_LINE = "NOT contains(raw, '\\n')"
 
 
 def _detect(df: DataFrame) -> DataFrame:
@@ -135,86 +134,74 @@ def _detect(df: DataFrame) -> DataFrame:
 
     The first character decides which pattern is tried; what fails is read loosely.
     """
-    raw, head = _col("raw"), F.substring("raw", 1, 1)
-    digit = head.between("0", "9")
-    letter = head.between("A", "Z") | head.between("a", "z")
-    lead = F.substring(lstrip(raw), 1, 1)
-    access = digit & F.contains(raw, F.lit("HTTP/")) & ~_line_break(raw)
-    df = df.withColumns({
-        "_blank": lead == "",
-        "_json": F.when(
-            lead == "{", F.try_parse_json(strip(raw)).cast("map<string,variant>")
-        ),
-        "_access": F.when(access, pieces(raw, grammar.ACCESS_LINE, (1, 2, 3, 4, 6, 7))),
-    })
-    is_access = F.size("_access") > 1
-    df = df.withColumn(
-        "_head",
-        F.when(digit & ~F.coalesce(is_access, F.lit(False)), pieces(raw, grammar.ISO_LINE, 2))
-        .when((head == "[") & ~_line_break(raw), pieces(raw, grammar.BRACKET_LINE, 3))
-        .when(letter, pieces(raw, grammar.SYSLOG_LINE, 5)),
-    )
-    strict = _col("_json").isNotNull() | is_access | (F.size("_head") > 1)
-    df = df.withColumn(
-        "_loose",
-        F.when(
-            ~_col("_blank") & ~F.coalesce(strict, F.lit(False)),
-            pieces(raw, grammar.LOOSE_LINE, 3, ignore_case=True),
-        ),
+    lead = f"substring({lstrip_sql('raw')}, 1, 1)"
+    access = pieces_sql("raw", grammar.ACCESS_LINE, (1, 2, 3, 4, 6, 7))
+    iso = pieces_sql("raw", grammar.ISO_LINE, (1, 2))
+    bracket = pieces_sql("raw", grammar.BRACKET_LINE, (1, 2, 3))
+    syslog = pieces_sql("raw", grammar.SYSLOG_LINE, (1, 2, 3, 4, 5))
+    loose = pieces_sql("raw", grammar.LOOSE_LINE, (1, 2, 3), ignore_case=True)
+    df = _add(
+        df,
+        _blank=f"{lead} = ''",
+        _json=f"CASE WHEN {lead} = '{{' "
+              f"THEN CAST(try_parse_json({strip_sql('raw')}) AS map<string,variant>) END",
+        _access=f"CASE WHEN {_DIGIT} AND contains(raw, 'HTTP/') AND {_ONE_LINE} THEN {access} END",
     )
-    return df.withColumn(
-        "_format",
-        F.when(_col("_blank"), "blank")
-        .when(_col("_json").isNotNull(), "json")
-        .when(is_access, "access")
-        .when((F.size("_head") > 1) & digit, "iso")
-        .when((F.size("_head") > 1) & letter, "syslog")
-        .when(F.size("_head") > 1, "bracket")
-        .when(F.size("_loose") > 1, "loose")
-        .otherwise("plain"),
+    df = _add(df, _head=f"""CASE
+      WHEN {_DIGIT} AND coalesce(size(_access) = 1, true) THEN {iso}
+      WHEN startswith(raw, '[') AND {_ONE_LINE} THEN {bracket}
+      WHEN {_LETTER} THEN {syslog} END""")
+    df = _add(df, _loose=f"""CASE WHEN NOT (_blank OR _json IS NOT NULL
+        OR coalesce(size(_access) > 1, false) OR coalesce(size(_head) > 1, false))
+      THEN {loose} END""")
+    return _add(df, _format=f"""CASE WHEN _blank THEN 'blank'
+      WHEN _json IS NOT NULL THEN 'json'
+      WHEN size(_access) > 1 THEN 'access'
+      WHEN size(_head) > 1 THEN CASE WHEN {_DIGIT} THEN 'iso' WHEN {_LETTER} THEN 'syslog'
+        ELSE 'bracket' END
+      WHEN size(_loose) > 1 THEN 'loose' ELSE 'plain' END""")
+
+
+def _take(**index: int) -> str:
+    """SQL: one piece of the line, at a place that depends on its format."""
+    holders = {"access": "_access", "loose": "_loose"}
+    cases = " ".join(
+        f"WHEN '{fmt}' THEN get({holders.get(fmt, '_head')}, {n})" for fmt, n in index.items()
     )
+    return f"CASE _format {cases} END"
 
 
 def _extract(df: DataFrame) -> DataFrame:
     """P2 and the named pieces of every format; null where a format has no such piece."""
-
-    def take(**index: int) -> Column:
-        out = None
-        for fmt, number in index.items():
-            column = {"access": "_access", "loose": "_loose"}.get(fmt, "_head")
-            test, value = _when_format(fmt), F.get(_col(column), number)
-            out = F.when(test, value) if out is None else out.when(test, value)
-        return out
-
-    process = F.expr(
-        "CASE WHEN _format = 'json' "
-        "THEN try_cast(try_element_at(_json, 'process') AS map<string,variant>) END"
-    )
-    return df.withColumn("_process", process).withColumns({
-        "_stamp": take(iso=0, syslog=0, bracket=0, access=1, loose=0),
-        "_rest": take(iso=1, syslog=4, bracket=2, loose=2),
-        "_word": take(bracket=1, loose=1),
-        "tag": take(syslog=2),
-        "ip": take(access=0),
-        "method": take(access=2),
-        "path": take(access=3),
-        "status_code": take(access=4).try_cast("int"),
-        "bytes": empty_to_null(F.replace(take(access=5), F.lit("-"), F.lit(""))).try_cast("bigint"),
-        "_syslog_host": take(syslog=1),
-        "_syslog_pid": empty_to_null(take(syslog=3)),
+    df = _add(df, _process="""CASE WHEN _format = 'json'
+      THEN try_cast(try_element_at(_json, 'process') AS map<string,variant>) END""")
+    return _add(
+        df,
+        _stamp=_take(iso=0, syslog=0, bracket=0, access=1, loose=0),
+        _rest=_take(iso=1, syslog=4, bracket=2, loose=2),
+        _word=_take(bracket=1, loose=1),
+        tag=_take(syslog=2),
+        ip=_take(access=0),
+        method=_take(access=2),
+        path=_take(access=3),
+        status_code=f"CAST({_take(access=4)} AS INT)",
+        bytes=f"try_cast(nullif({_take(access=5)}, '-') AS BIGINT)",
+        _syslog_host=_take(syslog=1),
+        _syslog_pid=f"nullif({_take(syslog=3)}, '')",
         **_json_pieces(),
-    })
+    )
 
 
-def _split_tag(text: Column) -> Column:
-    """A leading ``[..]``, ``(..)`` or ``<..>`` and the text after it."""
-    opens = F.substring(lstrip(text), 1, 1).isin("[", "(", "<")
-    return F.when(opens, pieces(text, _TAGGED, 2))
+def _split_tag(text: str) -> str:
+    """SQL: a leading ``[..]``, ``(..)`` or ``<..>`` and the text after it."""
+    return f"""CASE WHEN substring({lstrip_sql(text)}, 1, 1) IN ('[', '(', '<')
+      THEN {pieces_sql(text, _TAGGED, (1, 2))} END"""
 
 
-def _inner(parts: str) -> Column:
-    tag = F.get(_col(parts), 0)
-    return F.when(F.size(parts) > 1, strip(F.substr(tag, F.lit(2), F.length(tag) - 2)))
+def _inner(parts: str) -> str:
+    tag = f"get({parts}, 0)"
+    return f"""CASE WHEN size({parts}) > 1
+      THEN {strip_sql(f'substring({tag}, 2, length({tag}) - 2)')} END"""
 
 
 def _tags(df: DataFrame) -> DataFrame:
@@ -222,154 +209,116 @@ def _tags(df: DataFrame) -> DataFrame:
 
     The second tag is left in the text if the first named a source and it names no level.
     """
-    df = df.withColumn("_parts1", F.when(_when_format("iso"), _split_tag(_col("_rest"))))
-    df = df.withColumn("_tag1", _inner("_parts1"))
-    df = df.withColumn(
-        "_rest1", F.when(_col("_tag1") != "", F.get("_parts1", 1)).otherwise(_col("_rest"))
+    df = _add(df, _parts1=f"CASE WHEN _format = 'iso' THEN {_split_tag('_rest')} END")
+    df = _add(df, _tag1=_inner("_parts1"))
+    df = _add(df, _rest1="CASE WHEN _tag1 <> '' THEN get(_parts1, 1) ELSE _rest END")
+    df = _add(
+        df,
+        _level1=lookup_level_sql("_tag1"),
+        _parts2=f"CASE WHEN _tag1 <> '' THEN {_split_tag('_rest1')} END",
+    )
+    df = _add(df, _tag2=_inner("_parts2"))
+    df = _add(df, _level2=lookup_level_sql("_tag2"))
+    bare_tag = f"upper(btrim(tag, {quoted(grammar.TOKEN_DECORATIONS)}))"
+    return _add(
+        df,
+        _stated=f"CASE WHEN _format = 'syslog' THEN {alias_level_sql(bare_tag)} "
+                "ELSE coalesce(_level1, _level2) END",
+        src="""CASE WHEN _tag1 <> '' AND _level1 IS NULL THEN _tag1
+          WHEN _tag1 <> '' AND _tag2 <> '' THEN _tag2 END""",
+        _body=_apart("""CASE _format WHEN 'syslog' THEN _rest WHEN 'iso' THEN CASE
+          WHEN _tag2 <> '' AND (_level1 IS NOT NULL OR _level2 IS NOT NULL) THEN get(_parts2, 1)
+          ELSE _rest1 END END"""),
     )
-    df = df.withColumns({
-        "_level1": lookup_level(_col("_tag1")),
-        "_parts2": F.when(_col("_tag1") != "", _split_tag(_col("_rest1"))),
-    })
-    df = df.withColumn("_tag2", _inner("_parts2"))
-    df = df.withColumn("_level2", lookup_level(_col("_tag2")))
-    second = (_col("_tag2") != "") & (_col("_level1").isNotNull() | _col("_level2").isNotNull())
-    return df.withColumns({
-        "_stated": F.when(
-            _when_format("syslog"),
-            alias_level(F.upper(F.btrim(_col("tag"), F.lit(grammar.TOKEN_DECORATIONS)))),
-        ).otherwise(F.coalesce("_level1", "_level2")),
-        "src": F.when((_col("_tag1") != "") & _col("_level1").isNull(), _col("_tag1")).when(
-            (_col("_tag1") != "") & (_col("_tag2") != ""), _col("_tag2")
-        ),
-        "_body": F.when(
-            _when_format("iso"), F.when(second, F.get("_parts2", 1)).otherwise(_col("_rest1"))
-        ).when(_when_format("syslog"), _col("_rest")),
-    })
 
 
 def _level_tokens(df: DataFrame) -> DataFrame:
     """A level word among the first tokens; it and all before it leave the message."""
-    scanned = _col("_body").isNotNull() & _col("_stated").isNull()
-    df = df.withColumn(
-        "_token", F.when(scanned, pieces(_col("_body"), _LEVEL_TOKEN, 2, ignore_case=True))
+    token = pieces_sql("_body", _LEVEL_TOKEN, (1, 2), ignore_case=True)
+    late = group_sql("_body", _LATE_LEVEL_TOKEN, 1, ignore_case=True)
+    df = _add(df, _token=f"CASE WHEN _body IS NOT NULL AND _stated IS NULL THEN {token} END")
+    df = _add(df, _late=f"CASE WHEN size(_token) = 1 THEN nullif({late}, '') END")
+    word = "upper(CASE WHEN size(_token) > 1 THEN get(_token, 0) ELSE _late END)"
+    return _add(
+        df,
+        _body_level=f"CASE WHEN _body IS NOT NULL THEN coalesce(_stated, "
+                    f"{alias_level_sql(word)}, {level_from_text_sql('_body')}) END",
+        _body_message=f"""CASE WHEN size(_token) > 1 THEN {lstrip_sql('get(_token, 1)')}
+          WHEN _late IS NOT NULL THEN '' ELSE _body END""",
     )
-    df = df.withColumn(
-        "_late",
-        F.when(
-            F.size("_token") == 1,
-            empty_to_null(group(_col("_body"), _LATE_LEVEL_TOKEN, 1, ignore_case=True)),
-        ),
-    )
-    found = F.size("_token") > 1
-    word = F.when(found, F.get("_token", 0)).otherwise(_col("_late"))
-    return df.withColumns({
-        "_body_level": F.coalesce(
-            "_stated", alias_level(F.upper(word)), level_from_text(_col("_body"))
-        ),
-        "_body_message": F.when(found, lstrip(F.get("_token", 1)))
-        .when(_col("_late").isNotNull(), F.lit(""))
-        .otherwise(_col("_body")),
-    })
 
 
 def _assemble(df: DataFrame) -> DataFrame:
     """Level, message, timestamp text and source, before classification."""
-    raw, status = _col("raw"), _col("status_code")
-    access_level = (
-        F.when(status >= 500, LEVELS["ERROR"])
-        .when(status >= 400, LEVELS["WARN"])
-        .when(status >= 300, LEVELS["INFO"])
-        .otherwise(LEVELS["DEBUG"])
-    )
-    access_message = F.concat("method", F.lit(" "), "path", F.lit(" -> "), "status_code")
-    worded_message = F.when(_col("_rest") != "", _col("_rest")).otherwise(raw)
-    fmt = _col("_format")
-    return df.withColumns({
-        "host": F.coalesce("_json_host", "_syslog_host"),
-        "pid": F.coalesce("_json_pid", "_syslog_pid"),
-        "_level": F.when(fmt.isin("iso", "syslog"), _col("_body_level"))
-        .when(fmt == "json", _col("_json_level"))
-        .when(fmt == "access", access_level)
-        .when(fmt.isin("bracket", "loose"), parse_level_token(_col("_word")))
-        .when(fmt == "blank", F.lit(DEFAULT_LEVEL))
-        .otherwise(level_from_text(raw)),
-        "_message": F.when(fmt.isin("iso", "syslog"), _col("_body_message"))
-        .when(fmt == "json", F.coalesce(empty_to_null(_col("_json_message")), strip(raw)))
-        .when(fmt == "blank", F.lit(""))
-        .when(fmt == "plain", raw)
-        .otherwise(
-            strip(F.when(fmt == "access", access_message).otherwise(worded_message))
-        ),
-        "timestamp": F.when(fmt == "json", F.coalesce(_col("_json_stamp"), F.lit("")))
+    access_level = f"""CASE WHEN status_code >= 500 THEN {LEVELS['ERROR']}
+      WHEN status_code >= 400 THEN {LEVELS['WARN']}
+      WHEN status_code >= 300 THEN {LEVELS['INFO']} ELSE {LEVELS['DEBUG']} END"""
+    said = """CASE WHEN _format = 'access' THEN concat(method, ' ', path, ' -> ', status_code)
+      WHEN _rest <> '' THEN _rest ELSE raw END"""
+    return _add(
+        df,
+        host="coalesce(_json_host, _syslog_host)",
+        pid="coalesce(_json_pid, _syslog_pid)",
+        _level=f"""CASE WHEN _format IN ('iso', 'syslog') THEN _body_level
+          WHEN _format = 'json' THEN _json_level
+          WHEN _format = 'access' THEN {access_level}
+          WHEN _format IN ('bracket', 'loose') THEN {parse_level_sql('_word')}
+          WHEN _format = 'blank' THEN {DEFAULT_LEVEL}
+          ELSE {level_from_text_sql('raw')} END""",
+        _message=f"""CASE WHEN _format IN ('iso', 'syslog') THEN _body_message
+          WHEN _format = 'json' THEN coalesce(nullif(_json_message, ''), {strip_sql('raw')})
+          WHEN _format = 'blank' THEN ''
+          WHEN _format = 'plain' THEN raw
+          ELSE {strip_sql(said)} END""",
         # a bracketed line that is only loosely readable keeps its whole prefix
-        .when(
-            (fmt == "loose") & ~raw.startswith("["),
-            F.substring(strip(_col("_stamp")), 1, grammar.LOOSE_PREFIX_CHARS),
-        )
-        .when(fmt.isin("bracket", "loose"), strip(_col("_stamp")))
-        .otherwise(F.coalesce("_stamp", F.lit(""))),
-        "source": F.when(
-            fmt == "json", F.coalesce("_json_host", "logger", "source")
-        )
-        .when(fmt == "iso", F.coalesce("src", "source"))
-        .when(fmt == "syslog", _col("_syslog_host"))
-        .when(fmt == "access", F.coalesce(empty_to_null(_col("source")), _col("ip")))
-        .otherwise(_col("source")),
-    })
+        timestamp=f"""CASE WHEN _format = 'json' THEN coalesce(_json_stamp, '')
+          WHEN _format = 'loose' AND NOT startswith(raw, '[')
+            THEN substring({strip_sql('_stamp')}, 1, {grammar.LOOSE_PREFIX_CHARS})
+          WHEN _format IN ('bracket', 'loose') THEN {strip_sql('_stamp')}
+          ELSE coalesce(_stamp, '') END""",
+        source="""CASE _format WHEN 'json' THEN coalesce(_json_host, logger, source)
+          WHEN 'iso' THEN coalesce(src, source) WHEN 'syslog' THEN _syslog_host
+          WHEN 'access' THEN coalesce(nullif(source, ''), ip) ELSE source END""",
+    )
 
 
 def _enrich(df: DataFrame, signatures: Sequence[Signature], as_of: Column | None) -> DataFrame:
     """Epoch, signature, level raise. A level is only ever raised."""
-    status = _col("status_code")
-    empty = (_col("_message") == "") & ~_when_format("blank")
-    df = df.withColumns({
-        "message": F.when(empty, _col("raw")).otherwise(_col("_message")),
-        "_stamp": strip(_col("timestamp")),
-    })
-    df = df.withColumn(
-        "_text", F.when(_col("_level") >= WARN, _col("message")).otherwise(_col("raw"))
+    df = _add(
+        df,
+        message="CASE WHEN _message = '' AND _format <> 'blank' THEN raw ELSE _message END",
+        _stamp=_apart(strip_sql("timestamp")),
     )
+    df = _add(df, _text=f"CASE WHEN _level >= {WARN} THEN message ELSE raw END")
     df = with_epoch(df, "_stamp", "ts_epoch", as_of)
-    df = df.withColumn("_lowered", F.lower("_text"))
-    df = df.withColumn(
-        "_gate", ~_when_format("blank") & error_gate("_text", "_lowered")
-    )
-    df = df.withColumns({
-        "_examined": ~_when_format("blank") & ((_col("_level") >= WARN) | _col("_gate")),
-        "_signature": F.when(
-            _col("_gate"), signature_name("_text", "_lowered", signatures)
+    df = _add(df, _lowered=_apart("lower(_text)"))
+    df = _add(df, _gate=f"_format <> 'blank' AND {error_gate_sql('_text', '_lowered')}")
+    df = _add(
+        df,
+        _examined=f"_format <> 'blank' AND (_level >= {WARN} OR _gate)",
+        _signature=_apart(
+            f"CASE WHEN _gate THEN {signature_sql('_text', '_lowered', signatures)} END"
         ),
-    })
-    df = df.withColumn(
-        "level",
-        F.when(
-            _col("_examined"),
-            F.greatest(
-                _col("_level"),
-                level_from_text(_col("_text")),
-                severity_floor("_signature", signatures),
-            ),
-        ).otherwise(_col("_level")),
     )
-    preset = F.when(status >= 500, ACCESS_SERVER_ERROR).when(status >= 400, ACCESS_CLIENT_ERROR)
-    return df.withColumns({
-        "level_name": level_name(_col("level")),
-        "is_error": _col("level") >= ERROR,
-        "fingerprint": F.when(
-            _col("_examined"), F.coalesce(_col("_signature"), preset, F.lit(""))
-        )
-        .when(_when_format("blank"), F.lit(""))
-        .otherwise(F.concat(F.lit(HEALTHY_PREFIX), level_name(_col("_level")))),
-        "duration_ms": F.when(_col("_examined"), duration_ms(_col("_text"))),
-        "event_time": F.when(
-            _col("ts_epoch") > 0,
-            F.timestamp_micros(F.round(_col("ts_epoch") * 1_000_000).cast("bigint")),
-        ),
-    })
+    df = _add(df, level=f"""CASE WHEN _examined THEN greatest(_level,
+        {level_from_text_sql('_text')}, {severity_floor_sql('_signature', signatures)})
+      ELSE _level END""")
+    return _add(
+        df,
+        level_name=level_name_sql("level"),
+        is_error=f"level >= {ERROR}",
+        fingerprint=f"""CASE WHEN _examined THEN coalesce(_signature,
+            CASE WHEN status_code >= 500 THEN '{ACCESS_SERVER_ERROR}'
+              WHEN status_code >= 400 THEN '{ACCESS_CLIENT_ERROR}' END, '')
+          WHEN _format = 'blank' THEN ''
+          ELSE concat('{HEALTHY_PREFIX}', {level_name_sql('_level')}) END""",
+        duration_ms=f"CASE WHEN _examined THEN {duration_sql('_text')} END",
+        event_time="""CASE WHEN ts_epoch > 0
+          THEN timestamp_micros(CAST(round(ts_epoch * 1000000) AS BIGINT)) END""",
+    )
 
 
-def _meta() -> Column:
+def _meta() -> str:
     """Open attributes. Empty ones are left out, except the fixed set of access lines."""
 
     def text_map(*names: str) -> str:
@@ -379,12 +328,12 @@ def _meta() -> Column:
         return f"map_filter({pairs}, (k, v) -> v IS NOT NULL AND v <> '')"
 
     duration = "CASE WHEN duration_ms IS NULL THEN map() ELSE " + text_map("duration_ms") + " END"
-    return F.expr(f"""map_concat(CASE _format
+    return f"""map_concat(CASE _format
       WHEN 'json' THEN {filled(text_map('host', 'logger', 'pid'))}
       WHEN 'iso' THEN {filled(text_map('src'))}
       WHEN 'syslog' THEN {filled(text_map('host', 'tag', 'pid'))}
       WHEN 'access' THEN {text_map('ip', 'status_code', 'bytes', 'method', 'path')}
-      ELSE CAST(map() AS map<string,string>) END, CAST({duration} AS map<string,string>))""")
+      ELSE CAST(map() AS map<string,string>) END, CAST({duration} AS map<string,string>))"""
 
 
 def parse_logs(
@@ -416,9 +365,9 @@ def parse_logs(
     for step in (_detect, _extract, _tags, _level_tokens, _assemble):
         df = step(df)
     df = _enrich(df, signatures, as_of)
-    df = df.withColumns({"format": _col("_format"), "meta": _meta()})
-    entry = F.struct(*[_col(c) for c in ENTRY_COLUMNS if c in set(columns)])
-    return df.select(F.inline(F.array(entry)), *extra)
+    df = _add(df, format="_format", meta=_meta())
+    wanted = [c for c in ENTRY_COLUMNS if c in set(columns)]
+    return df.selectExpr(f"inline(array(struct({', '.join(wanted)})))", *extra)
 
 
 def analyze(df: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
@@ -426,14 +375,11 @@ def analyze(df: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> Data
     staged = classify(df.drop("duration_ms"), "message", signatures).withColumn(
         "level", F.greatest("level", "min_level")
     )
-    named = empty_to_null(_col("fingerprint"))
-    return staged.select(
-        "source", "line_number", "level",
-        _col("level").alias("level_priority"),
-        (_col("level") >= ERROR).alias("is_error"),
-        _col("level").alias("max_severity"),
-        F.when(named.isNotNull(), F.array(named)).otherwise(F.array().cast("array<string>"))
-        .alias("error_categories"),
+    return staged.selectExpr(
+        "source", "line_number", "level", "level AS level_priority",
+        f"level >= {ERROR} AS is_error", "level AS max_severity",
+        "CASE WHEN fingerprint <> '' THEN array(fingerprint) "
+        "ELSE CAST(array() AS array<string>) END AS error_categories",
         "raw", "message", "fingerprint",
     )
 
@@ -441,6 +387,6 @@ def analyze(df: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> Data
 def entry_record(df: DataFrame) -> DataFrame:
     """The flat public record of an entry."""
     return df.select(
-        "timestamp", "ts_epoch", _col("level_name").alias("level"), "source", "line_number",
+        "timestamp", "ts_epoch", F.col("level_name").alias("level"), "source", "line_number",
         "message", "raw", "fingerprint", "meta",
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.fixed.signatures import Signature
-from loomlog.functions.levels import level_name, lookup_level, parse_level_token
+from loomlog.functions.levels import level_name_sql, lookup_level, parse_level_sql
 from loomlog.functions.timestamps import with_epoch
-from loomlog.operators.classify import classify, duration_ms, error_gate
+from loomlog.operators.classify import classify, duration_sql, error_gate_sql
 from loomlog.operators.parse import ENTRY_COLUMNS, analyze, entry_record, parse_logs
 from loomlog.plans import check_base as sql
 from loomlog.sources.tables import as_of, log_lines, spread, table
@@ -234,19 +234,19 @@ TOKEN_SQL = """CASE event_id % 11 WHEN 0 THEN upper(event_type) WHEN 1 THEN conc
 def level_tokens(spark, sf_dir):
     tokens = table(spark, sf_dir, "events").selectExpr("event_id", f"{TOKEN_SQL} AS token")
     return tokens.select(
-        "event_id", "token", lookup_level(F.col("token")).alias("found"),
-        level_name(parse_level_token(F.col("token"))).alias("level_name"),
+        "event_id", "token", lookup_level("token").alias("found"),
+        F.expr(level_name_sql(parse_level_sql("token"))).alias("level_name"),
     )
 
 
 def text_gate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("lowered", F.lower("text"))
-    return docs.select("doc_id", error_gate("text", "lowered").alias("gated"))
+    return docs.select("doc_id", F.expr(error_gate_sql("text", "lowered")).alias("gated"))
 
 
 def durations(spark, sf_dir):
     return log_lines(spark, sf_dir).select(
-        "line_number", duration_ms(F.col("raw")).alias("duration_ms")
+        "line_number", F.expr(duration_sql("raw")).alias("duration_ms")
     )
 
 

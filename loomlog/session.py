@@ -14,10 +14,14 @@ RESULT_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# HotSpot never compiles a method of more than 8000 bytes. A parse fused into one such method
+# is interpreted; as separate projections it runs twice as fast.
+SPEED_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings that results depend on to a session somebody else built."""
-    for key, value in RESULT_SETTINGS.items():
+    """Apply the settings that results and speed depend on to a session somebody else built."""
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS}.items():
         spark.conf.set(key, value)
     return spark
 

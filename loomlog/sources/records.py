@@ -28,7 +28,7 @@ def _stated_level(df: DataFrame) -> Column:
             levels.append(F.when(value != 0, F.coalesce(known, F.lit(DEFAULT_LEVEL))))
         else:
             text = value.cast("string")
-            levels.append(F.when(text != "", parse_level_token(text)))
+            levels.append(F.when(text != "", parse_level_token(f"CAST({name} AS STRING)")))
     return F.coalesce(*levels, F.lit(DEFAULT_LEVEL))
 
 
@@ -47,7 +47,7 @@ def normalise_records(df: DataFrame) -> DataFrame:
         _first_filled(df, "fingerprint").alias("fingerprint"),
     )
     return staged.withColumns({
-        "level_name": level_name(F.col("level")), "is_error": F.col("level") >= ERROR,
+        "level_name": level_name("level"), "is_error": F.col("level") >= ERROR,
     })
 
 

@@ -73,10 +73,11 @@ def _lenient_charsets(spark: SparkSession):
 def decode_text(value: Column, encoding: str = "utf-8") -> Column:
     """Bytes as text; what cannot be decoded becomes U+FFFD.
 
-    Encodings go by any name Python knows; its canonical names are known to Java as well.
+    Encodings go by any name Python knows. Java knows its canonical names as well, but for
+    the hyphen in ``utf-16-be`` and its kin.
     """
-    name = codecs.lookup(encoding).name
-    if name == "utf-8":
+    name = codecs.lookup(encoding).name.replace("utf-16-", "utf-16").replace("utf-32-", "utf-32")
+    if name in ("utf-8", "utf-8-sig"):
         return F.make_valid_utf8(value.cast("string"))
     return F.decode(value.cast("binary"), name)
 

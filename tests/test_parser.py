@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.functions.levels import level_name, parse_level_token
+from loomlog.functions.levels import level_name_sql, parse_level_sql
 from loomlog.functions.timestamps import with_epoch
 from loomlog.operators.classify import signature_table
 from loomlog.operators.parse import analyze, entry_record, parse_logs
@@ -29,7 +29,7 @@ def test_level_tokens(spark):
         "nonsense": "INFO", "": "INFO",
     }
     df = spark.createDataFrame([(t,) for t in tokens], "t string")
-    found = df.select("t", level_name(parse_level_token(F.col("t"))).alias("l")).collect()
+    found = df.select("t", F.expr(level_name_sql(parse_level_sql("t"))).alias("l")).collect()
     assert {r.t: r.l for r in found} == tokens
 
 

@@ -3,7 +3,6 @@ import os
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomlog.operators import anomaly
 from loomlog.operators.parse import parse_logs
