@@ -95,7 +95,7 @@ _SPARKLINES = f"""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, co
 last20 AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 20),
 ranged AS (SELECT *, min(n) OVER (PARTITION BY event_type) AS lo, max(n) OVER (PARTITION BY event_type) AS hi
   FROM last20)
-SELECT event_type, string_agg(CASE WHEN hi = lo THEN '▃' ELSE
+SELECT event_type, string_agg(CASE WHEN hi = lo THEN CASE WHEN hi <= 0 THEN ' ' ELSE '▃' END ELSE
   substr({sql.q(rates.SPARK_CHARS)}, CAST(floor((n - lo) / (hi - lo) * 8) AS INT) + 1, 1) END,
   '' ORDER BY day) AS sparkline, '▃▃' AS flat
 FROM ranged GROUP BY event_type"""
@@ -106,7 +106,7 @@ def series_sparkline(spark, sf_dir):
 
 
 _SERIES_SPARK = sql.with_seconds(
-    f"""SELECT string_agg(CASE WHEN hi = lo THEN '▃' ELSE substr({sql.q(rates.SPARK_CHARS)},
+    f"""SELECT string_agg(CASE WHEN hi = lo THEN CASE WHEN hi <= 0 THEN ' ' ELSE '▃' END ELSE substr({sql.q(rates.SPARK_CHARS)},
   CAST(floor((n - lo) / (hi - lo) * 8) AS INT) + 1, 1) END, '' ORDER BY sec) AS sparkline
 FROM (SELECT *, min(n) OVER () AS lo, max(n) OVER () AS hi FROM series)""",
     _SERIES.format(_LATER),
