@@ -90,13 +90,19 @@ def with_context(
     groups: Sequence[str] = ("source",),
     name: str = "context",
     width: int = RANGE_WIDTH,
+    position: str | None = None,
 ) -> DataFrame:
     """The target rows, each with the texts of up to ``half`` rows before and after it.
 
     Positions are cut into ranges; the ``half`` rows at each end of a range are also sent to
-    the neighbouring range, so every window is complete within one range.
+    the neighbouring range, so every window is complete within one range. Numbering the
+    positions reads ``df`` twice: give the ``position`` column of ``with_position`` where
+    ``df`` is costly, as entries are that were not read from a table.
     """
-    placed = with_position(df, order, groups, "_position", width)
+    if position is None:
+        placed = with_position(df, order, groups, "_position", width)
+    else:
+        placed = df.withColumn("_position", F.col(position))
     place = F.floor(F.col("_position") / width)
     within = F.col("_position") % width
     homes = F.array_compact(F.array(

@@ -24,10 +24,6 @@ BAR_CELLS = 40
 ORDER = ("source", "line_number")
 
 
-def _first_seen(order: Sequence[str]) -> Column:
-    return F.min(F.struct(*order))
-
-
 def totals(df: DataFrame) -> DataFrame:
     """Lines, errors, and the share of errors."""
     lines, errors = F.count("*"), F.count_if(F.col("is_error"))
@@ -43,10 +39,19 @@ def level_counts(df: DataFrame) -> DataFrame:
 
 
 def _top(df: DataFrame, name: str, n: int, order: Sequence[str]) -> DataFrame:
-    """The n most frequent names; among equals the one seen first."""
+    """The n most frequent names; among equals the one seen first.
+
+    Counted by name and all but the last order column first: the least of a number keeps that
+    a hash aggregate, where the least of a whole place would sort every row.
+    """
+    *places, last = order
+    parts = df.groupBy(name, *[F.col(c).alias(f"_at_{c}") for c in places]).agg(
+        F.count("*").alias("_n"), F.min(last).alias("_last")
+    )
+    seen = F.min(F.struct(*[f"_at_{c}" for c in places], "_last"))
     return (
-        df.groupBy(name)
-        .agg(F.count("*").alias("cnt"), _first_seen(order).alias("_seen"))
+        parts.groupBy(name)
+        .agg(F.sum("_n").alias("cnt"), seen.alias("_seen"))
         .orderBy(F.desc("cnt"), F.asc("_seen"))
         .limit(n)
         .select(name, "cnt")
@@ -171,36 +176,45 @@ def snapshot(
     """The whole statistics as one row, from one pass over the entries.
 
     Grouping sets count levels, sources, signatures and seconds together, so the entries are
-    parsed once and shuffled once, after partial counting. Each list is cut to its report
-    size by rank before the one row is built; seconds to the 300 the rates look back on.
-    ``as_of`` defaults to the newest second.
+    parsed once and shuffled once, after partial counting. The counts are kept apart by all
+    but the last order column, whose least value is a number: a hash aggregate. Each list is
+    cut to its report size by rank before the one row is built; seconds to the 300 the rates
+    look back on. ``as_of`` defaults to the newest second.
     """
     second = F.when(F.col("ts_epoch") > 0, F.floor("ts_epoch").cast("bigint"))
+    if as_of is not None:
+        second = F.when(second <= as_of, second)
+    *places, last = order
+    at = [f"at_{c}" for c in places]
     narrow = df.select(
         F.col("level_name").alias("level"),
         "source",
         F.when(F.col("is_error"), F.col("fingerprint")).alias("signature"),
         second.alias("second"),
         F.col("is_error").cast("int").alias("error"),
-        F.struct(*[F.col(c) for c in order]).alias("seen"),
+        *[F.col(c).alias(a) for c, a in zip(places, at)],
+        F.col(last).alias("last"),
     )
-    if as_of is not None:
-        narrow = narrow.withColumn("second", F.when(F.col("second") <= as_of, F.col("second")))
     kind = (
         F.when(F.grouping("level") == 0, "level")
         .when(F.grouping("source") == 0, "source")
         .when(F.grouping("signature") == 0, "signature")
         .otherwise("second")
     )
-    counted = narrow.groupingSets(
-        [["level"], ["source"], ["signature"], ["second"]],
-        "level", "source", "signature", "second",
+    parts = narrow.groupingSets(
+        [["level", *at], ["source", *at], ["signature", *at], ["second"]],
+        "level", "source", "signature", "second", *at,
     ).agg(
         kind.alias("kind"), F.count("*").alias("n"), F.sum("error").alias("errors"),
-        F.min("seen").alias("seen"),
+        F.min("last").alias("last"),
+    )
+    counted = parts.groupBy(
+        "kind", F.coalesce("level", "source", "signature").alias("name"), "second"
+    ).agg(
+        F.sum("n").alias("n"), F.sum("errors").alias("errors"),
+        F.min(F.struct(*at, "last")).alias("seen"),
     )
-    name = F.coalesce("level", "source", "signature")
-    listed = counted.withColumn("name", name).filter(
+    listed = counted.filter(
         (F.col("kind") == "level") | (F.coalesce("name", F.lit("")) != "")
         | ((F.col("kind") == "second") & F.col("second").isNotNull())
     )

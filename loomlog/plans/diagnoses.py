@@ -9,7 +9,7 @@ from loomlog.fixed.rules import RULES, Rule
 from loomlog.operators import diagnose as ops
 from loomlog.operators.order import with_context
 from loomlog.plans import check_base as sql
-from loomlog.plans.parsing import parsed
+from loomlog.plans.parsing import parsed, placed_entries
 from loomlog.sources.tables import log_lines, spread, table
 
 
@@ -76,8 +76,8 @@ def custom_rules(spark, sf_dir):
 
 
 def _errors_in_context(spark, sf_dir):
-    entries = parsed(spark, sf_dir, "line_number", "raw", "is_error")
-    return with_context(entries.withColumnRenamed("file", "source"), F.col("is_error"), half=6)
+    entries = placed_entries(spark, sf_dir, "line_number", "raw", "is_error")
+    return with_context(entries, F.col("is_error"), half=6, position="position")
 
 
 def _diagnosed(spark, sf_dir):

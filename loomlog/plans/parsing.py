@@ -9,18 +9,27 @@ from loomlog.functions.levels import level_name_sql, lookup_level, parse_level_s
 from loomlog.functions.timestamps import with_epoch
 from loomlog.operators.classify import classify, duration_sql, error_gate_sql
 from loomlog.operators.parse import ENTRY_COLUMNS, analyze, entry_record, parse_logs
+from loomlog.operators.order import with_position
 from loomlog.plans import check_base as sql
 from loomlog.sources.tables import as_of, log_lines, spread, table
 
 _KEY = ("line_number", "file")
 
 
-def parsed(spark, sf_dir, *columns, **options):
+def parsed(spark, sf_dir, *columns, lines=None, **options):
     """Entries of the log lines; the source as read stays in ``file``."""
-    lines = log_lines(spark, sf_dir).withColumn("file", F.col("source"))
+    lines = log_lines(spark, sf_dir) if lines is None else lines
+    lines = lines.withColumn("file", F.col("source"))
     return parse_logs(lines, columns=columns or ENTRY_COLUMNS, as_of=as_of(), **options)
 
 
+def placed_entries(spark, sf_dir, *columns):
+    """Entries with their position in their source, numbered on the bare lines."""
+    placed = with_position(log_lines(spark, sf_dir))
+    entries = parsed(spark, sf_dir, *columns, lines=placed)
+    return entries.withColumnRenamed("file", "source")
+
+
 def _format_query(fmt, *columns):
     wanted = ["line_number", "source", *columns]
 

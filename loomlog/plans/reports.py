@@ -9,7 +9,7 @@ from loomlog.operators import stats
 from loomlog.operators.filters import add_search_spans, apply_filters, build_spec
 from loomlog.operators.order import last_rows, with_context
 from loomlog.plans import check_base as sql
-from loomlog.plans.parsing import parsed
+from loomlog.plans.parsing import parsed, placed_entries
 from loomlog.sources.tables import as_of, log_lines, table
 
 _NARROW = ("line_number", "source", "raw", "level", "level_name", "is_error")
@@ -216,16 +216,18 @@ def last_errors(spark, sf_dir):
 
 
 def latest_error(spark, sf_dir):
-    entries = parsed(spark, sf_dir, "line_number", "raw", "is_error", "fingerprint")
+    """Only the last lines are parsed."""
+    newest = last_rows(log_lines(spark, sf_dir), stats.TARGET_ROWS)
+    entries = parsed(
+        spark, sf_dir, "line_number", "raw", "is_error", "fingerprint", lines=newest
+    )
     return stats.latest_error(entries).select("line_number", "raw", "fingerprint")
 
 
 def context_windows(spark, sf_dir):
     """The lines around every error line, source by source."""
-    entries = parsed(spark, sf_dir, "line_number", "raw", "is_error").withColumnRenamed(
-        "file", "source"
-    )
-    found = with_context(entries, F.col("is_error"), half=6, width=256)
+    entries = placed_entries(spark, sf_dir, "line_number", "raw", "is_error")
+    found = with_context(entries, F.col("is_error"), half=6, width=256, position="position")
     return found.select(
         "line_number", "source",
         F.size("context").cast("bigint").alias("lines"),

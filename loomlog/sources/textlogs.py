@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loomlog.fixed import grammar
 
+# Rows of the split table, a path and five numbers each, that may be broadcast.
+BROADCAST_SPLITS = 1_000_000
+
 
 # -- which files (S2) -----------------------------------------------------------------------
 
@@ -131,7 +134,13 @@ def read_log_files(
     ones are dropped; 0 or None keeps all.
     """
     lines = _scan(spark, paths, encoding)
-    numbered = lines.join(_splits(lines), ["file", "_block", "_part"], "left")
+    splits = _splits(lines)
+    # Every split is a file of its own or starts a partition, which bounds their number. Up to
+    # the bound the table of splits is sent to every task and the lines stay where they are;
+    # beyond it lines meet their split by a shuffle, in which no split is larger than any other.
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    numbered = lines.join(splits, ["file", "_block", "_part"], "left")
     number = F.when(
         F.col("_first").isNotNull(), F.col("_id") - F.col("_first") + F.col("_before") + 1
     ).otherwise(F.raise_error(F.lit("the file splits changed while lines were numbered")))

@@ -19,7 +19,9 @@ def _write(folder, name, content):
     return str(path)
 
 
-def test_line_numbers_across_splits(spark, tmp_path):
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_line_numbers_across_splits(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr("loomlog.sources.textlogs.BROADCAST_SPLITS", bound)
     rng = random.Random(1)
     wanted = {}
     paths = []
