@@ -6,13 +6,13 @@ more. The checkpoint remembers what was read, so nothing is lost or read twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loomlog.operators import anomaly
 from loomlog.operators.diagnose import diagnose
@@ -85,8 +85,7 @@ def flat_seconds(seconds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # -- live spikes (T5) --------------------------------------------------------------------------
 
 _STATE = (
-    "start long, next_tick long, baseline double, total long, "
-    "secs array<long>, errs array<long>"
+    "next_tick long, baseline double, total long, secs array<long>, errs array<long>"
 )
 _TICKS = (
     "tick long, errors_per_min double, total_errors long, baseline double, "
@@ -94,49 +93,51 @@ _TICKS = (
 )
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold newly closed seconds of one key into its baseline; one output row per tick."""
-    rows = pd.concat(list(frames))
-    fresh = [(int(s), int(e)) for s, e in zip(rows["sec"], rows["err"])]
-    if state.exists:
-        start, tick, baseline, total, secs, errs = state.get
-        last = tick - anomaly.TICK_SECONDS
-        kept = list(zip(secs, errs))
-        recent = [p for p in kept if p[0] <= last]
-        # seconds beyond the last tick have not been counted yet
-        fresh += [p for p in kept if p[0] > last]
-    else:
-        start = min(s for s, _ in fresh)
-        tick, baseline, total, recent = start + anomaly.TICK_SECONDS, anomaly.BASELINE_START, 0, []
-    pending = sorted(fresh)
-    newest, at, out = pending[-1][0], 0, []
-    while tick <= newest:
-        while at < len(pending) and pending[at][0] <= tick:
-            total += pending[at][1]
-            recent.append(pending[at])
-            at += 1
-        recent = [(s, e) for s, e in recent if s > tick - anomaly.MINUTE_SPAN and e > 0]
-        rate = 0.0
-        if recent:
-            reach = min(tick - recent[0][0] + 1, anomaly.MINUTE_SPAN)
-            rate = sum(e for _, e in recent) / max(1.0, float(reach)) * 60
-        ratio = rate / baseline
-        after = anomaly.KEEP * baseline + (1 - anomaly.KEEP) * max(rate, anomaly.OBSERVED_FLOOR)
-        spike = (
-            rate >= anomaly.SPIKE_RATE and total >= anomaly.SPIKE_ERRORS
-            and ratio >= anomaly.SPIKE_RATIO
-        )
-        out.append((*key, tick, rate, total, baseline, after, ratio, spike))
-        baseline, tick = after, tick + anomaly.TICK_SECONDS
-    carried = recent + pending[at:]
-    state.update((
-        start, tick, baseline, total, [s for s, _ in carried], [e for _, e in carried],
-    ))
-    yield pd.DataFrame(out, columns=_columns(len(key)))
-
-
-def _columns(keys: int) -> list[str]:
-    return [f"key{i}" for i in range(keys)] + [c.split()[0] for c in _TICKS.split(", ")]
+def _spike_step():
+    """The fold of one key. It closes over plain numbers only, so that it travels to Python
+    workers by value and they need not have this package installed."""
+    tick_seconds, span, keep = anomaly.TICK_SECONDS, anomaly.MINUTE_SPAN, anomaly.KEEP
+    first_baseline, floor = anomaly.BASELINE_START, anomaly.OBSERVED_FLOOR
+    least_rate, least_errors = anomaly.SPIKE_RATE, anomaly.SPIKE_ERRORS
+    least_ratio = anomaly.SPIKE_RATIO
+    columns = ["key0"] + [c.split()[0] for c in _TICKS.split(", ")]
+
+    def step(key, frames, state):
+        """Take newly closed seconds into the baseline; one output row per tick."""
+        rows = pd.concat(list(frames))
+        fresh = [(int(s), int(e)) for s, e in zip(rows["sec"], rows["err"])]
+        if state.exists:
+            tick, baseline, total, secs, errs = state.get
+            last = tick - tick_seconds
+            kept = list(zip(secs, errs))
+            recent = [p for p in kept if p[0] <= last]
+            # seconds beyond the last tick have not been counted yet
+            fresh += [p for p in kept if p[0] > last]
+        else:
+            tick, baseline, total = min(s for s, _ in fresh) + tick_seconds, first_baseline, 0
+            recent = []
+        pending = sorted(fresh)
+        at, out = 0, []
+        while tick <= pending[-1][0]:
+            while at < len(pending) and pending[at][0] <= tick:
+                total += pending[at][1]
+                recent.append(pending[at])
+                at += 1
+            recent = [(s, e) for s, e in recent if s > tick - span and e > 0]
+            rate = 0.0
+            if recent:
+                reach = min(tick - recent[0][0] + 1, span)
+                rate = sum(e for _, e in recent) / max(1.0, float(reach)) * 60
+            ratio = rate / baseline
+            after = keep * baseline + (1 - keep) * max(rate, floor)
+            spike = rate >= least_rate and total >= least_errors and ratio >= least_ratio
+            out.append((*key, tick, rate, total, baseline, after, ratio, spike))
+            baseline, tick = after, tick + tick_seconds
+        held = recent + pending[at:]
+        state.update((tick, baseline, total, [s for s, _ in held], [e for _, e in held]))
+        yield pd.DataFrame(out, columns=columns)
+
+    return step
 
 
 def live_spikes(flat: DataFrame, key: str = "source") -> DataFrame:
@@ -149,7 +150,7 @@ def live_spikes(flat: DataFrame, key: str = "source") -> DataFrame:
     return (
         flat.groupBy(key)
         .applyInPandasWithState(
-            _step, f"key0 {kind}, {_TICKS}", _STATE, "append", GroupStateTimeout.NoTimeout
+            _spike_step(), f"key0 {kind}, {_TICKS}", _STATE, "append", GroupStateTimeout.NoTimeout
         )
         .withColumnRenamed("key0", key)
     )
