@@ -45,10 +45,12 @@ def local_session(cores: int = 8, memory: str = "8g", name: str = "loomlog") ->
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a test, is a folder of this machine used.
+    Where that is unset there must be one machine only, as in a test; a cluster's executors
+    could not read each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="loomlog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = os.path.join(tempfile.gettempdir(), f"loomlog-{os.getpid()}")
     return os.path.join(root.rstrip("/"), f"loomlog-{os.urandom(8).hex()}")

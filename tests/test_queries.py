@@ -35,7 +35,7 @@ def _rows(rows):
     )
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query(spark, duck, small, name):
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
