@@ -2,7 +2,7 @@
 
 A string counts when it has at least ``LENGTH`` bytes. Every such window holds an anchor, the
 place of the smallest hash of ``GRAM`` bytes in it, and equal windows have equal anchors.
-Anchors with the stretch of windows they stand for are shuffled by hash. Anchors seen once end
+Anchors with the stretch of windows they stand for are combined in each task, then shuffled by hash. Anchors seen once end
 there; equal stretches are settled by their hash; only unequal stretches around one anchor have
 their bytes fetched and their windows put in suffix order. The longest previous factor of a
 window, as far as ``LENGTH``, is the match with the next window before or after it in that
@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.flat import chain, flat, pieces, prefix, row_of, span_hash, word_spans
+from loomlog.llm.flat import (
+    chain, flat, mix, pieces, prefix, row_of, span_hash, word_spans,
+)
 from loomlog.session import shared_folder
 
 LENGTH, GRAM = 200, 100
@@ -85,59 +87,111 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return rows[heads], hashes[place], stretch, first, count
 
 
-def _anchors(batches):
-    for batch in batches:
-        for piece in pieces(batch):
-            data, offsets = flat(piece.column("text"))
-            row, anchor, stretch, first, count = anchors(data, offsets)
-            check = piece.column("check").to_numpy()[row]
-            yield pa.record_batch(
-                {
-                    "anchor": pa.array(anchor.view(np.int64)),
-                    "stretch": pa.array(stretch.view(np.int64)),
-                    "id": pa.array(piece.column("id").to_numpy()[row]),
-                    "place": pa.array(pack_place(check, first - offsets[row], count)),
-                }
-            )
+# anchors of a task that are combined before the shuffle
+FLUSH_ROWS = 2_000_000
+_PARTS = {"deal": "long", "anchor": "long", "stretch": "long", "id": "long", "place": "long",
+          "many": "boolean", "settled": "boolean"}
+
+
+def _ordered(anchor, stretch, ids, place, *more):
+    """Rows by anchor, stretch and place in the table, with where anchors and stretches begin."""
+    order = np.lexsort((place, ids, stretch, anchor))
+    columns = [x[order] for x in (anchor, stretch, ids, place, *more)]
+    new_anchor = np.r_[True, columns[0][1:] != columns[0][:-1]]
+    new_stretch = new_anchor | np.r_[True, columns[1][1:] != columns[1][:-1]]
+    return columns, new_anchor, new_stretch
+
+
+def _combined(keep_first: bool, rows) -> pa.RecordBatch:
+    """Equal stretches of a task settled on the spot: only the first of each has its anchor
+    looked at by others, and carries word that there are more. The rest is dealt out evenly."""
+    columns, _, new = _ordered(*(np.concatenate(x) for x in zip(*rows)))
+    anchor, stretch, ids, place = columns
+    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    # rows of equal id and text are one where the first is kept
+    same = np.r_[False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])] & ~new
+    at = np.flatnonzero(~(same & keep_first))
+    new, many = new[at], many[at]
+    deal = np.where(new, anchor[at], mix((ids[at] ^ place[at]).view(np.uint64)).view(np.int64))
+    values = deal, anchor[at], stretch[at], ids[at], place[at], many, ~new
+    return pa.record_batch([pa.array(v) for v in values], names=list(_PARTS))
+
+
+def _anchors(keep_first: bool):
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for piece in pieces(batch):
+                data, offsets = flat(piece.column("text"))
+                row, anchor, stretch, first, count = anchors(data, offsets)
+                check = piece.column("check").to_numpy()[row]
+                held.append(
+                    (
+                        anchor.view(np.int64),
+                        stretch.view(np.int64),
+                        piece.column("id").to_numpy()[row],
+                        pack_place(check, first - offsets[row], count),
+                    )
+                )
+                size += len(row)
+                if size >= FLUSH_ROWS:
+                    yield _combined(keep_first, held)
+                    held, size = [], 0
+        if size:
+            yield _combined(keep_first, held)
+
+    return run
 
 
 def _settle(keep_first: bool):
     """Sort the anchors of a partition: what is settled by hash, and what needs its bytes."""
 
     def run(batches):
-        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not held:
+        rows = []
+        for batch in batches:
+            _, *columns, settled = (
+                c.to_numpy(zero_copy_only=False) for c in batch.columns
+            )
+            if settled.any():
+                anchor, _, ids, place, _ = (c[settled] for c in columns)
+                yield _marked(anchor, ids, place, True, False)
+            if not settled.all():
+                rows.append([c[~settled] for c in columns])
+        if not rows:
             return
-        anchor, stretch, ids, place = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.lexsort((place, ids, stretch, anchor))
-        anchor, stretch, ids, place = (x[order] for x in (anchor, stretch, ids, place))
-        if keep_first:  # rows of equal id and text are one
-            new = np.r_[True, (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])]
-            new[1:] |= anchor[1:] != anchor[:-1]
-            anchor, stretch, ids, place = (x[new] for x in (anchor, stretch, ids, place))
-        new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-        new_stretch = new_anchor | np.r_[True, stretch[1:] != stretch[:-1]]
-        of_stretch, of_anchor = np.cumsum(new_stretch) - 1, np.cumsum(new_anchor) - 1
-        copies = np.bincount(of_stretch)[of_stretch]
-        kinds = np.bincount(of_anchor, new_stretch)[of_anchor]
+        columns, new_anchor, new = _ordered(*(np.concatenate(x) for x in zip(*rows)))
+        del rows
+        anchor, stretch, ids, place, many = columns
+        if keep_first:  # the same row from two tasks
+            same = ~new & np.r_[False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])]
+            anchor, stretch, ids, place, many, new_anchor, new = (
+                x[~same] for x in (anchor, stretch, ids, place, many, new_anchor, new)
+            )
+        of_stretch, of_anchor = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
+        copies = np.bincount(of_stretch, 1 + many)[of_stretch]
+        kinds = np.bincount(of_anchor, new)[of_anchor]
         singles = np.bincount(of_anchor, copies == 1)[of_anchor]
-        settled = (copies > 1) & ~(new_stretch & keep_first)
-        asked = new_stretch & (kinds > 1) & ((singles > 0) | keep_first)
+        settled = ~new if keep_first else copies > 1
+        asked = new & (kinds > 1) & ((singles > 0) | keep_first)
         at = np.flatnonzero(settled | asked)
-        yield pa.record_batch(
-            {
-                "anchor": pa.array(anchor[at]),
-                "id": pa.array(ids[at]),
-                "place": pa.array(place[at]),
-                "settled": pa.array(settled[at]),
-                "asked": pa.array(asked[at]),
-            }
-        )
+        yield _marked(anchor[at], ids[at], place[at], settled[at], asked[at])
 
     return run
 
 
+def _marked(anchor, ids, place, settled, asked) -> pa.RecordBatch:
+    settled, asked = (np.broadcast_to(x, len(ids)) for x in (settled, asked))
+    return pa.record_batch(
+        {
+            "anchor": pa.array(anchor),
+            "id": pa.array(ids),
+            "place": pa.array(place),
+            "settled": pa.array(settled),
+            "asked": pa.array(asked),
+        }
+    )
+
+
 def _snippets(batches):
     for batch in batches:
         for piece in pieces(batch):
@@ -306,9 +360,8 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True)
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("check", F.crc32("text").bitwiseAND(F.lit((1 << 23) - 1)))
     spread = own.filter(F.octet_length("text") >= LENGTH).select("id", "check", "text")
-    spread.mapInArrow(
-        _anchors, "anchor long, stretch long, id long, place long"
-    ).repartition("anchor").mapInArrow(
+    parts = ", ".join(f"{name} {kind}" for name, kind in _PARTS.items())
+    spread.mapInArrow(_anchors(keep_first), parts).repartition("deal").mapInArrow(
         _settle(keep_first), f"anchor long, {_MARK}, settled boolean, asked boolean"
     ).write.parquet(f"{folder}/anchors")
     seen = spark.read.parquet(f"{folder}/anchors")
