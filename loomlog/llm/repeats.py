@@ -34,17 +34,24 @@ _REACH = LENGTH - GRAM + 1  # places of an anchor in a window
 # windows whose bytes are in memory at once: 200 bytes each
 SLAB = 100_000
 _NONE = ~np.uint64(0)
-# a place packs 24 bits of the text's checksum, 33 bits of start and 7 bits of windows
-_COUNT_BITS, _START_BITS = 7, 33
+# windows of a stretch that travel together when bytes are compared
+CLASS = 32
+# a place packs 18 bits of the text's checksum, 31 of the first window's start, 7 of the way from
+# there to the anchor and 7 of the number of windows
+_COUNT_BITS, _START_BITS = 7, 31
+_START_AT, _CHECK_AT = 2 * _COUNT_BITS, 2 * _COUNT_BITS + _START_BITS
 _MARK = "id long, place long"
 
 
-def pack_place(check, start, count) -> np.ndarray:
-    return (check << (_COUNT_BITS + _START_BITS)) | (start << _COUNT_BITS) | count
+def pack_place(check, start, count, back=0) -> np.ndarray:
+    return (check << _CHECK_AT) | (start << _START_AT) | (back << _COUNT_BITS) | count
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (place >> _COUNT_BITS) & ((1 << _START_BITS) - 1), place & ((1 << _COUNT_BITS) - 1)
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, count and way to the anchor."""
+    low = (1 << _COUNT_BITS) - 1
+    start = (place >> _START_AT) & ((1 << _START_BITS) - 1)
+    return start, place & low, (place >> _COUNT_BITS) & low
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,13 +65,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
-    """Anchors of all windows: ``(row, hash, stretch hash, first window, windows)``.
+    """Anchors of all windows: ``(row, hash, stretch hash, first window, windows, way back)``.
 
     Windows are numbered by their first byte in ``data``.
     """
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     sums = prefix(data)
     at = np.arange(n - GRAM + 1)
     hashes = span_hash(sums, at, at + GRAM)
@@ -76,7 +83,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     valid = np.arange(len(chosen)) + LENGTH <= offsets[rows + 1]
     window = np.flatnonzero(valid)
     if not len(window):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     place, rows = chosen[window], rows[window]
     heads = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])])
     first, count = window[heads], np.diff(np.r_[heads, len(window)])
@@ -84,7 +91,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     stretch = chain(
         span_hash(sums, first, first + count - 1 + LENGTH), (place - first).astype(np.uint64)
     )
-    return rows[heads], hashes[place], stretch, first, count
+    return rows[heads], hashes[place], stretch, first, count, place - first
 
 
 # anchors of a task that are combined before the shuffle
@@ -123,14 +130,14 @@ def _anchors(keep_first: bool):
         for batch in batches:
             for piece in pieces(batch):
                 data, offsets = flat(piece.column("text"))
-                row, anchor, stretch, first, count = anchors(data, offsets)
+                row, anchor, stretch, first, count, back = anchors(data, offsets)
                 check = piece.column("check").to_numpy()[row]
                 held.append(
                     (
                         anchor.view(np.int64),
                         stretch.view(np.int64),
                         piece.column("id").to_numpy()[row],
-                        pack_place(check, first - offsets[row], count),
+                        pack_place(check, first - offsets[row], count, back),
                     )
                 )
                 size += len(row)
@@ -153,8 +160,8 @@ def _settle(keep_first: bool):
                 c.to_numpy(zero_copy_only=False) for c in batch.columns
             )
             if settled.any():
-                anchor, _, ids, place, _ = (c[settled] for c in columns)
-                yield _marked(anchor, ids, place, True, False)
+                _, _, ids, place, _ = (c[settled] for c in columns)
+                yield _marked(ids, place, True, False)
             if not settled.all():
                 rows.append([c[~settled] for c in columns])
         if not rows:
@@ -174,16 +181,15 @@ def _settle(keep_first: bool):
         settled = ~new if keep_first else copies > 1
         asked = new & (kinds > 1) & ((singles > 0) | keep_first)
         at = np.flatnonzero(settled | asked)
-        yield _marked(anchor[at], ids[at], place[at], settled[at], asked[at])
+        yield _marked(ids[at], place[at], settled[at], asked[at])
 
     return run
 
 
-def _marked(anchor, ids, place, settled, asked) -> pa.RecordBatch:
+def _marked(ids, place, settled, asked) -> pa.RecordBatch:
     settled, asked = (np.broadcast_to(x, len(ids)) for x in (settled, asked))
     return pa.record_batch(
         {
-            "anchor": pa.array(anchor),
             "id": pa.array(ids),
             "place": pa.array(place),
             "settled": pa.array(settled),
@@ -193,30 +199,46 @@ def _marked(anchor, ids, place, settled, asked) -> pa.RecordBatch:
 
 
 def _snippets(batches):
+    """The bytes of the stretches asked for, dealt by what equal windows have in common.
+
+    Equal windows have their anchor at the same offset. Windows of one class of offsets share
+    all but ``CLASS - 1`` of their bytes, and the hash of those decides where they meet.
+    """
     for batch in batches:
         for piece in pieces(batch):
             data, offsets = flat(piece.column("text"))
             wanted = piece.column("wanted")
             row = row_of(np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())])
-            fields = wanted.flatten()
-            place = fields.field("place").to_numpy()
-            start, count = unpack_place(place)
-            start = start + offsets[row]
-            raw = data.tobytes()
-            yield pa.record_batch(
-                {
-                    "anchor": fields.field("anchor"),
-                    "id": pa.array(piece.column("id").to_numpy()[row]),
-                    "place": pa.array(place),
-                    "bytes": pa.array(
-                        [
-                            raw[a : a + c - 1 + LENGTH]
-                            for a, c in zip(start.tolist(), count.tolist())
-                        ],
-                        pa.binary(),
-                    ),
-                }
-            )
+            place = wanted.flatten().to_numpy()
+            ids = piece.column("id").to_numpy()[row]
+            start, count, back = unpack_place(place)
+            anchor = start + back + offsets[row]
+            sums, raw = prefix(data), data.tobytes()
+            for least in range(0, _REACH, CLASS):
+                low = np.maximum(least, back - count + 1)
+                high = np.minimum(least + CLASS - 1, back)
+                at = np.flatnonzero(low <= high)
+                if not len(at):
+                    continue
+                shared = anchor[at] - least
+                deal = span_hash(sums, shared, shared + LENGTH - CLASS + 1) + np.uint64(least)
+                begin, windows = anchor[at] - high[at], (high - low + 1)[at]
+                yield pa.record_batch(
+                    {
+                        "deal": pa.array(deal.view(np.int64)),
+                        "id": pa.array(ids[at]),
+                        "place": pa.array(
+                            pack_place(place[at] >> _CHECK_AT, begin - offsets[row[at]], windows)
+                        ),
+                        "bytes": pa.array(
+                            [
+                                raw[x : x + n - 1 + LENGTH]
+                                for x, n in zip(begin.tolist(), windows.tolist())
+                            ],
+                            pa.binary(),
+                        ),
+                    }
+                )
 
 
 def suffix_matches(windows: np.ndarray, position: np.ndarray, keep_first: bool) -> np.ndarray:
@@ -235,14 +257,15 @@ def suffix_matches(windows: np.ndarray, position: np.ndarray, keep_first: bool)
 
 
 def _match(keep_first: bool):
-    def slabs(sums, anchor, first, count):
+    def slabs(sums, deal, first, count):
         """Windows that may be equal, at most about ``SLAB`` of them together."""
-        head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        total = np.add.reduceat(count, head)
-        ends = np.r_[head[1:], len(anchor)]
+        head = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+        total = np.cumsum(np.add.reduceat(count, head))
+        ends = np.r_[head[1:], len(deal)]
         k = 0
         while k < len(head):
-            stop = max(k + 1, int(np.searchsorted(np.cumsum(total[k:]), SLAB, "right")) + k)
+            done = total[k - 1] if k else 0
+            stop = max(k + 1, int(np.searchsorted(total, done + SLAB, "right")))
             at = np.arange(head[k], ends[stop - 1])
             owner = np.repeat(at, count[at])
             window = first[owner] + np.arange(len(owner)) - np.repeat(
@@ -251,7 +274,7 @@ def _match(keep_first: bool):
             parts = -(-len(owner) // SLAB)
             if parts == 1:
                 yield owner, window
-            else:  # one anchor with very many stretches: equal windows have equal hashes
+            else:  # very many rows with the same bytes in common: equal windows hash alike
                 share = span_hash(sums, window, window + LENGTH) % np.uint64(parts)
                 for part in range(parts):
                     chosen = share == part
@@ -262,25 +285,23 @@ def _match(keep_first: bool):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).sort_by("anchor")
+        table = pa.Table.from_batches(held).sort_by("deal")
         data, offsets = flat(table.column("bytes"))
-        anchor, ids, place = (
-            table.column(c).to_numpy() for c in ("anchor", "id", "place")
-        )
-        start, count = unpack_place(place)
+        deal, ids, place = (table.column(c).to_numpy() for c in ("deal", "id", "place"))
+        start, count, _ = unpack_place(place)
         # documents in order of their id, windows in order of their start
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((place, ids))] = np.arange(len(ids))
         every = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
         sums = prefix(data)
-        for owner, window in slabs(sums, anchor, offsets[:-1], count):
+        for owner, window in slabs(sums, deal, offsets[:-1], count):
             if not len(owner):
                 continue
             inner = window - offsets[owner]
             position = rank[owner] * 128 + inner
             hit = suffix_matches(every[window], position, keep_first)
             own, at = owner[hit], inner[hit]
-            check = place[own] >> (_COUNT_BITS + _START_BITS)
+            check = place[own] >> _CHECK_AT
             yield _runs(ids[own], pack_place(check, start[own] + at, 1))
 
     return run
@@ -292,11 +313,11 @@ def _runs(ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch({"id": pa.array(ids), "place": pa.array(place)})
     order = np.lexsort((place, ids))
     ids, place = ids[order], place[order]
-    step = 1 << _COUNT_BITS
+    step = 1 << _START_AT
     joined = np.r_[False, (ids[1:] == ids[:-1]) & (place[1:] - place[:-1] == step)]
     head = np.flatnonzero(~joined)
     length = np.diff(np.r_[head, len(ids)])
-    most = step - 1
+    most = (1 << _COUNT_BITS) - 1
     parts = -(-length // most)
     at = np.repeat(head, parts)
     inner = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -313,7 +334,7 @@ def covered(data: np.ndarray, offsets: np.ndarray, marks) -> np.ndarray:
     """Which bytes lie in a marked window."""
     depth = np.zeros(len(data) + 1, np.int32)
     row = row_of(np.r_[0, np.cumsum(marks.value_lengths().fill_null(0).to_numpy())])
-    start, count = unpack_place(marks.flatten().to_numpy())
+    start, count, _ = unpack_place(marks.flatten().to_numpy())
     start = start + offsets[row]
     np.add.at(depth, start, 1)
     np.add.at(depth, start + count - 1 + LENGTH, -1)
@@ -358,26 +379,26 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True)
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("check", F.crc32("text").bitwiseAND(F.lit((1 << 23) - 1)))
+    ).withColumn("check", F.crc32("text").bitwiseAND(F.lit((1 << 18) - 1)))
     spread = own.filter(F.octet_length("text") >= LENGTH).select("id", "check", "text")
     parts = ", ".join(f"{name} {kind}" for name, kind in _PARTS.items())
     spread.mapInArrow(_anchors(keep_first), parts).repartition("deal").mapInArrow(
-        _settle(keep_first), f"anchor long, {_MARK}, settled boolean, asked boolean"
+        _settle(keep_first), f"{_MARK}, settled boolean, asked boolean"
     ).write.parquet(f"{folder}/anchors")
     seen = spark.read.parquet(f"{folder}/anchors")
 
-    check = F.shiftright("place", _COUNT_BITS + _START_BITS)
+    check = F.shiftright("place", _CHECK_AT)
     asked = (
         seen.filter("asked")
         .groupBy("id", check.alias("check"))
-        .agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+        .agg(F.collect_list("place").alias("wanted"))
     )
     # rows of equal id and text are the same to the match, and settled by hash already
     once = spread.join(asked, ["id", "check"]).dropDuplicates(["id", "check"])
     matched = (
         once.select("id", "text", "wanted")
-        .mapInArrow(_snippets, f"anchor long, {_MARK}, bytes binary")
-        .repartition("anchor")
+        .mapInArrow(_snippets, f"deal long, {_MARK}, bytes binary")
+        .repartition("deal")
         .mapInArrow(_match(keep_first), _MARK)
     )
     marks = (
