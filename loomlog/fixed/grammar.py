@@ -50,4 +50,3 @@ MAX_LINE_CHARS = 65_536
 # Which file names count as logs.
 LOG_SUFFIXES = (".log", ".txt", ".out", ".err")
 LOG_NAME_PARTS = ("log", "error", "access")
-FILES_PER_ROOT = 200

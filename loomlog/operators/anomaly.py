@@ -6,7 +6,7 @@ weighted mean of the rates before it. The recursion
     baseline = (1 - a) * baseline + a * max(rate, 1)
 
 is a weighted sum, so a chunk of ticks is computed by one running sum, and chunks are tied
-together by their end values. Ticks of one chunk are the most that one task handles.
+together by their end values. Only ticks with errors in their last minute are computed.
 """
 
 from __future__ import annotations
@@ -44,95 +44,93 @@ def spike_rule(rate: Column, errors: Column, baseline: Column) -> Column:
 def spike_ticks(
     seconds: DataFrame, keys: Sequence[str] = (), chunk_ticks: int = CHUNK_TICKS
 ) -> DataFrame:
-    """One row per tick from ``(keys, sec, n, err)``.
+    """One row per tick with an error in its last minute, from ``(keys, sec, n, err)``.
 
-    ``baseline`` is the one the tick is judged by, ``next_baseline`` the one it leaves.
+    Ticks lie every five seconds after a key's first second. In silent ticks the rate is zero
+    and the baseline only falls back towards its floor, by a fixed factor each; they are not
+    rows, so the result grows with the errors and not with the clock. ``baseline`` is the one
+    the tick is judged by, ``next_baseline`` the one it leaves.
     """
-    width = TICK_SECONDS * chunk_ticks
-    if width < MINUTE_SPAN:
-        raise ValueError("a chunk must hold the minute that its first tick looks back on")
     start = seconds.groupBy(*keys).agg(
         F.min("sec").alias("_start"), F.max("sec").alias("_end")
     )
-    chunks = start.withColumn(
-        "_chunk",
-        F.explode(F.sequence(
-            F.lit(0).cast("bigint"),
-            F.greatest(F.floor((F.col("_end") - F.col("_start") - 1) / width), F.lit(0)),
-        )),
-    )
-    ticks = chunks.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(chunk_ticks)))).select(
-        *keys, "_chunk",
-        (F.col("_start") + F.col("_chunk") * width + F.col("_j") * TICK_SECONDS).alias("sec"),
-        F.lit(0).cast("bigint").alias("err"), "_j", F.lit(True).alias("_own"), "_end",
-    ).filter(F.col("sec") <= F.col("_end"))
-
-    # a chunk covers (start, start + width]; the first one also takes the start itself
     placed = seconds.join(start, list(keys)) if keys else _with_start(seconds, start)
-    offset = F.greatest(F.col("sec") - F.col("_start") - 1, F.lit(0))
-    chunk = F.floor(offset / width)
-    looked_back_on = offset % width >= width - (MINUTE_SPAN - 1)
-    homes = F.when(looked_back_on, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    errors = placed.filter("err > 0").withColumns({
-        "_home": chunk, "_chunk": F.explode(homes),
-    }).select(
-        *keys, "_chunk", "sec", F.col("err").cast("bigint").alias("err"),
-        F.lit(None).cast("int").alias("_j"), (F.col("_home") == F.col("_chunk")).alias("_own"),
-        "_end",
-    )
-
-    clock = Window.partitionBy(*keys, "_chunk").orderBy("sec")
-    minute = clock.rangeBetween(-(MINUTE_SPAN - 1), 0)
-    sofar = clock.rangeBetween(Window.unboundedPreceding, 0)
-    error_sec = F.when(F.col("err") > 0, F.col("sec"))
-    judged = (
-        errors.unionByName(ticks)
+    since = F.col("sec") - F.col("_start")
+    ticks = [*keys, "_start", "_tick"]
+    touched = (
+        placed.filter("err > 0")
         .withColumns({
-            "_err60": F.sum("err").over(minute),
-            "_oldest": F.min(error_sec).over(minute),
-            "_sofar": F.sum(F.when(F.col("_own"), F.col("err")).otherwise(0)).over(sofar),
+            "_from": F.greatest(F.ceil(since / TICK_SECONDS), F.lit(1)).cast("bigint"),
+            "_to": F.least(
+                F.floor((since + MINUTE_SPAN - 1) / TICK_SECONDS),
+                F.floor((F.col("_end") - F.col("_start")) / TICK_SECONDS),
+            ).cast("bigint"),
         })
-        .filter(F.col("_j").isNotNull())
-        .withColumn(
-            "errors_per_min",
-            F.col("_err60") / covered_span(F.col("sec"), F.col("_oldest"), MINUTE_SPAN) * 60,
+        .filter("_from <= _to")
+        .withColumn("_tick", F.explode(F.sequence("_from", "_to")))
+        .groupBy(*ticks)
+        .agg(
+            F.sum("err").cast("bigint").alias("_err60"),
+            F.min("sec").alias("_oldest"),
+            F.sum(F.when(F.col("_tick") == F.col("_from"), F.col("err")).otherwise(0))
+            .cast("bigint").alias("_new"),
         )
-        .withColumn("_seen", F.greatest("errors_per_min", F.lit(OBSERVED_FLOOR)))
     )
-    # within a chunk: running sum of the observations, each lifted by its age
+    second = F.col("_start") + F.col("_tick") * TICK_SECONDS
+    rate = F.col("_err60") / covered_span(second, F.col("_oldest"), MINUTE_SPAN) * 60
+    chunk = F.floor((F.col("_tick") - 1) / chunk_ticks)
+    # what a tick adds to the baseline's distance from its floor
+    pushed = (1 - KEEP) * (F.greatest(rate, F.lit(OBSERVED_FLOOR)) - OBSERVED_FLOOR)
+    judged = touched.withColumns({
+        "sec": second, "errors_per_min": rate, "_chunk": chunk,
+        "_j": F.col("_tick") - chunk * chunk_ticks,
+    }).withColumn("_lifted", pushed * F.pow(F.lit(KEEP), -F.col("_j")))
+
+    # within a chunk: running sums, each push lifted by its age
     by_tick = Window.partitionBy(*keys, "_chunk").orderBy("_j")
-    lifted = (1 - KEEP) * F.pow(F.lit(KEEP), -F.col("_j")) * F.col("_seen")
-    local = F.sum(lifted).over(by_tick.rowsBetween(Window.unboundedPreceding, 0))
-    judged = judged.withColumn("_local", local * F.pow(F.lit(KEEP), F.col("_j")))
-    judged = judged.withColumn("_local_before", F.lag("_local", 1, 0.0).over(by_tick))
+    before = by_tick.rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_tick.rowsBetween(Window.unboundedPreceding, 0)
+    judged = judged.withColumns({
+        "_before": F.coalesce(F.sum("_lifted").over(before), F.lit(0.0)),
+        "_after": F.sum("_lifted").over(upto),
+        "_sofar": F.sum("_new").over(upto),
+    })
 
-    # between chunks: only the last values, one row per chunk
+    # between chunks that have ticks: their last values, faded by the chunks that lie between
     ends = judged.groupBy(*keys, "_chunk").agg(
-        F.max_by("_local", "_j").alias("_local_end"), F.max("_sofar").alias("_errors_in")
+        (F.sum("_lifted") * KEEP**chunk_ticks).alias("_push"), F.sum("_new").alias("_errors_in")
     )
     order = Window.partitionBy(*keys).orderBy("_chunk")
     memory = math.ceil(MEMORY_TICKS / chunk_ticks)
-    earlier = F.collect_list("_local_end").over(order.rowsBetween(-memory, -1))
-    first = F.when(F.col("_chunk") <= memory, BASELINE_START).otherwise(0.0)
-    factor = KEEP ** chunk_ticks
+    earlier = F.collect_list(F.struct("_chunk", "_push")).over(order.rangeBetween(-memory, -1))
+    factor = F.lit(KEEP**chunk_ticks)
     carried = ends.select(
         *keys, "_chunk",
-        F.aggregate(earlier, first, lambda b, end: b * factor + end).alias("_carry"),
         F.coalesce(
             F.sum("_errors_in").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_errors_before"),
+        F.aggregate(
+            earlier, F.lit(0.0),
+            lambda sum_, e: sum_
+            + e["_push"] * F.pow(factor, F.col("_chunk") - e["_chunk"] - 1),
+        ).alias("_carry"),
     )
     joined = judged.join(carried, [*keys, "_chunk"])
-    baseline = F.pow(F.lit(KEEP), F.col("_j") - 1) * F.col("_carry") + F.col("_local_before")
-    after = F.pow(F.lit(KEEP), F.col("_j")) * F.col("_carry") + F.col("_local")
-    rate, total = F.col("errors_per_min"), F.col("total_errors")
+
+    def baseline(steps: int, local: str) -> Column:
+        faded = F.pow(F.lit(KEEP), F.col("_j") + steps) * (F.col("_carry") + F.col(local))
+        first = F.pow(F.lit(KEEP), F.col("_tick") + steps) * (BASELINE_START - OBSERVED_FLOOR)
+        return OBSERVED_FLOOR + first + faded
+
     return joined.select(
         *keys, F.col("sec").alias("tick"), "errors_per_min",
         (F.col("_errors_before") + F.col("_sofar")).alias("total_errors"),
-        baseline.alias("baseline"), after.alias("next_baseline"),
+        baseline(-1, "_before").alias("baseline"), baseline(0, "_after").alias("next_baseline"),
     ).withColumns({
-        "spike_ratio": rate / F.col("baseline"),
-        "is_spike": spike_rule(rate, total, F.col("baseline")),
+        "spike_ratio": F.col("errors_per_min") / F.col("baseline"),
+        "is_spike": spike_rule(
+            F.col("errors_per_min"), F.col("total_errors"), F.col("baseline")
+        ),
     })
 
 

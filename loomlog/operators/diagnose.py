@@ -327,12 +327,17 @@ def merge_replies(
 ) -> DataFrame:
     """The replies of providers ``(key, provider, reply)`` merged with the rules.
 
-    Rule evidence is always added, and a reply without steps gets the rule's own. Rows
-    without a readable reply keep their rule diagnosis.
+    Of several replies for a key the first readable one counts, by a column ``rank`` if there
+    is one, then by provider. Rule evidence is always added, and a reply without steps gets the
+    rule's own. Rows without a readable reply keep their rule diagnosis.
     """
     offline = diagnose(df, text, context, rules)
-    answers = parse_reply(replies).select(key, F.col("provider").alias("_provider"), "answer")
-    both = offline.join(answers.filter(F.col("answer").isNotNull()), key, "left")
+    ranked = ["rank"] if "rank" in replies.columns else []
+    place = F.struct(*ranked, "provider", F.to_json("answer").alias("text"))
+    readable = parse_reply(replies).filter(F.col("answer").isNotNull())
+    first = F.min_by(F.struct(F.col("provider").alias("_provider"), "answer"), place)
+    answers = readable.groupBy(key).agg(first.alias("first")).select(key, "first.*")
+    both = offline.join(answers, key, "left")
     checks = rules_table(df.sparkSession, rules).select("rule_id", "checks", "prevention", "docs")
     checks = checks.withColumnsRenamed({"prevention": "_prevention", "docs": "_docs"})
     both = both.join(F.broadcast(checks), "rule_id", "left")

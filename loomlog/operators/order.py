@@ -22,16 +22,16 @@ def _ranged(df: DataFrame, order: str, width: int) -> DataFrame:
 
 
 def _range_counts(
-    ranged: DataFrame, groups: Sequence[str], newest_first: bool
+    ranged: DataFrame, groups: Sequence[str], newest_first: bool, places: Sequence[str] = ()
 ) -> DataFrame:
     """Rows per range and the rows in the ranges ahead of it, group by group."""
-    direction = F.desc("_range") if newest_first else F.asc("_range")
+    direction = F.desc if newest_first else F.asc
     ahead = (
-        Window.partitionBy(*groups).orderBy(direction)
+        Window.partitionBy(*groups).orderBy(*(direction(c) for c in (*places, "_range")))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        ranged.groupBy(*groups, "_range")
+        ranged.groupBy(*groups, *places, "_range")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
     )
@@ -43,17 +43,19 @@ def last_rows(
     order: str = "line_number",
     groups: Sequence[str] = (),
     width: int = RANGE_WIDTH,
+    places: Sequence[str] = (),
 ) -> DataFrame:
     """The ``n`` rows with the highest order number, overall or per group.
 
-    ``order`` must be numeric and unique within a group. Ranges that lie wholly in the tail
-    are taken as they are; only the one range the cut falls into is ranked.
+    ``order`` must be numeric and unique within a group, or within ``places``, columns that
+    are ordered before it, such as the file a line number counts in. Ranges that lie wholly in
+    the tail are taken as they are; only the one range the cut falls into is ranked.
     """
     if not groups and n <= ORDERED_LIMIT:
-        return df.orderBy(F.desc(order)).limit(n)
+        return df.orderBy(*(F.desc(c) for c in (*places, order))).limit(n)
     ranged = _ranged(df, order, width)
-    keys = [*groups, "_range"]
-    wanted = _range_counts(ranged, groups, newest_first=True).filter(F.col("_ahead") < n)
+    keys = [*groups, *places, "_range"]
+    wanted = _range_counts(ranged, groups, True, places).filter(F.col("_ahead") < n)
     rows = ranged.join(wanted, keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return (

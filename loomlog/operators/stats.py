@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.fixed.levels import LEVELS
 from loomlog.functions.text import empty_to_null
 from loomlog.operators.order import last_rows
 
@@ -16,14 +17,21 @@ TOP_CATEGORIES = 10
 TOP_SIGNATURES = 12
 REPORT_SIGNATURES = 10
 LAST_ERRORS = 8
-RECENT_ROWS = 50_000
-TARGET_ROWS = 400
+# ranges of a percentile: each holds about this share of the distinct values
+PERCENTILE_RANGES = 200
 BAR_CELLS = 40
 
 # The place of an entry in the input: decides ties and "first seen".
 ORDER = ("source", "line_number")
 
 
+def input_order(df: DataFrame, order: Sequence[str] | None = None) -> Sequence[str]:
+    """The order asked for, else by file and line; parsing may have changed the source."""
+    if order is not None:
+        return order
+    return ("file", "line_number") if "file" in df.columns else ORDER
+
+
 def totals(df: DataFrame) -> DataFrame:
     """Lines, errors, and the share of errors."""
     lines, errors = F.count("*"), F.count_if(F.col("is_error"))
@@ -38,13 +46,13 @@ def level_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("level_name").agg(F.count("*").alias("cnt")).orderBy("level_name")
 
 
-def _top(df: DataFrame, name: str, n: int, order: Sequence[str]) -> DataFrame:
+def _top(df: DataFrame, name: str, n: int, order: Sequence[str] | None) -> DataFrame:
     """The n most frequent names; among equals the one seen first.
 
     Counted by name and all but the last order column first: the least of a number keeps that
     a hash aggregate, where the least of a whole place would sort every row.
     """
-    *places, last = order
+    *places, last = input_order(df, order)
     parts = df.groupBy(name, *[F.col(c).alias(f"_at_{c}") for c in places]).agg(
         F.count("*").alias("_n"), F.min(last).alias("_last")
     )
@@ -59,7 +67,7 @@ def _top(df: DataFrame, name: str, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def source_counts(
-    df: DataFrame, n: int = TOP_SOURCES, order: Sequence[str] = ORDER
+    df: DataFrame, n: int = TOP_SOURCES, order: Sequence[str] | None = None
 ) -> DataFrame:
     """A3."""
     return _top(df.filter(F.col("source") != ""), "source", n, order)
@@ -71,7 +79,7 @@ def error_level_counts(df: DataFrame) -> DataFrame:
 
 
 def top_signatures(
-    df: DataFrame, n: int = TOP_SIGNATURES, order: Sequence[str] = ORDER
+    df: DataFrame, n: int = TOP_SIGNATURES, order: Sequence[str] | None = None
 ) -> DataFrame:
     """The most frequent signatures among the errors."""
     errors = df.filter(F.col("is_error") & (F.col("fingerprint") != ""))
@@ -89,8 +97,9 @@ def share_of_peak(counts: DataFrame, cells: int = BAR_CELLS) -> DataFrame:
     )
 
 
-def seen_window(df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def seen_window(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The timestamp texts of the earliest and latest entry with a known time."""
+    order = input_order(df, order)
     known = F.when(F.col("ts_epoch") > 0, F.col("ts_epoch"))
     first = F.min_by("timestamp", F.when(known.isNotNull(), F.struct(known, *order)))
     last = F.min_by("timestamp", F.when(known.isNotNull(), F.struct(-known, *order)))
@@ -113,9 +122,10 @@ def exact_percentiles(
 ) -> DataFrame:
     """A10: percentiles with linear interpolation, exact, without gathering the values.
 
-    Equal values are counted first. The counts are summed over ranges of the value (a
-    logarithmic grid of a thousandth), which tells the range each wanted rank falls into;
-    only the values of those ranges are then ranked. ``percent`` is clamped to 0..100. With
+    Equal values are counted first. Approximate quantiles of the distinct values cut them into
+    ranges of about equal size, however close the values are. The counts are summed by range,
+    which tells the range each wanted rank falls into; only the values of those ranges are then
+    ranked. ``percent`` is clamped to 0..100. With
     no values at all the result is 0.0.
     """
     wanted = sorted({max(0.0, min(100.0, float(p))) for p in percents})
@@ -123,11 +133,15 @@ def exact_percentiles(
     counted = (
         df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
         .groupBy(*by, "_x").agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_range",
-            F.floor(F.signum("_x") * F.log1p(F.abs("_x")) * 1000).cast("bigint"),
-        )
     )
+    cuts = [k / PERCENTILE_RANGES for k in range(1, PERCENTILE_RANGES)]
+    edges = counted.groupBy(*by).agg(F.percentile_approx("_x", cuts, 10_000).alias("_edges"))
+    if by:
+        counted = counted.join(edges, list(by))
+    else:
+        counted = counted.withColumn("_edges", edges.scalar())
+    below = F.size(F.filter("_edges", lambda edge: edge < F.col("_x")))
+    counted = counted.withColumn("_range", below).drop("_edges")
     whole = Window.partitionBy(*by)
     running = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
@@ -171,7 +185,7 @@ def exact_percentiles(
 
 
 def snapshot(
-    df: DataFrame, as_of: int | None = None, order: Sequence[str] = ORDER
+    df: DataFrame, as_of: int | None = None, order: Sequence[str] | None = None
 ) -> DataFrame:
     """The whole statistics as one row, from one pass over the entries.
 
@@ -184,7 +198,7 @@ def snapshot(
     second = F.when(F.col("ts_epoch") > 0, F.floor("ts_epoch").cast("bigint"))
     if as_of is not None:
         second = F.when(second <= as_of, second)
-    *places, last = order
+    *places, last = input_order(df, order)
     at = [f"at_{c}" for c in places]
     narrow = df.select(
         F.col("level_name").alias("level"),
@@ -222,7 +236,11 @@ def snapshot(
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(
         F.desc("second"), F.desc("n"), F.asc("seen")
     ))
-    kept = listed.withColumn("rank", rank).filter(F.col("rank") <= 300)
+    # signatures are counted before the lists are cut
+    signatures = F.count_if(F.col("kind") == "signature").over(Window.partitionBy("kind"))
+    kept = listed.withColumns({"rank": rank, "signatures": signatures}).filter(
+        (F.col("rank") <= 300) | (F.col("kind") == "level")
+    )
     newest = F.max("second").over(Window.partitionBy())
     kept = kept.withColumn("now", F.lit(as_of) if as_of is not None else newest)
 
@@ -260,33 +278,36 @@ def snapshot(
         errors_60.alias("errors_last_minute"),
         recent("errors", 300).alias("errors_last_5m"),
         (errors_60 / covered(F.col("errors") > 0, 60) * 60).alias("error_rate_per_min"),
-        F.map_from_entries(named("level", 300)).alias("level_counts"),
+        F.map_from_entries(named("level", len(LEVELS))).alias("level_counts"),
         F.map_from_entries(named("source", TOP_SOURCES)).alias("source_counts"),
-        F.map_from_entries(named("level", 300, "errors")).alias("error_counts"),
+        F.map_from_entries(named("level", len(LEVELS), "errors")).alias("error_counts"),
         F.map_from_entries(named("signature", TOP_CATEGORIES)).alias("category_counts"),
         named("signature", TOP_SIGNATURES).alias("top_signatures"),
-        F.count_if((F.col("kind") == "signature") & (F.col("rank") <= TOP_SIGNATURES)).alias(
-            "unique_errors"
-        ),
+        F.coalesce(F.max("signatures"), F.lit(0)).alias("unique_errors"),
     )
 
 
-def last_errors(df: DataFrame, n: int = LAST_ERRORS, order: Sequence[str] = ORDER) -> DataFrame:
+def last_errors(df: DataFrame, n: int = LAST_ERRORS, order: Sequence[str] | None = None) -> DataFrame:
     """L1: the last errors, in input order."""
+    order = input_order(df, order)
     newest = df.filter("is_error").orderBy(*[F.desc(c) for c in order]).limit(n)
     return newest.orderBy(*order)
 
 
-def recent_rows(df: DataFrame, n: int = RECENT_ROWS, order: str = "line_number") -> DataFrame:
-    """L2: the bounded recent buffer."""
-    return last_rows(df, n, order)
+def recent_rows(df: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:
+    """L2: the last ``n`` rows of the input, over all its files."""
+    *places, last = input_order(df, order)
+    return last_rows(df, n, last, places=places)
 
 
-def latest_error(df: DataFrame, order: str = "line_number") -> DataFrame:
-    """L3: the newest error among the last 400 rows; no row if there is none."""
-    return (
-        last_rows(df, TARGET_ROWS, order).filter("is_error").orderBy(F.desc(order)).limit(1)
-    )
+def latest_error(
+    df: DataFrame, within: int | None = None, order: Sequence[str] | None = None
+) -> DataFrame:
+    """L3: the newest error, of the last ``within`` rows if that is given; no row if there is
+    none."""
+    order = input_order(df, order)
+    rows = df if within is None else recent_rows(df, within, order)
+    return rows.filter("is_error").orderBy(*(F.desc(c) for c in order)).limit(1)
 
 
 def source_freshness(df: DataFrame, as_of: Column, stale_after: float) -> DataFrame:

@@ -160,7 +160,7 @@ walk AS (
 SELECT {key}, tick, round(rate, 6) AS errors_per_min, total_errors, round(baseline, 6) AS baseline,
   round(rate / baseline, 6) AS spike_ratio,
   rate >= 5 AND total_errors >= 10 AND rate / baseline >= 3 AS is_spike
-FROM walk"""
+FROM walk WHERE rate > 0"""
 
 
 _KEYED = f"""seconds AS (SELECT user_id % 7 AS grp, {SECOND_SQL} AS sec,

@@ -4,31 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomlog.operators.parse import parse_logs
+from loomlog.operators.stats import latest_error, recent_rows
 from loomlog.plans import check_base as sql
 from loomlog.plans.parsing import parsed
 from loomlog.session import shared_folder
 from loomlog.sinks.export import export_meta, markdown_line, text_line, write_export
 from loomlog.sources.records import normalise_records
-from loomlog.sources.tables import log_lines, table
+from loomlog.sources.tables import as_of, log_lines, table
 from loomlog.sources.textlogs import (
     cut_unterminated,
     decode_text,
+    discover_logs,
     drop_blank,
     merge_sources,
     read_log_files,
 )
 
 SEGMENT = 2_500
+MANY_ROWS = 3_100
+FEW_LINES = 40
 TAIL = 30
 _PLACE = ("line_number",)
 
 
 def landed_lines(spark, sf_dir, segment=SEGMENT):
-    """The log lines as text files of a fixed number of lines, with a few blank ones."""
+    """The log lines as text files of a fixed number of lines."""
     folder = shared_folder(spark)
     lines = log_lines(spark, sf_dir).select(
         F.floor(F.col("line_number") / segment).alias("segment"), "line_number",
-        F.when(F.col("line_number") % 50 == 0, F.lit("   ")).otherwise(F.col("raw")).alias("value"),
+        F.col("raw").alias("value"),
     )
     (
         lines.repartition("segment").sortWithinPartitions("segment", "line_number")
@@ -52,10 +57,32 @@ def text_file_tails(spark, sf_dir):
 
 
 _LANDED = f"""SELECT line_number // {SEGMENT} AS segment, line_number % {SEGMENT} + 1 AS line_number, raw,
-  count(*) OVER (PARTITION BY line_number // {SEGMENT}) AS held, line_number AS place
+  count(*) OVER (PARTITION BY line_number // {SEGMENT}) AS held
 FROM log_lines"""
 
 
+def recent_rows_many_files(spark, sf_dir):
+    """The last lines over several files, each with its own line numbers."""
+    found = read_log_files(spark, [landed_lines(spark, sf_dir)])
+    segment = F.regexp_extract("file", r"segment=(\d+)", 1).cast("bigint")
+    last = recent_rows(found, MANY_ROWS, ("file", "line_number"))
+    return last.select(segment.alias("segment"), "line_number", "raw")
+
+
+def latest_error_many_files(spark, sf_dir):
+    found = read_log_files(spark, [landed_lines(spark, sf_dir)])
+    entries = parse_logs(found, columns=["source", "line_number", "raw", "is_error"], as_of=as_of())
+    return latest_error(entries).select("line_number", "raw")
+
+
+def discovered_files(spark, sf_dir):
+    """More files in one root than any default limit would take."""
+    folder = landed_lines(spark, sf_dir, FEW_LINES)
+    files = [(path,) for path in discover_logs(spark, [folder])]
+    segment = F.regexp_extract("path", r"segment=(\d+)", 1).cast("bigint")
+    return spark.createDataFrame(files, "path string").select(segment.alias("segment"))
+
+
 def nonblank_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
@@ -159,10 +186,18 @@ def exported_json(spark, sf_dir):
 
 QUERIES = {
     "text_files": (text_files, sql.with_lines(
-        f"SELECT segment, line_number, raw FROM ({_LANDED}) WHERE place % 50 <> 0")),
+        f"SELECT segment, line_number, raw FROM ({_LANDED})")),
     "text_file_tails": (text_file_tails, sql.with_lines(
         f"""SELECT segment, line_number, raw FROM ({_LANDED})
-WHERE place % 50 <> 0 AND line_number > held - {TAIL}""")),
+WHERE line_number > held - {TAIL}""")),
+    "recent_rows_many_files": (recent_rows_many_files, sql.with_lines(
+        f"""SELECT segment, line_number, raw FROM ({_LANDED})
+ORDER BY CAST(segment AS VARCHAR) DESC, line_number DESC LIMIT {MANY_ROWS}""")),
+    "latest_error_many_files": (latest_error_many_files, sql.with_entries(
+        f"""SELECT line_number % {SEGMENT} + 1 AS line_number, raw FROM entries WHERE is_error
+ORDER BY CAST(entries.line_number // {SEGMENT} AS VARCHAR) DESC, entries.line_number DESC LIMIT 1""")),
+    "discovered_files": (discovered_files, sql.with_lines(
+        f"SELECT DISTINCT line_number // {FEW_LINES} AS segment FROM log_lines")),
     "nonblank_lines": (nonblank_lines, """SELECT doc_id, CAST(place AS INT) AS line_number, raw FROM (
   SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS place
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))

@@ -109,7 +109,7 @@ QUERIES = {
     "live_source_counts": _running("source"),
     "live_signature_counts": _running("fingerprint"),
     "live_files": (live_files, sql.with_entries(
-        "SELECT format, fingerprint, count(*) AS cnt FROM entries WHERE line_number % 50 <> 0 GROUP BY ALL")),
+        "SELECT format, fingerprint, count(*) AS cnt FROM entries GROUP BY ALL")),
     "live_seconds": (live_seconds, sql.with_seconds(
         f"SELECT sec, n, err FROM seconds WHERE {_CLOSED}")),
     "live_minutes": (live_minutes, sql.with_seconds(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import text
 from loomlog.operators import stats
-from loomlog.operators.filters import add_search_spans, apply_filters, build_spec
+from loomlog.operators.filters import add_search_spans, apply_filters, build_spec, parse_filtered
 from loomlog.operators.order import last_rows, with_context
 from loomlog.plans import check_base as sql
 from loomlog.plans.parsing import parsed, placed_entries
@@ -17,10 +17,9 @@ _NARROW = ("line_number", "source", "raw", "level", "level_name", "is_error")
 
 def _filtered(condition, **spec):
     def run(spark, sf_dir):
-        entries = parsed(spark, sf_dir, *_NARROW)
-        return apply_filters(entries, build_spec(**spec)).select(
-            "line_number", "source", "level_name"
-        )
+        lines = log_lines(spark, sf_dir)
+        entries = parse_filtered(lines, build_spec(**spec), columns=_NARROW, as_of=as_of())
+        return entries.select("line_number", "source", "level_name")
 
     return run, sql.with_entries(
         f"SELECT line_number, source, level_name FROM entries WHERE {condition}"
@@ -166,7 +165,7 @@ FROM (SELECT count(*) AS total_lines, count(*) FILTER (WHERE is_error) AS total_
     (SELECT string_agg(concat(name, '=', cnt), ',' ORDER BY cnt DESC, seen) FROM (
        SELECT fingerprint AS name, count(*) AS cnt, min(line_number) AS seen FROM entries
        WHERE is_error AND fingerprint <> '' GROUP BY 1 ORDER BY cnt DESC, seen LIMIT 12)) AS top_signatures,
-    (SELECT least(12, count(DISTINCT fingerprint)) FROM entries
+    (SELECT count(DISTINCT fingerprint) FROM entries
        WHERE is_error AND fingerprint <> '') AS unique_errors
   FROM (SELECT *, CASE WHEN ts_epoch > 0 THEN CAST(floor(ts_epoch) AS BIGINT) END AS sec,
       (SELECT CAST(max(floor(ts_epoch)) AS BIGINT) FROM entries) AS now FROM entries))""").replace(
@@ -190,6 +189,8 @@ def source_freshness(spark, sf_dir):
 # -- rows in order --------------------------------------------------------------------------------
 
 TAIL = 40
+# beyond one ordered limit, below the lines of the tables
+BUFFER_ROWS = 9_950
 
 
 def tail_per_source(spark, sf_dir):
@@ -197,12 +198,12 @@ def tail_per_source(spark, sf_dir):
 
 
 def recent_rows(spark, sf_dir):
-    return stats.recent_rows(log_lines(spark, sf_dir), n=3_000)
+    return stats.recent_rows(log_lines(spark, sf_dir), 3_000, _PLACE)
 
 
 def recent_buffer(spark, sf_dir):
-    """The full-size buffer, by ranges rather than by one ordered limit."""
-    return last_rows(log_lines(spark, sf_dir), stats.RECENT_ROWS, groups=[], width=4_096).select(
+    """A large buffer; all but a few lines."""
+    return last_rows(log_lines(spark, sf_dir), BUFFER_ROWS, groups=[], width=512).select(
         "line_number", "source"
     )
 
@@ -211,17 +212,13 @@ def last_errors(spark, sf_dir):
     entries = parsed(spark, sf_dir, "line_number", "raw", "timestamp", "level_name", "is_error")
     return stats.last_errors(entries, order=_PLACE).select(
         F.coalesce(text.empty_to_null(F.col("timestamp")), F.lit("-")).alias("timestamp"),
-        "level_name", F.substring("raw", 1, 110).alias("raw"), "line_number",
+        "level_name", "raw", "line_number",
     )
 
 
 def latest_error(spark, sf_dir):
-    """Only the last lines are parsed."""
-    newest = last_rows(log_lines(spark, sf_dir), stats.TARGET_ROWS)
-    entries = parsed(
-        spark, sf_dir, "line_number", "raw", "is_error", "fingerprint", lines=newest
-    )
-    return stats.latest_error(entries).select("line_number", "raw", "fingerprint")
+    entries = parsed(spark, sf_dir, "line_number", "raw", "is_error", "fingerprint")
+    return stats.latest_error(entries, order=_PLACE).select("line_number", "raw", "fingerprint")
 
 
 def context_windows(spark, sf_dir):
@@ -326,6 +323,10 @@ QUERIES = {
         r"NOT regexp_matches(raw, 'status (4|5)\d\d', 'i') AND NOT regexp_matches(raw, '^10\.', 'i')",
         exclude_regex=[r"status (?P<class>4|5)\d\d", r"^10\."],
     ),
+    "filter_regex_dialect": _filtered(
+        r"NOT regexp_matches(raw, 'job 12|[\[a]b|o{2,3}ls|[a&b]x|zq{0,3}z$', 'i')",
+        exclude_regex=[r"(?P<my_id>job) 12", r"[[a]b", r"o{2,3}ls", r"[a&&b]x", r"zq{,3}z\Z"],
+    ),
     "filter_combined": _filtered(
         """level >= 40 AND source IN ('svc2.log', 'svc4.log') AND contains(lower(raw), 'ms')
         AND NOT contains(lower(raw), 'zzz') AND NOT regexp_matches(raw, 'curl', 'i')""",
@@ -409,14 +410,13 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY line_number DESC) <= {TA
     "recent_rows": (recent_rows, sql.with_lines(
         "SELECT line_number, source, raw FROM log_lines ORDER BY line_number DESC LIMIT 3000")),
     "recent_buffer": (recent_buffer, sql.with_lines(
-        "SELECT line_number, source FROM log_lines ORDER BY line_number DESC LIMIT 50000")),
+        "SELECT line_number, source FROM log_lines ORDER BY line_number DESC LIMIT 9950")),
     "last_errors": (last_errors, sql.with_entries(
         """SELECT coalesce(nullif(timestamp, ''), '-') AS timestamp, level_name,
-  left(raw, 110) AS raw, line_number FROM entries WHERE is_error
+  raw, line_number FROM entries WHERE is_error
 ORDER BY line_number DESC LIMIT 8""")),
     "latest_error": (latest_error, sql.with_entries(
-        """SELECT line_number, raw, fingerprint FROM (
-  SELECT * FROM entries ORDER BY line_number DESC LIMIT 400) WHERE is_error
+        """SELECT line_number, raw, fingerprint FROM entries WHERE is_error
 ORDER BY line_number DESC LIMIT 1""")),
     "context_windows": (context_windows, _CONTEXT),
     "shown_orders": (shown_orders, _SHOWN_ORDERS),

@@ -21,21 +21,22 @@ BROADCAST_SPLITS = 1_000_000
 
 
 def discover_logs(
-    spark: SparkSession, roots: Iterable[str], limit: int = grammar.FILES_PER_ROOT
+    spark: SparkSession, roots: Iterable[str], limit: int | None = None
 ) -> list[str]:
     """The log files under some roots, each once, in root and path order.
 
-    A folder is searched to any depth for names that look like logs and gives at most
-    ``limit`` files; a file named directly is taken whatever its name. Only the listing is
-    read, never the files.
+    A folder is searched to any depth for names that look like logs and gives all of them, or
+    the first ``limit`` in path order where one is asked for; a file named directly is taken
+    whatever its name. Only the listing is read, never the files.
     """
     listed = [f for f in (_listing(spark, r, i) for i, r in enumerate(roots)) if f is not None]
     if not listed:
         return []
     files = reduce(DataFrame.unionByName, listed)
-    rank = F.row_number().over(Window.partitionBy("root_no").orderBy("path"))
-    kept = files.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    first = kept.groupBy("path").agg(F.min(F.struct("root_no", "path")).alias("at"))
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("root_no").orderBy("path"))
+        files = files.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    first = files.groupBy("path").agg(F.min(F.struct("root_no", "path")).alias("at"))
     return [row.path for row in first.orderBy("at").select("path").collect()]
 
 

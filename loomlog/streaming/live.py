@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loomlog.operators import anomaly
 from loomlog.operators.diagnose import diagnose
-from loomlog.operators.order import with_context
+from loomlog.operators.order import last_rows, with_context
 from loomlog.operators.parse import parse_logs
 from loomlog.sources.textlogs import decode_text, drop_blank
 
@@ -28,8 +29,9 @@ def read_live(
     start_at: str | None = None,
     encoding: str = "utf-8",
 ) -> DataFrame:
-    """Lines ``(raw, source, line_number)`` of the segments landing in a folder.
+    """Lines ``(raw, source, line_number, arrival)`` of the segments in a folder.
 
+    The source is the segment's whole path, the arrival the time it was last changed.
     ``start_at`` skips segments last changed before that moment. Lines of a live segment are
     not numbered.
     """
@@ -44,8 +46,9 @@ def read_live(
         lines = lines.filter(F.col("_metadata.file_modification_time") >= since)
     return drop_blank(lines.select(
         decode_text(F.col("value"), encoding).alias("raw"),
-        F.col("_metadata.file_name").alias("source"),
+        F.col("_metadata.file_path").alias("source"),
         F.lit(0).cast("bigint").alias("line_number"),
+        F.col("_metadata.file_modification_time").alias("arrival"),
     ))
 
 
@@ -57,11 +60,22 @@ def running_counts(entries: DataFrame, by: str) -> DataFrame:
 def second_counts(
     entries: DataFrame, watermark: str = "10 minutes", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """T4: lines and errors per second. Late lines count until the watermark has passed."""
+    """T4: lines and errors per second. Late lines count until the watermark has passed.
+
+    A line without a time counts at its ``arrival``, a column of ``read_live``, or else when
+    its batch runs; ``filled`` says how many of a second's lines did. Old logs read with their
+    own time need an arrival of that time too, or the batch's clock makes all of them late.
+    """
+    arrival = F.col("arrival") if "arrival" in entries.columns else F.current_timestamp()
+    when = F.coalesce(F.col("event_time").cast("timestamp"), arrival)
     return (
-        entries.withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", "1 second"), *keys)
-        .agg(F.count("*").alias("n"), F.count_if("is_error").alias("err"))
+        entries.withColumns({"_when": when, "_filled": F.col("event_time").isNull()})
+        .withWatermark("_when", watermark)
+        .groupBy(F.window("_when", "1 second"), *keys)
+        .agg(
+            F.count("*").alias("n"), F.count_if("is_error").alias("err"),
+            F.count_if("_filled").alias("filled"),
+        )
     )
 
 
@@ -103,31 +117,36 @@ def _spike_step():
     columns = ["key0"] + [c.split()[0] for c in _TICKS.split(", ")]
 
     def step(key, frames, state):
-        """Take newly closed seconds into the baseline; one output row per tick."""
+        """Take newly closed seconds into the baseline; one row per tick with recent errors."""
         rows = pd.concat(list(frames))
-        fresh = [(int(s), int(e)) for s, e in zip(rows["sec"], rows["err"])]
+        until = int(rows["sec"].max())
+        errors = rows[rows["err"] > 0]
+        pending = list(zip(errors["sec"].astype(int).tolist(), errors["err"].astype(int).tolist()))
+        recent = []
         if state.exists:
             tick, baseline, total, secs, errs = state.get
             last = tick - tick_seconds
-            kept = list(zip(secs, errs))
-            recent = [p for p in kept if p[0] <= last]
-            # seconds beyond the last tick have not been counted yet
-            fresh += [p for p in kept if p[0] > last]
+            for pair in zip(secs, errs):
+                # seconds beyond the last tick have not been counted yet
+                (recent if pair[0] <= last else pending).append(pair)
         else:
-            tick, baseline, total = min(s for s, _ in fresh) + tick_seconds, first_baseline, 0
-            recent = []
-        pending = sorted(fresh)
+            tick, baseline, total = int(rows["sec"].min()) + tick_seconds, first_baseline, 0
+        pending.sort()
         at, out = 0, []
-        while tick <= pending[-1][0]:
+        while tick <= until:
             while at < len(pending) and pending[at][0] <= tick:
                 total += pending[at][1]
                 recent.append(pending[at])
                 at += 1
-            recent = [(s, e) for s, e in recent if s > tick - span and e > 0]
-            rate = 0.0
-            if recent:
-                reach = min(tick - recent[0][0] + 1, span)
-                rate = sum(e for _, e in recent) / max(1.0, float(reach)) * 60
+            recent = [(s, e) for s, e in recent if s > tick - span]
+            if not recent:  # a silent stretch: the baseline falls towards its floor
+                ahead = min(pending[at][0] if at < len(pending) else until + 1, until + 1)
+                silent = -((tick - ahead) // tick_seconds)
+                baseline = floor + (baseline - floor) * keep**silent
+                tick += tick_seconds * silent
+                continue
+            reach = min(tick - recent[0][0] + 1, span)
+            rate = sum(e for _, e in recent) / max(1.0, float(reach)) * 60
             ratio = rate / baseline
             after = keep * baseline + (1 - keep) * max(rate, floor)
             spike = rate >= least_rate and total >= least_errors and ratio >= least_ratio
@@ -159,13 +178,32 @@ def live_spikes(flat: DataFrame, key: str = "source") -> DataFrame:
 # -- running queries ---------------------------------------------------------------------------
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after their watermark and were left out."""
-    return sum(
-        op["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Rows that came after their watermark and were left out, by query.
+
+    Every batch's report is added up as it comes, so none is forgotten however many there are.
+    Add it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.counts[str(progress.id)] = self.counts.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.counts.get(str(query.id), 0)
 
 
 def start_table(
@@ -197,19 +235,36 @@ def start_diagnosis(
 
     Each batch is first written to the entries table, under its own number. A batch that is
     run again after a failure replaces what it wrote before, and the diagnosis reads a fixed
-    table instead of parsing the lines once per use.
+    table instead of parsing the lines once per use. The last ``half`` lines of each source are
+    kept beside the entries, so an error at the head of a batch sees the lines before it. All
+    lines of a landing folder are one log: give ``lines`` a ``source`` that lasts over segments.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         part = f"{entries_path}/batch_id={batch_id}"
+        tails = f"{entries_path}_tails/batch_id="
         parsed = parse_logs(batch, as_of=as_of)
         numbered = parsed.withColumn("arrival", F.monotonically_increasing_id())
         numbered.write.mode("overwrite").parquet(part)
-        entries = batch.sparkSession.read.parquet(part)
-        errors = with_context(entries, F.col("is_error"), half, order="arrival")
+        entries = spark.read.parquet(part).withColumn("_new", F.lit(True))
+        try:
+            before = spark.read.parquet(f"{tails}{batch_id - 1}")
+        except AnalysisException:
+            before = entries.limit(0)  # the first batch
+        entries = before.withColumn("_new", F.lit(False)).unionByName(entries)
+        errors = with_context(
+            entries, F.col("is_error") & F.col("_new"), half, order="arrival"
+        ).drop("_new")
         diagnose(errors, context="context").write.mode("overwrite").parquet(
             f"{diagnoses_path}/batch_id={batch_id}"
         )
+        # numbered below zero, ahead of the next batch
+        last = last_rows(entries, half, "arrival", ["source"])
+        newest = Window.partitionBy("source").orderBy(F.desc("arrival"))
+        last.withColumn("arrival", -F.row_number().over(newest).cast("bigint")).write.mode(
+            "overwrite"
+        ).parquet(f"{tails}{batch_id}")
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(availableNow=True) if once else writer).start()

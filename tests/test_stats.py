@@ -103,7 +103,7 @@ def test_spike_ticks_match_the_recursion(spark, chunk):
     df = spark.createDataFrame(rows, "key string, sec bigint, n int, err int")
     found = anomaly.spike_ticks(df, keys=["key"], chunk_ticks=chunk).orderBy("key", "tick").collect()
     for key in ("x", "y"):
-        wanted = brute_ticks([r for r in rows if r[0] == key])
+        wanted = [w for w in brute_ticks([r for r in rows if r[0] == key]) if w[1] > 0]
         got = [r for r in found if r.key == key]
         assert [(r.tick, r.total_errors, r.is_spike) for r in got] == [
             (w[0], w[2], w[4]) for w in wanted
@@ -113,10 +113,33 @@ def test_spike_ticks_match_the_recursion(spark, chunk):
     assert any(r.is_spike for r in found)
 
 
+def test_ticks_grow_with_the_errors_not_the_clock(spark):
+    rows = [("x", 0, 1, 1), ("x", 365 * 86_400, 1, 1)]
+    df = spark.createDataFrame(rows, "key string, sec bigint, n int, err int")
+    found = anomaly.spike_ticks(df, keys=["key"]).orderBy("tick").collect()
+    assert len(found) == 12 and found[-1].tick == 365 * 86_400
+    assert found[-1].baseline == pytest.approx(1.0)
+
+
+def test_narrow_values_are_spread_over_ranges(spark):
+    df = spark.range(5000).selectExpr("1704067200 + id AS v")
+    found = {r.percent: r.value for r in stats.exact_percentiles(df, "v", [0, 37.5, 99]).collect()}
+    assert found == pytest.approx({p: 1704067200 + 4999 * p / 100 for p in (0.0, 37.5, 99.0)}, abs=1e-6)
+
+
+def test_last_rows_over_several_files(spark, monkeypatch):
+    rows = [(f, n, n == 2) for f, size in (("a.log", 500), ("b.log", 3)) for n in range(1, size + 1)]
+    df = spark.createDataFrame(rows, "source string, line_number bigint, is_error boolean")
+    for limit in (10_000, 1):
+        monkeypatch.setattr("loomlog.operators.order.ORDERED_LIMIT", limit)
+        found = {(r.source, r.line_number) for r in stats.recent_rows(df, 4).collect()}
+        assert found == {("a.log", 500), ("b.log", 1), ("b.log", 2), ("b.log", 3)}
+    assert stats.latest_error(df).first().source == "b.log"
+    assert stats.latest_error(df, within=1).collect() == []
+
+
 def test_windows_must_fit_their_chunk(spark):
     df = spark.createDataFrame([("x", 1, 1, 1)], "key string, sec bigint, n int, err int")
-    with pytest.raises(ValueError):
-        anomaly.spike_ticks(df, keys=["key"], chunk_ticks=11)
     with pytest.raises(ValueError):
         rates.rolling_rates(df, stretch=299)
 

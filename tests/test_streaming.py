@@ -3,6 +3,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlog.operators import anomaly
 from loomlog.operators.parse import parse_logs
@@ -54,6 +55,8 @@ def test_late_lines_are_counted(spark, tmp_path):
     add(0, 1, 2, 100)
     stream = spark.readStream.schema(schema).parquet(folder)
     counts = live.flat_seconds(live.second_counts(stream, "10 seconds"))
+    late = live.LateRows()
+    spark.streams.addListener(late)
     query = live.start_table(counts, str(tmp_path / "t"), str(tmp_path / "c"), once=False)
     try:
         query.processAllAvailable()
@@ -61,9 +64,14 @@ def test_late_lines_are_counted(spark, tmp_path):
         query.processAllAvailable()
         add(300)
         query.processAllAvailable()
-        assert live.late_rows(query) == 1
+        for _ in range(100):  # reports come on a thread of their own
+            if late.of(query):
+                break
+            time.sleep(0.1)
+        assert late.of(query) == 1
     finally:
         query.stop()
+        spark.streams.removeListener(late)
     found = sorted((r.sec - 1704067200, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect())
     assert found == [(0, 1), (1, 1), (2, 1), (95, 1), (100, 1)]
 
@@ -87,3 +95,33 @@ def test_live_spikes_equal_the_batch_ticks_over_many_batches(spark, tmp_path):
         (r.tick, r.total_errors, r.is_spike) for r in wanted]
     assert [r.next_baseline for r in found] == pytest.approx([r.next_baseline for r in wanted])
     assert any(r.is_spike for r in found)
+
+
+def test_lines_without_a_time_count_at_their_arrival(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(at, True, at), (None, True, at + datetime.timedelta(seconds=1)), (None, False, at),
+            (at + datetime.timedelta(seconds=60), False, at)]
+    schema = "event_time timestamp, is_error boolean, arrival timestamp"
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    counts = live.second_counts(spark.readStream.schema(schema).parquet(folder), "5 seconds")
+    flat = counts.select(F.unix_timestamp("window.start").alias("sec"), "n", "err", "filled")
+    live.start_table(flat, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    found = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert found == [(1704067200, 2, 1, 1), (1704067201, 1, 1, 1)]
+
+
+def test_context_reaches_into_earlier_batches(spark, tmp_path):
+    schema = "raw string, source string, line_number bigint"
+    folder = str(tmp_path / "in")
+    lines = [f"INFO step {k} of the job" for k in range(9)] + ["ERROR disk is full: no space left"]
+    for part in (lines[:3], lines[3:9], lines[9:]):
+        rows = [(text, "job.log", 0) for text in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # segments are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    live.start_diagnosis(
+        stream, str(tmp_path / "e"), str(tmp_path / "d"), str(tmp_path / "c"), half=8
+    ).awaitTermination()
+    (row,) = spark.read.parquet(str(tmp_path / "d")).collect()
+    assert row.related_entries == lines[1:]
