@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.operators.parse import parse_logs
-from loomlog.operators.stats import latest_error, recent_rows
+from loomlog.operators.stats import latest_error, recent_rows, snapshot, top_signatures
 from loomlog.plans import check_base as sql
 from loomlog.plans.parsing import parsed
 from loomlog.session import shared_folder
-from loomlog.sinks.export import export_meta, markdown_line, text_line, write_export
+from loomlog.sinks.export import (
+    export_meta,
+    markdown_header,
+    markdown_line,
+    text_footer,
+    text_header,
+    text_line,
+    write_export,
+)
 from loomlog.sources.records import normalise_records
 from loomlog.sources.tables import as_of, log_lines, table
 from loomlog.sources.textlogs import (
@@ -153,14 +161,40 @@ def distinct_sources(spark, sf_dir):
     return log_lines(spark, sf_dir).select("source").dropDuplicates()
 
 
+_MADE = "2024-01-31 00:00:00"
+_META = ("level_name", "is_error", "ts_epoch", "timestamp", "line_number", "fingerprint", "source")
+
+
+def _meta(spark, sf_dir):
+    entries = parsed(spark, sf_dir, *_META)
+    rate = snapshot(entries, order=_PLACE).select("error_rate_per_min").scalar()
+    return entries, export_meta(
+        entries, "level >= INFO", rate, _PLACE, ["/var/log/a.log", "b.log"], _MADE
+    )
+
+
 def export_headers(spark, sf_dir):
-    entries = parsed(spark, sf_dir, "level_name", "is_error", "ts_epoch", "timestamp", "line_number")
-    meta = export_meta(entries, "level >= INFO", 1.5, _PLACE)
+    _, meta = _meta(spark, sf_dir)
     pairs = F.transform(
         F.array_sort(F.map_entries("level_counts")),
         lambda e: F.concat(e["key"], F.lit("="), e["value"]),
     )
-    return meta.withColumn("level_counts", F.array_join(pairs, ","))
+    return meta.withColumns({
+        "level_counts": F.array_join(pairs, ","), "sources": F.array_join("sources", ","),
+        "error_rate_per_min": F.round("error_rate_per_min", 6),
+    })
+
+
+def export_text_blocks(spark, sf_dir):
+    """The lines above and below a text export."""
+    _, meta = _meta(spark, sf_dir)
+    below = text_footer(meta).select((F.col("place") + 100).alias("place"), "value")
+    return text_header(meta).unionByName(below)
+
+
+def export_markdown_blocks(spark, sf_dir):
+    entries, meta = _meta(spark, sf_dir)
+    return markdown_header(meta, top_signatures(entries, order=_PLACE))
 
 
 def export_lines(spark, sf_dir):
@@ -184,6 +218,25 @@ def exported_json(spark, sf_dir):
     ).json(f"{path}/entries")
 
 
+# what the header blocks say, after the entries
+_HEADER_SQL = f""", levels AS (SELECT level_name, count(*) AS n FROM entries GROUP BY 1),
+newest AS (SELECT CAST(max(floor(ts_epoch)) AS BIGINT) AS now FROM entries),
+minute AS (
+  SELECT count(*) AS n, min(CAST(floor(ts_epoch) AS BIGINT)) AS oldest, max(now) AS now
+  FROM entries, newest WHERE ts_epoch > 0 AND floor(ts_epoch) > now - 60 AND is_error),
+header AS (
+  SELECT *, format('{{:,}}', total_errors) || ' (' || format('{{:.1f}}', rate) || '/min)' AS errors
+  FROM (SELECT 'loomlog' AS application, '1.0' AS version, '{_MADE}' AS generated_at,
+    (SELECT count(*) FROM entries) AS total,
+    (SELECT timestamp FROM entries WHERE ts_epoch > 0 ORDER BY ts_epoch, line_number LIMIT 1) AS first_seen,
+    (SELECT timestamp FROM entries WHERE ts_epoch > 0 ORDER BY ts_epoch DESC, line_number LIMIT 1) AS last_seen,
+    'level >= INFO' AS filters,
+    (SELECT string_agg(concat(level_name, '=', n), ',' ORDER BY level_name) FROM levels) AS level_counts,
+    (SELECT count(*) FROM entries WHERE is_error) AS total_errors,
+    (SELECT CAST(coalesce(n / greatest(1, least(now - oldest + 1, 60)) * 60, 0) AS DOUBLE)
+       FROM minute) AS rate))"""
+
+
 QUERIES = {
     "text_files": (text_files, sql.with_lines(
         f"SELECT segment, line_number, raw FROM ({_LANDED})")),
@@ -216,15 +269,37 @@ FROM (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN repeat(text, 4)
     "distinct_sources": (
         distinct_sources, sql.with_lines("SELECT DISTINCT source FROM log_lines")
     ),
-    "export_headers": (export_headers, sql.with_entries("""SELECT 'loomlog' AS application,
-  (SELECT count(*) FROM entries) AS total,
-  (SELECT timestamp FROM entries WHERE ts_epoch > 0 ORDER BY ts_epoch, line_number LIMIT 1) AS first_seen,
-  (SELECT timestamp FROM entries WHERE ts_epoch > 0 ORDER BY ts_epoch DESC, line_number LIMIT 1) AS last_seen,
-  'level >= INFO' AS filters,
-  (SELECT string_agg(concat(level_name, '=', n), ',' ORDER BY level_name)
-     FROM (SELECT level_name, count(*) AS n FROM entries GROUP BY 1)) AS level_counts,
-  (SELECT count(*) FROM entries WHERE is_error) AS total_errors,
-  1.5::DOUBLE AS error_rate_per_min""")),
+    "export_headers": (export_headers, sql.with_entries(f"""{_HEADER_SQL}
+SELECT application, version, generated_at, total, first_seen, last_seen, 'a.log,b.log' AS sources,
+  filters, level_counts, total_errors, round(rate, 6) AS error_rate_per_min FROM header""")),
+    "export_text_blocks": (export_text_blocks, sql.with_entries(f"""{_HEADER_SQL}
+SELECT CAST(place AS INT) AS place, value FROM (
+  SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 100, 101, 102]) AS place, unnest([
+    repeat('=', 78), ' LOOMLOG LOG EXPORT', repeat('=', 78),
+    ' Generated   : ' || generated_at, ' Entries     : ' || format('{{:,}}', total),
+    ' Window      : ' || first_seen || ' -> ' || last_seen, ' Filters     : ' || filters,
+    ' Sources     : a.log, b.log', ' Errors      : ' || errors, repeat('=', 78),
+    ' Levels     : ' || (SELECT string_agg(level_name || '=' || format('{{:,}}', n), '  '
+      ORDER BY level_name) FROM levels),
+    repeat('-', 78), repeat('-', 78),
+    ' end of export (' || format('{{:,}}', total) || ' entries)', repeat('=', 78)]) AS value
+  FROM header)""")),
+    "export_markdown_blocks": (export_markdown_blocks, sql.with_entries(f"""{_HEADER_SQL},
+top AS (SELECT fingerprint, count(*) AS cnt, min(line_number) AS seen FROM entries
+  WHERE is_error AND fingerprint <> '' GROUP BY 1 ORDER BY cnt DESC, seen LIMIT 12),
+blocks AS (SELECT ['# loomlog — Log Export', '', '## Metadata', '', '| Field | Value |', '| --- | --- |',
+    '| Application | loomlog v' || version || ' |', '| Generated at | ' || generated_at || ' |',
+    '| Entries | ' || format('{{:,}}', total) || ' |',
+    '| Window | ' || first_seen || ' → ' || last_seen || ' |',
+    '| Active filters | ' || filters || ' |', '| Sources | a.log, b.log |',
+    '| Errors | ' || errors || ' |', '', '## Level summary', '', '| Level | Count |', '| --- | --- |']
+  || (SELECT list('| ' || level_name || ' | ' || format('{{:,}}', n) || ' |' ORDER BY level_name)
+      FROM levels)
+  || ['', '## Top error signatures', '', '| Signature | Count |', '| --- | --- |']
+  || (SELECT list('| ' || fingerprint || ' | ' || format('{{:,}}', cnt) || ' |'
+      ORDER BY cnt DESC, seen) FROM top)
+  || ['', '## Entries', '', '```text'] AS lines FROM header)
+SELECT CAST(unnest(range(len(lines))) AS INT) AS place, unnest(lines) AS value FROM blocks""")),
     "export_lines": (export_lines, sql.with_entries(f"""SELECT line_number,
   concat({_PAD.format('st', 26)}, ' ', {_PAD.format('level_name', 9)}, ' ', {_PAD.format('src', 22)}, ' ', raw) AS text_line,
   concat(st, ' [', {_PAD.format('level_name', 8)}, '] (', src, ') ', raw) AS markdown_line

@@ -19,31 +19,37 @@ CASE event_type WHEN 'error' THEN CASE WHEN user_id % 5 = 0 THEN 'CRITICAL' ELSE
 """
 
 MESSAGE_SQL = """
-CASE event_id % 24
- WHEN 0 THEN concat('GET /api/v1/orders 200 ', n, 'ms')
- WHEN 1 THEN 'deadlock detected while waiting for lock'
- WHEN 2 THEN concat('Out of memory: OOMKilled process ', n)
- WHEN 3 THEN 'Connection refused: redis://127.0.0.1:6379'
- WHEN 4 THEN concat('slow query detected: ', n, 'ms in get_user()')
- WHEN 5 THEN 'No space left on device'
- WHEN 6 THEN 'upstream returned status 502 from proxy'
- WHEN 7 THEN 'request failed with status 404'
- WHEN 8 THEN 'ValueError: invalid literal for int()'
- WHEN 9 THEN 'fatal error: segmentation fault, core dumped'
- WHEN 10 THEN 'database error: unique constraint violated'
- WHEN 11 THEN 'request timed out after deadline exceeded'
- WHEN 12 THEN 'Permission denied: open /etc/secret'
- WHEN 13 THEN 'authentication failed for user admin'
- WHEN 14 THEN 'SSL handshake failed: certificate verify failed'
- WHEN 15 THEN 'dns resolution failed for db.internal'
- WHEN 16 THEN 'circuit breaker OPEN for gateway: service unavailable'
- WHEN 17 THEN 'client rate limited (429)'
- WHEN 18 THEN 'checksum mismatch: data corruption on disk'
- WHEN 19 THEN concat('job ', n, ' completed')
- WHEN 20 THEN 'connection reset by peer'
- WHEN 21 THEN 'too many open files'
- WHEN 22 THEN concat('query completed in ', n, ' ms')
- ELSE 'routine heartbeat' END
+CASE event_id % 30
+ WHEN 0 THEN concat('POST /cart/', n, '/items took ', n, 'ms')
+ WHEN 1 THEN concat('ledger shard ', svc, ': deadlock detected, victim session ', n)
+ WHEN 2 THEN concat('worker ', n, ' stopped: Out of memory, cgroup limit reached')
+ WHEN 3 THEN concat('cannot reach billing-', svc, ': connection refused')
+ WHEN 4 THEN concat('slow query on table invoices, ', n, 'ms')
+ WHEN 5 THEN concat('spool ', svc, ': write failed, No space left on device')
+ WHEN 6 THEN concat('edge ', svc, ' saw status 502 for /basket')
+ WHEN 7 THEN concat('edge ', svc, ' saw status 404 for /icons/', n)
+ WHEN 8 THEN 'ValueError: price must not be negative'
+ WHEN 9 THEN concat('child ', n, ' ended by segmentation fault')
+ WHEN 10 THEN concat('insert rejected: unique constraint on customer ', n)
+ WHEN 11 THEN concat('fetch of feed ', n, ' timed out')
+ WHEN 12 THEN concat('Permission denied while opening /srv/vault/', n)
+ WHEN 13 THEN concat('authentication failed for account ', n)
+ WHEN 14 THEN concat('peer ', svc, ': certificate verify failed')
+ WHEN 15 THEN concat('dns resolution failed for mail-', svc)
+ WHEN 16 THEN concat('circuit breaker OPEN towards stock-', svc)
+ WHEN 17 THEN concat('tenant ', n, ' is rate limited (429)')
+ WHEN 18 THEN concat('block ', n, ': checksum mismatch after copy')
+ WHEN 19 THEN concat('nightly batch ', n, ' finished')
+ WHEN 20 THEN concat('session ', n, ': connection reset by peer')
+ WHEN 21 THEN 'accept: too many open files'
+ WHEN 22 THEN concat('report built in ', n, ' ms')
+ WHEN 23 THEN concat('redis replica ', svc, ' reports an error while syncing')
+ WHEN 24 THEN concat('cache warmed, ', n, ' keys')
+ WHEN 25 THEN 'java.lang.NullPointerException: basket is null'
+ WHEN 26 THEN concat('payment ', n, ' accepted, status ok')
+ WHEN 27 THEN concat('retrying upload ', n, ' after a failure')
+ WHEN 28 THEN concat('heartbeat of node ', svc)
+ ELSE concat('config reloaded, revision ', n) END
 """
 
 RAW_SQL = """

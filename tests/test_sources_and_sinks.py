@@ -161,6 +161,10 @@ def test_exports(entries, tmp_path):
     assert _read(f"{md}/entries")[2].startswith("2026-08-30T20:00:03Z [WARN    ] (app.log) ")
     header = _read(f"{md}/header")
     assert "| Entries | 4 |" in header and "| db_deadlock | 1 |" in header
+    # among equals the one seen first
+    assert header.index("| db_deadlock | 1 |") < header.index("| oom | 1 |")
+    assert header[-1] == "```text" and _read(f"{md}/footer") == ["```"]
+    assert _read(f"{txt}/footer")[1] == " end of export (4 entries)"
     js = write_export(entries, "json", str(tmp_path / "out"))
     assert [json.loads(x)["line_number"] for x in _read(f"{js}/entries")] == [1, 2, 3, 4]
     (meta,) = [json.loads(x) for x in _read(f"{js}/metadata")]
