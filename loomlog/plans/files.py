@@ -115,6 +115,21 @@ def decoded_text(spark, sf_dir):
     )
 
 
+def decoded_files(spark, sf_dir):
+    """Lines of documents written and read in wide and narrow encodings."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    found = None
+    for encoding, java in (("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"), ("utf-8", "UTF-8")):
+        folder = shared_folder(spark)
+        bytes_ = lines.select(F.encode("line", java).cast("string").alias("value"))
+        bytes_.write.option("encoding", java).option("lineSep", "\n").text(folder)
+        read = read_log_files(spark, [folder], encoding, numbers=False)
+        one = read.select(F.lit(encoding).alias("encoding"), F.md5("raw").alias("line_md5"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("encoding", "line_md5").agg(F.count("*").alias("n"))
+
+
 _RECORD_SQL = {
     "raw": "CASE WHEN turn % 3 = 0 THEN '' ELSE concat(role, ': ', text) END",
     "message": "CASE WHEN turn % 4 = 0 THEN NULL ELSE text END",
@@ -261,6 +276,10 @@ FROM (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN repeat(text, 4)
     "decoded_text": (
         decoded_text, "SELECT doc_id, md5(text) AS wide_md5, md5(text) AS text_md5 FROM documents"
     ),
+    "decoded_files": (decoded_files, """SELECT encoding, md5(line) AS line_md5, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+  (VALUES ('utf-16-le'), ('utf-16-be'), ('utf-8')) v(encoding)
+WHERE regexp_matches(line, '\\S') GROUP BY ALL"""),
     "foreign_records": (foreign_records, _RECORDS),
     "merged_sources": (merged_sources, sql.with_lines(
         """SELECT source, count(*) AS lines, max(line_number) AS last_line FROM (

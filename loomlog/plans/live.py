@@ -32,6 +32,8 @@ def _finished(spark, df, mode="append"):
     folder = shared_folder(spark)
     query = live.start_table(df, f"{folder}/table", f"{folder}/checkpoint", mode)
     query.awaitTermination()
+    if mode == "complete":
+        return live.latest_table(spark, f"{folder}/table")
     return spark.read.parquet(f"{folder}/table")
 
 

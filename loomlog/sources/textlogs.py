@@ -86,18 +86,37 @@ def decode_text(value: Column, encoding: str = "utf-8") -> Column:
     return F.decode(value.cast("binary"), name)
 
 
+def _wide(encoding: str) -> str | None:
+    """The Java name of an encoding whose line ends are wider than a byte, else None."""
+    name = codecs.lookup(encoding).name
+    if not name.startswith(("utf-16", "utf-32")):
+        return None
+    if not name.endswith(("-le", "-be")):
+        raise ValueError(f"name the byte order of {encoding}, as in {name}-le")
+    return name.upper().replace("-LE", "LE").replace("-BE", "BE")
+
+
 def _scan(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
-    """Lines with the file and the split they come from, and their running id."""
+    """Lines with the file and the split they come from, and their running id.
+
+    Sets ``spark.sql.files.minPartitionNum`` for the session where it is unset.
+    """
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         # Splits must not change between the two passes of the numbering, as they would if
         # executors joined in between.
         spark.conf.set(
             "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)
         )
-    lines = spark.read.text(list(paths))
+    wide, reader = _wide(encoding), spark.read
+    if wide:  # lines end where the encoding's own line feed is
+        reader = reader.option("encoding", wide).option("lineSep", "\n")
+    lines = reader.text(list(paths))
     with _lenient_charsets(spark):
+        raw = decode_text(F.col("value"), encoding)
+        if wide:
+            raw = F.regexp_replace(raw, "^\ufeff|\r$", "")
         return lines.select(
-            decode_text(F.col("value"), encoding).alias("raw"),
+            raw.alias("raw"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.spark_partition_id().alias("_part"),
@@ -126,15 +145,25 @@ def read_log_files(
     encoding: str = "utf-8",
     tail: int | None = None,
     keep_blank: bool = False,
+    numbers: bool = True,
 ) -> DataFrame:
     """``(raw, source, line_number, file)`` of text files.
 
     Line numbers are absolute and count blank lines. They come from a first pass that counts
     the lines of every split, which reads no column of the file; the lines themselves are
     never shuffled for it. ``tail`` keeps the last lines of each file, counted before blank
-    ones are dropped; 0 or None keeps all.
+    ones are dropped; 0 or None keeps all. Without ``numbers`` the files are read once and
+    line numbers are null.
     """
     lines = _scan(spark, paths, encoding)
+    if not numbers:
+        if tail:
+            raise ValueError("a tail needs line numbers")
+        bare = lines.select(
+            "raw", F.col("file").alias("source"),
+            F.lit(None).cast("bigint").alias("line_number"), "file",
+        )
+        return bare if keep_blank else drop_blank(bare)
     splits = _splits(lines)
     # Every split is a file of its own or starts a partition, which bounds their number. Up to
     # the bound the table of splits is sent to every task and the lines stay where they are;

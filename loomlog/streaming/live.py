@@ -209,17 +209,28 @@ class LateRows(StreamingQueryListener):
 def start_table(
     df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True
 ) -> StreamingQuery:
-    """Start writing a stream to a Parquet table, to the end of what is there or for ever."""
+    """Start writing a stream to a Parquet table, to the end of what is there or for ever.
+
+    In ``complete`` mode every batch is a whole result in a folder of its own, so that readers
+    always find one: read it with ``latest_table``.
+    """
     writer = df.writeStream.option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     if mode == "append":
         return writer.outputMode("append").format("parquet").start(path)
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return writer.outputMode("complete").foreachBatch(add).start()
+
 
-    return writer.outputMode("complete").foreachBatch(replace).start()
+def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest result that a stream in ``complete`` mode has written."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("batch_id")).scalar()
+    return rows.filter(F.col("batch_id") == newest).drop("batch_id")
 
 
 def start_diagnosis(

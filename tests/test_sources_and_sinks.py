@@ -171,3 +171,17 @@ def test_exports(entries, tmp_path):
     assert meta["total_errors"] == 2 and meta["level_counts"]["ERROR"] == 1
     (statistics,) = [json.loads(x) for x in _read(f"{js}/statistics")]
     assert statistics["total_lines"] == 4
+
+
+def test_wide_encodings(spark, tmp_path):
+    lines = ["first line", "zweite Zeile mit ö", "", "last"]
+    for encoding in ("utf-16-le", "utf-16-be", "utf-32-le"):
+        path = tmp_path / f"{encoding}.log"
+        path.write_bytes(("\ufeff" + "\r\n".join(lines)).encode(encoding))
+        found = read_log_files(spark, [str(path)], encoding).orderBy("line_number").collect()
+        assert [(r.line_number, r.raw) for r in found] == [
+            (1, lines[0]), (2, lines[1]), (4, lines[3])]
+        bare = read_log_files(spark, [str(path)], encoding, numbers=False).collect()
+        assert {(r.line_number, r.raw) for r in bare} == {(None, x) for x in lines if x}
+    with pytest.raises(ValueError, match="byte order"):
+        read_log_files(spark, [str(path)], "utf-16")
