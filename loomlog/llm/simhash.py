@@ -6,7 +6,8 @@ form nodes that hold the bits their members share, and nodes of nodes up to a ro
 walks down from the root and leaves out every node whose shared bits differ from it in too many
 places, and every node that is already in the query's own component. Each bucket gives a
 spanning forest, not its pairs. Components are then joined over buckets by star rewriting.
-Buckets over a bound are dealt again by shifted bands, which loses no link.
+Buckets over a bound are dealt again by shifted bands, which loses no link; one that stays over
+it is cut into blocks, and every two blocks meet in a bucket of their own.
 
 Defined cases: a null text, or one without words, has fingerprint zero, which links like any
 other. A text below four words has one shingle. Documents with equal fingerprints are one
@@ -32,6 +33,8 @@ BANDS = DISTANCE + 1
 BUCKET_ROWS = 200_000
 LEVELS = 3
 FAN = 8
+# fingerprints of whole buckets that are indexed together
+TOGETHER = 1_000_000
 # pairs of a query and a code of its bucket that are looked at together, at most
 PAIRS = 4_000_000
 
@@ -185,15 +188,28 @@ class GrayIndex:
         return label
 
 
-def _forest(batches):
-    """Spanning links of all buckets of a partition."""
-    held = [
-        (b.column("bucket").to_numpy(), b.column("fp").to_numpy().view(np.uint64))
-        for b in batches
-        if b.num_rows
-    ]
+def _whole_buckets(batches):
+    """The rows of a partition sorted by bucket, cut between buckets."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column("bucket").to_numpy(), batch.column("fp").to_numpy()))
+        size += batch.num_rows
+        if size >= TOGETHER:
+            bucket, codes = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut:
+                yield bucket[:cut], codes[:cut].view(np.uint64)
+            held, size = [(bucket[cut:], codes[cut:])], len(bucket) - cut
     if held:
         bucket, codes = (np.concatenate(x) for x in zip(*held))
+        yield bucket, codes.view(np.uint64)
+
+
+def _forest(batches):
+    """Spanning links of all buckets of a partition."""
+    for bucket, codes in _whole_buckets(batches):
         index = GrayIndex(bucket, codes)
         label = index.components()
         linked = np.flatnonzero(label != np.arange(len(label)))
@@ -222,22 +238,40 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("fp", F.explode(keys).alias("bucket"))
 
 
-def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _in_blocks(rows: DataFrame, large: DataFrame, bucket_rows: int) -> DataFrame:
+    """Large buckets as pairs of blocks of half the bound: any two fingerprints meet in one."""
+    blocks = F.ceil(F.col("count") * 2 / bucket_rows)
+    own, other = F.col("own"), F.col("other")
+    return (
+        rows.join(large.select("bucket", blocks.alias("blocks")), "bucket")
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .filter(own != other)
+        .select("fp", F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)).alias("bucket"))
+    )
+
+
+def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS, levels: int = LEVELS) -> DataFrame:
     """``(a, b)``: links that span the components of distinct fingerprints, bucket by bucket."""
     rows = _dealt(nodes.select("fp", F.lit(0).cast("long").alias("bucket")), 0)
-    found = None
-    for level in range(1, LEVELS + 1):
+    dealt = None
+    for level in range(1, levels + 1):
         large = rows.groupBy("bucket").count().filter(F.col("count") > bucket_rows)
-        last = level == LEVELS or large.isEmpty()
-        small = rows if last else rows.join(large, "bucket", "left_anti")
-        part = small.select("bucket", "fp").repartition("bucket").mapInArrow(
-            _forest, "a long, b long"
-        )
-        found = part if found is None else found.unionByName(part)
-        if last:
-            return found
-        rows = _dealt(rows.join(large.select("bucket"), "bucket", "left_semi"), level)
-        rows = rows.distinct()
+        done = large.isEmpty()
+        part = (rows if done else rows.join(large, "bucket", "left_anti")).select("fp", "bucket")
+        dealt = part if dealt is None else dealt.unionByName(part)
+        if done:
+            break
+        if level == levels:
+            dealt = dealt.unionByName(_in_blocks(rows, large, bucket_rows))
+        else:
+            rows = _dealt(rows.join(large.select("bucket"), "bucket", "left_semi"), level)
+            rows = rows.distinct()
+    return (
+        dealt.repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_forest, "a long, b long")
+    )
 
 
 # -- components --------------------------------------------------------------------------------

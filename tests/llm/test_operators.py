@@ -6,13 +6,16 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import removed_bytes
 from loomlog.llm import (
-    decontaminate, kneser_ney, lines, packing, quality, repeats, sharding, simhash, toolcalls, urls,
+    decontaminate, kneser_ney, lines, packing, quality, repeats, sharding, simhash, store,
+    toolcalls, urls,
 )
+from loomlog.llm.flat import worker_cache
 import corpus_pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -357,16 +360,17 @@ def test_gray_rank_orders_neighbours():
     assert (np.bitwise_count(order[1:] ^ order[:-1]) == 1).all()
 
 
-@pytest.mark.parametrize("bucket_rows", [200_000, 20])
-def test_links_lose_nothing(spark, tmp_path, bucket_rows):
-    """Components of clustered codes, also when buckets are dealt again."""
+@pytest.mark.parametrize("bucket_rows, levels", [(200_000, 3), (20, 3), (20, 1), (4, 2)])
+def test_links_lose_nothing(spark, tmp_path, bucket_rows, levels):
+    """Components of clustered codes, also when buckets are dealt again or cut into blocks."""
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     codes = [c ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))))
              for c in centres for _ in range(12)]
     values = np.unique(np.array(codes + [0, 1, 2**64 - 1], np.uint64))
     nodes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    roots = dict(simhash.components(simhash.links(nodes, bucket_rows), f"{tmp_path}/c").collect())
+    found = simhash.links(nodes, bucket_rows, levels)
+    roots = dict(simhash.components(found, f"{tmp_path}/c").collect())
     label = np.arange(len(values))
     near = [np.flatnonzero(np.bitwise_count(values ^ v) <= 4) for v in values]
     for _ in values:
@@ -376,6 +380,18 @@ def test_links_lose_nothing(spark, tmp_path, bucket_rows):
         assert (label[a] == label[b]) == (mine[a] == mine[b])
 
 
+def test_partition_is_cut_between_buckets(monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 5)
+    bucket = np.sort(np.random.default_rng(2).integers(-4, 5, 60))
+    table = pa.table({"bucket": bucket, "fp": np.arange(60)})
+    parts = list(simhash._whole_buckets(table.to_batches(max_chunksize=3)))
+    assert len(parts) > 3
+    assert np.concatenate([p[0] for p in parts]).tolist() == bucket.tolist()
+    assert np.concatenate([p[1] for p in parts]).tolist() == list(range(60))
+    for one, next_one in itertools.pairwise(parts):
+        assert one[0][-1] != next_one[0][0]
+
+
 def test_one_large_component_in_small_steps(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS", 50)
     codes = np.arange(1 << 10, dtype=np.uint64) << np.uint64(3)
@@ -402,3 +418,17 @@ def test_shards_are_contiguous_and_even(spark):
         ids = [r["doc_id"] for r in by[k]]
         assert min(ids) >= last
         last = max(ids)
+
+
+# -- arrays in the shared folder ---------------------------------------------------------------
+
+
+def test_worker_keeps_few_arrays(tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_MAPPED", 2)
+    folder = f"file://{tmp_path}/arrays"
+    arrays = [np.arange(k, dtype=np.int64) for k in range(5)]
+    for k, array in enumerate(arrays):
+        store.put(folder, str(k), array)
+    for k in (0, 1, 2, 3, 4, 0, 3, 3):
+        assert store.get(folder, str(k), np.int64).tolist() == arrays[k].tolist()
+        assert len(worker_cache()["mapped"]) <= 2
