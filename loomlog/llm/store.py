@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -11,6 +12,10 @@ import pyarrow.fs
 
 from loomlog.llm.flat import worker_cache
 
+# arrays that a worker keeps: mapped ones by their number, as a process may map only so many
+# files, and read ones by their bytes
+MOST_MAPPED, MOST_READ = 16_384, 512 << 20
+
 
 def _local(uri: str) -> str | None:
     """The path of a file system that is mounted on all machines, else None."""
@@ -35,18 +40,24 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 def get(folder: str, name: str, dtype) -> np.ndarray:
     """An array by its name: memory-mapped where the folder is mounted, else read.
 
-    Kept by the worker, so that each file is opened once.
+    The worker keeps those used last, so that most files are opened once.
     """
-    held = worker_cache()
+    path = _local(folder)
+    held = worker_cache().setdefault("mapped" if path else "read", OrderedDict())
     key = (folder, name)
     if key not in held:
-        path = _local(folder)
         if path is None:
             fs, path = pyarrow.fs.FileSystem.from_uri(folder)
             with fs.open_input_file(f"{path}/{name}") as file:
                 held[key] = np.frombuffer(file.read(), dtype)
+            size = sum(array.nbytes for array in held.values())
+            while size > MOST_READ and len(held) > 1:
+                size -= held.popitem(last=False)[1].nbytes
         elif os.path.getsize(f"{path}/{name}") == 0:
             held[key] = np.zeros(0, dtype)
         else:
             held[key] = np.memmap(f"{path}/{name}", dtype, "r")
+        if len(held) > MOST_MAPPED:
+            held.popitem(last=False)
+    held.move_to_end(key)
     return held[key]
