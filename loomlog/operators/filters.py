@@ -181,7 +181,7 @@ def build_spec(
     if isinstance(exclude_regex, str):
         exclude_regex = map(str.strip, exclude_regex.split(","))
     return FilterSpec(
-        min_level=_level(min_level), max_level=max_level, sources=frozenset(sources or ()),
+        min_level=_level(min_level), max_level=_level(max_level), sources=frozenset(sources or ()),
         include=_words(include), exclude=_words(exclude),
         exclude_regex=tuple(_checked(p) for p in exclude_regex or () if p),
         error_only=error_only, search=_words(search),

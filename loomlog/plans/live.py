@@ -102,7 +102,7 @@ def live_diagnoses(spark, sf_dir):
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/diagnoses").select(
         "line_number", "rule_id", "summary", "confidence",
-        F.size("related_entries").between(1, 12).alias("has_context"),
+        F.md5(F.array_join("related_entries", "\n")).alias("related_md5"),
     )
 
 
@@ -125,10 +125,12 @@ seconds AS (SELECT * FROM open_seconds WHERE {_CLOSED})""")),
         """SELECT line_number, level_name FROM entries
 WHERE level >= 40 AND contains(lower(raw), 'status')""")),
     "live_diagnoses": (live_diagnoses, f"""WITH {sql.LINES},{sql.entries()},
-hit AS MATERIALIZED (SELECT *, {sql.rule_hits('raw')} AS hits FROM entries WHERE is_error)
+near AS MATERIALIZED (SELECT *, list(raw) OVER (PARTITION BY file ORDER BY line_number
+  ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS context FROM entries),
+hit AS MATERIALIZED (SELECT *, {sql.rule_hits('raw')} AS hits FROM near WHERE is_error)
 SELECT line_number, hits[1].rule_id AS rule_id,
   CASE WHEN len(hits) = 0 THEN left(array_to_string(string_split(trim(raw), ' ')[1:6], ' '), 80)
     ELSE {sql.rule_field('hits[1].rule_id', 'title')} END AS summary,
   coalesce({sql.rule_field('hits[1].rule_id', 'confidence')}, 'low') AS confidence,
-  true AS has_context FROM hit"""),
+  md5(array_to_string(context[1:12], chr(10))) AS related_md5 FROM hit"""),
 }

@@ -10,7 +10,7 @@ from loomlog.operators.filters import add_search_spans, apply_filters, build_spe
 from loomlog.operators.order import last_rows, with_context
 from loomlog.plans import check_base as sql
 from loomlog.plans.parsing import parsed, placed_entries
-from loomlog.sources.tables import as_of, log_lines, table
+from loomlog.sources.tables import SECOND_SQL, as_of, log_lines, table
 
 _NARROW = ("line_number", "source", "raw", "level", "level_name", "is_error")
 
@@ -26,6 +26,31 @@ def _filtered(condition, **spec):
     )
 
 
+_DESCRIBED = (  # a filter, its words, and its condition in SQL
+    ({}, "no filters (showing everything)", "true"),
+    ({"min_level": "ERROR", "include": "redis"}, "level >= ERROR; contains all of [redis]",
+     "level >= 40 AND contains(lower(raw), 'redis')"),
+    ({"max_level": "INFO", "exclude": "status,job"}, "level <= INFO; excludes [status, job]",
+     "level <= 20 AND NOT contains(lower(raw), 'status') AND NOT contains(lower(raw), 'job')"),
+    ({"error_only": True, "exclude_regex": "time(d )?out"},
+     "errors only; 1 regex exclude(s)",
+     "level >= 40 AND NOT regexp_matches(raw, 'time(d )?out', 'i')"),
+    ({"search": "disk"}, "highlighting [disk]", "true"),
+)
+
+
+def described_filters(spark, sf_dir):
+    """Filters in words with the number of lines that pass each, counted in one pass."""
+    entries = parsed(spark, sf_dir, "source", "raw", "level")
+    counted = []
+    for given, _, _ in _DESCRIBED:
+        spec = build_spec(**given)
+        passed = spec.condition()
+        count = F.count("*") if passed is None else F.count_if(passed)
+        counted.append(F.struct(F.lit(spec.describe()).alias("filter"), count.alias("cnt")))
+    return entries.agg(F.array(*counted).alias("all")).select(F.inline("all"))
+
+
 # -- search spans -----------------------------------------------------------------------------
 
 
@@ -116,6 +141,13 @@ def duration_percentiles(spark, sf_dir):
     return found.withColumn("value", F.round("value", 6))
 
 
+def epoch_percentiles(spark, sf_dir):
+    """Percentiles of values that lie very close to each other for their size."""
+    seconds = table(spark, sf_dir, "events").selectExpr(f"{SECOND_SQL} AS sec")
+    found = stats.exact_percentiles(seconds, "sec", (1, 25, 50, 75, 99))
+    return found.withColumn("value", F.round("value", 3))
+
+
 def value_percentiles(spark, sf_dir):
     found = stats.exact_percentiles(
         table(spark, sf_dir, "events"), "value", (1, 25, 50, 75, 95), by=["event_type"]
@@ -337,6 +369,9 @@ QUERIES = {
     "filtered_documents": (filtered_documents, """SELECT doc_id, lang FROM documents
 WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')
   AND NOT contains(lower(text), 'license')"""),
+    "described_filters": (described_filters, sql.with_entries(" UNION ALL ".join(
+        f"SELECT {sql.q(words)} AS filter, count(*) AS cnt FROM entries WHERE {condition}"
+        for _, words, condition in _DESCRIBED))),
     "search_spans": (search_spans, _search_spans_check()),
     "document_spans": (document_spans, _document_spans_check()),
     "totals": (totals, sql.with_entries("""SELECT count(*) AS total_lines,
@@ -394,6 +429,10 @@ WHERE duration_ms IS NOT NULL GROUP BY p""").replace(
             "CASE p WHEN 0 THEN quantile_cont(duration_ms, 0.0) WHEN 50 THEN quantile_cont(duration_ms, 0.5) "
             "WHEN 90 THEN quantile_cont(duration_ms, 0.9) WHEN 99 THEN quantile_cont(duration_ms, 0.99) "
             "WHEN 99.9 THEN quantile_cont(duration_ms, 0.999) ELSE quantile_cont(duration_ms, 1.0) END")),
+    "epoch_percentiles": (epoch_percentiles, " UNION ALL ".join(
+        f"""SELECT {float(p)}::DOUBLE AS percent,
+  round(quantile_cont(CAST({SECOND_SQL} AS DOUBLE), {p / 100}), 3) AS value FROM events"""
+        for p in (1, 25, 50, 75, 99))),
     "value_percentiles": (value_percentiles, " UNION ALL ".join(
         f"""SELECT event_type, {float(p)}::DOUBLE AS percent,
   round(quantile_cont(value, {p / 100}), 6) AS value FROM events GROUP BY event_type"""

@@ -246,16 +246,17 @@ def start_diagnosis(
 
     Each batch is first written to the entries table, under its own number. A batch that is
     run again after a failure replaces what it wrote before, and the diagnosis reads a fixed
-    table instead of parsing the lines once per use. The last ``half`` lines of each source are
+    table instead of parsing the lines once per use. The last ``half`` lines of each log are
     kept beside the entries, so an error at the head of a batch sees the lines before it. All
     lines of a landing folder are one log: give ``lines`` a ``source`` that lasts over segments.
+    A line may name another source; ``log`` keeps the one it was landed with.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = f"{entries_path}/batch_id={batch_id}"
         tails = f"{entries_path}_tails/batch_id="
-        parsed = parse_logs(batch, as_of=as_of)
+        parsed = parse_logs(batch.withColumn("log", F.col("source")), as_of=as_of)
         numbered = parsed.withColumn("arrival", F.monotonically_increasing_id())
         numbered.write.mode("overwrite").parquet(part)
         entries = spark.read.parquet(part).withColumn("_new", F.lit(True))
@@ -265,14 +266,14 @@ def start_diagnosis(
             before = entries.limit(0)  # the first batch
         entries = before.withColumn("_new", F.lit(False)).unionByName(entries)
         errors = with_context(
-            entries, F.col("is_error") & F.col("_new"), half, order="arrival"
+            entries, F.col("is_error") & F.col("_new"), half, order="arrival", groups=["log"]
         ).drop("_new")
         diagnose(errors, context="context").write.mode("overwrite").parquet(
             f"{diagnoses_path}/batch_id={batch_id}"
         )
         # numbered below zero, ahead of the next batch
-        last = last_rows(entries, half, "arrival", ["source"])
-        newest = Window.partitionBy("source").orderBy(F.desc("arrival"))
+        last = last_rows(entries, half, "arrival", ["log"])
+        newest = Window.partitionBy("log").orderBy(F.desc("arrival"))
         last.withColumn("arrival", -F.row_number().over(newest).cast("bigint")).write.mode(
             "overwrite"
         ).parquet(f"{tails}{batch_id}")

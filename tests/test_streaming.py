@@ -115,6 +115,7 @@ def test_context_reaches_into_earlier_batches(spark, tmp_path):
     schema = "raw string, source string, line_number bigint"
     folder = str(tmp_path / "in")
     lines = [f"INFO step {k} of the job" for k in range(9)] + ["ERROR disk is full: no space left"]
+    lines[4] = '{"level": "info", "source": "another", "msg": "a line with a source of its own"}'
     for part in (lines[:3], lines[3:9], lines[9:]):
         rows = [(text, "job.log", 0) for text in part]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
