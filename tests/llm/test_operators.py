@@ -351,6 +351,50 @@ def test_transcripts_in_json(spark):
     assert out["p"]["status"] == "linked" and out["q"]["level"] == 1 and out["q"]["errors"] == ""
 
 
+# -- near duplicates ---------------------------------------------------------------------------
+
+
+def near_rows():
+    """Texts with chains of near copies, repeated ids with different texts and null ids."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    out = []
+    for _ in range(80):
+        words = [word() for _ in range(rng.choice([1, 4, 6, 60, 150]))]
+        for _ in range(rng.randrange(1, 6)):
+            out.append((rng.choice([None, 7, 1000 + len(out)]), " ".join(words)))
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = word()
+    return out
+
+
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("bucket_rows", [2000, 4])
+def test_near_dedup_as_by_brute_force(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(corpus_pipeline.near.first_rows, "__defaults__", (bucket_rows,))
+    rows = near_rows()
+    sets = [shingles_of(t) for _, t in rows]
+    label = list(range(len(rows)))
+    n_links = 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            n_links += sets[a] != sets[b]
+            old, new = label[b], label[a]
+            label = [new if x == old else x for x in label]
+    assert n_links > 20
+    groups = collections.defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[label[k]].append((i is None, i or 0, k))
+    want = collections.Counter(rows[min(g)[2]] for g in groups.values())
+    docs = documents(spark, rows, clash=False).coalesce(1)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 
