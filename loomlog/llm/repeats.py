@@ -9,6 +9,8 @@ window, as far as ``LENGTH``, is the match with the next window before or after
 order whose text position is smaller. With ``keep_first`` windows with an earlier match are
 removed; else all that have a match anywhere, as the query asks.
 
+Rows are numbered in a written table, as ids may be null or repeated.
+
 Defined cases: a null or empty text, or one below ``LENGTH`` bytes, loses nothing. Repeated
 rows match each other, so with ``keep_first`` rows of equal id and text are judged as one.
 Matches never cross documents. Texts stay whole: a cut text whose bytes end within a code
@@ -36,15 +38,15 @@ SLAB = 100_000
 _NONE = ~np.uint64(0)
 # windows of a stretch that travel together when bytes are compared
 CLASS = 32
-# a place packs 18 bits of the text's checksum, 31 of the first window's start, 7 of the way from
-# there to the anchor and 7 of the number of windows
+# a place packs 31 bits of the first window's start, 7 of the way from there to the anchor and 7
+# of the number of windows
 _COUNT_BITS, _START_BITS = 7, 31
-_START_AT, _CHECK_AT = 2 * _COUNT_BITS, 2 * _COUNT_BITS + _START_BITS
+_START_AT = 2 * _COUNT_BITS
 _MARK = "id long, place long"
 
 
-def pack_place(check, start, count, back=0) -> np.ndarray:
-    return (check << _CHECK_AT) | (start << _START_AT) | (back << _COUNT_BITS) | count
+def pack_place(start, count, back=0) -> np.ndarray:
+    return (start << _START_AT) | (back << _COUNT_BITS) | count
 
 
 def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,13 +133,12 @@ def _anchors(keep_first: bool):
             for piece in pieces(batch):
                 data, offsets = flat(piece.column("text"))
                 row, anchor, stretch, first, count, back = anchors(data, offsets)
-                check = piece.column("check").to_numpy()[row]
                 held.append(
                     (
                         anchor.view(np.int64),
                         stretch.view(np.int64),
                         piece.column("id").to_numpy()[row],
-                        pack_place(check, first - offsets[row], count, back),
+                        pack_place(first - offsets[row], count, back),
                     )
                 )
                 size += len(row)
@@ -228,7 +229,7 @@ def _snippets(batches):
                         "deal": pa.array(deal.view(np.int64)),
                         "id": pa.array(ids[at]),
                         "place": pa.array(
-                            pack_place(place[at] >> _CHECK_AT, begin - offsets[row[at]], windows)
+                            pack_place(begin - offsets[row[at]], windows)
                         ),
                         "bytes": pa.array(
                             [
@@ -301,8 +302,7 @@ def _match(keep_first: bool):
             position = rank[owner] * 128 + inner
             hit = suffix_matches(every[window], position, keep_first)
             own, at = owner[hit], inner[hit]
-            check = place[own] >> _CHECK_AT
-            yield _runs(ids[own], pack_place(check, start[own] + at, 1))
+            yield _runs(ids[own], pack_place(start[own] + at, 1))
 
     return run
 
@@ -368,33 +368,54 @@ def _cut(texts: bool):
     return run
 
 
+def _in_order(own: DataFrame, folder: str) -> DataFrame:
+    """Rows numbered in order of their ids and digests; rows of equal id and text share a number."""
+    spark = own.sparkSession
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    own.select("id", "doc_id", digest).write.parquet(f"{folder}/digests")
+    slim = spark.read.parquet(f"{folder}/digests")
+    # the ids of a range are above those of the ranges before it
+    slim.select("doc_id", "digest").distinct().repartitionByRange(
+        "doc_id", "digest"
+    ).sortWithinPartitions("doc_id", "digest").withColumn(
+        "number", F.monotonically_increasing_id()
+    ).write.parquet(f"{folder}/order")
+    order = spark.read.parquet(f"{folder}/order").withColumnRenamed("doc_id", "of")
+    numbers = slim.join(
+        order.withColumnRenamed("digest", "with"),
+        F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with")),
+    ).select("id", "number")
+    return own.join(numbers, "id").select("doc_id", "text", F.col("number").alias("id"))
+
+
 def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True) -> DataFrame:
     """Bytes removed from every document, the digest of the rest and, if wanted, the rest.
 
-    ``doc_id`` is a whole number; the order of documents is that of their ids.
+    The order of documents is that of their ids, of one id that of the texts' digests. Every row
+    is a document of its own.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    own = docs.select(
+    docs.select(
         "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("check", F.crc32("text").bitwiseAND(F.lit((1 << 18) - 1)))
-    spread = own.filter(F.octet_length("text") >= LENGTH).select("id", "check", "text")
+        F.monotonically_increasing_id().alias("id"),
+    ).write.option("compression", "zstd").parquet(f"{folder}/rows")
+    own = spark.read.parquet(f"{folder}/rows")
+    if keep_first:
+        own = _in_order(own, folder)
+    spread = own.filter(F.octet_length("text") >= LENGTH).select("id", "text")
     parts = ", ".join(f"{name} {kind}" for name, kind in _PARTS.items())
     spread.mapInArrow(_anchors(keep_first), parts).repartition("deal").mapInArrow(
         _settle(keep_first), f"{_MARK}, settled boolean, asked boolean"
     ).write.parquet(f"{folder}/anchors")
     seen = spark.read.parquet(f"{folder}/anchors")
 
-    check = F.shiftright("place", _CHECK_AT)
-    asked = (
-        seen.filter("asked")
-        .groupBy("id", check.alias("check"))
-        .agg(F.collect_list("place").alias("wanted"))
-    )
-    # rows of equal id and text are the same to the match, and settled by hash already
-    once = spread.join(asked, ["id", "check"]).dropDuplicates(["id", "check"])
+    asked = seen.filter("asked").groupBy("id").agg(F.collect_list("place").alias("wanted"))
+    # rows of one number are the same to the match, and settled by hash already
+    once = spread.join(asked, "id")
+    if keep_first:
+        once = once.dropDuplicates(["id"])
     matched = (
         once.select("id", "text", "wanted")
         .mapInArrow(_snippets, f"deal long, {_MARK}, bytes binary")
@@ -405,11 +426,11 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True)
         seen.filter("settled")
         .select("id", "place")
         .unionByName(matched)
-        .groupBy("id", check.alias("check"))
+        .groupBy("id")
         .agg(F.collect_list("place").alias("marks"))
     )
     return (
-        own.join(marks, ["id", "check"], "left")
+        own.join(marks, "id", "left")
         .select("doc_id", "text", F.coalesce("marks", F.array().cast("array<long>")).alias("marks"))
         .mapInArrow(
             _cut(texts),

@@ -1,9 +1,11 @@
 """Defined cases and general interfaces of the operators, on small fixtures."""
 
 import collections
+import hashlib
 import itertools
 import json
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +290,29 @@ def test_repeated_rows_keep_one(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 0), (1, 0), (2, 600)]
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats_in_rows_of_one_id(spark, keep_first):
+    """Different texts of one id, also null, whose checksums end alike."""
+    rng = random.Random(4)
+    seen, pair = {}, None
+    while pair is None:
+        text = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([320, 700])))
+        low = zlib.crc32(text.encode()) & ((1 << 18) - 1)
+        other = seen.setdefault(low, text)
+        if len(other) > len(text):
+            pair = other, text
+    long, short = pair
+    texts = [long, short, "x" + long[300:] + "y" * 9, "z" + short[40:300] + "w", long[350:600]]
+    texts.sort(key=lambda t: hashlib.sha256(t.encode()).digest())
+    data, gone = removed_bytes(texts, keep_first)
+    want = [bytes(np.frombuffer(b, np.uint8)[~g]).decode() for b, g in zip(data, gone)]
+    for same in (None, 5):
+        docs = documents(spark, [(same, t) for t in texts], clash=False)
+        out = repeats.remove_repeats(docs, keep_first).collect()
+        assert sorted(r["kept_text"] for r in out) == sorted(want)
+        assert all(r["doc_id"] == same for r in out)
+
+
 def test_slabs_split_by_hash(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLAB", 16)
     test_repeats_as_by_brute_force(spark, False)
