@@ -420,6 +420,19 @@ def test_near_dedup_as_by_brute_force(spark, monkeypatch, bucket_rows):
     assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
 
 
+def test_near_dedup_keeps_texts_of_one_id_and_drops_copies_without_one(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(40))
+    apart = [text() for _ in range(30)]
+    copied = text()
+    rows = [(5, t) for t in apart]
+    rows += [(None, copied + f" tail{k}") for k in range(4)] + [(9, copied), (3, copied + " end")]
+    out = corpus_pipeline.near_dedup(spark, documents(spark, rows, clash=False), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted(
+        [(5, t) for t in apart] + [(3, copied + " end")]
+    )
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 
