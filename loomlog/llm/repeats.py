@@ -4,10 +4,10 @@ A string counts when it has at least ``LENGTH`` bytes. Every such window holds a
 place of the smallest hash of ``GRAM`` bytes in it, and equal windows have equal anchors.
 Anchors with the stretch of windows they stand for are combined in each task, then shuffled by hash. Anchors seen once end
 there; equal stretches are settled by their hash; only unequal stretches around one anchor have
-their bytes fetched and their windows put in suffix order. The longest previous factor of a
-window, as far as ``LENGTH``, is the match with the next window before or after it in that
-order whose text position is smaller. With ``keep_first`` windows with an earlier match are
-removed; else all that have a match anywhere, as the query asks.
+their bytes fetched and their windows put in suffix order, where a window is compared with the
+next one before or after it for equality over ``LENGTH`` bytes. Lengths of longest previous
+factors are not computed. With ``keep_first`` windows with an earlier match are removed; else
+all that have a match anywhere, as the query asks.
 
 Rows are numbered in a written table, as ids may be null or repeated.
 
