@@ -42,14 +42,18 @@ def spike_rule(rate: Column, errors: Column, baseline: Column) -> Column:
 
 
 def spike_ticks(
-    seconds: DataFrame, keys: Sequence[str] = (), chunk_ticks: int = CHUNK_TICKS
+    seconds: DataFrame,
+    keys: Sequence[str] = (),
+    chunk_ticks: int = CHUNK_TICKS,
+    memory_ticks: int = MEMORY_TICKS,
 ) -> DataFrame:
     """One row per tick with an error in its last minute, from ``(keys, sec, n, err)``.
 
     Ticks lie every five seconds after a key's first second. In silent ticks the rate is zero
     and the baseline only falls back towards its floor, by a fixed factor each; they are not
     rows, so the result grows with the errors and not with the clock. ``baseline`` is the one
-    the tick is judged by, ``next_baseline`` the one it leaves.
+    the tick is judged by, ``next_baseline`` the one it leaves. Chunks that end more than
+    ``memory_ticks`` before a chunk begins have no part in it.
     """
     start = seconds.groupBy(*keys).agg(
         F.min("sec").alias("_start"), F.max("sec").alias("_end")
@@ -101,7 +105,7 @@ def spike_ticks(
         (F.sum("_lifted") * KEEP**chunk_ticks).alias("_push"), F.sum("_new").alias("_errors_in")
     )
     order = Window.partitionBy(*keys).orderBy("_chunk")
-    memory = math.ceil(MEMORY_TICKS / chunk_ticks)
+    memory = math.ceil(memory_ticks / chunk_ticks)
     earlier = F.collect_list(F.struct("_chunk", "_push")).over(order.rangeBetween(-memory, -1))
     factor = F.lit(KEEP**chunk_ticks)
     carried = ends.select(

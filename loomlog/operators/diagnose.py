@@ -132,13 +132,15 @@ def generic_title(text: Column) -> Column:
     return F.coalesce(empty_to_null(title), F.lit(fixed.UNTITLED))
 
 
-def salient(context: str) -> Column:
+def salient(
+    context: str, lines: int = fixed.SALIENT_LINES, chars: int = fixed.SALIENT_CHARS
+) -> Column:
     """The last few context lines that speak of errors, shortened."""
     pattern = quoted(regex(fixed.SALIENT_PATTERN, ignore_case=True))
     return F.expr(f"""transform(
         reverse(slice(reverse(filter({context}, c -> c RLIKE {pattern})),
-                      1, {fixed.SALIENT_LINES})),
-        c -> substring(c, 1, {fixed.SALIENT_CHARS}))""")
+                      1, {lines})),
+        c -> substring(c, 1, {chars}))""")
 
 
 def worst_severity(steps: str) -> Column:
@@ -179,10 +181,14 @@ def diagnose(
     text: str = "raw",
     context: str | None = None,
     rules: Sequence[Rule] = RULES,
+    salient_lines: int = fixed.SALIENT_LINES,
+    salient_chars: int = fixed.SALIENT_CHARS,
+    evidence_kept: int = fixed.EVIDENCE_KEPT,
 ) -> DataFrame:
     """The diagnosis of each row's text.
 
-    ``context`` names a column with the surrounding lines. Adds ``rule_id, hits, category,
+    ``salient_lines`` of the context, ``salient_chars`` of each, are evidence; ``evidence_kept``
+    is how many pieces of it a matched row has. ``context`` names a column with the surrounding lines. Adds ``rule_id, hits, category,
     summary, root_cause, confidence, provider, evidence, recommendations, prevention, docs,
     severity, related_entries``.
     """
@@ -191,7 +197,7 @@ def diagnose(
         "_lines": lines, "_lowered": F.lower(F.col(text)),
     })
     ruled = ruled.withColumns({
-        "_step_severity": infer_severity("_lowered"), "_salient": salient("_lines"),
+        "_step_severity": infer_severity("_lowered"), "_salient": salient("_lines", salient_lines, salient_chars),
     })
     steps = F.expr(f"""CASE WHEN rule_id IS NULL THEN {_unmatched_steps()} ELSE concat(
         transform(checks, c -> struct(c.title AS title, c.description AS description,
@@ -205,7 +211,7 @@ def diagnose(
             transform(hits, (h, i) -> concat(
                 CASE WHEN i = 0 THEN 'Matched rule \\'' ELSE 'Secondary match \\'' END,
                 h.rule_id, '\\' on: ', h.matched)),
-            _salient), 1, {fixed.EVIDENCE_KEPT}) END""")
+            _salient), 1, {evidence_kept}) END""")
     matched = F.col("rule_id").isNotNull()
     done = ruled.withColumn("recommendations", steps)
     return done.select(
@@ -240,8 +246,8 @@ def prevention_table(diagnosed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, (F.col("_at") + 1).alias("hint_no"), "hint")
 
 
-def diagnosis_text(elapsed_ms: int = 0) -> Column:
-    """A diagnosis as a block of text."""
+def diagnosis_text(elapsed_ms: int = 0, evidence_lines: int = 6) -> Column:
+    """A diagnosis as a block of text, with so many lines of evidence."""
 
     def section(title: str, lines: str) -> str:
         return f"""CASE WHEN size({lines}) > 0
@@ -256,14 +262,18 @@ def diagnosis_text(elapsed_ms: int = 0) -> Column:
         array(concat('[', upper(confidence), '] ', summary),
               concat('Source: ', provider, ' ({elapsed_ms} ms)'),
               concat('Root cause: ', root_cause)),
-        {section('Evidence:', bullets.format('slice(evidence, 1, 6)'))},
+        {section('Evidence:', bullets.format(f'slice(evidence, 1, {evidence_lines})'))},
         {section('Next steps:', steps)},
         {section('Prevention:', bullets.format('prevention'))},
         {section('References:', bullets.format('docs'))}), '\\n')""")
 
 
 def with_prompt(
-    df: DataFrame, text: str = "raw", context: str | None = None, rules: Sequence[Rule] = RULES
+    df: DataFrame,
+    text: str = "raw",
+    context: str | None = None,
+    rules: Sequence[Rule] = RULES,
+    prompt_chars: int = fixed.PROMPT_CHARS,
 ) -> DataFrame:
     """Add the ``prompt`` that asks for a second opinion on each row's text."""
     found = match_rules(df, text, rules, name="_hits")
@@ -279,7 +289,7 @@ def with_prompt(
                 '\\' -> ', try_element_at(map({causes}), h.rule_id))))
             ELSE CAST(array() AS array<string>) END), '\\n')""")
     return found.select(
-        *df.columns, F.substring(prompt, 1, fixed.PROMPT_CHARS).alias("prompt")
+        *df.columns, F.substring(prompt, 1, prompt_chars).alias("prompt")
     )
 
 

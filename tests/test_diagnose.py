@@ -70,6 +70,18 @@ def test_context_becomes_evidence(lines):
     assert row.related_entries[0] == "INFO opening the ledger"
 
 
+def test_sizes_of_cuts_are_arguments(lines):
+    context = F.array(*(F.lit(f"line {k} failed " + "y" * 300) for k in range(9)))
+    df = lines("ERROR Transaction failed " + "z" * 7000).withColumn("ctx", context)
+    (row,) = ops.diagnose(
+        df, context="ctx", salient_lines=9, salient_chars=1000, evidence_kept=100
+    ).select("evidence", ops.diagnosis_text(evidence_lines=100).alias("t")).collect()
+    whole = [f"line {k} failed " + "y" * 300 for k in range(9)]
+    assert row.evidence[-9:] == whole and all(line in row.t for line in whole)
+    (row,) = ops.with_prompt(df, context="ctx", prompt_chars=1_000_000).collect()
+    assert "z" * 7000 in row.prompt and all(line in row.prompt for line in whole)
+
+
 def test_severity_tiers(spark):
     texts = {"a PANIC": "critical", "an error": "high", "code 4": "medium", "calm": "low"}
     df = spark.createDataFrame([(t, t.lower()) for t in texts], "t string, low string")
