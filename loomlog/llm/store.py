@@ -57,7 +57,7 @@ def get(folder: str, name: str, dtype) -> np.ndarray:
             held[key] = np.zeros(0, dtype)
         else:
             held[key] = np.memmap(f"{path}/{name}", dtype, "r")
-        if len(held) > MOST_MAPPED:
+        while len(held) > MOST_MAPPED:
             held.popitem(last=False)
     held.move_to_end(key)
     return held[key]

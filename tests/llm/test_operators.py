@@ -507,6 +507,7 @@ def test_shards_are_contiguous_and_even(spark):
 
 def test_worker_keeps_few_arrays(tmp_path, monkeypatch):
     monkeypatch.setattr(store, "MOST_MAPPED", 2)
+    monkeypatch.setitem(worker_cache(), "mapped", collections.OrderedDict())
     folder = f"file://{tmp_path}/arrays"
     arrays = [np.arange(k, dtype=np.int64) for k in range(5)]
     for k, array in enumerate(arrays):
