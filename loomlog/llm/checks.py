@@ -180,10 +180,49 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
 FROM cut
 """
 
+_DIVERGENCE = rf"""
+WITH named AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
+         translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+worded AS (
+  SELECT lang, source, k,
+         unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM named),
+kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM worded GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+counted AS (
+  SELECT lang, source, term, count(*) AS n FROM worded JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (
+  SELECT lang, sum(lang_n)::HUGEINT AS lang_total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM named) LEFT JOIN counted USING (lang, source)
+  GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         CAST(1 + 1000000000 * (coalesce(n, 0) + 5)::HUGEINT // (total + 5 * v) AS BIGINT) AS p,
+         CAST(1 + 1000000000 * (lang_n + 5)::HUGEINT // (lang_total + 5 * v) AS BIGINT) AS q
+  FROM groups JOIN langs USING (lang) JOIN kept USING (lang)
+  LEFT JOIN counted USING (lang, source, term)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON a.lang = x.lang AND a.source = x.source
+  LEFT JOIN shares y ON b.lang = y.lang AND b.source = y.source AND x.term = y.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL
+  GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part
+                                   ORDER BY value DESC, item) AS k FROM found)
+WHERE part = 'pair' OR k <= 50
+"""
+
 CHECKS: dict[str, str] = {
     "op2_url_filters": _URLS,
     "op4_decontamination": _CONTAMINATION,
     "op6_line_dedup": _LINES,
     "op8_tool_calls": _CALLS,
     "op10_sharding": _SHARDS,
+    "op12_source_divergence": _DIVERGENCE,
 }

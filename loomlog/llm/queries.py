@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from loomlog.llm import (
-    decontaminate, kneser_ney, lines, packing, quality, repeats, sharding, simhash, toolcalls, urls,
+    checks, decontaminate, divergence, kneser_ney, lines, packing, quality, repeats, sharding, simhash,
+    toolcalls, urls,
 )
-from loomlog.llm import checks
 
 
 def _table(spark, sf_dir, name):
@@ -60,10 +60,14 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: (f, checks.CHECKS.get(f.__name__))
     for f in (
         op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_decontamination, op5_packing,
-        op6_line_dedup, op7_suffix_dedup, op8_tool_calls, op9_simhash, op10_sharding,
+        op6_line_dedup, op7_suffix_dedup, op8_tool_calls, op9_simhash, op10_sharding, op12_source_divergence,
     )
 }
