@@ -154,13 +154,15 @@ SELECT conv_id, call_id, name, position, level, status,
 FROM joined
 """
 
-_SHARDS = r"""
-WITH polynomial AS (
+_POLYNOMIAL = r"""polynomial AS (
   SELECT list(c ORDER BY i) AS t FROM (
     SELECT i, list_reduce([i] || range(8),
              lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
     FROM (SELECT unnest(range(256)) AS i))),
-bytes AS (
+"""
+
+_SHARDS = rf"""
+WITH {_POLYNOMIAL}bytes AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
   FROM documents),
 sized AS (
@@ -180,6 +182,62 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
 FROM cut
 """
 
+_MANIFEST = rf"""
+WITH RECURSIVE {_POLYNOMIAL}
+named AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, source, lang, n_chars, text,
+         xor(list_reduce([4294967295] || list_transform(
+               regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+               lambda x: CAST('0x' || x AS BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, polynomial),
+leaves AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS slot,
+         count(*) OVER (PARTITION BY g) AS n,
+         sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen((n_chars + k)::VARCHAR) || ':' || (n_chars + k), '-') || tail)
+           AS changed
+  FROM (SELECT *, CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS k,
+               strlen(doc_id::VARCHAR) || ':' || doc_id
+                 || coalesce(strlen(source) || ':' || source, '-')
+                 || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+               coalesce(strlen(text) || ':' || text, '-') AS tail FROM named)),
+nodes AS (
+  SELECT g, 0 AS level, slot, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY g, level, slot // 2, n),
+tops AS (
+  SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS slot, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS level, slot, subroot AS node, n FROM tops
+  UNION ALL
+  SELECT level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), (n + 1) // 2
+  FROM upper_nodes WHERE n > 1 GROUP BY level, slot // 2, n),
+sides AS (
+  SELECT l.doc_id, v.level, CASE WHEN (l.slot >> v.level) & 1 = 1 THEN 'L' ELSE 'R' END
+           || coalesce(s.node, '') AS side
+  FROM leaves l JOIN (SELECT DISTINCT g, level FROM nodes WHERE n > 1) v ON v.g = l.g
+  LEFT JOIN nodes s ON s.g = l.g AND s.level = v.level AND s.slot = xor(l.slot >> v.level, 1)
+  UNION ALL
+  SELECT l.doc_id, 1000 + v.level, CASE WHEN (t.slot >> v.level) & 1 = 1 THEN 'L' ELSE 'R' END
+           || coalesce(s.node, '')
+  FROM leaves l JOIN tops t ON t.g = l.g
+  JOIN (SELECT DISTINCT level FROM upper_nodes WHERE n > 1) v ON true
+  LEFT JOIN upper_nodes s ON s.level = v.level AND s.slot = xor(t.slot >> v.level, 1)),
+paths AS (
+  SELECT doc_id, list(side ORDER BY level) AS path,
+         string_agg(substr(side, 2), '' ORDER BY level) AS proof FROM sides GROUP BY doc_id),
+folded AS (
+  SELECT l.doc_id, l.leaf, t.subroot, (SELECT node FROM upper_nodes WHERE n = 1) AS root,
+         sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce([changed] || coalesce(path, []), lambda a, x: CASE WHEN x[1] = 'L'
+           THEN sha256(substr(x, 2) || a) ELSE sha256(a || substr(x, 2)) END) AS folded_root
+  FROM leaves l JOIN tops t USING (g) LEFT JOIN paths USING (doc_id))
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 _DIVERGENCE = rf"""
 WITH named AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
@@ -224,5 +282,6 @@ CHECKS: dict[str, str] = {
     "op6_line_dedup": _LINES,
     "op8_tool_calls": _CALLS,
     "op10_sharding": _SHARDS,
+    "op11_merkle_manifest": _MANIFEST,
     "op12_source_divergence": _DIVERGENCE,
 }

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from loomlog.llm import (
-    checks, decontaminate, divergence, kneser_ney, lines, packing, quality, repeats, sharding, simhash,
-    toolcalls, urls,
+    checks, decontaminate, divergence, kneser_ney, lines, manifest, packing, quality, repeats, sharding,
+    simhash, toolcalls, urls,
 )
 
 
@@ -60,6 +60,10 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark, sf_dir):
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     f.__name__: (f, checks.CHECKS.get(f.__name__))
     for f in (
         op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_decontamination, op5_packing,
-        op6_line_dedup, op7_suffix_dedup, op8_tool_calls, op9_simhash, op10_sharding, op12_source_divergence,
+        op6_line_dedup, op7_suffix_dedup, op8_tool_calls, op9_simhash, op10_sharding, op11_merkle_manifest,
+        op12_source_divergence,
     )
 }
