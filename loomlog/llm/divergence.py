@@ -220,8 +220,7 @@ def audit(
     )
     # a block of sources without any of the terms still has its smoothed shares
     sizes = (
-        counts.filter("leads = 1")
-        .join(langs, "lang")
+        shares.filter("leads = 1")
         .groupBy("lang", F.pmod(F.xxhash64("term"), blocks).alias("term_block"))
         .agg(F.count("*").alias("terms"))
     )
