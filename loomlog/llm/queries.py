@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomlog.llm import (
     checks, decontaminate, divergence, kneser_ney, lines, manifest, packing, quality, repeats, sharding,
-    simhash, toolcalls, urls,
+    simhash, toolcalls, toxicity, urls,
 )
 
 
@@ -68,11 +68,17 @@ def op12_source_divergence(spark, sf_dir):
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.scored_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES = {
     f.__name__: (f, checks.CHECKS.get(f.__name__))
     for f in (
         op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_decontamination, op5_packing,
         op6_line_dedup, op7_suffix_dedup, op8_tool_calls, op9_simhash, op10_sharding, op11_merkle_manifest,
-        op12_source_divergence,
+        op12_source_divergence, op13_toxicity,
     )
 }
