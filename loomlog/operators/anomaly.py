@@ -32,6 +32,8 @@ KEEP = math.exp(-TICK_SECONDS / BASELINE_TAU)
 # Older ticks weigh less than 1e-17 of the baseline.
 MEMORY_TICKS = 240
 CHUNK_TICKS = 2000
+# seconds a baseline looks back on
+REACH = MEMORY_TICKS * TICK_SECONDS + MINUTE_SPAN
 
 
 def spike_rule(rate: Column, errors: Column, baseline: Column) -> Column:
@@ -41,6 +43,38 @@ def spike_rule(rate: Column, errors: Column, baseline: Column) -> Column:
     )
 
 
+def baseline_at(errors: Column, start: Column, now: Column) -> tuple[Column, Column]:
+    """The baseline that a moment is judged by and the one it leaves, from one row.
+
+    ``errors`` holds ``(sec, err)`` of at least the last ``REACH`` seconds, ``start`` is the first
+    second of the clock. A moment between two ticks moves nothing. The same sum as in
+    ``spike_ticks``, over the ticks of its memory.
+    """
+
+    def rate_at(second: Column) -> Column:
+        inside = F.filter(errors, lambda e: (e["sec"] > second - MINUTE_SPAN) & (e["sec"] <= second))
+        total = F.aggregate(inside, F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e["err"])
+        oldest = F.array_min(F.transform(inside, lambda e: e["sec"]))
+        return total / covered_span(second, oldest, MINUTE_SPAN) * 60
+
+    since = now - start
+    last = F.floor(since / TICK_SECONDS).cast("bigint")
+    at_tick = (last > 0) & (since % TICK_SECONDS == 0)
+    done = last - at_tick.cast("bigint")
+    ticks = F.when(done > 0, F.sequence(F.greatest(F.lit(1), done - MEMORY_TICKS + 1), done)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    pushed = F.aggregate(
+        ticks, F.lit(0.0),
+        lambda sum_, k: sum_ + (1 - KEEP) * F.pow(F.lit(KEEP), done - k)
+        * (F.greatest(rate_at(start + k * TICK_SECONDS), F.lit(OBSERVED_FLOOR)) - OBSERVED_FLOOR),
+    )
+    first = F.pow(F.lit(KEEP), done) * (BASELINE_START - OBSERVED_FLOOR)
+    before = F.coalesce(OBSERVED_FLOOR + first + pushed, F.lit(BASELINE_START))
+    moved = KEEP * before + (1 - KEEP) * F.greatest(rate_at(now), F.lit(OBSERVED_FLOOR))
+    return before, F.when(at_tick, moved).otherwise(before)
+
+
 def spike_ticks(
     seconds: DataFrame,
     keys: Sequence[str] = (),

@@ -7,9 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.fixed.levels import LEVELS
 from loomlog.functions.text import empty_to_null
+from loomlog.operators import anomaly
 from loomlog.operators.order import last_rows
+from loomlog.operators.rates import (
+    ERROR_SPAN,
+    LINE_SPAN,
+    MINUTE_SPAN,
+    SERIES_SECONDS,
+    covered_span,
+    sparkline,
+)
 
 # Report sizes.
 TOP_SOURCES = 10
@@ -20,6 +28,8 @@ LAST_ERRORS = 8
 # ranges of a percentile: each holds about this share of the distinct values
 PERCENTILE_RANGES = 200
 BAR_CELLS = 40
+# shares that names and seconds are first ranked in
+RANK_SHARES = 64
 
 # The place of an entry in the input: decides ties and "first seen".
 ORDER = ("source", "line_number")
@@ -185,15 +195,23 @@ def exact_percentiles(
 
 
 def snapshot(
-    df: DataFrame, as_of: int | None = None, order: Sequence[str] | None = None
+    df: DataFrame,
+    as_of: int | None = None,
+    order: Sequence[str] | None = None,
+    dropped: int | Column = 0,
 ) -> DataFrame:
     """The whole statistics as one row, from one pass over the entries.
 
     Grouping sets count levels, sources, signatures and seconds together, so the entries are
     parsed once and shuffled once, after partial counting. The counts are kept apart by all
-    but the last order column, whose least value is a number: a hash aggregate. Each list is
-    cut to its report size by rank before the one row is built; seconds to the 300 the rates
-    look back on. ``as_of`` defaults to the newest second.
+    but the last order column, whose least value is a number: a hash aggregate. Lists are cut by
+    rank in two steps: names and seconds are dealt into shares by hash, every share keeps its
+    first ones, and only those are ranked together. A share also knows how many it had. Names are
+    cut to the report's size, seconds to what the baseline looks back on. ``as_of`` defaults to the
+    newest second. ``dropped`` is the number of lines that were lost before they were counted
+    (T7), as ``live.lost_lines`` knows it.
+
+    Without entries every count and rate is zero and the baseline is the one to begin with.
     """
     second = F.when(F.col("ts_epoch") > 0, F.floor("ts_epoch").cast("bigint"))
     if as_of is not None:
@@ -228,63 +246,96 @@ def snapshot(
         F.sum("n").alias("n"), F.sum("errors").alias("errors"),
         F.min(F.struct(*at, "last")).alias("seen"),
     )
-    listed = counted.filter(
-        (F.col("kind") == "level") | (F.coalesce("name", F.lit("")) != "")
-        | ((F.col("kind") == "second") & F.col("second").isNotNull())
-    )
-    # the newest seconds, and the most frequent names
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(
-        F.desc("second"), F.desc("n"), F.asc("seen")
-    ))
-    # signatures are counted before the lists are cut
-    signatures = F.count_if(F.col("kind") == "signature").over(Window.partitionBy("kind"))
-    kept = listed.withColumns({"rank": rank, "signatures": signatures}).filter(
-        (F.col("rank") <= 300) | (F.col("kind") == "level")
+    ahead = (F.desc("second"), F.desc("n"), F.asc("seen"))
+    share = Window.partitionBy("kind", "share")
+    # a missing name counts as a source or signature no more than a missing time as a second
+    winners = (
+        counted.filter(
+            (F.col("kind") == "level") | (F.coalesce("name", F.lit("")) != "")
+            | F.col("second").isNotNull()
+        )
+        .withColumn("share", F.pmod(F.xxhash64("name", "second"), F.lit(RANK_SHARES)))
+        .withColumns({
+            "place": F.row_number().over(share.orderBy(*ahead)),
+            "held": F.count("*").over(share),
+            "_start": F.min("second").over(share),
+        })
+        .filter(F.col("place") <= anomaly.REACH)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*ahead)))
     )
     newest = F.max("second").over(Window.partitionBy())
-    kept = kept.withColumn("now", F.lit(as_of) if as_of is not None else newest)
-
-    def picked(test: Column, *fields: Column) -> Column:
-        return F.sort_array(F.collect_list(F.when(test, F.struct("rank", *fields))))
-
-    def named(which: str, limit: int, count: str = "n") -> Column:
-        test = (F.col("kind") == which) & (F.col("rank") <= limit) & (F.col(count) > 0)
-        pairs = F.transform(
-            picked(test, F.col("name"), F.col(count).alias("cnt")),
-            lambda p: F.struct(p["name"].alias("name"), p["cnt"].alias("cnt")),
-        )
-        return pairs
+    now = newest if as_of is None else F.lit(as_of).cast("bigint")
+    row = winners.withColumn("_now", now).agg(*_snapshot_names(), *_snapshot_clock())
+    judged, moved = anomaly.baseline_at(F.col("clock"), F.col("start"), F.col("now"))
+    rate = F.col("error_rate_per_min")
+    return row.withColumns({"judged": judged, "baseline_rate": moved}).withColumns({
+        "spike_ratio": rate / F.col("judged"),
+        "spike_active": anomaly.spike_rule(rate, F.col("total_errors"), F.col("judged")),
+        "dropped_lines": (F.lit(dropped) if isinstance(dropped, int) else dropped).cast("bigint"),
+    }).drop("clock", "start", "now", "judged")
+
+
+def _snapshot_names() -> list[Column]:
+    """Totals, and the most frequent names as maps and lists."""
+    is_level = F.col("kind") == "level"
 
-    def recent(count: str, span: int) -> Column:
-        return F.coalesce(
-            F.sum(F.when(_in_last(span), F.col(count))), F.lit(0)
+    def named(which: str, limit: int | None = None, count: str = "n") -> Column:
+        test = (F.col("kind") == which) & (F.col(count) > 0)
+        if limit is not None:
+            test &= F.col("rank") <= limit
+        ordered = F.sort_array(
+            F.collect_list(F.when(test, F.struct("rank", "name", F.col(count).alias("cnt"))))
         )
+        return F.transform(ordered, lambda p: F.struct(p["name"].alias("name"), p["cnt"].alias("cnt")))
 
-    def _in_last(span: int) -> Column:
-        return (F.col("kind") == "second") & (F.col("second") > F.col("now") - span)
-
-    def covered(test: Column, span: int) -> Column:
-        oldest = F.min(F.when(test & _in_last(span), F.col("second")))
-        reach = F.least(F.max("now") - oldest + 1, F.lit(span))
-        return F.greatest(F.coalesce(reach, F.lit(1)), F.lit(1))
-
-    is_level = F.col("kind") == "level"
-    errors_60 = recent("errors", 60)
-    return kept.agg(
+    signatures = F.when((F.col("kind") == "signature") & (F.col("place") == 1), F.col("held"))
+    return [
         F.coalesce(F.sum(F.when(is_level, F.col("n"))), F.lit(0)).alias("total_lines"),
         F.coalesce(F.sum(F.when(is_level, F.col("errors"))), F.lit(0)).alias("total_errors"),
-        (recent("n", 60) / covered(F.lit(True), 60)).alias("lines_per_sec"),
-        F.coalesce(F.max(F.when(_in_last(60), F.col("n"))), F.lit(0)).alias("peak_lines_per_sec"),
-        errors_60.alias("errors_last_minute"),
-        recent("errors", 300).alias("errors_last_5m"),
-        (errors_60 / covered(F.col("errors") > 0, 60) * 60).alias("error_rate_per_min"),
-        F.map_from_entries(named("level", len(LEVELS))).alias("level_counts"),
+        F.map_from_entries(named("level")).alias("level_counts"),
         F.map_from_entries(named("source", TOP_SOURCES)).alias("source_counts"),
-        F.map_from_entries(named("level", len(LEVELS), "errors")).alias("error_counts"),
+        F.map_from_entries(named("level", count="errors")).alias("error_counts"),
         F.map_from_entries(named("signature", TOP_CATEGORIES)).alias("category_counts"),
         named("signature", TOP_SIGNATURES).alias("top_signatures"),
-        F.coalesce(F.max("signatures"), F.lit(0)).alias("unique_errors"),
+        F.coalesce(F.sum(signatures), F.lit(0)).alias("unique_errors"),
+    ]
+
+
+def _snapshot_clock() -> list[Column]:
+    """Rates, the series, and the errors that the baseline is made of."""
+
+    def inside(span: int) -> Column:
+        return (F.col("kind") == "second") & (F.col("second") > F.col("_now") - span)
+
+    def recent(count: str, span: int) -> Column:
+        return F.coalesce(F.sum(F.when(inside(span), F.col(count))), F.lit(0))
+
+    def covered(test: Column, span: int) -> Column:
+        oldest = F.min(F.when(test & inside(span), F.col("second")))
+        return covered_span(F.max("_now"), oldest, span)
+
+    errors_60 = recent("errors", MINUTE_SPAN)
+    counts = F.map_from_entries(
+        F.collect_list(F.when(inside(SERIES_SECONDS), F.struct("second", "n")))
+    )
+    at = F.max("_now")
+    series = F.transform(
+        F.sequence(at - SERIES_SECONDS + 1, at),
+        lambda s: F.coalesce(F.try_element_at(counts, s), F.lit(0)),
     )
+    silent = F.array_repeat(F.lit(0).cast("bigint"), SERIES_SECONDS)
+    error = F.struct(F.col("second").alias("sec"), F.col("errors").alias("err"))
+    return [
+        at.alias("now"),
+        F.min("_start").alias("start"),
+        (recent("n", LINE_SPAN) / covered(F.lit(True), LINE_SPAN)).alias("lines_per_sec"),
+        F.coalesce(F.max(F.when(inside(SERIES_SECONDS), F.col("n"))), F.lit(0)).alias("peak_lines_per_sec"),
+        errors_60.alias("errors_last_minute"),
+        recent("errors", ERROR_SPAN).alias("errors_last_5m"),
+        (errors_60 / covered(F.col("errors") > 0, MINUTE_SPAN) * 60).alias("error_rate_per_min"),
+        sparkline(F.coalesce(series, silent), SERIES_SECONDS).alias("sparkline"),
+        F.collect_list(F.when(inside(anomaly.REACH) & (F.col("errors") > 0), error)).alias("clock"),
+    ]
 
 
 def last_errors(df: DataFrame, n: int = LAST_ERRORS, order: Sequence[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.functions import text
-from loomlog.operators import stats
+from loomlog.operators import anomaly, rates, stats
 from loomlog.operators.filters import add_search_spans, apply_filters, build_spec, parse_filtered
 from loomlog.operators.order import last_rows, with_context
 from loomlog.plans import check_base as sql
@@ -169,6 +169,8 @@ def statistics_snapshot(spark, sf_dir):
         F.round("error_rate_per_min", 6).alias("error_rate_per_min"), "unique_errors",
         flat("level_counts"), flat("source_counts"), flat("error_counts"),
         flat("category_counts"), F.array_join(top, ",").alias("top_signatures"),
+        F.round("baseline_rate", 6).alias("baseline_rate"), "spike_active",
+        F.round("spike_ratio", 6).alias("spike_ratio"), "sparkline", "dropped_lines",
     )
 
 
@@ -178,18 +180,19 @@ def _named(relation, name, test, limit):
   ORDER BY cnt DESC, min(line_number) LIMIT {limit}))"""
 
 
-_SNAPSHOT = sql.with_entries(f"""SELECT *,
-  round(l60 / greatest(1, least(now - old60 + 1, 60)), 6) AS lines_per_sec,
-  round(coalesce(errors_last_minute / greatest(1, least(now - olde60 + 1, 60)) * 60, 0), 6)
-    AS error_rate_per_min
-FROM (SELECT count(*) AS total_lines, count(*) FILTER (WHERE is_error) AS total_errors,
-    max(now) AS now, count(*) FILTER (WHERE sec > now - 60) AS l60,
+_KEEP = repr(anomaly.KEEP)
+_SNAPSHOT = f"""WITH {sql.LINES},{sql.entries()},
+timed AS (SELECT *, CASE WHEN ts_epoch > 0 THEN CAST(floor(ts_epoch) AS BIGINT) END AS sec,
+  (SELECT CAST(max(floor(ts_epoch)) AS BIGINT) FROM entries WHERE ts_epoch > 0) AS now FROM entries),
+seconds AS (SELECT sec, count(*) AS n, count(*) FILTER (WHERE is_error) AS err FROM timed
+  WHERE sec IS NOT NULL GROUP BY sec),
+counts AS (SELECT count(*) AS total_lines, count(*) FILTER (WHERE is_error) AS total_errors,
+    max(now) AS now, min(sec) AS first, count(*) FILTER (WHERE sec > now - 60) AS l60,
     min(sec) FILTER (WHERE sec > now - 60) AS old60,
     min(sec) FILTER (WHERE sec > now - 60 AND is_error) AS olde60,
     count(*) FILTER (WHERE sec > now - 60 AND is_error) AS errors_last_minute,
     count(*) FILTER (WHERE sec > now - 300 AND is_error) AS errors_last_5m,
-    (SELECT max(c) FROM (SELECT floor(ts_epoch) AS s, count(*) AS c FROM entries WHERE ts_epoch > 0
-       GROUP BY 1) WHERE s > (SELECT max(floor(ts_epoch)) - 60 FROM entries)) AS peak_lines_per_sec,
+    (SELECT max(n) FROM seconds WHERE sec > (SELECT max(sec) - 60 FROM seconds)) AS peak_lines_per_sec,
     {_named('entries', 'level_name', 'true', 300)} AS level_counts,
     {_named('entries', 'source', "source <> ''", 10)} AS source_counts,
     {_named('entries', 'level_name', 'is_error', 300)} AS error_counts,
@@ -199,12 +202,35 @@ FROM (SELECT count(*) AS total_lines, count(*) FILTER (WHERE is_error) AS total_
        WHERE is_error AND fingerprint <> '' GROUP BY 1 ORDER BY cnt DESC, seen LIMIT 12)) AS top_signatures,
     (SELECT count(DISTINCT fingerprint) FROM entries
        WHERE is_error AND fingerprint <> '') AS unique_errors
-  FROM (SELECT *, CASE WHEN ts_epoch > 0 THEN CAST(floor(ts_epoch) AS BIGINT) END AS sec,
-      (SELECT CAST(max(floor(ts_epoch)) AS BIGINT) FROM entries) AS now FROM entries))""").replace(
-    "SELECT *,\n  round(l60",
-    """SELECT total_lines, total_errors, peak_lines_per_sec, errors_last_minute, errors_last_5m,
+  FROM timed),
+rated AS (SELECT *,
+  coalesce(errors_last_minute / greatest(1, least(now - olde60 + 1, 60)) * 60, 0) AS rate,
+  now - first > 4 AND (now - first) % 5 = 0 AS at_tick,
+  (now - first) // 5 - CASE WHEN now - first > 4 AND (now - first) % 5 = 0 THEN 1 ELSE 0 END AS done
+  FROM counts),
+ticks AS (SELECT k, done, first + 5 * k AS tick FROM (
+  SELECT unnest(range(greatest(1, done - 400), done + 1)) AS k, done, first FROM rated)),
+pushes AS (SELECT t.k, pow({_KEEP}, any_value(done) - t.k) * (1 - {_KEEP}) * (greatest(1,
+    sum(s.err) / greatest(1, least(t.tick - min(s.sec) + 1, 60)) * 60) - 1) AS push
+  FROM ticks t JOIN seconds s ON s.err > 0 AND s.sec > t.tick - 60 AND s.sec <= t.tick
+  GROUP BY t.k, t.tick),
+judged AS (SELECT *, 1 - 0.5 * pow({_KEEP}, done)
+  + coalesce((SELECT sum(push) FROM pushes), 0) AS base FROM rated),
+series AS (SELECT g.sec, coalesce(s.n, 0) AS n, max(coalesce(s.n, 0)) OVER () AS hi,
+    min(coalesce(s.n, 0)) OVER () AS lo
+  FROM (SELECT unnest(range(now - 59, now + 1)) AS sec FROM counts) g LEFT JOIN seconds s USING (sec))
+SELECT total_lines, total_errors, peak_lines_per_sec, errors_last_minute, errors_last_5m,
   level_counts, source_counts, error_counts, category_counts, top_signatures, unique_errors,
-  round(l60""", 1)
+  round(l60 / greatest(1, least(now - old60 + 1, 60)), 6) AS lines_per_sec,
+  round(rate, 6) AS error_rate_per_min, round(rate / base, 6) AS spike_ratio,
+  rate >= 5 AND total_errors >= 10 AND rate / base >= 3 AS spike_active,
+  round(CASE WHEN at_tick THEN {_KEEP} * base + (1 - {_KEEP}) * greatest(rate, 1) ELSE base END, 6)
+    AS baseline_rate,
+  (SELECT string_agg(CASE WHEN hi = lo THEN CASE WHEN hi <= 0 THEN ' ' ELSE '▃' END ELSE
+     substr({sql.q(rates.SPARK_CHARS)}, CAST(floor((n - lo) / (hi - lo) * 8) AS INT) + 1, 1) END,
+     '' ORDER BY sec) FROM series) AS sparkline,
+  CAST(0 AS BIGINT) AS dropped_lines
+FROM judged"""
 
 
 def _top_check(name, test, limit):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -190,3 +191,60 @@ def test_empty_input(spark):
     assert (row.first_seen, row.last_seen) == ("N/A", "N/A")
     (row,) = stats.snapshot(empty).collect()
     assert row.total_lines == 0 and row.level_counts == {}
+
+
+def _walked(errors, start, until):
+    """Baseline before and after a moment, tick by tick."""
+    def rate(at):
+        inside = {s: e for s, e in errors.items() if at - 60 < s <= at}
+        return sum(inside.values()) / max(1, min(at - min(inside) + 1, 60)) * 60 if inside else 0.0
+
+    baseline, tick = anomaly.BASELINE_START, start + 5
+    while tick < until:
+        baseline = anomaly.KEEP * baseline + (1 - anomaly.KEEP) * max(rate(tick), 1.0)
+        tick += 5
+    after = baseline
+    if tick == until:
+        after = anomaly.KEEP * baseline + (1 - anomaly.KEEP) * max(rate(tick), 1.0)
+    return rate(until), baseline, after
+
+
+@pytest.mark.parametrize("until", [0, 3, 5, 61, 305, 1899, 1900, 1903])
+def test_snapshot_judges_like_the_ticks(spark, until):
+    errors = {1000 + s: 1 + s % 7 * (s // 600) for s in range(0, until + 1, 1 + until // 150)}
+    rows = [(s, True, k) for s, n in errors.items() for k in range(n)] + [(1000 + until, False, 0)]
+    entries = spark.createDataFrame(
+        [(float(s), "ERROR" if e else "INFO", e, f"sig{k % 3}" if e else "", f"h{s % 14}", i)
+         for i, (s, e, k) in enumerate(rows)],
+        "ts_epoch double, level_name string, is_error boolean, fingerprint string, source string, "
+        "line_number long",
+    )
+    (row,) = stats.snapshot(entries, dropped=7).collect()
+    rate, before, after = _walked(errors, 1000, 1000 + until)
+    assert row.error_rate_per_min == pytest.approx(rate)
+    assert row.baseline_rate == pytest.approx(after)
+    assert row.spike_ratio == pytest.approx(rate / before)
+    assert row.spike_active == (rate >= 5 and sum(errors.values()) >= 10 and rate / before >= 3)
+    assert len(row.sparkline) == 60 and row.dropped_lines == 7
+    assert row.unique_errors == len({k % 3 for _, e, k in rows if e})
+    if until and until % 5 == 0:
+        (tick,) = anomaly.spike_ticks(rates.per_second(entries)).filter(f"tick = {1000 + until}").collect()
+        assert (tick.baseline, tick.next_baseline) == pytest.approx((before, after))
+
+
+def test_snapshot_lists_are_cut_in_shares(spark, monkeypatch):
+    """Ranks within shares change nothing: more names and seconds than any share keeps."""
+    monkeypatch.setattr(anomaly, "REACH", 20)
+    entries = spark.range(4000).selectExpr(
+        "cast(1000 + id div 4 as double) ts_epoch", "'ERROR' level_name", "true is_error",
+        "concat('sig', cast(sqrt(id) as int)) fingerprint", "concat('s', id % 97 % 60) source",
+        "id line_number",
+    )
+    (row,) = stats.snapshot(entries).collect()
+    counts = {}
+    for k in range(4000):
+        counts.setdefault(f"sig{math.isqrt(k)}", []).append(k)
+    best = sorted(counts, key=lambda c: (-len(counts[c]), counts[c][0]))[:12]
+    assert [(p.name, p.cnt) for p in row.top_signatures] == [(c, len(counts[c])) for c in best]
+    assert row.unique_errors == len(counts) and row.total_lines == 4000
+    assert row.errors_last_minute == 240 and len(row.source_counts) == 10
