@@ -58,6 +58,9 @@ _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[0x41:0x5B] = _IS_LETTER[0x61:0x7B] = _IS_LETTER[0x80:] = True
 _IS_UPPER = np.zeros(256, bool)
 _IS_UPPER[0x41:0x5B] = True
+# bytes of text looked at together, and features a task counts before it sends them on
+PIECE, HELD_FEATURES = 1 << 19, 500_000
+_SKETCHES = "sketch0 long, sketch1 long"
 # kinds of features: the whole word, and its first bytes where it has as many
 BEGINNINGS = (4, 5, 6)
 _SALT = mix(np.arange(1, 2 + len(BEGINNINGS), dtype=np.uint64))
@@ -124,11 +127,11 @@ class Voters:
         rows, row = len(first) - 1, row_of(first)
         votes = np.zeros(rows, np.int64)
         hit = np.zeros(found.shape[1], bool)
-        low = np.searchsorted(self.keys, found, "left")
-        high = np.searchsorted(self.keys, found, "right")
+        low = _in(self.keys, found)
         # a key may belong to a mined lexicon and to lists at once
-        for kind, word in zip(*np.nonzero(high > low)):
-            for k in range(low[kind, word], high[kind, word]):
+        for kind, word in zip(*np.nonzero(low >= 0)):
+            key = found[kind, word]
+            for k in range(low[kind, word], np.searchsorted(self.keys, key, "right")):
                 votes[row[word]] |= 1 << int(self.voter[k])
             hit[word] = True
         at = np.flatnonzero(hit)
@@ -275,7 +278,7 @@ def _associations(batches):
         ]
 
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=PIECE):
             found, first, _ = word_features(piece.column("text"))
             own = piece.column("own").to_numpy(zero_copy_only=False)
             target = own * piece.column("target").to_numpy(zero_copy_only=False)
@@ -286,7 +289,7 @@ def _associations(batches):
             held.append(
                 (keys, *(np.bincount(code, x[row], len(keys)) for x in (target, own)))
             )
-            if sum(len(p[0]) for p in held) > 2_000_000:
+            if sum(len(p[0]) for p in held) > HELD_FEATURES:
                 held = summed(held)
                 yield from _as_batches(*held.pop())
     if held:
@@ -333,39 +336,42 @@ def associated(rows: DataFrame, most: int, least_share: float | None = None) ->
     return np.sort(np.array([r["feature"] for r in top], np.int64).view(np.uint64))
 
 
-def _sketched(batches):
-    """Two minimum hashes of a text's five-word shingles, which near copies mostly share."""
+def sketches(column) -> dict[str, pa.Array]:
+    """Two minimum hashes of each text's five-word shingles, which near copies mostly share."""
+    value, offsets = shingle_sets(column)
+    full = np.diff(offsets) > 0
+    found = {}
+    for k in range(2):
+        hashes = mix(value ^ _SALT[k])
+        least = np.zeros(len(full), np.uint64)
+        if full.any():
+            least[full] = np.minimum.reduceat(hashes, offsets[:-1][full])
+        found[f"sketch{k}"] = pa.array(least.view(np.int64))
+    return found
+
+
+def _known(batches):
     for batch in batches:
-        for piece in pieces(batch):
-            value, offsets = shingle_sets(piece.column("text"))
-            value = np.append(value, np.uint64(0))
-            full = np.diff(offsets) > 0
-            columns = []
-            for hashes in (value, mix(value ^ _SALT[0])):
-                least = np.zeros(len(full), np.uint64)
-                if full.any():
-                    least[full] = np.minimum.reduceat(hashes, offsets[:-1][full])
-                columns.append(pa.array(least.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(k) for k in range(piece.num_columns)] + columns,
-                [*piece.schema.names, "sketch0", "sketch1"],
-            )
+        for piece in pieces(batch, limit=PIECE):
+            text = piece.column("text")
+            yield pa.record_batch({"text": text, "target": piece.column("target"), **sketches(text)})
 
 
 def with_own_weight(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` with ``own``: one over the number of rows that share a sketch with the text.
+    """``rows``, with their sketches, with ``own`` in place of these: one over the number of rows
+    that share a sketch with the text.
 
     A document that occurs a thousand times tells no more about its words than one does. The
     rows are a bounded sample; what meets under a sketch is a number, not the texts.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    rows.mapInArrow(_sketched, f"{kinds}, sketch0 long, sketch1 long").write.parquet(folder)
+    rows.write.parquet(folder)
     found = rows.sparkSession.read.parquet(folder)
     most = F.lit(1)
     for name in ("sketch0", "sketch1"):
         found = found.join(found.groupBy(name).agg(F.count("*").alias(f"{name}_rows")), name)
         most = F.greatest(most, F.col(f"{name}_rows"))
-    return found.select(*rows.columns, (1 / most).alias("own"))
+    kept = [c for c in rows.columns if not c.startswith("sketch")]
+    return found.select(*kept, (1 / most).alias("own"))
 
 
 def held_out() -> F.Column:
@@ -396,7 +402,7 @@ def _voted(voters: Voters):
     def run(batches):
         seen: dict[tuple[int, int, bool], int] = {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 votes = voters.patterns(piece.column("text"))
                 label = piece.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
                 out = piece.column("held_out").to_numpy(zero_copy_only=False)
@@ -421,7 +427,7 @@ def _voted(voters: Voters):
 def _targets(voters: Voters, model: LabelModel):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 target = model.posterior(voters.patterns(piece.column("text")))
                 share = piece.column("place").to_numpy(zero_copy_only=False)
                 limit = np.where(
@@ -430,11 +436,13 @@ def _targets(voters: Voters, model: LabelModel):
                     piece.column("clean_share").to_numpy(zero_copy_only=False),
                 )
                 kept = pa.array(share < limit)
+                text = piece.column("text").filter(kept)
                 yield pa.record_batch(
                     {
-                        "text": piece.column("text").filter(kept),
+                        "text": text,
                         "target": pa.array(target).filter(kept),
                         "weight": pa.array(1 / np.maximum(limit, 1e-12)).filter(kept),
+                        **sketches(text),
                     }
                 )
 
@@ -444,7 +452,7 @@ def _targets(voters: Voters, model: LabelModel):
 def _pairs(keys: np.ndarray):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 row, at, rows = present(piece.column("text"), keys)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)),
@@ -495,7 +503,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, LabelModel, Vot
     ids = F.broadcast(spark.read.parquet(f"{folder}/labelled"))
     texts = docs.select("doc_id", "text")
     known = texts.join(ids, "doc_id").select("text", F.col("toxic").alias("target"))
-    known = with_own_weight(known, f"{folder}/known")
+    known = with_own_weight(
+        known.mapInArrow(_known, f"text string, target double, {_SKETCHES}"), f"{folder}/known"
+    )
     voters = Voters.of(associated(known, MOST_TERMS, LEAST_SHARE))
 
     counts = (
@@ -521,7 +531,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, LabelModel, Vot
         .withColumn("place", place)
         .filter(F.col("place") < max(shares))
         .select("text", "place", *(F.lit(s).alias(c) for s, c in zip(shares, ("toxic_share", "clean_share"))))
-        .mapInArrow(_targets(voters, model), "text string, target double, weight double")
+        .mapInArrow(_targets(voters, model), f"text string, target double, weight double, {_SKETCHES}")
     )
     training = with_own_weight(training, f"{folder}/training")
     keys = associated(training, MOST_FEATURES)
@@ -540,7 +550,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, LabelModel, Vot
 def _scored(classifier: Classifier):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 score = pa.array(classifier.scores(piece.column("text")))
                 yield pa.record_batch(
                     {"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": score}
