@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from loomlog.operators import anomaly
 from loomlog.operators.diagnose import diagnose
 from loomlog.operators.order import last_rows, with_context
 from loomlog.operators.parse import parse_logs
 from loomlog.sources.textlogs import decode_text, drop_blank
+from loomlog.streaming.tables import Versions
 
 
 def read_live(
@@ -28,12 +29,14 @@ def read_live(
     files_per_trigger: int = 1000,
     start_at: str | None = None,
     encoding: str = "utf-8",
+    log: Column | None = None,
 ) -> DataFrame:
     """Lines ``(raw, source, line_number, arrival)`` of the segments in a folder.
 
     The source is the segment's whole path, the arrival the time it was last changed.
-    ``start_at`` skips segments last changed before that moment. Lines of a live segment are
-    not numbered.
+    ``start_at`` skips segments last changed before that moment. Lines of a segment are not
+    numbered unless ``log`` names the log it belongs to, as an expression over ``source``:
+    then the lines, blank ones too, have their ``log`` and ``block`` for ``tables.number_lines``.
     """
     lines = (
         spark.readStream.format("text")
@@ -44,12 +47,16 @@ def read_live(
     if start_at is not None:
         since = F.lit(start_at).cast("timestamp")
         lines = lines.filter(F.col("_metadata.file_modification_time") >= since)
-    return drop_blank(lines.select(
+    read = lines.select(
         decode_text(F.col("value"), encoding).alias("raw"),
         F.col("_metadata.file_path").alias("source"),
         F.lit(0).cast("bigint").alias("line_number"),
         F.col("_metadata.file_modification_time").alias("arrival"),
-    ))
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    if log is None:
+        return drop_blank(read.drop("block"))
+    return read.drop("line_number").withColumn("log", log)
 
 
 def running_counts(entries: DataFrame, by: str) -> DataFrame:
@@ -98,78 +105,129 @@ def flat_seconds(seconds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # -- live spikes (T5) --------------------------------------------------------------------------
 
-_STATE = (
-    "next_tick long, baseline double, total long, secs array<long>, errs array<long>"
-)
 _TICKS = (
     "tick long, errors_per_min double, total_errors long, baseline double, "
     "next_baseline double, spike_ratio double, is_spike boolean"
 )
+# a key that logs nothing for so long is forgotten
+IDLE_SECONDS = 86_400
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_STORES = "org.apache.spark.sql.execution.streaming.state."
+_HDFS, _ROCKS = f"{_STORES}HDFSBackedStateStoreProvider", f"{_STORES}RocksDBStateStoreProvider"
 
 
-def _spike_step():
-    """The fold of one key. It closes over plain numbers only, so that it travels to Python
-    workers by value and they need not have this package installed."""
-    tick_seconds, span, keep = anomaly.TICK_SECONDS, anomaly.MINUTE_SPAN, anomaly.KEEP
+def _spike_processor(kind: str, idle: int):
+    """The stateful processor of one key. It closes over plain numbers only, so that it travels
+    to Python workers by value and they need not have this package installed."""
+    every, span, keep = anomaly.TICK_SECONDS, anomaly.MINUTE_SPAN, anomaly.KEEP
     first_baseline, floor = anomaly.BASELINE_START, anomaly.OBSERVED_FLOOR
     least_rate, least_errors = anomaly.SPIKE_RATE, anomaly.SPIKE_ERRORS
-    least_ratio = anomaly.SPIKE_RATIO
+    least_ratio, chunk = anomaly.SPIKE_RATIO, anomaly.CHUNK_TICKS
     columns = ["key0"] + [c.split()[0] for c in _TICKS.split(", ")]
 
-    def step(key, frames, state):
-        """Take newly closed seconds into the baseline; one row per tick with recent errors."""
-        rows = pd.concat(list(frames))
-        until = int(rows["sec"].max())
-        errors = rows[rows["err"] > 0]
-        pending = list(zip(errors["sec"].astype(int).tolist(), errors["err"].astype(int).tolist()))
-        recent = []
-        if state.exists:
-            tick, baseline, total, secs, errs = state.get
-            last = tick - tick_seconds
-            for pair in zip(secs, errs):
-                # seconds beyond the last tick have not been counted yet
-                (recent if pair[0] <= last else pending).append(pair)
-        else:
-            tick, baseline, total = int(rows["sec"].min()) + tick_seconds, first_baseline, 0
-        pending.sort()
-        at, out = 0, []
-        while tick <= until:
-            while at < len(pending) and pending[at][0] <= tick:
-                total += pending[at][1]
-                recent.append(pending[at])
-                at += 1
-            recent = [(s, e) for s, e in recent if s > tick - span]
-            if not recent:  # a silent stretch: the baseline falls towards its floor
-                ahead = min(pending[at][0] if at < len(pending) else until + 1, until + 1)
-                silent = -((tick - ahead) // tick_seconds)
-                baseline = floor + (baseline - floor) * keep**silent
-                tick += tick_seconds * silent
-                continue
-            reach = min(tick - recent[0][0] + 1, span)
-            rate = sum(e for _, e in recent) / max(1.0, float(reach)) * 60
-            ratio = rate / baseline
-            after = keep * baseline + (1 - keep) * max(rate, floor)
-            spike = rate >= least_rate and total >= least_errors and ratio >= least_ratio
-            out.append((*key, tick, rate, total, baseline, after, ratio, spike))
-            baseline, tick = after, tick + tick_seconds
-        held = recent + pending[at:]
-        state.update((tick, baseline, total, [s for s, _ in held], [e for _, e in held]))
-        yield pd.DataFrame(out, columns=columns)
-
-    return step
-
-
-def live_spikes(flat: DataFrame, key: str = "source") -> DataFrame:
+    def judged(start, done, last, baseline, total, sec, err):
+        """Ticks ``done + 1 .. last`` that have an error in their last minute, as columns, and
+        the baseline after the last one. Whole arrays at a time, by chunks of the clock."""
+        sums = np.r_[0, np.cumsum(err)]
+        low = np.maximum(-(-(sec - start) // every), done + 1)
+        high = np.minimum((sec - start + span - 1) // every, last)
+        touched = [np.arange(a, b + 1) for a, b in zip(low, high) if a <= b]
+        ticks = np.unique(np.concatenate(touched)) if touched else np.zeros(0, np.int64)
+        at = start + ticks * every
+        upto, since = np.searchsorted(sec, at, "right"), np.searchsorted(sec, at - span, "right")
+        reach = np.minimum(at - sec[np.minimum(since, len(sec) - 1)] + 1, span) if len(ticks) else at
+        rate = (sums[upto] - sums[since]) / np.maximum(1.0, reach) * 60
+        pushed = (1 - keep) * (np.maximum(rate, floor) - floor)
+        before, after = np.zeros(len(ticks)), np.zeros(len(ticks))
+        apart, begin = baseline - floor, done + 1
+        for part in np.unique((ticks - begin) // chunk):
+            here = np.flatnonzero((ticks - begin) // chunk == part)
+            place = ticks[here] - (begin + part * chunk)
+            lifted = np.cumsum(pushed[here] * keep ** -(place + 1.0))
+            faded = apart * keep ** float(part * chunk) if part else apart
+            before[here] = floor + keep ** (place * 1.0) * (faded + np.r_[0, lifted[:-1]])
+            after[here] = floor + keep ** (place + 1.0) * (faded + lifted)
+            # as if the chunk's pushes had been there from the beginning of the clock
+            apart = (faded + lifted[-1]) * keep ** float(-part * chunk) if part else faded + lifted[-1]
+        ended = floor + keep ** float(last - done) * apart
+        new = sums[upto] - sums[np.searchsorted(sec, counted_to(start, done), "right")]
+        return at, rate, total + new, before, after, ended
+
+    def counted_to(start, done):
+        """The second up to which errors have been counted; none before the first tick."""
+        return start + done * every if done else start - 1
+
+    class Spikes(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.clock = handle.getValueState("clock", "start long, done long, baseline double, total long")
+            self.recent = handle.getListState("recent", "sec long, err long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            frame = pd.concat(list(rows))
+            until = int(frame["sec"].max())
+            hit = frame[frame["err"] > 0]
+            sec, err = hit["sec"].to_numpy(np.int64), hit["err"].to_numpy(np.int64)
+            if self.clock.exists():
+                start, done, baseline, total = self.clock.get()
+                held = np.array([tuple(r) for r in self.recent.get()], np.int64).reshape(-1, 2)
+                sec, err = np.r_[held[:, 0], sec], np.r_[held[:, 1], err]
+            else:
+                start, done, baseline, total = int(frame["sec"].min()), 0, first_baseline, 0
+            order = np.argsort(sec, kind="stable")
+            sec, err = sec[order], err[order]
+            last = max(done, (until - start) // every)
+            at, rate, counted, before, after, ended = judged(
+                start, done, last, baseline, total, sec, err
+            )
+            new = (sec > counted_to(start, done)) & (sec <= counted_to(start, last))
+            total += int(err[new].sum())
+            self.clock.update((int(start), int(last), float(ended), int(total)))
+            # seconds beyond the last tick have not been counted yet
+            kept = sec > counted_to(start, last) - span
+            self.recent.put([(int(s), int(e)) for s, e in zip(sec[kept], err[kept])])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((until + idle) * 1000)
+            ratio = rate / before
+            spike = (rate >= least_rate) & (counted >= least_errors) & (ratio >= least_ratio)
+            names = np.full(len(at), key[0], object)
+            yield pd.DataFrame(
+                dict(zip(columns, (names, at, rate, counted, before, after, ratio, spike)))
+            )
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            """The key has been idle: it leaves the state, and is a new one if it comes back."""
+            self.clock.clear()
+            self.recent.clear()
+            return iter(())
+
+        def close(self):
+            pass
+
+    return Spikes()
+
+
+def live_spikes(
+    flat: DataFrame, key: str = "source", idle: int = IDLE_SECONDS, delay: str = "0 seconds"
+) -> DataFrame:
     """T5: the spike rule on a stream of closed seconds ``(key, sec, n, err)``.
 
     The input has at most one row per key and second, so a key that holds most lines costs no
-    more than any other. State per key: the baseline and a minute of error counts.
+    more than any other. State per key: the clock, the baseline and a list of a minute of
+    error counts. A key without rows for ``idle`` seconds of the stream's clock leaves the state.
+    Sets the session's state store to RocksDB, which such state needs, where it is unset.
     """
+    spark = flat.sparkSession
+    if spark.conf.get(_STORE, _HDFS) == _HDFS:
+        spark.conf.set(_STORE, _ROCKS)
     kind = flat.schema[key].dataType.simpleString()
     return (
-        flat.groupBy(key)
-        .applyInPandasWithState(
-            _spike_step(), f"key0 {kind}, {_TICKS}", _STATE, "append", GroupStateTimeout.NoTimeout
+        flat.withColumn("_at", F.timestamp_seconds("sec"))
+        .withWatermark("_at", delay)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            _spike_processor(kind, idle), f"key0 {kind}, {_TICKS}", "append", "EventTime"
         )
         .withColumnRenamed("key0", key)
     )
@@ -255,15 +313,14 @@ def start_diagnosis(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = f"{entries_path}/batch_id={batch_id}"
-        tails = f"{entries_path}_tails/batch_id="
+        tails = Versions(f"{entries_path}_tails")
         parsed = parse_logs(batch.withColumn("log", F.col("source")), as_of=as_of)
         numbered = parsed.withColumn("arrival", F.monotonically_increasing_id())
         numbered.write.mode("overwrite").parquet(part)
         entries = spark.read.parquet(part).withColumn("_new", F.lit(True))
-        try:
-            before = spark.read.parquet(f"{tails}{batch_id - 1}")
-        except AnalysisException:
-            before = entries.limit(0)  # the first batch
+        before = tails.before(spark, batch_id)
+        if before is None:
+            before = entries.drop("_new").limit(0)
         entries = before.withColumn("_new", F.lit(False)).unionByName(entries)
         errors = with_context(
             entries, F.col("is_error") & F.col("_new"), half, order="arrival", groups=["log"]
@@ -274,9 +331,9 @@ def start_diagnosis(
         # numbered below zero, ahead of the next batch
         last = last_rows(entries, half, "arrival", ["log"])
         newest = Window.partitionBy("log").orderBy(F.desc("arrival"))
-        last.withColumn("arrival", -F.row_number().over(newest).cast("bigint")).write.mode(
-            "overwrite"
-        ).parquet(f"{tails}{batch_id}")
+        tails.write(
+            last.withColumn("arrival", -F.row_number().over(newest).cast("bigint")), batch_id
+        )
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(availableNow=True) if once else writer).start()

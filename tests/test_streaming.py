@@ -1,13 +1,15 @@
+import collections
 import datetime
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.operators import anomaly
+from loomlog.operators import anomaly, stats
 from loomlog.operators.parse import parse_logs
-from loomlog.streaming import live
+from loomlog.streaming import live, tables
 
 
 def _land(folder, name, lines):
@@ -126,3 +128,140 @@ def test_context_reaches_into_earlier_batches(spark, tmp_path):
     ).awaitTermination()
     (row,) = spark.read.parquet(str(tmp_path / "d")).collect()
     assert row.related_entries == lines[1:]
+
+
+def _segments(folder, logs):
+    """Segments of several logs, landed one after the other: ``(log, lines)``."""
+    for log, lines in logs:
+        (folder / log).mkdir(parents=True, exist_ok=True)
+        k = len(list(folder.glob("*/*")))
+        _land(folder / log, f"{k}.txt", lines)
+        os.utime(folder / log / f"{k}.txt", (1.7e9 + k, 1.7e9 + k))
+
+
+def _log_of():
+    return F.element_at(F.split("source", "/"), -2)
+
+
+@pytest.mark.parametrize("count_blank", [False, True])
+def test_line_numbers_go_on_over_batches(spark, tmp_path, count_blank):
+    """Three batches of two logs are numbered like one reading of both, also after a restart."""
+    rng = random.Random(4)
+    parts = [
+        (f"log{k % 2}", [f"line {k} {i}" if rng.random() < 0.8 else " " for i in range(rng.randrange(1, 40))])
+        for k in range(6)
+    ]
+    wanted = {"log0": [], "log1": []}
+    for log, lines in parts:
+        wanted[log] += lines
+    wanted = {
+        (log, text): number
+        for log, lines in wanted.items()
+        for number, text in enumerate([t for t in lines if count_blank or t.strip()], 1)
+        if text.strip()
+    }
+    folder, path = tmp_path / "in", str(tmp_path / "t")
+    for some in (parts[:3], parts[3:]):  # a restart lies between
+        _segments(folder, some)
+        lines = live.read_live(spark, str(folder), files_per_trigger=2, log=_log_of())
+        tables.start_numbered(
+            lines, path, str(tmp_path / "c"), count_blank=count_blank
+        ).awaitTermination()
+    rows = spark.read.parquet(path).collect()
+    assert {(r.log, r.raw): r.line_number for r in rows} == wanted and len(rows) == len(wanted)
+    # two versions of the counts are kept, whatever the number of batches
+    assert len(tables.Versions(f"{path}_lines").whole(spark)) == 2
+
+
+def test_a_missing_version_is_an_error(spark, tmp_path):
+    held = tables.Versions(str(tmp_path / "v"))
+    assert held.before(spark, 0) is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        held.before(spark, 3)
+    for k in range(5):
+        held.write(spark.range(k + 1), k)
+    assert held.whole(spark) == [3, 4] and held.newest(spark).count() == 5
+    # a batch that runs again finds what the one before it left
+    assert held.before(spark, 4).count() == 4
+
+
+def test_totals_are_compacted(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "t")
+    for k in range(5):
+        rows = [(f"n{i % (k + 1)}",) for i in range(10)]
+        spark.createDataFrame(rows, "source string").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("source string").option("maxFilesPerTrigger", 1).parquet(folder)
+    tables.start_totals(stream, ["source"], path, str(tmp_path / "c")).awaitTermination()
+    found = {r.source: r.cnt for r in tables.Versions(path).newest(spark).collect()}
+    wanted = collections.Counter(f"n{i % (k + 1)}" for k in range(5) for i in range(10))
+    assert found == wanted and len(tables.Versions(path).whole(spark)) == 2
+
+
+def _closed_by_hand(batches, delay):
+    """Closed seconds and lost lines, batch by batch."""
+    open_, closed, lost, mark = collections.Counter(), {}, collections.Counter(), None
+    for rows in batches:
+        for key, sec in rows:
+            if mark is not None and sec + 1 <= mark:
+                lost[key] += 1
+            else:
+                open_[key, sec] += 1
+        seen = [sec for _, sec in open_]
+        mark = max([m for m in (mark, max(seen) - delay if seen else None) if m is not None])
+        for at in [at for at in open_ if at[1] + 1 <= mark]:
+            closed[at] = open_.pop(at)
+    return closed, dict(lost)
+
+
+@pytest.mark.parametrize("stops", [(5,), (1, 3, 5), (2, 2, 4, 5)])
+def test_lost_lines_outlast_restarts(spark, tmp_path, stops):
+    """The account of lost lines is the same, however often the query is started anew."""
+    rng = random.Random(9)
+    batches = [
+        [(f"k{rng.randrange(3)}", 100 * b + rng.randrange(-90, 100)) for _ in range(60)] for b in range(5)
+    ]
+    schema = "event_time timestamp, is_error boolean, grp string"
+    folder, path, done = str(tmp_path / "in"), str(tmp_path / "t"), 0
+    for stop in stops:
+        for rows in batches[done:stop]:
+            full = [(datetime.datetime.fromtimestamp(5000 + s, datetime.UTC), False, k) for k, s in rows]
+            spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(folder)
+            time.sleep(0.02)
+        done = stop
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        tables.start_seconds(
+            stream, path, str(tmp_path / "c"), delay=30, keys=["grp"]
+        ).awaitTermination()
+    closed, lost = _closed_by_hand(batches, 30)
+    found = tables.closed_seconds(spark, path).collect()
+    assert {(r.grp, r.sec - 5000): r.n for r in found} == closed and len(found) == len(closed)
+    assert {r.grp: r.lost for r in tables.lost_lines(spark, path).collect()} == lost and sum(lost.values())
+    empty = spark.createDataFrame([], "level_name string, source string, line_number bigint, "
+                                  "is_error boolean, fingerprint string, ts_epoch double")
+    (row,) = stats.snapshot(empty, dropped=tables.lost_total(spark, path)).collect()
+    assert row.dropped_lines == sum(lost.values())
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    """A key that comes back after the idle time is a new one; the others are not touched."""
+    early = [("gone", 1000 + s, 1, 1) for s in range(0, 30, 3)]
+    always = [("here", 1000 + s, 1, int(s % 40 < 4)) for s in range(0, 4000, 2)]
+    again = [("gone", 4900 + s, 1, 1) for s in range(0, 30, 3)]
+    schema = "source string, sec bigint, n bigint, err bigint"
+    folder = str(tmp_path / "in")
+    for rows in (early + always[:500], always[500:1500], always[1500:], again):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    checkpoint = str(tmp_path / "c")
+    live.start_table(live.live_spikes(stream, idle=600), str(tmp_path / "t"), checkpoint).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "t")).orderBy("source", "tick").collect()
+    wanted = []
+    for rows in (early, again, always):
+        wanted += anomaly.spike_ticks(spark.createDataFrame(rows, schema), ["source"]).orderBy("tick").collect()
+    assert [(r.source, r.tick, r.total_errors, r.is_spike) for r in found] == [
+        (r.source, r.tick, r.total_errors, r.is_spike) for r in wanted]
+    assert [r.baseline for r in found] == pytest.approx([r.baseline for r in wanted])
+    clock = spark.read.format("statestore").option("stateVarName", "clock").load(checkpoint)
+    # the first stay of the key has left; what is there is its second one
+    assert {r.key.source: r.value.start for r in clock.collect()} == {"here": 1000, "gone": 4900}
