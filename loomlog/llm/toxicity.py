@@ -368,7 +368,9 @@ def with_own_weight(rows: DataFrame, folder: str) -> DataFrame:
     found = rows.sparkSession.read.parquet(folder)
     most = F.lit(1)
     for name in ("sketch0", "sketch1"):
-        found = found.join(found.groupBy(name).agg(F.count("*").alias(f"{name}_rows")), name)
+        # no more rows than the sample has: LABELLED_ROWS, or TRAINING_ROWS of either class
+        counts = F.broadcast(found.groupBy(name).agg(F.count("*").alias(f"{name}_rows")))
+        found = found.join(counts, name)
         most = F.greatest(most, F.col(f"{name}_rows"))
     kept = [c for c in rows.columns if not c.startswith("sketch")]
     return found.select(*kept, (1 / most).alias("own"))
