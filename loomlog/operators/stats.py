@@ -209,7 +209,7 @@ def snapshot(
     first ones, and only those are ranked together. A share also knows how many it had. Names are
     cut to the report's size, seconds to what the baseline looks back on. ``as_of`` defaults to the
     newest second. ``dropped`` is the number of lines that were lost before they were counted
-    (T7), as ``live.lost_lines`` knows it.
+    (T7), as ``lost_total`` of live tables knows it.
 
     Without entries every count and rate is zero and the baseline is the one to begin with.
     """

@@ -11,6 +11,7 @@ from loomlog.plans.parsing import parsed
 from loomlog.session import shared_folder
 from loomlog.sinks.export import (
     export_meta,
+    format_of,
     markdown_header,
     markdown_line,
     text_footer,
@@ -252,7 +253,29 @@ header AS (
        FROM minute) AS rate))"""
 
 
+_SPELLED = ["JSON", ".json", " Markdown ", "md", "..MD", "md.", "plain", "Text", "txt\n", ".pdf", "", "parquet"]
+
+
+def export_names(spark, sf_dir):
+    """The words that users have for formats, one for each event."""
+    words = F.array(*map(F.lit, _SPELLED))
+    spelled = table(spark, sf_dir, "events").select(
+        F.get(words, F.col("event_id") % len(_SPELLED)).alias("word")
+    )
+    return spelled.withColumn("format", format_of(F.col("word"))).groupBy("word", "format").agg(
+        F.count("*").alias("cnt")
+    )
+
+
+_NAMES = f"""WITH spelled AS (SELECT {_SPELLED!r}[event_id % {len(_SPELLED)} + 1] AS word FROM events)
+SELECT word, CASE ltrim(lower(trim(word, ' ' || chr(10))), '.') WHEN 'json' THEN 'json' WHEN 'md' THEN 'md'
+    WHEN 'markdown' THEN 'md' WHEN 'plain' THEN 'txt' WHEN 'text' THEN 'txt' WHEN 'txt' THEN 'txt'
+    WHEN 'parquet' THEN 'parquet' END AS format, count(*) AS cnt
+FROM spelled GROUP BY ALL""".replace("'txt\\n'", "'txt' || chr(10)")
+
+
 QUERIES = {
+    "export_names": (export_names, _NAMES),
     "text_files": (text_files, sql.with_lines(
         f"SELECT segment, line_number, raw FROM ({_LANDED})")),
     "text_file_tails": (text_file_tails, sql.with_lines(

@@ -10,8 +10,10 @@ from loomlog.plans import check_base as sql
 from loomlog.plans.clock import _KEYED, _tick_columns, _ticks_check
 from loomlog.plans.files import landed_lines
 from loomlog.session import shared_folder
-from loomlog.sources.tables import ERROR_SQL, SECOND_SQL, as_of, lines_from_events, table
-from loomlog.streaming import live
+from loomlog.sources.tables import (
+    ERROR_SQL, SECOND_SQL, as_of, lines_from_events, log_lines, table,
+)
+from loomlog.streaming import live, tables
 
 DELAY = 5
 
@@ -27,19 +29,20 @@ def _entries(spark, sf_dir, *columns):
     )
 
 
-def _finished(spark, df, mode="append"):
+def _finished(spark, df):
     """Run a stream to its end into a table and read that."""
     folder = shared_folder(spark)
-    query = live.start_table(df, f"{folder}/table", f"{folder}/checkpoint", mode)
-    query.awaitTermination()
-    if mode == "complete":
-        return live.latest_table(spark, f"{folder}/table")
+    live.start_table(df, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table")
 
 
 def _running(name):
     def run(spark, sf_dir):
-        return _finished(spark, live.running_counts(_entries(spark, sf_dir, name), name), "complete")
+        folder = shared_folder(spark)
+        tables.start_totals(
+            _entries(spark, sf_dir, name), [name], f"{folder}/totals", f"{folder}/checkpoint"
+        ).awaitTermination()
+        return tables.Versions(f"{folder}/totals").newest(spark)
 
     return run, sql.with_entries(f"SELECT {name}, count(*) AS cnt FROM entries GROUP BY {name}")
 
@@ -53,6 +56,97 @@ def live_files(spark, sf_dir):
     return done.groupBy("format", "fingerprint").agg(F.count("*").alias("cnt"))
 
 
+PARTS = 4
+
+
+def _landings(spark, sf_dir, folder):
+    """Land the log lines in four parts, each in order and one after the other; the parts belong
+    to two logs in turn. Yields after every part."""
+    lines = log_lines(spark, sf_dir)
+    last = lines.agg(F.max("line_number")).first()[0]
+    ordered = lines.select(
+        "line_number", F.expr(f"line_number * {PARTS} div ({last} + 1)").alias("part"),
+        F.col("raw").alias("value"),
+    )
+    for part in range(PARTS):
+        (
+            ordered.filter(F.col("part") == part).repartitionByRange("line_number")
+            .sortWithinPartitions("line_number").select("value")
+            .write.text(f"{folder}/log{part % 2}/part{part}")
+        )
+        yield part
+
+
+_PARTS = rf"""parts AS (SELECT line_number, raw,
+  line_number * {PARTS} // ((SELECT max(line_number) FROM log_lines) + 1) AS part FROM log_lines
+  WHERE regexp_matches(raw, '\S'))"""
+
+
+def live_line_numbers(spark, sf_dir):
+    """Four batches of two logs, the query started anew for each."""
+    folder = shared_folder(spark)
+    log = F.regexp_extract("source", r"/(log\d)/", 1)
+    for _ in _landings(spark, sf_dir, f"{folder}/in"):
+        # a part is written as several files at once: they follow each other by name
+        lines = live.read_live(spark, f"{folder}/in", log=log)
+        tables.start_numbered(
+            lines, f"{folder}/lines", f"{folder}/c", order=("source", "block")
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/lines").select("log", "line_number", "raw")
+
+
+def live_since(spark, sf_dir):
+    """Only what was landed from the time of the second part on."""
+    folder = shared_folder(spark)
+    for _ in _landings(spark, sf_dir, f"{folder}/in"):
+        pass
+    second = spark.read.format("binaryFile").load(f"{folder}/in/log1/part1").select("modificationTime")
+    since = second.agg(F.min("modificationTime").cast("string")).first()[0]
+    lines = live.read_live(spark, f"{folder}/in", start_at=since)
+    part = F.regexp_extract("source", r"/part(\d)/", 1).cast("bigint")
+    return _finished(spark, lines.select(part.alias("part"), "raw"))
+
+
+def live_losses(spark, sf_dir):
+    """The dense clock in three batches; a tenth of the lines comes one batch late."""
+    folder = shared_folder(spark)
+    events = table(spark, sf_dir, "events").selectExpr(
+        f"{SECOND_SQL} AS sec", f"{ERROR_SQL} AS is_error", "user_id % 7 AS grp", "event_id"
+    )
+    ends = events.agg(F.expr("(min(sec) + max(sec)) div 2")).first()[0]
+    batches = events.withColumn("batch", F.expr(f"int(sec >= {ends}) + int(event_id % 10 = 0)"))
+    for batch in range(3):
+        batches.filter(F.col("batch") == batch).selectExpr(
+            "timestamp_seconds(sec) AS event_time", "is_error", "grp"
+        ).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("event_time timestamp, is_error boolean, grp bigint")
+        tables.start_seconds(
+            stream.parquet(f"{folder}/in"), f"{folder}/seconds", f"{folder}/c", DELAY, ["grp"]
+        ).awaitTermination()
+    closed = tables.closed_seconds(spark, f"{folder}/seconds").groupBy("grp").agg(
+        F.sum("n").alias("n"), F.sum("err").alias("err"), F.count("*").alias("seconds")
+    )
+    lost = tables.lost_lines(spark, f"{folder}/seconds")
+    every = tables.lost_total(spark, f"{folder}/seconds").alias("all_lost")
+    return closed.join(lost, "grp", "left").select("grp", "n", "err", "seconds", "lost", every)
+
+
+_LOSSES = f"""WITH timed AS (SELECT {SECOND_SQL} AS sec, {ERROR_SQL} AS is_error, user_id % 7 AS grp,
+  event_id FROM events),
+dealt AS (SELECT *, CAST(sec >= (SELECT (min(sec) + max(sec)) // 2 FROM timed) AS INT)
+  + CAST(event_id % 10 = 0 AS INT) AS batch FROM timed),
+marks AS (SELECT b.batch, max(d.sec) - {DELAY} AS mark FROM (SELECT DISTINCT batch FROM dealt) b
+  JOIN dealt d ON d.batch <= b.batch GROUP BY b.batch),
+judged AS (SELECT d.*, coalesce(sec + 1 <= m.mark, false) AS late FROM dealt d
+  LEFT JOIN marks m ON m.batch = d.batch - 1)
+SELECT grp, CAST(count(*) FILTER (WHERE NOT late AND shut) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE NOT late AND shut AND is_error) AS BIGINT) AS err,
+  count(DISTINCT sec) FILTER (WHERE NOT late AND shut) AS seconds,
+  nullif(CAST(count(*) FILTER (WHERE late) AS BIGINT), 0) AS lost,
+  (SELECT CAST(count(*) AS BIGINT) FROM judged WHERE late) AS all_lost
+FROM (SELECT *, sec + 1 <= (SELECT max(mark) FROM marks) AS shut FROM judged) GROUP BY grp"""
+
+
 def _seconds(spark, sf_dir, keys=()):
     """Closed seconds of the dense clock."""
     dense = _events(spark, sf_dir).selectExpr(
@@ -112,6 +206,14 @@ QUERIES = {
     "live_signature_counts": _running("fingerprint"),
     "live_files": (live_files, sql.with_entries(
         "SELECT format, fingerprint, count(*) AS cnt FROM entries GROUP BY ALL")),
+    "live_line_numbers": (live_line_numbers, sql.with_lines("").rstrip() + f""",
+{_PARTS}
+SELECT concat('log', part % 2) AS log, raw,
+  row_number() OVER (PARTITION BY part % 2 ORDER BY line_number) AS line_number FROM parts"""),
+    "live_since": (live_since, sql.with_lines("").rstrip() + f""",
+{_PARTS}
+SELECT CAST(part AS BIGINT) AS part, raw FROM parts WHERE part >= 1"""),
+    "live_losses": (live_losses, _LOSSES),
     "live_seconds": (live_seconds, sql.with_seconds(
         f"SELECT sec, n, err FROM seconds WHERE {_CLOSED}")),
     "live_minutes": (live_minutes, sql.with_seconds(

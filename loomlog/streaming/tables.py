@@ -100,12 +100,17 @@ def start_totals(
 
 
 def number_lines(
-    batch: DataFrame, batch_id: int, state: str, log: str = "log", count_blank: bool = False
+    batch: DataFrame,
+    batch_id: int,
+    state: str,
+    log: str = "log",
+    count_blank: bool = False,
+    order: Sequence[str] = ("arrival", "source", "block"),
 ) -> DataFrame:
     """The lines of a batch with numbers that go on from the batches before it.
 
-    For use in ``foreachBatch`` on ``live.read_live(..., log=...)``. Segments of one log
-    follow each other by arrival, then path. A first pass counts the lines of every file
+    For use in ``foreachBatch`` on ``live.read_live(..., log=...)``. Segments of one log that
+    came in one batch follow each other by ``order``. A first pass counts the lines of every file
     split; a line's number is its log's lines in earlier batches, those of earlier splits, and
     its place in its own split. Lines are neither sorted nor shuffled, however long a log is.
     Blank lines are dropped; they count where ``count_blank`` says so.
@@ -114,8 +119,7 @@ def number_lines(
     table = Versions(state)
     lines = batch if count_blank else drop_blank(batch)
     lines = lines.withColumn("_id", F.monotonically_increasing_id())
-    order = Window.partitionBy(log).orderBy("arrival", "source", "block")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(log).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         lines.groupBy(log, "arrival", "source", "block")
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
@@ -146,16 +150,17 @@ def start_numbered(
     path: str,
     checkpoint: str,
     then: Callable[[DataFrame], DataFrame] = lambda lines: lines,
-    count_blank: bool = False,
     once: bool = True,
+    **numbering,
 ) -> StreamingQuery:
     """Land numbered lines in a table, after ``then`` has made what it will of them.
 
     Each batch writes its own folder of the table, so a repeated batch replaces itself.
+    ``numbering`` goes to ``number_lines``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        numbered = number_lines(batch, batch_id, f"{path}_lines", count_blank=count_blank)
+        numbered = number_lines(batch, batch_id, f"{path}_lines", **numbering)
         then(numbered).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return _start(lines, checkpoint, run, once)
