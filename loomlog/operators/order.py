@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_WIDTH = 65_536
+# positions whose texts may be held together
+CONTEXT_WIDTH = 1_024
 # Up to this many rows a plain ordered limit is cheapest: every task keeps only its best.
 ORDERED_LIMIT = 10_000
 
@@ -37,6 +39,14 @@ def _range_counts(
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join on equal keys; a missing key, such as a line without a source, equals
+    another missing one."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    joined = left.join(renamed, [left[k].eqNullSafe(renamed[f"_same_{k}"]) for k in keys])
+    return joined.drop(*(f"_same_{k}" for k in keys))
+
+
 def last_rows(
     df: DataFrame,
     n: int,
@@ -56,7 +66,7 @@ def last_rows(
     ranged = _ranged(df, order, width)
     keys = [*groups, *places, "_range"]
     wanted = _range_counts(ranged, groups, True, places).filter(F.col("_ahead") < n)
-    rows = ranged.join(wanted, keys)
+    rows = _same(ranged, wanted, keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return (
         rows.withColumn("_rank", F.col("_ahead") + rank)
@@ -78,7 +88,7 @@ def with_position(
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     ranked = ranged.withColumn("_rank", rank)
     counts = _range_counts(ranged, groups, newest_first=False).drop("_rows")
-    return ranked.join(counts, keys).select(
+    return _same(ranked, counts, keys).select(
         *df.columns, (F.col("_ahead") + F.col("_rank") - 1).alias(name)
     )
 
@@ -91,15 +101,17 @@ def with_context(
     order: str = "line_number",
     groups: Sequence[str] = ("source",),
     name: str = "context",
-    width: int = RANGE_WIDTH,
+    width: int = CONTEXT_WIDTH,
     position: str | None = None,
 ) -> DataFrame:
     """The target rows, each with the texts of up to ``half`` rows before and after it.
 
-    Positions are cut into ranges; the ``half`` rows at each end of a range are also sent to
-    the neighbouring range, so every window is complete within one range. Numbering the
-    positions reads ``df`` twice: give the ``position`` column of ``with_position`` where
-    ``df`` is costly, as entries are that were not read from a table.
+    Positions are cut into blocks; the ``half`` rows at each end of a block are also sent to the
+    neighbouring block, so every window is complete within one. Windows of targets that overlap
+    are an island: its texts are gathered once, and each target takes its slice of them. Texts out
+    of reach of every target are not gathered. Numbering the positions reads ``df`` twice: give
+    the ``position`` column of ``with_position`` where ``df`` is costly, as entries are that
+    were not read from a table.
     """
     if position is None:
         placed = with_position(df, order, groups, "_position", width)
@@ -115,13 +127,53 @@ def with_context(
     spread = placed.withColumns({"_target": target, "_home": place}).withColumn(
         "_window", F.explode(homes)
     )
-    near = (
-        Window.partitionBy(*groups, "_window").orderBy("_position").rangeBetween(-half, half)
+    block = Window.partitionBy(*groups, "_window").orderBy("_position")
+    islands = (
+        spread.withColumn("_near", F.max("_target").over(block.rangeBetween(-half, half)))
+        .filter("_near")
+        .withColumn("_at", F.row_number().over(block))
+    )
+    own = F.col("_target") & (F.col("_home") == F.col("_window"))
+    texts = F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", F.col(text).alias("text")))), lambda r: r["text"]
+    )
+    ahead = F.least(F.lit(half).cast("bigint"), F.col("_position")).cast("int")
+    first = (F.col("_at") - ahead).alias("first")
+    row = F.struct(*df.columns, first, (ahead + half + 1).alias("length"))
+    gathered = islands.groupBy(*(F.col(g).alias(f"_by_{g}") for g in groups), "_window").agg(
+        texts.alias("_texts"), F.collect_list(F.when(own, row)).alias("_rows")
     )
-    # rows out of reach of every target leave before their texts are gathered
-    reached = spread.withColumn("_near", F.max("_target").over(near)).filter("_near")
     return (
-        reached.withColumn(name, F.collect_list(text).over(near))
-        .filter(F.col("_target") & (F.col("_home") == F.col("_window")))
+        gathered.select(F.explode(F.transform(
+            "_rows",
+            lambda r: F.struct(
+                r.alias("row"), F.slice("_texts", r["first"], r["length"]).alias("context")
+            ),
+        )).alias("_found"))
+        .select("_found.row.*", F.col("_found.context").alias(name))
         .select(*df.columns, name)
     )
+
+
+def context_or_tail(
+    df: DataFrame,
+    target: Column,
+    half: int,
+    text: str = "raw",
+    order: str = "line_number",
+    groups: Sequence[str] = ("source",),
+    name: str = "context",
+    position: str | None = None,
+) -> DataFrame:
+    """W12 with its fallback: a group without any target gives its last row, with the last
+    ``2 * half`` texts as its context."""
+    found = with_context(df, target, half, text, order, groups, name, position=position)
+    silent = df.groupBy(*groups).agg(F.max(F.coalesce(target, F.lit(False))).alias("_any")).filter("not _any")
+    same = [df[g].eqNullSafe(silent[g]) for g in groups]
+    tails = last_rows(df.join(silent, same, "left_semi"), 2 * half, order, groups)
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.struct(*df.columns).alias("row"))))
+    ended = tails.groupBy(*(F.col(g).alias(f"_by_{g}") for g in groups)).agg(rows.alias("_rows")).select(
+        F.element_at("_rows", -1)["row"].alias("_row"),
+        F.transform("_rows", lambda r: r["row"][text]).alias(name),
+    )
+    return found.unionByName(ended.select("_row.*", name))

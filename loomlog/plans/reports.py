@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import text
 from loomlog.operators import anomaly, rates, stats
 from loomlog.operators.filters import add_search_spans, apply_filters, build_spec, parse_filtered
-from loomlog.operators.order import last_rows, with_context
+from loomlog.operators.order import context_or_tail, last_rows, with_context
 from loomlog.plans import check_base as sql
 from loomlog.plans.parsing import parsed, placed_entries
 from loomlog.sources.tables import SECOND_SQL, as_of, log_lines, table
@@ -298,6 +298,33 @@ FROM (SELECT line_number, file AS source, is_error, list(raw) OVER (
     PARTITION BY file ORDER BY line_number ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS context
   FROM entries) WHERE is_error""")
 
+
+
+def context_fallback(spark, sf_dir):
+    """The lines around the crashes of each log, or the last twelve of a log without one."""
+    entries = placed_entries(spark, sf_dir, "line_number", "raw", "fingerprint")
+    crash = F.col("raw").contains("segmentation fault") & (F.col("line_number") % 4 == 1)
+    crash &= F.col("source") < "svc3"
+    found = context_or_tail(entries, crash, half=6, position="position")
+    return found.select(
+        "line_number", "source", F.size("context").cast("bigint").alias("lines"),
+        F.md5(F.array_join("context", "\n")).alias("context_md5"),
+    )
+
+
+_FALLBACK = sql.with_entries("""SELECT line_number, source, len(context) AS lines,
+  md5(array_to_string(context, chr(10))) AS context_md5
+FROM (SELECT line_number, source, CASE WHEN any_hit THEN around ELSE tail END AS context, hit, any_hit, k
+  FROM (SELECT *, bool_or(hit) OVER (PARTITION BY source) AS any_hit,
+      row_number() OVER (PARTITION BY source ORDER BY line_number DESC) AS k,
+      list(raw) OVER (PARTITION BY source ORDER BY line_number
+        ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS around,
+      list(raw) OVER (PARTITION BY source ORDER BY line_number
+        ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS tail
+    FROM (SELECT line_number, file AS source, raw, contains(raw, 'segmentation fault')
+      AND line_number % 4 = 1 AND file < 'svc3' AS hit FROM entries)))
+WHERE hit OR (NOT any_hit AND k = 1)""")
+
 # -- display functions ---------------------------------------------------------------------------
 
 
@@ -484,6 +511,7 @@ ORDER BY line_number DESC LIMIT 8""")),
         """SELECT line_number, raw, fingerprint FROM entries WHERE is_error
 ORDER BY line_number DESC LIMIT 1""")),
     "context_windows": (context_windows, _CONTEXT),
+    "context_fallback": (context_fallback, _FALLBACK),
     "shown_orders": (shown_orders, _SHOWN_ORDERS),
     "shown_pages": (shown_pages, _SHOWN_PAGES),
 }

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.operators import anomaly, rates, stats
+from loomlog.operators import anomaly, order, rates, stats
 from loomlog.operators.order import last_rows, with_context, with_position
 
 
@@ -248,3 +248,35 @@ def test_snapshot_lists_are_cut_in_shares(spark, monkeypatch):
     assert [(p.name, p.cnt) for p in row.top_signatures] == [(c, len(counts[c])) for c in best]
     assert row.unique_errors == len(counts) and row.total_lines == 4000
     assert row.errors_last_minute == 240 and len(row.source_counts) == 10
+
+
+@pytest.mark.parametrize("half,width", [(6, 16), (2, 1024), (3, 4)])
+def test_context_islands_and_fallback(spark, half, width):
+    """Dense, sparse, missing and edge targets; logs without a target give their tail."""
+    rng = random.Random(half)
+    logs = {
+        "dense": [True] * 50, "none": [False] * 40, "short": [False] * 5, "edges": [True] + [False] * 70 + [True],
+        "mixed": [rng.random() < 0.1 for _ in range(300)], None: [k % 17 == 3 for k in range(60)],
+    }
+    rows = [(g, 3 * k, f"{g} {k}", None if g == "short" else t) for g, hits in logs.items() for k, t in enumerate(hits)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "source string, line_number bigint, raw string, hit boolean")
+    wanted = {}
+    for g, hits in logs.items():
+        texts = [f"{g} {k}" for k in range(len(hits))]
+        for k, hit in enumerate(hits):
+            if hit:
+                wanted[g, 3 * k] = texts[max(0, k - half): k + half + 1]
+        if not any(hits):
+            wanted[g, 3 * (len(hits) - 1)] = texts[-2 * half:]
+    near = with_context(df, F.col("hit"), half, width=width)
+    assert near.columns == ["source", "line_number", "raw", "hit", "context"]
+    found = {(r.source, r.line_number): r.context for r in near.collect()}
+    assert found == {k: v for k, v in wanted.items() if k[0] not in ("none", "short")}
+    whole = order.context_or_tail(df, F.col("hit"), half).collect()
+    assert {(r.source, r.line_number): r.context for r in whole} == wanted and len(whole) == len(wanted)
+
+
+def test_context_of_nothing(spark):
+    empty = spark.createDataFrame([], "source string, line_number bigint, raw string, hit boolean")
+    assert order.context_or_tail(empty, F.col("hit"), 6).collect() == []
