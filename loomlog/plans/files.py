@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.parse import parse_logs
@@ -253,6 +254,35 @@ header AS (
        FROM minute) AS rate))"""
 
 
+GUARD = 40
+
+
+def guarded_files(spark, sf_dir):
+    """Lines read up to so many characters, numbered by an index that a second read takes up."""
+    folder, index = landed_lines(spark, sf_dir), f"{shared_folder(spark)}/index"
+    for _ in range(2):
+        found = read_log_files(spark, [folder], most=GUARD, index=index)
+    segment = F.regexp_extract("file", r"segment=(\d+)", 1).cast("bigint")
+    return found.select(segment.alias("segment"), "line_number", "raw")
+
+
+def marked_files(spark, sf_dir):
+    """Logs in two byte orders, told by their marks, with characters that hold line feed bytes."""
+    folder = shared_folder(spark)
+    lines = log_lines(spark, sf_dir).select(
+        F.col("line_number").alias("at"), F.concat(F.lit("\u0a0d"), "raw", F.lit("\u010a")).alias("line")
+    )
+    for k, java in enumerate(("UTF-16LE", "UTF-16BE")):
+        # a mark opens every file: one line of its own, without a line feed before it
+        some = lines.filter(F.col("at") % 2 == k).repartitionByRange("at").sortWithinPartitions("at")
+        first = Window.partitionBy(F.spark_partition_id()).orderBy("at")
+        marked = some.withColumn("first", F.row_number().over(first) == 1)
+        text = F.when(F.col("first"), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line"))
+        bytes_ = marked.sortWithinPartitions("at").select(F.encode(text, java).cast("string").alias("value"))
+        bytes_.write.option("encoding", java).option("lineSep", "\n").text(f"{folder}/{k}")
+    return read_log_files(spark, [folder], "utf-16").select(F.md5("raw").alias("line_md5"))
+
+
 _SPELLED = ["JSON", ".json", " Markdown ", "md", "..MD", "md.", "plain", "Text", "txt\n", ".pdf", "", "parquet"]
 
 
@@ -275,6 +305,10 @@ FROM spelled GROUP BY ALL""".replace("'txt\\n'", "'txt' || chr(10)")
 
 
 QUERIES = {
+    "guarded_files": (guarded_files, sql.with_lines(
+        f"SELECT segment, line_number, left(raw, {GUARD}) AS raw FROM ({_LANDED})")),
+    "marked_files": (marked_files, sql.with_lines(
+        "SELECT md5(concat('\u0a0d', raw, '\u010a')) AS line_md5 FROM log_lines")),
     "export_names": (export_names, _NAMES),
     "text_files": (text_files, sql.with_lines(
         f"SELECT segment, line_number, raw FROM ({_LANDED})")),

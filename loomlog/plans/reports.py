@@ -155,6 +155,24 @@ def value_percentiles(spark, sf_dir):
     return found.withColumn("value", F.round("value", 6))
 
 
+def sketched_percentiles(spark, sf_dir):
+    """Percentiles of prices by clerk group from sketches per day, and whether their ranks are near."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority AS priority", "o_orderdate AS day", "CAST(o_totalprice AS DOUBLE) AS price"
+    )
+    days = stats.quantile_sketches(orders, "price", ["priority", "day"])
+    whole = stats.merge_sketches(days, ["priority"])
+    found = stats.sketch_percentiles(whole, (1, 25, 50, 90, 99), ["priority"])
+    # a priority has five rows of percentiles: the ranks of its values are counted once
+    ranks = orders.join(found, "priority").groupBy("priority", "percent").agg(
+        F.count_if(F.col("price") < F.col("value")).alias("below"),
+        F.count_if(F.col("price") <= F.col("value")).alias("upto"), F.count("*").alias("n"),
+    )
+    rank, slack = F.col("percent") / 100 * F.col("n"), F.col("n") * 0.015 + 1
+    near = (F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)
+    return ranks.select("priority", "percent", "n", near.alias("near"))
+
+
 def statistics_snapshot(spark, sf_dir):
     def flat(column):
         pairs = F.array_sort(F.map_entries(column))
@@ -490,6 +508,9 @@ WHERE duration_ms IS NOT NULL GROUP BY p""").replace(
         f"""SELECT event_type, {float(p)}::DOUBLE AS percent,
   round(quantile_cont(value, {p / 100}), 6) AS value FROM events GROUP BY event_type"""
         for p in (1, 25, 50, 75, 95))),
+    "sketched_percentiles": (sketched_percentiles,
+        """SELECT o_orderpriority AS priority, percent, count(*) AS n, true AS near
+FROM orders, (SELECT unnest([1.0, 25.0, 50.0, 90.0, 99.0])::DOUBLE AS percent) GROUP BY ALL"""),
     "statistics_snapshot": (statistics_snapshot, _SNAPSHOT),
     "source_freshness": (source_freshness, sql.with_entries(
         f"""SELECT source, max(line_number) AS last_line,

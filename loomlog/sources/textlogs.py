@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.fixed import grammar
+from loomlog.sources.ranges import read_ranges
 
 # Rows of the split table, a path and five numbers each, that may be broadcast.
 BROADCAST_SPLITS = 1_000_000
@@ -86,14 +87,9 @@ def decode_text(value: Column, encoding: str = "utf-8") -> Column:
     return F.decode(value.cast("binary"), name)
 
 
-def _wide(encoding: str) -> str | None:
-    """The Java name of an encoding whose line ends are wider than a byte, else None."""
-    name = codecs.lookup(encoding).name
-    if not name.startswith(("utf-16", "utf-32")):
-        return None
-    if not name.endswith(("-le", "-be")):
-        raise ValueError(f"name the byte order of {encoding}, as in {name}-le")
-    return name.upper().replace("-LE", "LE").replace("-BE", "BE")
+def _wide(encoding: str) -> bool:
+    """Are the line ends of an encoding wider than a byte?"""
+    return codecs.lookup(encoding).name.startswith(("utf-16", "utf-32"))
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
@@ -107,16 +103,10 @@ def _scan(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame
         spark.conf.set(
             "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)
         )
-    wide, reader = _wide(encoding), spark.read
-    if wide:  # lines end where the encoding's own line feed is
-        reader = reader.option("encoding", wide).option("lineSep", "\n")
-    lines = reader.text(list(paths))
+    lines = spark.read.text(list(paths))
     with _lenient_charsets(spark):
-        raw = decode_text(F.col("value"), encoding)
-        if wide:
-            raw = F.regexp_replace(raw, "^\ufeff|\r$", "")
         return lines.select(
-            raw.alias("raw"),
+            decode_text(F.col("value"), encoding).alias("raw"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.spark_partition_id().alias("_part"),
@@ -146,6 +136,8 @@ def read_log_files(
     tail: int | None = None,
     keep_blank: bool = False,
     numbers: bool = True,
+    most: int | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """``(raw, source, line_number, file)`` of text files.
 
@@ -154,7 +146,15 @@ def read_log_files(
     never shuffled for it. ``tail`` keeps the last lines of each file, counted before blank
     ones are dropped; 0 or None keeps all. Without ``numbers`` the files are read once and
     line numbers are null.
+
+    ``most`` guards against endless lines: no more characters of one are held or given (S8).
+    ``index`` keeps the counts of the first pass in a folder, so that files that have not changed
+    are read once from then on (S3). With either, and for encodings wider than a byte, files are
+    read by fixed byte ranges in Python; see ``ranges``.
     """
+    if most is not None or index is not None or _wide(encoding):
+        found = read_ranges(spark, paths, encoding, tail, most, index, numbers).drop("cut")
+        return found if keep_blank else drop_blank(found)
     lines = _scan(spark, paths, encoding)
     if not numbers:
         if tail:

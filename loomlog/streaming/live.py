@@ -19,8 +19,8 @@ from loomlog.operators import anomaly
 from loomlog.operators.diagnose import diagnose
 from loomlog.operators.order import last_rows, with_context
 from loomlog.operators.parse import parse_logs
+from loomlog.sinks.versions import Versions
 from loomlog.sources.textlogs import decode_text, drop_blank
-from loomlog.streaming.tables import Versions
 
 
 def read_live(

@@ -1,3 +1,4 @@
+import codecs
 import json
 import os
 import random
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from loomlog.functions import text
 from loomlog.operators.parse import parse_logs
 from loomlog.sinks.export import normalise_format, target_path, write_export
+from loomlog.sinks.versions import Versions
+from loomlog.sources import ranges
 from loomlog.sources.records import normalise_records, text_records
 from loomlog.sources.textlogs import cut_unterminated, discover_logs, read_log_files
 
@@ -183,5 +186,118 @@ def test_wide_encodings(spark, tmp_path):
             (1, lines[0]), (2, lines[1]), (4, lines[3])]
         bare = read_log_files(spark, [str(path)], encoding, numbers=False).collect()
         assert {(r.line_number, r.raw) for r in bare} == {(None, x) for x in lines if x}
-    with pytest.raises(ValueError, match="byte order"):
-        read_log_files(spark, [str(path)], "utf-16")
+
+
+LINE_ENDS = ["\n", "\r\n", "\r", "\n\n", "\r\r\n", "\n\r"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "latin-1", "utf-16", "utf-16-be", "utf-32", "utf-32-be"])
+@pytest.mark.parametrize("width", [4, 12, 64, 1 << 20])
+def test_ranges_read_what_python_reads(spark, tmp_path, encoding, width, monkeypatch):
+    """Every width of range and chunk gives the lines and numbers of one reading by Python."""
+    rng = random.Random(width)
+    letters = "abé \u00ff" if encoding == "latin-1" else "abé \u0a0d\u0d0a\u0a00\u010a\U0001f40a"
+    monkeypatch.setattr(ranges, "CHUNK_BYTES", 8 if width < 64 else 1 << 20)
+    wanted = {}
+    for k in range(6):
+        text = "".join(
+            "".join(rng.choice(letters) for _ in range(rng.randrange(9))) + rng.choice(LINE_ENDS)
+            for _ in range(rng.randrange(14))
+        ) + rng.choice(["", "end"])
+        path = tmp_path / f"{k}.log"
+        # byte orders are mixed where the mark tells them
+        plain = {"utf-16": ["utf-16-le", "utf-16-be"], "utf-32": ["utf-32-le", "utf-32-be"]}.get(encoding)
+        data = text.encode(encoding) if plain is None else ("\ufeff" + text).encode(plain[k % 2])
+        path.write_bytes(data)
+        with open(path, encoding=encoding) as file:
+            wanted[f"{k}.log"] = [line.rstrip("\n") for line in file]
+    rows = ranges.read_ranges(spark, [str(tmp_path)], encoding, width=width, most=None).collect()
+    found = {name: [] for name in wanted}
+    for row in sorted(rows, key=lambda r: (r.file, r.line_number)):
+        found[row.file.rsplit("/", 1)[1]].append(row.raw)
+        assert row.line_number == len(found[row.file.rsplit("/", 1)[1]]) and not row.cut
+    assert found == wanted
+    tails = ranges.read_ranges(spark, [str(tmp_path)], encoding, tail=3, width=width, most=None).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.line_number, r.raw) for r in tails) == sorted(
+        (name, n, line) for name, lines in wanted.items() for n, line in list(enumerate(lines, 1))[-3:])
+
+
+def test_wide_without_a_mark_is_little_endian(spark, tmp_path):
+    path = tmp_path / "bare.log"
+    path.write_bytes("eins\nzwei".encode("utf-16-le"))
+    found = read_log_files(spark, [str(path)], "utf-16").orderBy("line_number").collect()
+    assert [(r.line_number, r.raw) for r in found] == [(1, "eins"), (2, "zwei")]
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    """Broken sequences become marks; a wide file may end within a unit."""
+    (tmp_path / "a.log").write_bytes(b"ok\n\xff\xfebad\n\xe2\x82")
+    (tmp_path / "b.log").write_bytes("x\ny".encode("utf-16-le") + b"z")
+    narrow = read_log_files(spark, [str(tmp_path / "a.log")], most=100).orderBy("line_number").collect()
+    assert [r.raw for r in narrow] == ["ok", "\ufffd\ufffdbad", "\ufffd"]
+    wide = read_log_files(spark, [str(tmp_path / "b.log")], "utf-16-le").orderBy("line_number").collect()
+    assert [r.raw for r in wide] == ["x", "y\ufffd"]
+
+
+def test_endless_lines_are_cut_and_never_held(spark, tmp_path):
+    """200 MB without a line end in files of many ranges; workers stay far below that."""
+    path = tmp_path / "endless.log"
+    with open(path, "wb") as out:
+        out.write(b"first\n")
+        for _ in range(200):
+            out.write("é".encode() * (1 << 19))
+        out.write(b"\nlast")
+
+    found = read_log_files(spark, [str(path)], most=64 * 1024).orderBy("line_number").collect()
+    assert [(r.line_number, len(r.raw)) for r in found] == [(1, 5), (2, 65_536), (3, 4)]
+    assert set(found[1].raw) == {"é"}
+    lines = ranges.range_lines(ranges.file_ranges(spark, [str(path)]), most=64 * 1024)
+    assert {r.cut for r in lines.collect()} == {False, True}
+    held = list(ranges._range_lines(open_at(path), path.stat().st_size, 0, 32 << 20, "utf-8", 64 * 1024))
+    assert max(len(line) for line, _ in held[1:]) <= 4 * 64 * 1024
+
+
+def open_at(path):
+    import pyarrow.fs
+
+    return pyarrow.fs.LocalFileSystem().open_input_file(str(path))
+
+
+def test_line_index_is_kept_and_extended(spark, tmp_path, monkeypatch):
+    """A second read counts nothing; a new or changed file is counted, others are not."""
+    folder, index = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+    counted = []
+    count = ranges._counted
+    monkeypatch.setattr(ranges, "_counted", lambda some, encoding: counted.append(
+        sorted({r.file.rsplit("/", 1)[1] for r in some.collect()})) or count(some, encoding))
+
+    def land(name, lines, at):
+        (folder / name).write_text("".join(f"{line}\n" for line in lines))
+        os.utime(folder / name, (at, at))
+
+    def read():
+        rows = ranges.read_ranges(spark, [str(folder)], index=index, width=16).collect()
+        assert sorted((r.file, r.line_number, r.raw) for r in rows) == sorted(
+            (f"file:{path}", n, line) for path in folder.iterdir()
+            for n, line in enumerate(path.read_text().splitlines(), 1))
+
+    land("a.log", ["one", "", "three", "a long fourth line over ranges"], 1.6e9)
+    land("b.log", ["x"] * 30, 1.6e9)
+    read()
+    assert counted == [["a.log", "b.log"]]
+    read()
+    assert len(counted) == 1
+    land("c.log", ["new"] * 9, 1.6e9)
+    land("b.log", ["y", "z", "w"] * 10, 1.6e9 + 5)
+    read()
+    assert counted[1:] == [["b.log", "c.log"]]
+    read()
+    assert len(counted) == 2 and len(Versions(index).whole(spark)) == 2
+
+
+def test_empty_files_and_no_files(spark, tmp_path):
+    (tmp_path / "empty.log").write_bytes(b"")
+    (tmp_path / "mark.log").write_bytes(codecs.BOM_UTF16_LE)
+    assert read_log_files(spark, [str(tmp_path)], "utf-16").collect() == []
+    assert read_log_files(spark, [str(tmp_path / "empty.log")], index=str(tmp_path / "i")).collect() == []
