@@ -61,3 +61,9 @@ def get(folder: str, name: str, dtype) -> np.ndarray:
             held.popitem(last=False)
     held.move_to_end(key)
     return held[key]
+
+
+def remove(spark, folder: str) -> None:
+    """Remove a folder of tables and arrays that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
