@@ -76,29 +76,36 @@ formed AS (
   SELECT doc_id, pos, words, [len(words)::VARCHAR] || words[1:3] AS leaf,
          [lag(words) OVER w, lead(words) OVER w] AS around
   FROM worded WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-in_leaf AS (SELECT leaf, doc_id, arg_min(around, pos) AS around FROM formed GROUP BY ALL),
-live AS (
-  SELECT leaf FROM in_leaf GROUP BY leaf
-  HAVING count(DISTINCT around) >= 5 AND 4 * count(DISTINCT around) >= count(*)),
+texts AS (SELECT doc_id, coalesce(text, '') AS content FROM documents),
+in_leaf AS (
+  SELECT DISTINCT leaf, content, around FROM (
+    SELECT leaf, doc_id, arg_min(around, pos) AS around FROM formed GROUP BY ALL) JOIN texts USING (doc_id)),
+live AS (SELECT leaf FROM in_leaf GROUP BY leaf HAVING count(DISTINCT around) >= 2),
 forms AS (
-  SELECT leaf, words, doc_id, arg_min(around, pos) AS around
-  FROM formed JOIN live USING (leaf) GROUP BY ALL),
+  SELECT leaf, words, content, around, min(doc_id) AS first FROM (
+    SELECT leaf, words, doc_id, arg_min(around, pos) AS around
+    FROM formed JOIN live USING (leaf) GROUP BY ALL) JOIN texts USING (doc_id)
+  GROUP BY ALL),
 variants AS (SELECT leaf, words, count(*) AS n FROM forms GROUP BY ALL),
+held AS (SELECT leaf, sum(n) AS leaf_n FROM variants GROUP BY leaf),
 exploded AS (
   SELECT leaf, words, n, unnest(words) AS word, generate_subscripts(words, 1) AS place
   FROM variants),
-frequent AS (
-  SELECT leaf, place, word, 1 AS fixed FROM exploded GROUP BY ALL HAVING sum(n) >= 5),
+shared AS (
+  SELECT leaf, place, word, 1 AS fixed
+  FROM (SELECT leaf, place, word, sum(n) AS n FROM exploded GROUP BY ALL) JOIN held USING (leaf)
+  WHERE 3 * n > leaf_n),
 shaped AS (
-  SELECT leaf, words,
-         CASE WHEN 2 * count(fixed) >= count(*)
+  SELECT leaf, words, len(words) AS n_words,
+         CASE WHEN 2 * count(fixed) FILTER (WHERE place > 3) >= len(words) - 3
            THEN leaf || ['|'] || list(CASE WHEN fixed = 1 THEN word ELSE chr(2) END ORDER BY place)
            ELSE ['-'] || words END AS template
-  FROM exploded LEFT JOIN frequent USING (leaf, place, word) GROUP BY leaf, words),
+  FROM exploded LEFT JOIN shared USING (leaf, place, word) GROUP BY leaf, words),
 known AS (
-  SELECT template, min(doc_id) AS first FROM forms JOIN shaped USING (leaf, words)
+  SELECT template, min(first) AS first FROM forms JOIN shaped USING (leaf, words)
   GROUP BY template
-  HAVING count(DISTINCT around) >= 5 AND 4 * count(DISTINCT around) >= count(*)),
+  HAVING count(DISTINCT around) >= CASE WHEN min(n_words) >= 50 THEN 2 ELSE 3 END
+     AND 4 * count(DISTINCT around) >= count(*)),
 dropped AS (SELECT words, min(first) AS first FROM shaped JOIN known USING (template) GROUP BY words),
 judged AS (
   SELECT w.*, len(w.words) > 0 AS full_line, d.first IS NOT NULL AND d.first <> doc_id AS gone

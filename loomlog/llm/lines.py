@@ -1,12 +1,15 @@
 """Line dedup: recurring line templates found by a fixed-depth tree.
 
 A line goes down the tree by its number of words and its first words, with words that hold a
-digit as wildcards. In a leaf that recurs, a word that is frequent at its place is part of the
-template and any other word a variable field; a line less than half of which is frequent stays
-as it is. A template recurs when it stands in enough different surroundings (the lines before and after
-it), and in a good part of all documents it is in: lines of copied documents have the same
-surroundings and are left to near-duplicate removal. Lines of recurring templates are dropped
-from all documents but the first.
+digit as wildcards. In a leaf, a word that more than a third of the lines have at its place is part
+of the template and any other word a variable field; a line that has less than half of its words
+beyond the first ones in common with that stays as it is. Shares do not depend on how much is read.
+
+A template recurs when it stands in three different surroundings (the lines before and after it),
+for lines of fifty words and more in two, and in at least a quarter as many as documents. Both are
+counted over documents of different text, so copies of a document change nothing; lines of near
+copies have the same surroundings and are left to near-duplicate removal. Lines of recurring
+templates are dropped from all documents but the first.
 
 Leaves and lines to drop are sorted hash arrays in the shared folder that workers map, as in
 the language model. Texts are read three times and never shuffled.
@@ -34,7 +37,10 @@ from loomlog.llm.store import put
 from loomlog.session import shared_folder
 
 DEPTH = 3
-LEAST_PLACES = 5
+# surroundings that short and long lines must have, and what is long
+LEAST_PLACES, LONG_PLACES, LONG_WORDS = 3, 2, 50
+# one in so many lines of a leaf must have a word, and more, for it to be part of a template
+SHARED = 3
 # of the documents with a template, at least one in so many has surroundings of its own
 OWN_PLACES = 4
 _DIGIT = np.zeros(256, bool)
@@ -78,6 +84,8 @@ class Lines:
         before[1:][same] = self.form[:-1][same]
         after[:-1][same] = self.form[1:][same]
         self.around = chain(before, after)
+        # the text as a whole: copies have the same
+        self.content = span_hash(sums, self.offsets[:-1], self.offsets[1:])[self.row]
 
 
 def _first_by(*keys: np.ndarray) -> np.ndarray:
@@ -102,12 +110,16 @@ def _leaves(batches):
             found = Lines(piece.column("text"))
             at = _first_by(found.start, found.leaf, found.row)
             yield pa.record_batch(
-                {"leaf": _signed(found.leaf[at]), "around": _signed(found.around[at])}
+                {
+                    "leaf": _signed(found.leaf[at]),
+                    "around": _signed(found.around[at]),
+                    "content": _signed(found.content[at]),
+                }
             )
 
 
 def _forms(folder: str, bits: int, files: frozenset):
-    """Lines in recurring leaves: one row for each form of a document, with its words' hashes."""
+    """Lines in leaves of several surroundings: one row for each form of a document."""
 
     def run(batches):
         for batch in batches:
@@ -128,6 +140,7 @@ def _forms(folder: str, bits: int, files: frozenset):
                         "leaf": _signed(found.leaf[at]),
                         "form": _signed(found.form[at]),
                         "around": _signed(found.around[at]),
+                        "content": _signed(found.content[at]),
                         "doc_id": ids,
                         "words": pa.array(words, pa.list_(pa.int64())),
                     }
@@ -166,73 +179,95 @@ def _stored(rows: DataFrame, folder: str, name: str) -> tuple[int, frozenset]:
 
 
 def recurring() -> F.Column:
-    """The rule on distinct surroundings and documents."""
-    return (F.col("places") >= LEAST_PLACES) & (OWN_PLACES * F.col("places") >= F.col("docs"))
+    """The rule on distinct surroundings and documents of distinct text."""
+    least = F.when(F.col("n_words") >= LONG_WORDS, LONG_PLACES).otherwise(LEAST_PLACES)
+    return (F.col("places") >= least) & (OWN_PLACES * F.col("places") >= F.col("docs"))
+
 
+def _places(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """Distinct surroundings and documents of each key, from rows that are distinct by text.
 
-def _places(rows: DataFrame, key: str, least: bool = False) -> DataFrame:
-    """Distinct surroundings and documents of each key, from one row per key and document."""
-    more = [F.min("doc_id").alias("first")] if least else []
-    again = [F.min("first").alias("first")] if least else []
+    The smallest of each of ``more`` is kept.
+    """
+    least = [F.min(c).alias(c) for c in more]
     return (
         rows.groupBy(key, "around")
-        .agg(F.count("*").alias("docs"), *more)
+        .agg(F.count("*").alias("docs"), *least)
         .groupBy(key)
-        .agg(F.count("*").alias("places"), F.sum("docs").alias("docs"), *again)
+        .agg(F.count("*").alias("places"), F.sum("docs").alias("docs"), *least)
     )
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def templates(docs: DataFrame, folder: str) -> tuple[int, frozenset]:
     """Store the forms of all recurring templates with the first document of each."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    leaves = _places(texts.mapInArrow(_leaves, "leaf long, around long"), "leaf")
-    live = leaves.filter(recurring()).select(
+    leaves = texts.mapInArrow(_leaves, "leaf long, around long, content long").distinct()
+    # no template recurs in a leaf that has one surrounding only
+    live = _places(leaves, "leaf").filter(F.col("places") >= LONG_PLACES).select(
         F.col("leaf").alias("key"), F.lit(1).cast("long").alias("value")
     )
-    live.write.parquet(f"{folder}/leaves.parquet")
-    bits, files = _stored(spark.read.parquet(f"{folder}/leaves.parquet"), folder, "leaves")
-
-    texts.mapInArrow(
-        _forms(folder, bits, files),
-        "leaf long, form long, around long, doc_id long, words array<long>",
-    ).write.parquet(f"{folder}/forms.parquet")
-    forms = spark.read.parquet(f"{folder}/forms.parquet")
-    variants = forms.groupBy("leaf", "form").agg(
-        F.count("*").alias("n"), F.any_value("words").alias("words")
+    bits, files = _stored(_written(live, f"{folder}/leaves.parquet"), folder, "leaves")
+
+    lines = _written(
+        texts.mapInArrow(
+            _forms(folder, bits, files),
+            "leaf long, form long, around long, content long, doc_id long, words array<long>",
+        ),
+        f"{folder}/forms.parquet",
+    )
+    # a form once for each text that has it, however often that was copied
+    forms = _written(
+        lines.groupBy("leaf", "form", "content", "around").agg(F.min("doc_id").alias("first")),
+        f"{folder}/distinct.parquet",
+    )
+    counts = forms.groupBy("form").agg(F.count("*").alias("n"))
+    variants = lines.groupBy("leaf", "form").agg(F.any_value("words").alias("words"))
+    exploded = variants.join(counts, "form").select(
+        "leaf", "form", "n", F.posexplode("words").alias("place", "word")
     )
-    exploded = variants.select("leaf", "form", "n", F.posexplode("words").alias("place", "word"))
-    frequent = (
+    held = forms.groupBy("leaf").agg(F.count("*").alias("leaf_n"))
+    shared = (
         exploded.groupBy("leaf", "place", "word")
         .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_PLACES)
+        .join(held, "leaf")
+        .filter(SHARED * F.col("n") > F.col("leaf_n"))
         .select("leaf", "place", "word", F.lit(True).alias("fixed"))
     )
-    # a form's template: its frequent words with their places, if they are half of it
+    # a form's template: its shared words with their places, if they are half of its later ones
     mark = F.when(F.col("fixed"), F.xxhash64("place", "word")).otherwise(F.lit(0))
-    shaped = (
-        exploded.join(frequent, ["leaf", "place", "word"], "left")
+    later = F.col("n_words") - DEPTH
+    shaped = _written(
+        exploded.join(shared, ["leaf", "place", "word"], "left")
         .groupBy("leaf", "form")
         .agg(
             F.bit_xor(mark).alias("mark"),
-            F.count_if("fixed").alias("n_fixed"),
+            F.count_if(F.col("fixed") & (F.col("place") >= DEPTH)).alias("n_fixed"),
             F.count("*").alias("n_words"),
         )
         .select(
             "form",
-            F.when(
-                2 * F.col("n_fixed") >= F.col("n_words"), F.xxhash64("leaf", "mark")
-            ).otherwise(F.col("form")).alias("template"),
-        )
+            "n_words",
+            F.when(2 * F.col("n_fixed") >= later, F.xxhash64("leaf", "mark"))
+            .otherwise(F.col("form"))
+            .alias("template"),
+        ),
+        f"{folder}/shaped.parquet",
     )
     known = _places(
-        forms.select("form", "around", "doc_id").join(shaped, "form"), "template", least=True
+        forms.select("form", "around", "first").join(shaped, "form"), "template", "first", "n_words"
     ).filter(recurring())
-    dropped = shaped.join(known, "template").groupBy("form").agg(
+    dropped = shaped.join(known.drop("n_words"), "template").groupBy("form").agg(
         F.coalesce(F.min("first"), F.lit(-(1 << 63))).alias("value")
     )
-    dropped.select(F.col("form").alias("key"), "value").write.parquet(f"{folder}/dropped.parquet")
-    return _stored(spark.read.parquet(f"{folder}/dropped.parquet"), folder, "dropped")
+    dropped = _written(
+        dropped.select(F.col("form").alias("key"), "value"), f"{folder}/dropped.parquet"
+    )
+    return _stored(dropped, folder, "dropped")
 
 
 def _drop(folder: str, bits: int, files: frozenset, texts: bool):

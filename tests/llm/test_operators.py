@@ -248,6 +248,46 @@ def test_templates_with_variable_fields(spark):
         assert out[k]["kept_text"] == f"own{names[k]} words\nlast{names[k]} words"
 
 
+def kept_share(spark, rows, mark):
+    """The share of rows with a marked line that keep it."""
+    out = lines.drop_recurring(documents(spark, rows, clash=False)).collect()
+    held = [mark in r["kept_text"] for r in out if mark in dict(rows)[r["doc_id"]]]
+    return sum(held), len(held)
+
+
+@pytest.mark.parametrize("n", [100, 3000])
+def test_fields_of_many_values_at_any_size(spark, n):
+    """Two fields of a hundred values each: the share that goes is that of a small corpus."""
+    rng = random.Random(n)
+    rows = [
+        (k, f"opening {k}a words b{k}\nentry was posted by name{rng.randrange(100)}x in "
+            f"city{rng.randrange(100)}y today\nclosing c{k} words {k}d")
+        for k in range(n)
+    ]
+    rows = [(k, t.translate(str.maketrans("0123456789", "ghijklmnop"))) for k, t in rows]
+    kept, held = kept_share(spark, rows, "was posted by")
+    assert (kept, held) == (1, n)
+
+
+@pytest.mark.parametrize("copies", [0, 200])
+def test_copies_of_one_document_change_nothing_for_others(spark, copies):
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    text = lambda k: f"before {word(k)} it\nReleased under some public license\nafter {word(k * 7)}x"
+    rows = [(k, text(k)) for k in range(1, 61)] + [(100 + k, text(5)) for k in range(copies)]
+    kept, held = kept_share(spark, rows, "public license")
+    assert (kept, held) == (1, 60 + copies)
+
+
+def test_few_documents(spark):
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    short = "some line that four documents have"
+    long = " ".join(word(900 + k) for k in range(60))
+    rows = [(k, f"before {word(k)}\n{short}\nafter {word(k)}") for k in range(4)]
+    rows += [(10 + k, f"early {word(k)}\n{long}\nlate {word(k)}") for k in range(2)]
+    assert kept_share(spark, rows, short) == (1, 4) and kept_share(spark, rows, long) == (1, 2)
+    assert kept_share(spark, rows[:2], short) == (2, 2)
+
+
 def test_copies_are_left_to_near_dedup(spark):
     text = "first line of the text\nsecond line of the text\nthird line of the text"
     out = lines.drop_recurring(documents(spark, [(k, text) for k in range(20)])).collect()
