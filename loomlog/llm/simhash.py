@@ -32,6 +32,8 @@ BANDS = DISTANCE + 1
 # fingerprints in one bucket; larger ones are dealt again
 BUCKET_ROWS = 200_000
 LEVELS = 3
+# names of hot components are sent so many ways; rounds that no graph needs
+SALTS, MOST_ROUNDS = 16, 100
 FAN = 8
 # fingerprints of whole buckets that are indexed together
 TOGETHER = 1_000_000
@@ -302,9 +304,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         "round0",
     )
     before = signature(now)
-    for turn in range(1, 100):
-        if not before[0]:
-            break
+    if not before[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for turn in range(1, MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
@@ -321,9 +323,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         now = written(small.filter("a <> b").distinct(), f"round{turn}")
         after = signature(now)
         if after == before:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -335,10 +337,21 @@ def grouped(docs: DataFrame) -> DataFrame:
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes), folder)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp",
+        "first",
+        F.coalesce("root", "fp").alias("root"),
+        F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"),
+    )
+    # a component may hold most fingerprints: its name waits for them under several salts
+    named = (
+        rooted.groupBy("root")
+        .agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+        .filter("size > 1")
+        .select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    classes = rooted.join(named.withColumn("salt", F.col("salt").cast("long")), ["root", "salt"], "left").select(
+        "fp", F.coalesce("component_id", "first").alias("component_id")
     )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
