@@ -1,11 +1,16 @@
-"""LM scoring: an interpolated modified Kneser-Ney model of word pairs.
+"""LM scoring: an interpolated modified Kneser-Ney model of word n-grams of any order.
 
-Counting is a Spark job in two passes over the training texts. The first counts pairs; the
-second reads the pair counts back, memory-mapped, and counts for each word its uses, its
-distinct left and right neighbours and how many of its pairs occur once, twice or more often:
-a pair that occurs c times adds 1/c at each occurrence. Both tables are sorted arrays of
-64-bit hashes, cut by the leading bits of the hash into files of bounded size in the shared
-folder. Scoring maps the files and looks up each batch's sorted keys.
+Counting is a Spark job of one pass over the training texts for the n-grams of all lengths, and
+one for each shorter length, longest first. Such a pass reads the counts of the grams that are
+longer by one back, memory-mapped, and sums up for each gram its distinct left neighbours and, as
+a context, its followers and how many of them count once, twice or more often: a gram that
+occurs c times adds 1/c at each occurrence. Counts are combined in every task before the
+shuffle. The tables are sorted arrays of 64-bit hashes, cut by the leading bits of the hash into
+files of bounded size in the shared folder; a task merges one file at a time. Scoring maps the
+files and looks up each batch's sorted keys.
+
+A text begins with one start mark, so its first token has one word of context at most. A gram
+that begins with it has no left neighbours; its occurrences stand for them.
 
 Defined cases: a null or empty text has one token, its end. A null id counts as the empty text
 for the split. Repeated rows count each time. Without training texts every score is 0.
@@ -30,7 +35,9 @@ FLUSH_TOKENS = 3_000_000
 # text bytes for each file of the model: about a million tokens
 FILE_BYTES = 8 << 20
 SMOOTHING = 0.1
-_WORD_FIELDS = 6  # uses, uses as a context, contexts' pairs seen once, twice, more; left neighbours
+ORDER = 3
+# of a gram: distinct left neighbours, its followers' counts, followers that count once, twice, more; uses
+_FIELDS = 6
 _BLOBS = "file int, keys binary, counts binary"
 
 
@@ -51,6 +58,23 @@ def tokens(column):
     return left, right, bounds
 
 
+def grams(left: np.ndarray, right: np.ndarray, bounds: np.ndarray, order: int):
+    """For each length from 2: where grams of it end, the grams, and their contexts.
+
+    A gram never reaches beyond the start of its text.
+    """
+    place = np.arange(len(right)) - np.repeat(bounds[:-1], np.diff(bounds))
+    at, context = np.arange(len(right)), left
+    for size in range(2, order + 1):
+        gram = chain(context, right[at])
+        yield size, at, gram, context
+        # the gram that ends at the token before is the next context
+        whole = np.zeros(len(right), np.uint64)
+        whole[at] = gram
+        at = np.flatnonzero(place >= size - 1)
+        context = whole[at - 1]
+
+
 def file_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -78,9 +102,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts[order], at, axis=0)
 
 
-def _count_pairs(bits: int):
+def _count_grams(size: int, bits: int):
+    """Occurrences of the grams of one length."""
+
     def run(batches):
-        held, size = [], 0
+        held, rows = [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -88,73 +114,95 @@ def _count_pairs(bits: int):
 
         for batch in batches:
             for piece in pieces(batch):
-                left, right, _ = tokens(piece.column("text"))
-                held.append(chain(left, right))
-                size += len(right)
-                if size >= FLUSH_TOKENS:
+                *_, (_, _, gram, _) = grams(*tokens(piece.column("text")), size)
+                held.append(gram)
+                rows += len(gram)
+                if rows >= FLUSH_TOKENS:
                     yield flush()
-                    held, size = [], 0
-        if size:
+                    held, rows = [], 0
+        if rows:
             yield flush()
 
     return run
 
 
-def _count_words(folder: str, bits: int):
+def _count_neighbours(size: int, order: int, folder: str, bits: int):
+    """The fields of the grams of one length, from those longer by one."""
+
     def run(batches):
-        keys, sums, size = [], [], 0
+        keys, sums, rows = [], [], 0
 
         def flush():
             return _blobs(*_summed(np.concatenate(keys), np.concatenate(sums)), bits)
 
         for batch in batches:
             for piece in pieces(batch):
-                left, right, _ = tokens(piece.column("text"))
-                times = look_up(chain(left, right), folder, "pairs", bits, np.uint32, 1)[:, 0]
+                left, right, bounds = tokens(piece.column("text"))
+                levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
+                at, longer, context = levels[size + 1]
+                times = look_up(longer, folder, f"raw{size + 1}", bits, np.uint32, 1)[:, 0]
                 share = 1.0 / times
-                words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-                lefts, rights = at[: len(left)], at[len(left) :]
-                table = np.empty((len(words), _WORD_FIELDS))
-                table[:, 0] = np.bincount(rights, minlength=len(words))
-                table[:, 1] = np.bincount(lefts, minlength=len(words))
-                for k, part in enumerate((times == 1, times == 2, times > 2)):
-                    table[:, 2 + k] = np.bincount(lefts, share * part, len(words))
-                table[:, 5] = np.bincount(rights, share, len(words))
-                keys.append(words)
+                counts = times
+                if size + 1 < order:
+                    counts = look_up(longer, folder, f"grams{size + 1}", bits, np.int64, _FIELDS)[:, 0]
+                own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
+                known, code = np.unique(np.concatenate([own, context]), return_inverse=True)
+                own_code, led = code[: len(own)], code[len(own) :]
+                # the gram that a longer one ends with; those that begin a text have none
+                ended = np.searchsorted(own_at, at)
+                first = np.ones(len(own), bool)
+                first[ended] = False
+                table = np.empty((len(known), _FIELDS))
+                table[:, 0] = np.bincount(own_code[ended], share, len(known)) + np.bincount(
+                    own_code, first & (size > 1), len(known)
+                )
+                table[:, 1] = np.bincount(led, share * counts, len(known))
+                for k, part in enumerate((counts == 1, counts == 2, counts > 2)):
+                    table[:, 2 + k] = np.bincount(led, share * part, len(known))
+                table[:, 5] = np.bincount(own_code, minlength=len(known))
+                keys.append(known)
                 sums.append(table)
-                size += len(words)
-                if size >= FLUSH_TOKENS // 4:
+                rows += len(known)
+                if rows >= FLUSH_TOKENS // 4:
                     yield flush()
-                    keys, sums, size = [], [], 0
-        if size:
+                    keys, sums, rows = [], [], 0
+        if rows:
             yield flush()
 
     return run
 
 
 def _write_files(folder: str, name: str, dtype, fields: int):
-    """Merge the parts of each file, write its two arrays and report counts of counts."""
+    """Merge the parts of each file, which follow each other, write its two arrays and report
+    counts of counts."""
 
     def run(batches):
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for file, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                pair = np.frombuffer(keys, np.uint64), np.frombuffer(counts, dtype)
-                parts.setdefault(file, []).append((pair[0], pair[1].reshape(-1, fields)))
-        rows = []
-        for file in list(parts):
-            keys, counts = (np.concatenate(x) for x in zip(*parts.pop(file)))
+        held, current, rows = [], None, []
+
+        def close():
+            if not held:
+                return
+            keys, counts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             keys, counts = _summed(keys, counts.astype(np.float64))
             counts = np.rint(counts).astype(np.uint32 if fields == 1 else np.int64)
-            put(folder, f"{name}-{file}.keys", keys)
-            put(folder, f"{name}-{file}.counts", counts)
-            tally = counts[:, -1]
-            used = counts[:, 0] > 0
+            put(folder, f"{name}-{current}.keys", keys)
+            put(folder, f"{name}-{current}.counts", counts)
+            tally, used = counts[:, 0], counts[:, -1]
             rows.append(
-                [file, int(used.sum()), int(counts[:, 0].sum()), int(tally.sum())]
+                [current, int((used > 0).sum()), int(used.sum()), int(tally.sum())]
                 + [int((tally == k).sum()) for k in (1, 2, 3, 4)]
                 + [int((tally > 2).sum())]
             )
+
+        for batch in batches:
+            for file, keys, counts in zip(*batch.columns):
+                if file.as_py() != current:
+                    close()
+                    current = file.as_py()
+                pair = np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), dtype)
+                held.append((pair[0], pair[1].reshape(-1, fields)))
+        close()
         names = ["file", "types", "uses", "tally", "n1", "n2", "n3", "n4", "n3up"]
         kinds = [pa.int32()] + [pa.int64()] * 8
         yield pa.record_batch(
@@ -203,42 +251,49 @@ class Model:
 
     folder: str
     bits: int
-    pair_files: frozenset
-    word_files: frozenset
+    order: int
+    files: dict  # table -> the files it has
     tokens: int  # N
     types: int  # V
     pair_types: int
-    pair_discounts: tuple
-    word_discounts: tuple
+    discounts: dict  # length -> discounts of counts 0, 1, 2 and more
     word_rest: float  # the probability that discounting leaves for unseen words
 
-    def word_counts(self, words: np.ndarray) -> np.ndarray:
-        return look_up(
-            words, self.folder, "words", self.bits, np.int64, _WORD_FIELDS, self.word_files
-        )
+    def fields(self, size: int, keys: np.ndarray) -> np.ndarray:
+        """The fields of grams of one length below the order."""
+        name = f"grams{size}"
+        return look_up(keys, self.folder, name, self.bits, np.int64, _FIELDS, self.files[name])
+
+    def counts(self, size: int, keys: np.ndarray) -> np.ndarray:
+        """What a gram counts: its occurrences at the order, else its left neighbours."""
+        if size < self.order:
+            return self.fields(size, keys)[:, 0]
+        name = f"raw{size}"
+        found = look_up(keys, self.folder, name, self.bits, np.uint32, 1, self.files[name])
+        return found[:, 0].astype(np.int64)
 
     def word_probability(self, neighbours: np.ndarray) -> np.ndarray:
         """P(word) from its number of distinct left neighbours; the unknown word has none."""
         even = self.word_rest / (self.types + 1)
         if not self.pair_types:
             return np.full(len(neighbours), even)
-        kept = neighbours - np.array(self.word_discounts)[np.minimum(neighbours, 3)]
+        kept = neighbours - np.array(self.discounts[1])[np.minimum(neighbours, 3)]
         return np.maximum(kept, 0) / self.pair_types + even
 
-    def probabilities(self, left: np.ndarray, right: np.ndarray):
-        """P(right | left) of each pair and how often each right word was seen in training."""
-        words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-        known = self.word_counts(words)
-        lefts, rights = known[at[: len(left)]], known[at[len(left) :]]
-        pairs = look_up(
-            chain(left, right), self.folder, "pairs", self.bits, np.uint32, 1, self.pair_files
-        )[:, 0].astype(np.int64)
-        d = np.array(self.pair_discounts)
-        lower = self.word_probability(rights[:, 5])
-        total = np.maximum(lefts[:, 1], 1)
-        rest = (lefts[:, 2:5] * d[1:]).sum(axis=1) / total
-        direct = np.maximum(pairs - d[np.minimum(pairs, 3)], 0) / total
-        return np.where(lefts[:, 1] > 0, direct + rest * lower, lower), rights[:, 0]
+    def probabilities(self, left: np.ndarray, right: np.ndarray, bounds: np.ndarray):
+        """P(token | the tokens before it) and how often each token was seen in training."""
+        words, code = np.unique(right, return_inverse=True)
+        known = self.fields(1, words)
+        likely = self.word_probability(known[:, 0])[code]
+        for size, at, gram, context in grams(left, right, bounds, self.order):
+            d = np.array(self.discounts[size])
+            led = self.fields(size - 1, context)
+            counts = self.counts(size, gram)
+            total = np.maximum(led[:, 1], 1)
+            rest = (led[:, 2:5] * d[1:]).sum(axis=1) / total
+            direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total
+            likely[at] = np.where(led[:, 1] > 0, direct + rest * likely[at], likely[at])
+        return likely, known[code, 5]
 
 
 def _totals(report: DataFrame) -> tuple[list[int], frozenset]:
@@ -248,27 +303,37 @@ def _totals(report: DataFrame) -> tuple[list[int], frozenset]:
     )
 
 
-def fit(training: DataFrame, text: str = "text", file_bytes: int = FILE_BYTES) -> Model:
+def fit(
+    training: DataFrame, text: str = "text", order: int = ORDER, file_bytes: int = FILE_BYTES
+) -> Model:
     """Count the training texts and write the model's arrays to the shared folder."""
+    if order < 2:
+        raise ValueError("a model has an order of two or more")
     spark = training.sparkSession
     texts = training.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(0, int(size / file_bytes).bit_length()))
     folder = f"{shared_folder(spark)}/ngrams"
+    files, discounted = {}, {}
 
     def counted(job, name, dtype, fields):
-        parts = texts.mapInArrow(job, _BLOBS).repartition("file")
-        return _totals(parts.mapInArrow(_write_files(folder, name, dtype, fields), _FILE_ROWS))
-
-    pair, pair_files = counted(_count_pairs(bits), "pairs", np.uint32, 1)
-    word, word_files = counted(_count_words(folder, bits), "words", np.float64, _WORD_FIELDS)
-    types, uses, tally, n1, n2, n3, n4, n3up = word
-    kept = discounts(n1, n2, n3, n4)
+        parts = texts.mapInArrow(job, _BLOBS).repartition("file").sortWithinPartitions("file")
+        sums, files[name] = _totals(
+            parts.mapInArrow(_write_files(folder, name, dtype, fields), _FILE_ROWS)
+        )
+        return sums
+
+    for length in range(2, order + 1):
+        top = counted(_count_grams(length, bits), f"raw{length}", np.uint32, 1)
+    discounted[order] = discounts(*top[3:7])
+    for length in range(order - 1, 0, -1):
+        job = _count_neighbours(length, order, folder, bits)
+        sums = counted(job, f"grams{length}", np.float64, _FIELDS)
+        discounted[length] = discounts(*sums[3:7])
+    types, uses, tally, n1, n2, n3, n4, n3up = sums
+    kept = discounted[1]
     rest = (kept[1] * n1 + kept[2] * n2 + kept[3] * n3up) / tally if tally else 1.0
-    return Model(
-        folder, bits, pair_files, word_files, uses, types, tally,
-        discounts(*pair[3:7]), kept, rest,
-    )
+    return Model(folder, bits, order, files, uses, types, tally, discounted, rest)
 
 
 def _score(model: Model):
@@ -276,7 +341,7 @@ def _score(model: Model):
         for batch in batches:
             for piece in pieces(batch):
                 left, right, bounds = tokens(piece.column("text"))
-                likely, seen = model.probabilities(left, right)
+                likely, seen = model.probabilities(left, right, bounds)
                 base = np.log10(
                     (seen + SMOOTHING) / (model.tokens + SMOOTHING * (model.types + 1))
                 )
@@ -310,8 +375,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def scored_documents(docs: DataFrame) -> DataFrame:
+def scored_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learn from nine tenths of the documents by a checksum of their id, score all of them."""
     place = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10
     split = docs.select("doc_id", "text", (place == 0).alias("held_out"))
-    return score(split, fit(split.filter(~F.col("held_out"))))
+    return score(split, fit(split.filter(~F.col("held_out")), order=order))

@@ -119,7 +119,7 @@ def test_probabilities_add_up(spark):
     every = np.r_[right, np.uint64(99)]  # the words, the end and a word never seen
     assert model.types == len(words) + 1
     for before in (*left, np.uint64(77)):
-        p, _ = model.probabilities(np.full(len(every), before), every)
+        p, _ = model.probabilities(np.full(len(every), before), every, np.arange(len(every) + 1))
         assert p.sum() == pytest.approx(1.0) and (p > 0).all()
 
 
@@ -232,6 +232,69 @@ def test_special_token_spelling_and_ids(spark):
     assert ids[-1] == 0 and 50256 in ids
 
 
+def direct_scores(training, texts, order):
+    """Modified Kneser-Ney from its definition, with dictionaries of tuples."""
+    rows = lambda t: ["<s>", *t.split(), "</s>"]
+    raw = [collections.Counter() for _ in range(order + 1)]
+    for text in training:
+        row = rows(text)
+        for n in range(1, order + 1):
+            raw[n].update(tuple(row[k : k + n]) for k in range(len(row) - n + 1))
+    counts = {order: dict(raw[order])}
+    for n in range(1, order):
+        lefts = collections.Counter(g[1:] for g in raw[n + 1])
+        counts[n] = {g: raw[n][g] if g[0] == "<s>" else lefts[g] for g in raw[n]}
+    counts[1].pop(("<s>",), None)
+    cut = {}
+    for n in range(1, order + 1):
+        of = collections.Counter(counts[n].values())
+        cut[n] = kneser_ney.discounts(*(of[k] for k in (1, 2, 3, 4)))
+    after = {n: collections.defaultdict(list) for n in range(2, order + 1)}
+    for n in after:
+        for g, c in counts[n].items():
+            after[n][g[:-1]].append(c)
+    words = list(counts[1].values())
+
+    def probability(history, word):
+        total = sum(words)
+        rest = sum(cut[1][min(c, 3)] for c in words) / total
+        c = counts[1].get((word,), 0)
+        p = max(c - cut[1][min(c, 3)], 0) / total + rest / (len(words) + 1)
+        for n in range(2, len(history) + 2):
+            context = tuple(history[-(n - 1) :])
+            follow = after[n].get(context)
+            if follow:
+                c = counts[n].get((*context, word), 0)
+                rest = sum(cut[n][min(x, 3)] for x in follow) / sum(follow)
+                p = max(c - cut[n][min(c, 3)], 0) / sum(follow) + rest * p
+        return p
+
+    out = []
+    for text in texts:
+        row = rows(text)
+        out.append(sum(
+            np.log10(probability(row[max(0, k - order + 1) : k], row[k])) for k in range(1, len(row))
+        ))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_direct_kneser_ney(spark, order):
+    """Over many small files, with texts that share beginnings, and words never seen."""
+    rng = random.Random(order)
+    word = lambda: chr(97 + min(rng.randrange(12), rng.randrange(12)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    texts += [texts[3], texts[4], "a", "a b", ""]
+    model = kneser_ney.fit(documents(spark, list(enumerate(texts))), order=order, file_bytes=200)
+    asked = texts + ["zz a b c d", "a b c d e f g", "yy yy yy", ""]
+    rows = documents(spark, list(enumerate(asked)), clash=False).withColumn("held_out", F.lit(True))
+    found = {r["doc_id"]: r["score"] for r in kneser_ney.score(rows, model).collect()}
+    wanted = direct_scores(texts, asked, order)
+    assert [found[k] for k in range(len(asked))] == pytest.approx(wanted)
+    with pytest.raises(ValueError):
+        kneser_ney.fit(documents(spark, []), order=1)
+
+
 # -- line dedup --------------------------------------------------------------------------------
 
 
