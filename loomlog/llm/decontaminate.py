@@ -1,11 +1,14 @@
 """Benchmark decontamination: documents streamed through generalised suffix automata.
 
 Distinct item texts are dealt into blocks of bounded size; one task builds the automaton of
-each block and stores it in the shared folder. A document's words run through every block's
-automaton, which gives at each word the longest run of words that ends there and lies in some
-item, and the items that hold it. Runs of a whole window (13 words, or a whole shorter item)
-are hits. Stretches in which no four words (fewer, if an item is shorter) follow each other as
-in an item cannot hold a window and are passed over at array speed.
+each block and stores it in the shared folder. A document's words run through an automaton that
+gives at each word the longest run of words that ends there and lies in some item, and the items
+that hold it. Runs of a whole window (13 words, or a whole shorter item) are hits.
+
+Every four words in a row of an item (fewer, if a block has a shorter one) are a seed. The seeds of
+all blocks are one table of sorted arrays that workers map; a stretch of a document without a
+seed of a block cannot hold a window of it. So a block's automaton is loaded only where its seeds are
+found, once for some megabytes of text, and the cost does not grow with the number of blocks.
 
 Defined cases: a null or empty text has no words and is clean; an item without words finds
 nothing. Items of equal text are found together, each under its own id; a null item id is
@@ -16,6 +19,7 @@ clean. Long texts are streamed whole.
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,9 @@ WINDOW = 13
 SEED_WORDS = 4
 # bytes of item text for each automaton: some tens of thousands of words
 BLOCK_BYTES = 1 << 20
+# bytes of text that are looked at together, so that a block is loaded once for them
+WALK_BYTES = 8 << 20
+SEEDS_PER_FILE = 1 << 20
 # a document is contaminated when one word in so many is hit
 COVERAGE = 20
 
@@ -165,6 +172,8 @@ def build(items: list[tuple[list, int]], window: int = WINDOW) -> tuple[Automato
 
 
 def _build_blocks(folder: str, window: int):
+    """Store the automaton of each block; ``(block, size, keys)`` of its seeds."""
+
     def run(batches):
         blocks: dict[int, list] = {}
         for batch in batches:
@@ -177,32 +186,95 @@ def _build_blocks(folder: str, window: int):
                     blocks.setdefault(block, []).append((own, key))
         for block, items in blocks.items():
             machine, size, known = build(items, window)
-            packed = pickle.dumps((vars(machine), size, known), protocol=5)
+            packed = pickle.dumps(vars(machine), protocol=5)
             put(folder, f"block-{block}", np.frombuffer(packed, np.uint8))
-        yield pa.record_batch({"block": pa.array(list(blocks), pa.int32())})
+            yield pa.record_batch({
+                "block": pa.array([block], pa.int32()),
+                "size": pa.array([size], pa.int32()),
+                "keys": pa.array([known.view(np.int64)], pa.list_(pa.int64())),
+            })
+
+    return run
+
+
+def _write_seeds(folder: str):
+    """The seeds of a file, sorted, with the block of each; a seed of several blocks repeats."""
+
+    def run(batches):
+        held, current, names = [], None, []
+
+        def close():
+            if held:
+                key, block = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                order = np.argsort(key.view(np.uint64), kind="stable")
+                put(folder, f"seeds-{current[0]}-{current[1]}.keys", key[order])
+                put(folder, f"seeds-{current[0]}-{current[1]}.blocks", block[order])
+                names.append(current)
+
+        for batch in batches:
+            size, file, key, block = (c.to_numpy() for c in batch.columns)
+            edges = np.flatnonzero(
+                np.r_[True, (size[1:] != size[:-1]) | (file[1:] != file[:-1])]
+            ) if len(size) else []
+            for a, b in zip(edges, [*edges[1:], len(size)]):
+                if (int(size[a]), int(file[a])) != current:
+                    close()
+                    current = int(size[a]), int(file[a])
+                held.append((key[a:b], block[a:b]))
+        close()
+        columns = zip(*names) if names else ([], [])
+        yield pa.record_batch([pa.array(c, pa.int32()) for c in columns], ["size", "file"])
 
     return run
 
 
-def _automaton(folder: str, block: int):
+def _automaton(folder: str, block: int) -> Automaton:
     held = worker_cache()
     if held.get("block", (None,))[0] != (folder, block):  # one at a time is in memory
-        parts, size, known = pickle.loads(get(folder, f"block-{block}", np.uint8))
         machine = Automaton()
-        vars(machine).update(parts)
-        held["block"] = (folder, block), (machine, size, known)
+        vars(machine).update(pickle.loads(get(folder, f"block-{block}", np.uint8)))
+        held["block"] = (folder, block), machine
     return held["block"][1]
 
 
-def _scan_block(words, first, built, covered, found) -> None:
-    """Mark the words of a batch that one block's automaton hits; add the items by row."""
-    machine, size, known = built
-    keys = seeds(words, size)
-    if not len(keys) or not len(known):
-        return
-    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+@dataclass(frozen=True)
+class Seeds:
+    """The stored seeds: bits of a key that name its file, and the files of each size."""
+
+    folder: str
+    bits: int
+    files: dict
+
+    def found(self, words: np.ndarray):
+        """``(block, size, places)`` of every block with a seed among the words."""
+        for size, files in self.files.items():
+            keys = seeds(words, size)
+            order = np.argsort(keys) if self.bits else np.arange(len(keys))
+            ordered = keys[order]
+            own = (ordered >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else ordered * 0
+            held, at = np.unique(own, return_index=True)
+            blocks, places = [], []
+            for file, a, b in zip(held.tolist(), at, [*at[1:], len(keys)]):
+                if file not in files:
+                    continue
+                stored = get(self.folder, f"seeds-{size}-{file}.keys", np.uint64)
+                block = get(self.folder, f"seeds-{size}-{file}.blocks", np.int32)
+                low = np.searchsorted(stored, ordered[a:b], "left")
+                hit = np.flatnonzero(stored[np.minimum(low, len(stored) - 1)] == ordered[a:b])
+                low, high = low[hit], np.searchsorted(stored, ordered[a:b][hit], "right")
+                more = np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                blocks.append(block[np.repeat(low, high - low) + more])
+                places.append(np.repeat(order[a:b][hit], high - low))
+            if blocks:
+                blocks, places = np.concatenate(blocks), np.concatenate(places)
+                for one in np.unique(blocks).tolist():
+                    yield one, size, places[blocks == one]
+
+
+def _scan_block(words, first, machine, size, at, covered, found) -> None:
+    """Mark the words that a block's automaton hits near its seeds; add the items by row."""
     live = np.zeros(len(words) + 1, np.int32)
-    at = np.flatnonzero(known[place] == keys)
     np.add.at(live, at, 1)
     np.add.at(live, at + size, -1)
     live = np.cumsum(live[:-1]) > 0
@@ -229,39 +301,77 @@ def _cleaned(data, start, stop, covered, first, offsets) -> list[str]:
     return out
 
 
-def _scan(folder: str, blocks: list[int], texts: bool):
+def _scan(stored: Seeds, texts: bool):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
-                column = piece.column("text")
-                words, start, stop, first, offsets = words_of(column)
-                covered = np.zeros(len(words), bool)
-                found: dict[int, set] = {}
-                for block in blocks:
-                    _scan_block(words, first, _automaton(folder, block), covered, found)
-                rows = len(first) - 1
-                columns = {
-                    "n_words": pa.array(np.diff(first), pa.int64()),
-                    "n_hit": pa.array(sum_by_row(covered, first), pa.int64()),
-                    "text_keys": pa.array(
-                        [sorted(found.get(k, ())) for k in range(rows)], pa.list_(pa.int64())
-                    ),
-                }
-                own = [piece.column(k) for k in range(piece.num_columns)]
-                names = list(piece.schema.names)
-                if texts:
-                    clean = _cleaned(flat(column)[0], start, stop, covered, first, offsets)
-                    columns["clean_text"] = pa.array(clean, pa.string())
-                else:
-                    at = names.index("text")
-                    del own[at], names[at]
-                yield pa.RecordBatch.from_arrays(
-                    own + list(columns.values()), [*names, *columns]
-                )
+            for group in pieces(batch, limit=WALK_BYTES):
+                parts, wanted = [], {}
+                for piece in pieces(group):
+                    words, _, _, first, _ = words_of(piece.column("text"))
+                    for block, size, at in stored.found(words):
+                        wanted.setdefault(block, []).append((len(parts), size, at))
+                    # words' places are found again where texts are cut
+                    parts.append((piece, words, first, np.zeros(len(words), bool), {}))
+                for block in sorted(wanted):
+                    machine = _automaton(stored.folder, block)
+                    for part, size, at in wanted[block]:
+                        _, words, first, covered, found = parts[part]
+                        _scan_block(words, first, machine, size, at, covered, found)
+                for piece, _, first, covered, found in parts:
+                    yield _result(piece, first, covered, found, texts)
 
     return run
 
 
+def _result(piece: pa.RecordBatch, first, covered, found, texts: bool) -> pa.RecordBatch:
+    """A piece's own columns and what was found in it."""
+    rows = len(first) - 1
+    columns = {
+        "n_words": pa.array(np.diff(first), pa.int64()),
+        "n_hit": pa.array(sum_by_row(covered, first), pa.int64()),
+        "text_keys": pa.array(
+            [sorted(found.get(k, ())) for k in range(rows)], pa.list_(pa.int64())
+        ),
+    }
+    own = [piece.column(k) for k in range(piece.num_columns)]
+    names = list(piece.schema.names)
+    if texts:
+        column = piece.column("text")
+        _, start, stop, first, offsets = words_of(column)
+        clean = _cleaned(flat(column)[0], start, stop, covered, first, offsets)
+        columns["clean_text"] = pa.array(clean, pa.string())
+    else:
+        at = names.index("text")
+        del own[at], names[at]
+    return pa.RecordBatch.from_arrays(own + list(columns.values()), [*names, *columns])
+
+
+def _store(distinct: DataFrame, folder: str, window: int, block_bytes: int) -> Seeds:
+    """Build and store the automata of all blocks and the table of their seeds."""
+    spark = distinct.sparkSession
+    size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = size // block_bytes + 1
+    # the key is a hash already
+    dealt = distinct.withColumn("block", F.pmod("text_key", F.lit(count)).cast("int"))
+    dealt.repartition("block").mapInArrow(
+        _build_blocks(folder, window), "block int, size int, keys array<long>"
+    ).write.parquet(f"{folder}/built")
+    keys = spark.read.parquet(f"{folder}/built").select("size", "block", F.explode("keys").alias("key"))
+    bits = int(keys.count() / SEEDS_PER_FILE).bit_length()
+    file = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    written = (
+        keys.select("size", file.alias("file"), "key", "block")
+        .repartition("size", "file")
+        .sortWithinPartitions("size", "file")
+        .mapInArrow(_write_seeds(folder), "size int, file int")
+        .collect()  # one row for each million seeds
+    )
+    files: dict[int, set] = {}
+    for row in written:
+        files.setdefault(row["size"], set()).add(row["file"])
+    return Seeds(folder, bits, files)
+
+
 def item_texts(items: DataFrame) -> DataFrame:
     """``(item_id, text, text_key)``: items that have a text, equal texts under one key."""
     return items.filter("text is not null").select(
@@ -278,21 +388,15 @@ def scan(
     With ``texts`` also ``clean_text``, without the spans that were hit; else the text is left
     out. A column of the input with the name of a result is dropped.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/automata"
+    folder = f"{shared_folder(docs.sparkSession)}/automata"
     distinct = item_texts(items).groupBy("text_key").agg(F.min("text").alias("text"))
-    size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = size // block_bytes + 1
-    # the key is a hash already
-    dealt = distinct.withColumn("block", F.pmod("text_key", F.lit(count)).cast("int"))
-    built = dealt.repartition("block").mapInArrow(_build_blocks(folder, window), "block int")
-    blocks = sorted(r["block"] for r in built.collect())
+    stored = _store(distinct, folder, window, block_bytes)
     results = "n_words long, n_hit long, text_keys array<long>"
     own = docs.drop("n_words", "n_hit", "text_keys", "clean_text")
     kept = own if texts else own.drop("text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return own.mapInArrow(
-        _scan(folder, blocks, texts), f"{kinds}, {results}" + ", clean_text string" * texts
+        _scan(stored, texts), f"{kinds}, {results}" + ", clean_text string" * texts
     )
 
 

@@ -188,7 +188,9 @@ def test_ratio_is_the_mean_of_logs(spark):
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_hits_as_by_brute_force(spark, block_bytes):
+def test_hits_as_by_brute_force(spark, monkeypatch, block_bytes):
+    if block_bytes < 100:  # many blocks, and many files of seeds
+        monkeypatch.setattr(decontaminate, "SEEDS_PER_FILE", 4)
     rng = random.Random(5)
     word = lambda: rng.choice("abcd")
     items = [[word() for _ in range(rng.choice([1, 3, 6, 9]))] for _ in range(25)]
