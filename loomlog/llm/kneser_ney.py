@@ -5,9 +5,12 @@ one for each shorter length, longest first. Such a pass reads the counts of the
 longer by one back, memory-mapped, and sums up for each gram its distinct left neighbours and, as
 a context, its followers and how many of them count once, twice or more often: a gram that
 occurs c times adds 1/c at each occurrence. Counts are combined in every task before the
-shuffle. The tables are sorted arrays of 64-bit hashes, cut by the leading bits of the hash into
-files of bounded size in the shared folder; a task merges one file at a time. Scoring maps the
-files and looks up each batch's sorted keys.
+shuffle, and what was shuffled for a table is let go when the table is written. The tables are sorted
+arrays of hashes, cut by the leading bits of the hash into files of bounded size in the shared
+folder; a task merges one file at a time. Scoring maps the files and looks up each batch's sorted
+keys. Words have 64-bit keys, longer grams the 40 bits that follow those of their file: of the
+million keys of a file some thirty share theirs with another. A gram that occurs once has no row of
+fields, as they follow from that.
 
 A text begins with one start mark, so its first token has one word of context at most. A gram
 that begins with it has no left neighbours; its occurrences stand for them.
@@ -19,6 +22,7 @@ Columns beyond the id and the text are not read.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,6 +96,45 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     )
 
 
+def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 40 bits that follow the file's, as 32 and 8: five bytes a key on disk."""
+    own = (keys << np.uint64(bits)) >> np.uint64(24)
+    return (own >> np.uint64(8)).astype(np.uint32), own.astype(np.uint8)
+
+
+def _joined(high: np.ndarray, low: np.ndarray, file: int, bits: int) -> np.ndarray:
+    """Keys whose leading bits are those of before; the rest is zero."""
+    own = (high.astype(np.uint64) << np.uint64(8)) | low
+    own = (own << np.uint64(24)) >> np.uint64(bits)
+    return own | (np.uint64(file) << np.uint64(64 - bits)) if bits else own
+
+
+def _small_blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """As ``_blobs`` with short keys; most counts are one and take a byte, the others four more."""
+    files, at = np.unique(file_of(keys, bits), return_index=True)
+    high, low = _split(keys, bits)
+    ends = [*at[1:], len(keys)]
+    short = np.minimum(counts, 255).astype(np.uint8)
+    bytes_ = lambda x, a, b: x[a:b].tobytes()
+    long = [counts[a:b][counts[a:b] >= 255].astype(np.uint32).tobytes() for a, b in zip(at, ends)]
+    spans = list(zip(at, ends))
+    return pa.record_batch(
+        {
+            "file": pa.array(files, pa.int32()),
+            "keys": pa.array([bytes_(high, *x) + bytes_(low, *x) for x in spans], pa.binary()),
+            "counts": pa.array([bytes_(short, *x) + y for x, y in zip(spans, long)], pa.binary()),
+        }
+    )
+
+
+def _unpacked(file: int, keys: bytes, counts: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 5
+    key = _joined(np.frombuffer(keys, np.uint32, n), np.frombuffer(keys, np.uint8, n, 4 * n), file, bits)
+    count = np.frombuffer(counts, np.uint8, n).astype(np.int64)
+    count[count == 255] = np.frombuffer(counts[n:], np.uint32)
+    return key, count
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys and the sums of their rows of counts."""
     if not len(keys):
@@ -109,8 +152,7 @@ def _count_grams(size: int, bits: int):
         held, rows = [], 0
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _blobs(keys, counts.astype(np.uint32), bits)
+            return _small_blobs(*np.unique(np.concatenate(held), return_counts=True), bits)
 
         for batch in batches:
             for piece in pieces(batch):
@@ -140,11 +182,11 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
                 left, right, bounds = tokens(piece.column("text"))
                 levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
                 at, longer, context = levels[size + 1]
-                times = look_up(longer, folder, f"raw{size + 1}", bits, np.uint32, 1)[:, 0]
+                times = look_up_small(longer, folder, f"raw{size + 1}", bits)
                 share = 1.0 / times
                 counts = times
                 if size + 1 < order:
-                    counts = look_up(longer, folder, f"grams{size + 1}", bits, np.int64, _FIELDS)[:, 0]
+                    counts = gram_fields(longer, times, folder, size + 1, bits)[:, 0]
                 own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
                 known, code = np.unique(np.concatenate([own, context]), return_inverse=True)
                 own_code, led = code[: len(own)], code[len(own) :]
@@ -152,7 +194,7 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
                 ended = np.searchsorted(own_at, at)
                 first = np.ones(len(own), bool)
                 first[ended] = False
-                table = np.empty((len(known), _FIELDS))
+                table = np.empty((len(known), _FIELDS), np.float64 if size == 1 else np.float32)
                 table[:, 0] = np.bincount(own_code[ended], share, len(known)) + np.bincount(
                     own_code, first & (size > 1), len(known)
                 )
@@ -160,6 +202,9 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
                 for k, part in enumerate((counts == 1, counts == 2, counts > 2)):
                     table[:, 2 + k] = np.bincount(led, share * part, len(known))
                 table[:, 5] = np.bincount(own_code, minlength=len(known))
+                if size > 1:
+                    again = look_up_small(known, folder, f"raw{size}", bits) > 1
+                    known, table = known[again], table[again]
                 keys.append(known)
                 sums.append(table)
                 rows += len(known)
@@ -172,9 +217,16 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
     return run
 
 
-def _write_files(folder: str, name: str, dtype, fields: int):
-    """Merge the parts of each file, which follow each other, write its two arrays and report
-    counts of counts."""
+def _tallied(file: int, tally: np.ndarray, uses: np.ndarray) -> list[int]:
+    """A file's keys, uses, and counts of counts."""
+    return [file, int((uses > 0).sum()), int(uses.sum()), int(tally.sum())] + [
+        int((tally == k).sum()) for k in (1, 2, 3, 4)
+    ] + [int((tally > 2).sum())]
+
+
+def _write_files(folder: str, name: str, bits: int, dtype=None):
+    """Merge the parts of each file, which follow each other, write its arrays and report
+    counts of counts. Without a ``dtype`` the parts are counted grams with short keys."""
 
     def run(batches):
         held, current, rows = [], None, []
@@ -184,24 +236,31 @@ def _write_files(folder: str, name: str, dtype, fields: int):
                 return
             keys, counts = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            keys, counts = _summed(keys, counts.astype(np.float64))
-            counts = np.rint(counts).astype(np.uint32 if fields == 1 else np.int64)
+            keys, counts = _summed(keys, counts)
+            if dtype is None:
+                high, low = _split(keys, bits)
+                put(folder, f"{name}-{current}.high", high)
+                put(folder, f"{name}-{current}.low", low)
+                put(folder, f"{name}-{current}.short", np.minimum(counts, 255).astype(np.uint8))
+                at = np.flatnonzero(counts >= 255)
+                put(folder, f"{name}-{current}.long", np.stack([at, counts[at]]))
+                rows.append(_tallied(current, counts, counts))
+                return
+            counts = np.rint(counts).astype(np.int64 if dtype is np.float64 else np.int32)
             put(folder, f"{name}-{current}.keys", keys)
             put(folder, f"{name}-{current}.counts", counts)
-            tally, used = counts[:, 0], counts[:, -1]
-            rows.append(
-                [current, int((used > 0).sum()), int(used.sum()), int(tally.sum())]
-                + [int((tally == k).sum()) for k in (1, 2, 3, 4)]
-                + [int((tally > 2).sum())]
-            )
+            rows.append(_tallied(current, counts[:, 0], counts[:, -1]))
 
         for batch in batches:
             for file, keys, counts in zip(*batch.columns):
                 if file.as_py() != current:
                     close()
                     current = file.as_py()
-                pair = np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), dtype)
-                held.append((pair[0], pair[1].reshape(-1, fields)))
+                if dtype is None:
+                    held.append(_unpacked(current, keys.as_py(), counts.as_py(), bits))
+                else:
+                    table = np.frombuffer(counts.as_py(), dtype).reshape(-1, _FIELDS)
+                    held.append((np.frombuffer(keys.as_py(), np.uint64), table.astype(np.float64)))
         close()
         names = ["file", "types", "uses", "tally", "n1", "n2", "n3", "n4", "n3up"]
         kinds = [pa.int32()] + [pa.int64()] * 8
@@ -233,6 +292,50 @@ def look_up(keys, folder: str, name: str, bits: int, dtype, fields: int, files=N
     return found
 
 
+def look_up_small(keys: np.ndarray, folder: str, name: str, bits: int, files=None) -> np.ndarray:
+    """Occurrences of grams with short keys, zero for those that are not there."""
+    found = np.zeros(len(keys), np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    high, low = _split(ordered, bits)
+    held, at = np.unique(file_of(ordered, bits), return_index=True)
+    for file, a, b in zip(held, at, [*at[1:], len(keys)]):
+        if files is not None and int(file) not in files:
+            continue
+        own, rest = get(folder, f"{name}-{file}.high", np.uint32), get(folder, f"{name}-{file}.low", np.uint8)
+        place = np.searchsorted(own, high[a:b])
+        # of the few keys with equal first bits one may have the last ones too
+        open_ = np.arange(b - a)
+        hit = np.full(b - a, -1)
+        while len(open_):
+            open_ = open_[place[open_] < len(own)]
+            open_ = open_[own[place[open_]] == high[a:b][open_]]
+            same = rest[place[open_]] == low[a:b][open_]
+            hit[open_[same]] = place[open_[same]]
+            open_ = open_[~same]
+            place[open_] += 1
+        there = np.flatnonzero(hit >= 0)
+        counts = get(folder, f"{name}-{file}.short", np.uint8)[hit[there]].astype(np.int64)
+        many = np.flatnonzero(counts == 255)
+        if len(many):
+            where, more = get(folder, f"{name}-{file}.long", np.int64).reshape(2, -1)
+            counts[many] = more[np.searchsorted(where, hit[there][many])]
+        found[order[a:b][there]] = counts
+    return found
+
+
+def gram_fields(keys: np.ndarray, times: np.ndarray, folder: str, size: int, bits: int, files=None):
+    """The fields of grams of two words and more that occur ``times``.
+
+    One that occurs once has one neighbour on either side, and a single follower.
+    """
+    found = np.zeros((len(keys), _FIELDS), np.int64)
+    found[times == 1] = (1, 1, 1, 0, 0, 1)
+    again = np.flatnonzero(times > 1)
+    found[again] = look_up(keys[again], folder, f"grams{size}", bits, np.int32, _FIELDS, files)
+    return found
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float, float]:
     """Discounts of counts 0, 1, 2 and more, from the counts of counts.
 
@@ -259,18 +362,26 @@ class Model:
     discounts: dict  # length -> discounts of counts 0, 1, 2 and more
     word_rest: float  # the probability that discounting leaves for unseen words
 
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """The fields of words."""
+        return look_up(
+            keys, self.folder, "grams1", self.bits, np.int64, _FIELDS, self.files["grams1"]
+        )
+
+    def times(self, size: int, keys: np.ndarray) -> np.ndarray:
+        name = f"raw{size}"
+        return look_up_small(keys, self.folder, name, self.bits, self.files[name])
+
     def fields(self, size: int, keys: np.ndarray) -> np.ndarray:
         """The fields of grams of one length below the order."""
-        name = f"grams{size}"
-        return look_up(keys, self.folder, name, self.bits, np.int64, _FIELDS, self.files[name])
+        if size == 1:
+            return self.words(keys)
+        files = self.files[f"grams{size}"]
+        return gram_fields(keys, self.times(size, keys), self.folder, size, self.bits, files)
 
     def counts(self, size: int, keys: np.ndarray) -> np.ndarray:
         """What a gram counts: its occurrences at the order, else its left neighbours."""
-        if size < self.order:
-            return self.fields(size, keys)[:, 0]
-        name = f"raw{size}"
-        found = look_up(keys, self.folder, name, self.bits, np.uint32, 1, self.files[name])
-        return found[:, 0].astype(np.int64)
+        return self.fields(size, keys)[:, 0] if size < self.order else self.times(size, keys)
 
     def word_probability(self, neighbours: np.ndarray) -> np.ndarray:
         """P(word) from its number of distinct left neighbours; the unknown word has none."""
@@ -283,7 +394,7 @@ class Model:
     def probabilities(self, left: np.ndarray, right: np.ndarray, bounds: np.ndarray):
         """P(token | the tokens before it) and how often each token was seen in training."""
         words, code = np.unique(right, return_inverse=True)
-        known = self.fields(1, words)
+        known = self.words(words)
         likely = self.word_probability(known[:, 0])[code]
         for size, at, gram, context in grams(left, right, bounds, self.order):
             d = np.array(self.discounts[size])
@@ -316,20 +427,27 @@ def fit(
     folder = f"{shared_folder(spark)}/ngrams"
     files, discounted = {}, {}
 
-    def counted(job, name, dtype, fields):
+    def counted(job, name, dtype=None):
         parts = texts.mapInArrow(job, _BLOBS).repartition("file").sortWithinPartitions("file")
         sums, files[name] = _totals(
-            parts.mapInArrow(_write_files(folder, name, dtype, fields), _FILE_ROWS)
+            parts.mapInArrow(_write_files(folder, name, bits, dtype), _FILE_ROWS)
         )
+        del parts
+        # nobody refers to the shuffle any more: its files go with the next collection
+        gc.collect()
+        spark._jvm.System.gc()
         return sums
 
+    once = {}
     for length in range(2, order + 1):
-        top = counted(_count_grams(length, bits), f"raw{length}", np.uint32, 1)
+        top = counted(_count_grams(length, bits), f"raw{length}")
+        once[length] = top[3]
     discounted[order] = discounts(*top[3:7])
     for length in range(order - 1, 0, -1):
         job = _count_neighbours(length, order, folder, bits)
-        sums = counted(job, f"grams{length}", np.float64, _FIELDS)
-        discounted[length] = discounts(*sums[3:7])
+        sums = counted(job, f"grams{length}", np.float64 if length == 1 else np.float32)
+        # grams that occur once are not in the table; each of them counts one
+        discounted[length] = discounts(sums[3] + once.get(length, 0), *sums[4:7])
     types, uses, tally, n1, n2, n3, n4, n3up = sums
     kept = discounted[1]
     rest = (kept[1] * n1 + kept[2] * n2 + kept[3] * n3up) / tally if tally else 1.0
