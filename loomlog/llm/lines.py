@@ -41,6 +41,7 @@ DEPTH = 3
 LEAST_PLACES, LONG_PLACES, LONG_WORDS = 3, 2, 50
 # one in so many lines of a leaf must have a word, and more, for it to be part of a template
 SHARED = 3
+SALTS = 16
 # of the documents with a template, at least one in so many has surroundings of its own
 OWN_PLACES = 4
 _DIGIT = np.zeros(256, bool)
@@ -230,11 +231,14 @@ def templates(docs: DataFrame, folder: str) -> tuple[int, frozenset]:
     exploded = variants.join(counts, "form").select(
         "leaf", "form", "n", F.posexplode("words").alias("place", "word")
     )
-    held = forms.groupBy("leaf").agg(F.count("*").alias("leaf_n"))
+    # a leaf may hold very many words: its size waits for them under several salts
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    held = forms.groupBy("leaf").agg(F.count("*").alias("leaf_n")).select("leaf", "leaf_n", salts)
     shared = (
         exploded.groupBy("leaf", "place", "word")
         .agg(F.sum("n").alias("n"))
-        .join(held, "leaf")
+        .withColumn("salt", F.pmod(F.xxhash64("place", "word"), F.lit(SALTS)))
+        .join(held, ["leaf", "salt"])
         .filter(SHARED * F.col("n") > F.col("leaf_n"))
         .select("leaf", "place", "word", F.lit(True).alias("fixed"))
     )
