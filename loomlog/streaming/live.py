@@ -170,7 +170,8 @@ def _spike_processor(kind: str, idle: int):
             sec, err = hit["sec"].to_numpy(np.int64), hit["err"].to_numpy(np.int64)
             if self.clock.exists():
                 start, done, baseline, total = self.clock.get()
-                held = np.array([tuple(r) for r in self.recent.get()], np.int64).reshape(-1, 2)
+                listed = self.recent.get() if self.recent.exists() else ()
+                held = np.array([tuple(r) for r in listed], np.int64).reshape(-1, 2)
                 sec, err = np.r_[held[:, 0], sec], np.r_[held[:, 1], err]
             else:
                 start, done, baseline, total = int(frame["sec"].min()), 0, first_baseline, 0
@@ -185,7 +186,10 @@ def _spike_processor(kind: str, idle: int):
             self.clock.update((int(start), int(last), float(ended), int(total)))
             # seconds beyond the last tick have not been counted yet
             kept = sec > counted_to(start, last) - span
-            self.recent.put([(int(s), int(e)) for s, e in zip(sec[kept], err[kept])])
+            if kept.any():
+                self.recent.put([(int(s), int(e)) for s, e in zip(sec[kept], err[kept])])
+            else:  # a list in the state is never empty
+                self.recent.clear()
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer((until + idle) * 1000)
