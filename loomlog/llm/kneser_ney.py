@@ -22,7 +22,7 @@ Columns beyond the id and the text are not read.
 
 from __future__ import annotations
 
-import gc
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -414,6 +414,18 @@ def _totals(report: DataFrame) -> tuple[list[int], frozenset]:
     )
 
 
+@contextmanager
+def _shuffles_let_go(spark):
+    """Spark removes the shuffle files of a query when it ends, as its table has been written."""
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(flag) if before is None else spark.conf.set(flag, before)
+
+
 def fit(
     training: DataFrame, text: str = "text", order: int = ORDER, file_bytes: int = FILE_BYTES
 ) -> Model:
@@ -432,22 +444,19 @@ def fit(
         sums, files[name] = _totals(
             parts.mapInArrow(_write_files(folder, name, bits, dtype), _FILE_ROWS)
         )
-        del parts
-        # nobody refers to the shuffle any more: its files go with the next collection
-        gc.collect()
-        spark._jvm.System.gc()
         return sums
 
     once = {}
-    for length in range(2, order + 1):
-        top = counted(_count_grams(length, bits), f"raw{length}")
-        once[length] = top[3]
-    discounted[order] = discounts(*top[3:7])
-    for length in range(order - 1, 0, -1):
-        job = _count_neighbours(length, order, folder, bits)
-        sums = counted(job, f"grams{length}", np.float64 if length == 1 else np.float32)
-        # grams that occur once are not in the table; each of them counts one
-        discounted[length] = discounts(sums[3] + once.get(length, 0), *sums[4:7])
+    with _shuffles_let_go(spark):
+        for length in range(2, order + 1):
+            top = counted(_count_grams(length, bits), f"raw{length}")
+            once[length] = top[3]
+        discounted[order] = discounts(*top[3:7])
+        for length in range(order - 1, 0, -1):
+            job = _count_neighbours(length, order, folder, bits)
+            sums = counted(job, f"grams{length}", np.float64 if length == 1 else np.float32)
+            # grams that occur once are not in the table; each of them counts one
+            discounted[length] = discounts(sums[3] + once.get(length, 0), *sums[4:7])
     types, uses, tally, n1, n2, n3, n4, n3up = sums
     kept = discounted[1]
     rest = (kept[1] * n1 + kept[2] * n2 + kept[3] * n3up) / tally if tally else 1.0
