@@ -373,16 +373,10 @@ class Model:
         return look_up_small(keys, self.folder, name, self.bits, self.files[name])
 
     def fields(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """The fields of grams of one length below the order."""
-        if size == 1:
-            return self.words(keys)
+        """The fields of grams of two words and more, below the order."""
         files = self.files[f"grams{size}"]
         return gram_fields(keys, self.times(size, keys), self.folder, size, self.bits, files)
 
-    def counts(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """What a gram counts: its occurrences at the order, else its left neighbours."""
-        return self.fields(size, keys)[:, 0] if size < self.order else self.times(size, keys)
-
     def word_probability(self, neighbours: np.ndarray) -> np.ndarray:
         """P(word) from its number of distinct left neighbours; the unknown word has none."""
         even = self.word_rest / (self.types + 1)
@@ -394,17 +388,27 @@ class Model:
     def probabilities(self, left: np.ndarray, right: np.ndarray, bounds: np.ndarray):
         """P(token | the tokens before it) and how often each token was seen in training."""
         words, code = np.unique(right, return_inverse=True)
-        known = self.words(words)
-        likely = self.word_probability(known[:, 0])[code]
-        for size, at, gram, context in grams(left, right, bounds, self.order):
-            d = np.array(self.discounts[size])
-            led = self.fields(size - 1, context)
-            counts = self.counts(size, gram)
-            total = np.maximum(led[:, 1], 1)
-            rest = (led[:, 2:5] * d[1:]).sum(axis=1) / total
+        ended = self.words(words)[code]  # the fields of the gram that ends at each token
+        seen = ended[:, 5]
+        likely = self.word_probability(ended[:, 0])
+        # a context is the gram that ended one token earlier; only what begins a text is looked up
+        led = np.roll(ended, 1, axis=0)
+        opening, at = np.unique(left[bounds[:-1]], return_inverse=True)
+        led[bounds[:-1]] = self.words(opening)[at]
+        for size, at, gram, _ in grams(left, right, bounds, self.order):
+            d, context = np.array(self.discounts[size]), led[at]
+            if size < self.order:
+                own = self.fields(size, gram)
+                counts = own[:, 0]
+                led = np.zeros_like(led)
+                led[at[at + 1 < len(right)] + 1] = own[at + 1 < len(right)]
+            else:
+                counts = self.times(size, gram)
+            total = np.maximum(context[:, 1], 1)
+            rest = (context[:, 2:5] * d[1:]).sum(axis=1) / total
             direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total
-            likely[at] = np.where(led[:, 1] > 0, direct + rest * likely[at], likely[at])
-        return likely, known[code, 5]
+            likely[at] = np.where(context[:, 1] > 0, direct + rest * likely[at], likely[at])
+        return likely, seen
 
 
 def _totals(report: DataFrame) -> tuple[list[int], frozenset]:
