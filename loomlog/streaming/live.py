@@ -139,17 +139,18 @@ def _spike_processor(kind: str, idle: int):
         rate = (sums[upto] - sums[since]) / np.maximum(1.0, reach) * 60
         pushed = (1 - keep) * (np.maximum(rate, floor) - floor)
         before, after = np.zeros(len(ticks)), np.zeros(len(ticks))
-        apart, begin = baseline - floor, done + 1
+        apart, begin, since_part = baseline - floor, done + 1, 0
         for part in np.unique((ticks - begin) // chunk):
             here = np.flatnonzero((ticks - begin) // chunk == part)
             place = ticks[here] - (begin + part * chunk)
             lifted = np.cumsum(pushed[here] * keep ** -(place + 1.0))
-            faded = apart * keep ** float(part * chunk) if part else apart
+            faded = apart * keep ** float((part - since_part) * chunk)
             before[here] = floor + keep ** (place * 1.0) * (faded + np.r_[0, lifted[:-1]])
             after[here] = floor + keep ** (place + 1.0) * (faded + lifted)
-            # as if the chunk's pushes had been there from the beginning of the clock
-            apart = (faded + lifted[-1]) * keep ** float(-part * chunk) if part else faded + lifted[-1]
-        ended = floor + keep ** float(last - done) * apart
+            # as if the chunk's pushes had been there from its beginning; from the beginning of
+            # the clock they would be beyond all numbers after some hours
+            apart, since_part = faded + lifted[-1], part
+        ended = floor + keep ** float(last - done - since_part * chunk) * apart
         new = sums[upto] - sums[np.searchsorted(sec, counted_to(start, done), "right")]
         return at, rate, total + new, before, after, ended
 

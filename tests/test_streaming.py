@@ -101,6 +101,24 @@ def test_live_spikes_equal_the_batch_ticks_over_many_batches(spark, tmp_path):
 
 def test_lines_without_a_time_count_at_their_arrival(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
+def test_live_spikes_on_a_clock_of_days(spark, tmp_path):
+    """The weights of a batch's first and last tick may lie beyond all numbers apart."""
+    sections = [0, 9_000, 30_000, 200_000]
+    rows = [("k", 1000 + s + 5 * i, 1, 3 + (i > 20) * 40) for s in sections for i in range(40)]
+    schema = "source string, sec bigint, n bigint, err bigint"
+    folder = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    live.start_table(live.live_spikes(stream), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "t")).orderBy("tick").collect()
+    wanted = anomaly.spike_ticks(df).orderBy("tick").collect()
+    assert [(r.tick, r.total_errors, r.is_spike) for r in found] == [
+        (r.tick, r.total_errors, r.is_spike) for r in wanted]
+    assert [r.baseline for r in found] == pytest.approx([r.baseline for r in wanted])
+    assert [r.next_baseline for r in found] == pytest.approx([r.next_baseline for r in wanted])
+
+
     rows = [(at, True, at), (None, True, at + datetime.timedelta(seconds=1)), (None, False, at),
             (at + datetime.timedelta(seconds=60), False, at)]
     schema = "event_time timestamp, is_error boolean, arrival timestamp"
