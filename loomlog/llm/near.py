@@ -1,9 +1,11 @@
-"""Near duplicates by Jaccard: texts whose sets of five-word shingles are similar are linked.
-
-Each set has 128 minimum hashes in 32 bands of four; two sets meet where a band is equal. Of
-pairs at similarity 0.8 that fails for five in 10^8, of more similar ones for fewer. SimHash
-cannot give that: at 0.8 fingerprints differ in about 10 of 64 bits with a deviation of 3, and
-bands that lose no pair at 18 bits hold three bits each. What meets is compared by its exact
+"""Near duplicates: texts whose sets of five-word shingles are similar are linked.
+
+Texts meet in two ways. Their SimHash fingerprints, those of ``simhash``, are linked within four
+bits through its Gray-order index, and the sets of a component meet. At 0.8 fingerprints differ in
+about 10 of 64 bits with a deviation of 3, and bands that lose no pair at 18 bits hold three
+bits each: for what lies further apart each set has 128 minimum hashes in 32 bands of four, and
+two sets meet where a band is equal. Of pairs at similarity 0.8 that fails for five in 10^8, of
+more similar ones for fewer. What meets is compared by its exact
 shingle sets, which workers map from the shared folder. Within a bucket a set is compared with
 those that are not yet in its component, so a bucket gives a spanning forest of true links.
 In a bucket over a bound all are compared with one leader first; who is not
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.flat import IS_WORD, LOWER, chain, flat, mix, pieces, prefix, span_hash, word_spans
-from loomlog.llm.simhash import components
+from loomlog.llm.simhash import components, text_fingerprints, with_roots
 from loomlog.llm.store import get, put, remove
 from loomlog.session import shared_folder
 
@@ -80,7 +82,7 @@ def _bands(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
-    """The name of each row's set and the bands of sets that are not empty."""
+    """The name of each row's set, its SimHash fingerprint and the bands of sets that are not empty."""
     for batch in batches:
         for piece in pieces(batch):
             value, offsets = shingle_sets(piece.column("text"))
@@ -91,9 +93,10 @@ def _signed(batches):
                 [
                     *piece.drop_columns(["text"]).columns,
                     pa.array(_names(value, offsets)),
+                    pa.array(text_fingerprints(piece.column("text")).view(np.int64)),
                     pa.ListArray.from_arrays(ends, bands.ravel()),
                 ],
-                [n for n in piece.schema.names if n != "text"] + ["fp", "bands"],
+                [n for n in piece.schema.names if n != "text"] + ["fp", "mark", "bands"],
             )
 
 
@@ -299,16 +302,28 @@ def _by_leaders(crowds: DataFrame, folder: str, bucket_rows: int) -> tuple[DataF
     return links, rest
 
 
+def _by_marks(signed: DataFrame, folder: str) -> DataFrame:
+    """Sets by the component of their SimHash fingerprint, as buckets. Those with a fingerprint of
+    their own that is linked with none stay out."""
+    spark = signed.sparkSession
+    nodes = signed.groupBy(F.col("mark").alias("fp")).agg(F.count("*").alias("sets"))
+    with_roots(nodes, f"{folder}/simhash").write.parquet(f"{folder}/marks")
+    marks = spark.read.parquet(f"{folder}/marks").withColumnRenamed("fp", "mark")
+    shared = marks.groupBy("root").agg(F.sum("sets").alias("held")).filter("held > 1")
+    met = marks.join(shared, "root", "left_semi").select("mark", F.xxhash64("root", F.lit("mark")).alias("bucket"))
+    return signed.select("fp", "mark").join(met, "mark").select("fp", "bucket")
+
+
 def links(
     signed: DataFrame, texts: DataFrame, folder: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """``(a, b)``: links of similar sets that span their components.
 
-    ``signed`` has one row per set: name, a row that has it, and its bands. Texts are not
-    shuffled: workers map the list of rows whose sets are wanted.
+    ``signed`` has one row per set: name, a row that has it, its SimHash fingerprint and its
+    bands. Texts are not shuffled: workers map the list of rows whose sets are wanted.
     """
     spark = signed.sparkSession
-    dealt = signed.select("fp", F.explode("bands").alias("bucket"))
+    dealt = signed.select("fp", F.explode("bands").alias("bucket")).unionByName(_by_marks(signed, folder))
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     sizes.write.parquet(f"{folder}/sizes")
     sizes = spark.read.parquet(f"{folder}/sizes")
@@ -384,13 +399,14 @@ def first_rows(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = numbered.select(F.col("near_row").alias("row"), F.col("doc_id").alias("id"), "text")
     texts.mapInArrow(
-        _signed, f"row long, id {kind}, fp long, bands array<long>"
+        _signed, f"row long, id {kind}, fp long, mark long, bands array<long>"
     ).write.parquet(f"{folder}/work/signed")
     signed = spark.read.parquet(f"{folder}/work/signed")
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
     # rows of one set are one before anything is dealt or joined
     signed.groupBy("fp").agg(
-        F.min(place).alias("first"), F.min("row").alias("row"), F.any_value("bands").alias("bands")
+        F.min(place).alias("first"), F.min("row").alias("row"), F.min("mark").alias("mark"),
+        F.any_value("bands").alias("bands"),
     ).write.parquet(f"{folder}/work/distinct")
     distinct = spark.read.parquet(f"{folder}/work/distinct")
     found = links(distinct, texts.drop("id"), f"{folder}/work", bucket_rows)

@@ -328,6 +328,14 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
+def with_roots(nodes: DataFrame, folder: str) -> DataFrame:
+    """Distinct fingerprints ``fp`` and the ``root`` of each one's component."""
+    roots = components(links(nodes), folder)
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        *nodes.columns, F.coalesce("root", "fp").alias("root")
+    )
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every document."""
     spark = docs.sparkSession
@@ -335,13 +343,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     fingerprints(docs).write.parquet(f"{folder}/fingerprints")
     marked = spark.read.parquet(f"{folder}/fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes), folder)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp",
-        "first",
-        F.coalesce("root", "fp").alias("root"),
-        F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"),
-    )
+    rooted = with_roots(nodes, folder).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     # a component may hold most fingerprints: its name waits for them under several salts
     named = (
         rooted.groupBy("root")

@@ -18,6 +18,7 @@ from loomlog.llm import (
     toolcalls, urls,
 )
 from loomlog.llm.flat import worker_cache
+from loomlog.llm.simhash import text_fingerprints
 import corpus_pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -538,6 +539,27 @@ def test_near_dedup_keeps_texts_of_one_id_and_drops_copies_without_one(spark):
     )
 
 
+def test_near_dedup_meets_by_simhash(spark, tmp_path):
+    """Without any band, texts within four bits of their fingerprints still meet."""
+    near, rng = corpus_pipeline.near, random.Random(3)
+    texts = []
+    for _ in range(8):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(1500)]
+        texts.append(" ".join(words))
+        words[rng.randrange(1500)] = "other"
+        texts.append(" ".join(words))
+    marks = text_fingerprints(pa.array(texts))
+    close = {k // 2 for k in range(0, 16, 2) if np.bitwise_count(marks[k] ^ marks[k + 1]) <= 4}
+    assert len(close) > 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").coalesce(1)
+    signed = rows.mapInArrow(near._signed, "row long, fp long, mark long, bands array<long>")
+    signed.withColumn("bands", F.array().cast("array<long>")).write.parquet(f"{tmp_path}/signed")
+    signed = spark.read.parquet(f"{tmp_path}/signed")
+    pair = {r.fp: r.row // 2 for r in signed.collect()}
+    found = near.links(signed, rows, f"{tmp_path}/work").collect()
+    assert {pair[r.a] for r in found} == close and all(pair[r.a] == pair[r.b] for r in found)
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 
