@@ -30,15 +30,22 @@ def discover_logs(
     the first ``limit`` in path order where one is asked for; a file named directly is taken
     whatever its name. Only the listing is read, never the files.
     """
+    found = find_logs(spark, roots, limit)
+    return [row.path for row in found.orderBy("root_no", "path").select("path").collect()]
+
+
+def find_logs(spark: SparkSession, roots: Iterable[str], limit: int | None = None) -> DataFrame:
+    """``(path, root_no)`` of the files that ``discover_logs`` gives, as a table: for roots with
+    more files than a driver should hold as a list. ``root_no`` is the first root that has the file.
+    """
     listed = [f for f in (_listing(spark, r, i) for i, r in enumerate(roots)) if f is not None]
     if not listed:
-        return []
+        return spark.createDataFrame([], "path string, root_no int")
     files = reduce(DataFrame.unionByName, listed)
     if limit is not None:
         rank = F.row_number().over(Window.partitionBy("root_no").orderBy("path"))
         files = files.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    first = files.groupBy("path").agg(F.min(F.struct("root_no", "path")).alias("at"))
-    return [row.path for row in first.orderBy("at").select("path").collect()]
+    return files.groupBy("path").agg(F.min("root_no").alias("root_no"))
 
 
 def _listing(spark: SparkSession, root: str, number: int) -> DataFrame | None:

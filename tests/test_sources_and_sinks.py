@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import text
 from loomlog.operators.parse import parse_logs
+from loomlog.plans import files
 from loomlog.sinks.export import normalise_format, target_path, write_export
 from loomlog.sinks.versions import Versions
 from loomlog.sources import ranges
 from loomlog.sources.records import normalise_records, text_records
-from loomlog.sources.textlogs import cut_unterminated, discover_logs, read_log_files
+from loomlog.sources.tables import log_lines
+from loomlog.sources.textlogs import cut_unterminated, discover_logs, find_logs, read_log_files
 
 
 def _write(folder, name, content):
@@ -301,3 +303,24 @@ def test_empty_files_and_no_files(spark, tmp_path):
     (tmp_path / "mark.log").write_bytes(codecs.BOM_UTF16_LE)
     assert read_log_files(spark, [str(tmp_path)], "utf-16").collect() == []
     assert read_log_files(spark, [str(tmp_path / "empty.log")], index=str(tmp_path / "i")).collect() == []
+
+
+def test_landed_segments_lie_in_one_folder_and_are_found_as_a_table(spark, small):
+    folder = files.landed_lines(spark, small, 100)
+    lines = {r.line_number: r.raw for r in log_lines(spark, small).collect()}
+    names = sorted(os.listdir(folder.removeprefix("file:")))
+    assert names == sorted({f"segment={n // 100}.txt" for n in lines})
+    found = find_logs(spark, [folder, folder]).collect()
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in found) == names and {r.root_no for r in found} == {0}
+    read = read_log_files(spark, [folder]).collect()
+    segment = lambda r: int(r.file.rsplit("=", 1)[-1].removesuffix(".txt"))
+    assert {segment(r) * 100 + r.line_number - 1: r.raw for r in read} == lines
+
+
+def test_exports_read_entries_that_were_parsed_once(spark, small, monkeypatch):
+    entries, meta = files._meta(spark, small)
+    given = []
+    monkeypatch.setattr(files, "write_export", lambda df, *a, **k: given.append(df) or write_export(df, *a, **k))
+    files.exported_json(spark, small)
+    for df in (entries, meta, *given):
+        assert df.inputFiles() and not any("events.parquet" in f for f in df.inputFiles())
