@@ -13,6 +13,7 @@ from loomlog.session import shared_folder
 from loomlog.sources.tables import (
     ERROR_SQL, SECOND_SQL, as_of, lines_from_events, log_lines, table,
 )
+from loomlog.sources.textlogs import find_logs
 from loomlog.streaming import live, tables
 
 DELAY = 5
@@ -47,10 +48,16 @@ def _running(name):
     return run, sql.with_entries(f"SELECT {name}, count(*) AS cnt FROM entries GROUP BY {name}")
 
 
+# batches that landed segments are read in, at most
+BATCHES = 12
+
+
 def live_files(spark, sf_dir):
     """Landed text segments, parsed into a table as they are found."""
     folder = landed_lines(spark, sf_dir)
-    lines = live.read_live(spark, folder, files_per_trigger=2)
+    # a batch costs about as much for two small files as for a hundred
+    segments = find_logs(spark, [folder]).count()
+    lines = live.read_live(spark, folder, files_per_trigger=max(2, -(-segments // BATCHES)))
     entries = parse_logs(lines, columns=["format", "fingerprint", "raw"], as_of=as_of())
     done = _finished(spark, entries)
     return done.groupBy("format", "fingerprint").agg(F.count("*").alias("cnt"))

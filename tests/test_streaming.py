@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomlog.operators import anomaly, stats
 from loomlog.operators.parse import parse_logs
+from loomlog.plans import live as plans
+from loomlog.plans.files import landed_lines
 from loomlog.streaming import live, tables
 
 
@@ -99,8 +101,6 @@ def test_live_spikes_equal_the_batch_ticks_over_many_batches(spark, tmp_path):
     assert any(r.is_spike for r in found)
 
 
-def test_lines_without_a_time_count_at_their_arrival(spark, tmp_path):
-    at = datetime.datetime(2024, 1, 1)
 def test_live_spikes_on_a_clock_of_days(spark, tmp_path):
     """The weights of a batch's first and last tick may lie beyond all numbers apart."""
     sections = [0, 9_000, 30_000, 200_000]
@@ -119,6 +119,8 @@ def test_live_spikes_on_a_clock_of_days(spark, tmp_path):
     assert [r.next_baseline for r in found] == pytest.approx([r.next_baseline for r in wanted])
 
 
+def test_lines_without_a_time_count_at_their_arrival(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
     rows = [(at, True, at), (None, True, at + datetime.timedelta(seconds=1)), (None, False, at),
             (at + datetime.timedelta(seconds=60), False, at)]
     schema = "event_time timestamp, is_error boolean, arrival timestamp"
@@ -283,3 +285,32 @@ def test_idle_keys_leave_the_state(spark, tmp_path):
     clock = spark.read.format("statestore").option("stateVarName", "clock").load(checkpoint)
     # the first stay of the key has left; what is there is its second one
     assert {r.key.source: r.value.start for r in clock.collect()} == {"here": 1000, "gone": 4900}
+
+
+def test_landed_segments_are_read_in_few_batches(spark, small, monkeypatch):
+    asked = []
+    read = live.read_live
+    monkeypatch.setattr(plans, "landed_lines", lambda spark, sf_dir: landed_lines(spark, sf_dir, 10))
+    monkeypatch.setattr(
+        live, "read_live", lambda *a, files_per_trigger, **k: asked.append(files_per_trigger) or
+        read(*a, files_per_trigger=files_per_trigger, **k))
+    segments = spark.read.parquet(f"{small}/events.parquet").selectExpr("event_id div 10 AS s").distinct().count()
+    found = plans.live_files(spark, small)
+    assert segments > 2 * plans.BATCHES >= 2 * -(-segments // asked[0])
+    assert found.agg(F.sum("cnt")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_a_batch_in_one_piece_is_parsed_by_many_tasks(spark, tmp_path):
+    rows = [(f"INFO step {k} of the job" if k % 50 else "ERROR disk is full", "job.log", 0) for k in range(400)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, "raw string, source string, line_number bigint").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema("raw string, source string, line_number bigint").parquet(folder)
+    live.start_diagnosis(
+        stream, str(tmp_path / "e"), str(tmp_path / "d"), str(tmp_path / "c"), half=2
+    ).awaitTermination()
+    entries = spark.read.parquet(str(tmp_path / "e"))
+    assert [r.raw for r in entries.orderBy("arrival").collect()] == [r[0] for r in rows]
+    assert len(entries.inputFiles()) > 1
+    related = {tuple(r.related_entries) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
+    assert ("INFO step 48 of the job", "INFO step 49 of the job", "ERROR disk is full",
+            "INFO step 51 of the job", "INFO step 52 of the job") in related
