@@ -20,6 +20,7 @@ from loomlog.operators.diagnose import diagnose
 from loomlog.operators.order import last_rows, with_context
 from loomlog.operators.parse import parse_logs
 from loomlog.sinks.versions import Versions
+from loomlog.sources.tables import spread
 from loomlog.sources.textlogs import decode_text, drop_blank
 
 
@@ -319,9 +320,9 @@ def start_diagnosis(
         spark = batch.sparkSession
         part = f"{entries_path}/batch_id={batch_id}"
         tails = Versions(f"{entries_path}_tails")
-        parsed = parse_logs(batch.withColumn("log", F.col("source")), as_of=as_of)
-        numbered = parsed.withColumn("arrival", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(part)
+        # numbered as they arrive, then dealt out: a batch may lie in fewer pieces than there are cores
+        arrived = batch.withColumns({"log": F.col("source"), "arrival": F.monotonically_increasing_id()})
+        parse_logs(spread(arrived), as_of=as_of).write.mode("overwrite").parquet(part)
         entries = spark.read.parquet(part).withColumn("_new", F.lit(True))
         before = tails.before(spark, batch_id)
         if before is None:
