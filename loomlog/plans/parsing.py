@@ -11,6 +11,7 @@ from loomlog.operators.classify import classify, duration_sql, error_gate_sql
 from loomlog.operators.parse import ENTRY_COLUMNS, analyze, entry_record, parse_logs
 from loomlog.operators.order import with_position
 from loomlog.plans import check_base as sql
+from loomlog.session import shared_folder
 from loomlog.sources.tables import as_of, log_lines, spread, table
 
 _KEY = ("line_number", "file")
@@ -23,6 +24,13 @@ def parsed(spark, sf_dir, *columns, lines=None, **options):
     return parse_logs(lines, columns=columns or ENTRY_COLUMNS, as_of=as_of(), **options)
 
 
+def stored(spark, entries):
+    """Entries as a table: what uses them several times parses them once."""
+    path = f"{shared_folder(spark)}/entries"
+    entries.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def placed_entries(spark, sf_dir, *columns):
     """Entries with their position in their source, numbered on the bare lines."""
     placed = with_position(log_lines(spark, sf_dir))
