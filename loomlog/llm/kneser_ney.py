@@ -419,7 +419,7 @@ def _totals(report: DataFrame) -> tuple[list[int], frozenset]:
 
 
 @contextmanager
-def _shuffles_let_go(spark):
+def shuffles_let_go(spark):
     """Spark removes the shuffle files of a query when it ends, as its table has been written."""
     flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(flag, None)
@@ -451,7 +451,7 @@ def fit(
         return sums
 
     once = {}
-    with _shuffles_let_go(spark):
+    with shuffles_let_go(spark):
         for length in range(2, order + 1):
             top = counted(_count_grams(length, bits), f"raw{length}")
             once[length] = top[3]

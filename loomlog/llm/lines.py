@@ -11,8 +11,10 @@ counted over documents of different text, so copies of a document change nothing
 copies have the same surroundings and are left to near-duplicate removal. Lines of recurring
 templates are dropped from all documents but the first.
 
-Leaves and lines to drop are sorted hash arrays in the shared folder that workers map, as in
-the language model. Texts are read three times and never shuffled.
+Leaves, shared words and lines to drop are sorted hash arrays in the shared folder that workers
+map, as in the language model. Texts are read three times and never shuffled; the words of a form
+are shuffled once, their keys are counted once, and what was shuffled for a table is let go when the
+table is written.
 
 Defined cases: a null or empty text has no lines and stays as it is. Blank lines are never
 dropped. A document all of whose lines would be dropped is left alone. Of repeated rows with the
@@ -26,14 +28,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.flat import (
     IS_WORD, chain, flat, mix, pieces, prefix, row_of, span_hash, word_spans,
 )
-from loomlog.llm.kneser_ney import look_up
-from loomlog.llm.store import put
+from loomlog.llm.kneser_ney import look_up, shuffles_let_go
+from loomlog.llm.store import put, remove
 from loomlog.session import shared_folder
 
 DEPTH = 3
@@ -41,7 +44,6 @@ DEPTH = 3
 LEAST_PLACES, LONG_PLACES, LONG_WORDS = 3, 2, 50
 # one in so many lines of a leaf must have a word, and more, for it to be part of a template
 SHARED = 3
-SALTS = 16
 # of the documents with a template, at least one in so many has surroundings of its own
 OWN_PLACES = 4
 _DIGIT = np.zeros(256, bool)
@@ -49,6 +51,7 @@ _DIGIT[0x30:0x3A] = True
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 KEYS_PER_FILE = 1 << 20
+SLICE_WORDS = 1 << 18
 
 
 class Lines:
@@ -172,10 +175,11 @@ def _write_keys(folder: str, name: str, bits: int):
 
 def _stored(rows: DataFrame, folder: str, name: str) -> tuple[int, frozenset]:
     """Store ``(key, value)`` rows of distinct keys; the bits of the files and which there are."""
-    bits = min(24, int(rows.count() / KEYS_PER_FILE).bit_length())
-    file = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    dealt = rows.select(file.alias("file"), "key", "value").repartition("file")
-    written = dealt.mapInArrow(_write_keys(folder, name, bits), "file int").collect()
+    with shuffles_let_go(rows.sparkSession):
+        bits = min(24, int(rows.count() / KEYS_PER_FILE).bit_length())
+        file = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+        dealt = rows.select(file.alias("file"), "key", "value").repartition("file")
+        written = dealt.mapInArrow(_write_keys(folder, name, bits), "file int").collect()
     return bits, frozenset(r["file"] for r in written)
 
 
@@ -200,12 +204,95 @@ def _places(rows: DataFrame, key: str, *more: str) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _slices(batch: pa.RecordBatch):
+    """Slices of lines with about ``SLICE_WORDS`` words each, whole lines always.
+
+    Yields the slice, the line of each word, and the key of each word in its leaf and place.
+    """
+    sizes = pc.list_value_length(batch.column("words")).to_numpy().astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+        piece, size = batch.slice(start, stop - start), sizes[start:stop]
+        line = np.repeat(np.arange(stop - start), size)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        word = piece.column("words").flatten().to_numpy().view(np.uint64)
+        leaf = piece.column("leaf").to_numpy().view(np.uint64)
+        yield piece, line, place, chain(chain(leaf[line], place.astype(np.uint64)), word)
+        start = stop
+
+
+def _leaf_sizes(piece: pa.RecordBatch, stored: tuple) -> np.ndarray:
+    folder, bits, files = stored
+    return look_up(
+        piece.column("leaf").to_numpy().view(np.uint64), folder, "sizes", bits, np.int64, 2, files
+    )[:, 0]
+
+
+def _word_counts(sizes: tuple):
+    """The lines that have a word at its place, summed up by slice, with the size of the leaf.
+
+    In a leaf of less than ``SHARED`` lines each word is shared, so none is counted.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for piece, line, _, key in _slices(batch):
+                leaf_n = _leaf_sizes(piece, sizes)[line]
+                at = np.flatnonzero(leaf_n >= SHARED)
+                keys, first, code = np.unique(key[at], return_index=True, return_inverse=True)
+                n = piece.column("n").to_numpy()[line[at]]
+                yield pa.record_batch(
+                    {
+                        "key": _signed(keys),
+                        "n": pa.array(np.bincount(code, n, len(keys)).astype(np.int64)),
+                        "leaf_n": pa.array(leaf_n[at[first]]),
+                    }
+                )
+
+    return run
+
+
+def _shaped(sizes: tuple, shared: tuple):
+    """A form's template: its shared words with their places, if they are half of its later ones."""
+
+    def run(batches):
+        folder, bits, files = shared
+        for batch in batches:
+            for piece, line, place, key in _slices(batch):
+                fixed = _leaf_sizes(piece, sizes)[line] < SHARED
+                open_ = np.flatnonzero(~fixed)
+                held = look_up(key[open_], folder, "shared", bits, np.int64, 2, files)
+                fixed[open_] = held[:, 1] > 0
+                rows = piece.num_rows
+                n_words = np.bincount(line, minlength=rows)
+                n_fixed = np.bincount(line[fixed & (place >= DEPTH)], minlength=rows)
+                # every line has a word; sums wrap around
+                begin = np.cumsum(n_words) - n_words
+                mark = np.add.reduceat(np.where(fixed, key, np.uint64(0)), begin)
+                leaf = piece.column("leaf").to_numpy().view(np.uint64)
+                form = piece.column("form").to_numpy().view(np.uint64)
+                half = 2 * n_fixed >= n_words - DEPTH
+                yield pa.record_batch(
+                    {
+                        "form": _signed(form),
+                        "n_words": pa.array(n_words),
+                        "template": _signed(np.where(half, chain(leaf, mark), form)),
+                    }
+                )
+
+    return run
+
+
 def templates(docs: DataFrame, folder: str) -> tuple[int, frozenset]:
     """Store the forms of all recurring templates with the first document of each."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     leaves = texts.mapInArrow(_leaves, "leaf long, around long, content long").distinct()
     # no template recurs in a leaf that has one surrounding only
@@ -227,39 +314,26 @@ def templates(docs: DataFrame, folder: str) -> tuple[int, frozenset]:
         f"{folder}/distinct.parquet",
     )
     counts = forms.groupBy("form").agg(F.count("*").alias("n"))
-    variants = lines.groupBy("leaf", "form").agg(F.any_value("words").alias("words"))
-    exploded = variants.join(counts, "form").select(
-        "leaf", "form", "n", F.posexplode("words").alias("place", "word")
+    variants = _written(
+        lines.groupBy("leaf", "form").agg(F.any_value("words").alias("words")).join(counts, "form"),
+        f"{folder}/variants.parquet",
     )
-    # a leaf may hold very many words: its size waits for them under several salts
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    held = forms.groupBy("leaf").agg(F.count("*").alias("leaf_n")).select("leaf", "leaf_n", salts)
-    shared = (
-        exploded.groupBy("leaf", "place", "word")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("salt", F.pmod(F.xxhash64("place", "word"), F.lit(SALTS)))
-        .join(held, ["leaf", "salt"])
+    remove(spark, f"{folder}/forms.parquet")
+    leaf_sizes = forms.groupBy(F.col("leaf").alias("key")).agg(F.count("*").alias("value"))
+    leaf_sizes = _written(leaf_sizes, f"{folder}/sizes.parquet")
+    sizes = (folder, *_stored(leaf_sizes, folder, "sizes"))
+    # a word is counted by one key for leaf, place and word, and looked up by it: nothing waits for a leaf
+    shared = _written(
+        variants.mapInArrow(_word_counts(sizes), "key long, n long, leaf_n long")
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max("leaf_n").alias("leaf_n"))
         .filter(SHARED * F.col("n") > F.col("leaf_n"))
-        .select("leaf", "place", "word", F.lit(True).alias("fixed"))
+        .select("key", F.col("n").alias("value")),
+        f"{folder}/shared.parquet",
     )
-    # a form's template: its shared words with their places, if they are half of its later ones
-    mark = F.when(F.col("fixed"), F.xxhash64("place", "word")).otherwise(F.lit(0))
-    later = F.col("n_words") - DEPTH
+    shared = (folder, *_stored(shared, folder, "shared"))
     shaped = _written(
-        exploded.join(shared, ["leaf", "place", "word"], "left")
-        .groupBy("leaf", "form")
-        .agg(
-            F.bit_xor(mark).alias("mark"),
-            F.count_if(F.col("fixed") & (F.col("place") >= DEPTH)).alias("n_fixed"),
-            F.count("*").alias("n_words"),
-        )
-        .select(
-            "form",
-            "n_words",
-            F.when(2 * F.col("n_fixed") >= later, F.xxhash64("leaf", "mark"))
-            .otherwise(F.col("form"))
-            .alias("template"),
-        ),
+        variants.mapInArrow(_shaped(sizes, shared), "form long, n_words long, template long"),
         f"{folder}/shaped.parquet",
     )
     known = _places(

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,63 @@ def test_copies_are_left_to_near_dedup(spark):
     assert {r["kept_text"] for r in out} == {text}
 
 
+def test_words_of_a_leaf_are_counted_by_one_key_and_shuffles_let_go(spark, tmp_path):
+    """Before, words were shuffled twice with leaf and place, and all shuffles stayed to the end."""
+    names = ["ann", "bob", "cat", "dan", "eve", "fay"]
+    rows = [
+        (k, f"own{n} words\nposted by user {n} on day {k} at noon\nlast{n} words")
+        for k, n in enumerate(names)
+    ]
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {
+        name for f in files.getAllFiles().mkString("\n").split("\n")
+        if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")
+    }
+    docs, before = documents(spark, rows, clash=False), shuffled()
+    lines.templates(docs, f"file://{tmp_path}/lines")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    # forms with their words are kept once
+    assert not (tmp_path / "lines/forms.parquet").exists()
+    assert "words" in spark.read.parquet(f"{tmp_path}/lines/variants.parquet").columns
+
+
+@pytest.mark.parametrize("slice_words", [3, 1 << 18])
+def test_word_counts_and_templates_by_slice(tmp_path, monkeypatch, slice_words):
+    """A leaf of six lines and one of two, whose words are all shared and are not counted."""
+    monkeypatch.setattr(lines, "SLICE_WORDS", slice_words)
+    folder = f"file://{tmp_path}/words"
+    store.put(folder, "sizes-0.keys", np.array([7, 9], np.uint64))
+    store.put(folder, "sizes-0.counts", np.array([[6, 1], [2, 1]]))
+    sizes = (folder, 0, frozenset([0]))
+    words = [[1, 2, 3, 50, 60], [1, 2, 3, 50, 61], [1, 2, 3, 51, 62], [1, 2, 3, 50, 60]]
+    batch = pa.record_batch(
+        {
+            "leaf": pa.array([7, 7, 7, 9]), "form": pa.array([11, 12, 13, 14]),
+            "n": pa.array([3, 2, 1, 2]), "words": pa.array(words, pa.list_(pa.int64())),
+        }
+    )
+    # the slice of a longer batch
+    batch = pa.concat_batches([batch.slice(3), batch]).slice(1)
+    found = collections.Counter()
+    for part in lines._word_counts(sizes)([batch]):
+        for row in part.to_pylist():
+            assert row["leaf_n"] == 6
+            found[row["key"]] += row["n"]
+    assert sorted(found.values()) == [1, 1, 2, 3, 5, 6, 6, 6]
+    keys = np.sort(np.array([k for k, n in found.items() if 3 * n > 6]).view(np.uint64))
+    store.put(folder, "shared-0.keys", keys)
+    store.put(folder, "shared-0.counts", np.ones((len(keys), 2), np.int64))
+    rows = [r for x in lines._shaped(sizes, sizes)([batch]) for r in x.to_pylist()]
+    one, two, three, other = (r["template"] for r in rows)
+    assert [r["form"] for r in rows] == [11, 12, 13, 14] and {r["n_words"] for r in rows} == {5}
+    # the third has none of its two later words in common
+    assert len({one, two, other}) == 3 and three == 13
+
+
 def test_document_of_recurring_lines_only(spark):
     rows = [(k, f"intro {'v' * k}b\nshared words in a line\nouter {'u' * k}c") for k in range(8)]
     rows.append((99, "shared words in a line"))
