@@ -59,7 +59,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash over the bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    placed = _VALUES[data]
+    placed *= _powers(len(data) + 1)[0][: len(data)]
+    np.cumsum(placed, out=sums[1:])
     return sums
 
 
@@ -142,3 +144,35 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         again[order[1:]] |= same
         again[order[:-1]] |= same
     return again, later
+
+
+def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of 64-bit hashes, and the hashes in it.
+
+    Values are sorted several times as fast as places, so a key's place goes into its low bits;
+    the few keys that differ in those only are put right afterwards.
+    """
+    low = np.uint64(len(keys).bit_length())
+    packed = (keys >> low) << low
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= (np.uint64(1) << low) - np.uint64(1)
+    order = packed.view(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong):
+        lead = ordered >> low
+        among = np.flatnonzero(np.isin(lead, np.unique(lead[wrong])))
+        order[among] = order[among][np.argsort(ordered[among], kind="stable")]
+        ordered = keys[order]
+    return order, ordered
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted hashes, and the number among them of each."""
+    order, ordered = sorted_keys(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    code = np.empty(len(keys), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ordered[new], code

@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.flat import IS_WORD, LOWER, chain, flat, pieces, prefix, span_hash, word_spans
+from loomlog.llm.flat import (
+    IS_WORD, LOWER, chain, distinct_keys, flat, pieces, prefix, sorted_keys, span_hash, word_spans,
+)
 from loomlog.llm.store import get, put
 from loomlog.session import shared_folder
 
@@ -139,8 +141,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct sorted keys and the sums of their rows of counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    order, keys = sorted_keys(keys)
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[at], np.add.reduceat(counts[order], at, axis=0)
 
@@ -181,26 +182,31 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
             for piece in pieces(batch):
                 left, right, bounds = tokens(piece.column("text"))
                 levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
-                at, longer, context = levels[size + 1]
+                at, longer, _ = levels[size + 1]
                 times = look_up_small(longer, folder, f"raw{size + 1}", bits)
                 share = 1.0 / times
                 counts = times
                 if size + 1 < order:
-                    counts = gram_fields(longer, times, folder, size + 1, bits)[:, 0]
+                    counts = gram_neighbours(longer, times, folder, size + 1, bits)
                 own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
-                known, code = np.unique(np.concatenate([own, context]), return_inverse=True)
-                own_code, led = code[: len(own)], code[len(own) :]
-                # the gram that a longer one ends with; those that begin a text have none
-                ended = np.searchsorted(own_at, at)
-                first = np.ones(len(own), bool)
-                first[ended] = False
+                known, code = distinct_keys(np.append(own, START) if size == 1 else own)
+                own_code = code[: len(own)]
+                ended = np.full(len(right), -1)
+                ended[own_at] = own_code
+                # a context is the gram that ends one token earlier, or the start mark
+                led = ended[at - 1]
+                if size == 1:
+                    led[bounds[:-1]] = code[-1]
                 table = np.empty((len(known), _FIELDS), np.float64 if size == 1 else np.float32)
-                table[:, 0] = np.bincount(own_code[ended], share, len(known)) + np.bincount(
-                    own_code, first & (size > 1), len(known)
-                )
+                # the gram that a longer one ends with; those that begin a text have none
+                table[:, 0] = np.bincount(ended[at], share, len(known))
+                if size > 1:
+                    first = np.ones(len(right), bool)
+                    first[at] = False
+                    table[:, 0] += np.bincount(own_code, first[own_at], len(known))
                 table[:, 1] = np.bincount(led, share * counts, len(known))
-                for k, part in enumerate((counts == 1, counts == 2, counts > 2)):
-                    table[:, 2 + k] = np.bincount(led, share * part, len(known))
+                kinds = np.bincount(4 * led + np.minimum(counts, 3), share, 4 * len(known))
+                table[:, 2:5] = kinds.reshape(-1, 4)[:, 1:]
                 table[:, 5] = np.bincount(own_code, minlength=len(known))
                 if size > 1:
                     again = look_up_small(known, folder, f"raw{size}", bits) > 1
@@ -274,65 +280,68 @@ def _write_files(folder: str, name: str, bits: int, dtype=None):
 _FILE_ROWS = "file int, types long, uses long, tally long, n1 long, n2 long, n3 long, n4 long, n3up long"
 
 
-def look_up(keys, folder: str, name: str, bits: int, dtype, fields: int, files=None) -> np.ndarray:
-    """The counts of each key, zeros for those that are not there."""
-    found = np.zeros((len(keys), fields), dtype)
-    order = np.argsort(keys)
-    ordered = keys[order]
-    held, at = np.unique(file_of(ordered, bits), return_index=True)
-    for file, a, b in zip(held, at, [*at[1:], len(keys)]):
-        if files is not None and int(file) not in files:
-            continue
+def _by_file(ordered: np.ndarray, bits: int, files=None):
+    """The files that hold sorted keys, each with the span of its keys."""
+    file = file_of(ordered, bits)
+    at = np.flatnonzero(np.diff(file, prepend=-1))
+    for one, a, b in zip(file[at].tolist(), at, [*at[1:], len(ordered)]):
+        if files is None or one in files:
+            yield one, a, b
+
+
+def look_up(
+    keys, folder: str, name: str, bits: int, dtype, fields: int, files=None, only: int | None = None
+) -> np.ndarray:
+    """The counts of each key, or one of them ``only``; zeros for those that are not there."""
+    found = np.zeros((len(keys), fields) if only is None else len(keys), dtype)
+    order, ordered = sorted_keys(keys)
+    for file, a, b in _by_file(ordered, bits, files):
         stored = get(folder, f"{name}-{file}.keys", np.uint64)
         counts = get(folder, f"{name}-{file}.counts", dtype).reshape(-1, fields)
         wanted = ordered[a:b]
         place = np.minimum(np.searchsorted(stored, wanted), len(stored) - 1)
         hit = stored[place] == wanted
-        found[order[a:b][hit]] = counts[place[hit]]
+        found[order[a:b][hit]] = counts[place[hit]] if only is None else counts[place[hit], only]
     return found
 
 
 def look_up_small(keys: np.ndarray, folder: str, name: str, bits: int, files=None) -> np.ndarray:
     """Occurrences of grams with short keys, zero for those that are not there."""
     found = np.zeros(len(keys), np.int64)
-    order = np.argsort(keys)
-    ordered = keys[order]
+    order, ordered = sorted_keys(keys)
     high, low = _split(ordered, bits)
-    held, at = np.unique(file_of(ordered, bits), return_index=True)
-    for file, a, b in zip(held, at, [*at[1:], len(keys)]):
-        if files is not None and int(file) not in files:
-            continue
+    for file, a, b in _by_file(ordered, bits, files):
         own, rest = get(folder, f"{name}-{file}.high", np.uint32), get(folder, f"{name}-{file}.low", np.uint8)
         place = np.searchsorted(own, high[a:b])
+        near = np.minimum(place, len(own) - 1)
+        hit = own[near] == high[a:b]
+        open_ = np.flatnonzero(hit)
+        hit[open_] = same = rest[near[open_]] == low[a:b][open_]
         # of the few keys with equal first bits one may have the last ones too
-        open_ = np.arange(b - a)
-        hit = np.full(b - a, -1)
+        open_ = open_[~same]
         while len(open_):
+            place[open_] += 1
             open_ = open_[place[open_] < len(own)]
             open_ = open_[own[place[open_]] == high[a:b][open_]]
             same = rest[place[open_]] == low[a:b][open_]
-            hit[open_[same]] = place[open_[same]]
+            hit[open_[same]] = True
             open_ = open_[~same]
-            place[open_] += 1
-        there = np.flatnonzero(hit >= 0)
-        counts = get(folder, f"{name}-{file}.short", np.uint8)[hit[there]].astype(np.int64)
+        there = np.flatnonzero(hit)
+        at = place[there]
+        counts = get(folder, f"{name}-{file}.short", np.uint8)[at].astype(np.int64)
         many = np.flatnonzero(counts == 255)
         if len(many):
             where, more = get(folder, f"{name}-{file}.long", np.int64).reshape(2, -1)
-            counts[many] = more[np.searchsorted(where, hit[there][many])]
+            counts[many] = more[np.searchsorted(where, at[many])]
         found[order[a:b][there]] = counts
     return found
 
 
-def gram_fields(keys: np.ndarray, times: np.ndarray, folder: str, size: int, bits: int, files=None):
-    """The fields of grams of two words and more that occur ``times``.
-
-    One that occurs once has one neighbour on either side, and a single follower.
-    """
-    found = np.zeros((len(keys), _FIELDS), np.int64)
-    found[times == 1] = (1, 1, 1, 0, 0, 1)
+def gram_neighbours(keys: np.ndarray, times: np.ndarray, folder: str, size: int, bits: int):
+    """The left neighbours of grams of two words and more; one that occurs once has one."""
+    found = np.minimum(times, 1)
     again = np.flatnonzero(times > 1)
-    found[again] = look_up(keys[again], folder, f"grams{size}", bits, np.int32, _FIELDS, files)
+    found[again] = look_up(keys[again], folder, f"grams{size}", bits, np.int32, _FIELDS, only=0)
     return found
 
 
@@ -372,10 +381,28 @@ class Model:
         name = f"raw{size}"
         return look_up_small(keys, self.folder, name, self.bits, self.files[name])
 
-    def fields(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """The fields of grams of two words and more, below the order."""
-        files = self.files[f"grams{size}"]
-        return gram_fields(keys, self.times(size, keys), self.folder, size, self.bits, files)
+    def after(self, size: int, fields: np.ndarray):
+        """Of contexts of one length: the sum of their followers' counts, and the probability
+        that discounting leaves for others."""
+        cut = self.discounts[size + 1]
+        left = fields[:, 2] * cut[1] + fields[:, 3] * cut[2] + fields[:, 4] * cut[3]
+        return fields[:, 1], left / np.maximum(fields[:, 1], 1)
+
+    def led(self, size: int, keys: np.ndarray):
+        """The counts of grams of two words and more, below the order, and what ``after`` gives.
+
+        One that occurs once has one neighbour on either side, and a single follower.
+        """
+        times = self.times(size, keys)
+        counts = np.minimum(times, 1)
+        total, rest = counts.copy(), counts * self.discounts[size + 1][1]
+        name, again = f"grams{size}", np.flatnonzero(times > 1)
+        fields = look_up(
+            keys[again], self.folder, name, self.bits, np.int32, _FIELDS, self.files[name]
+        )
+        counts[again] = fields[:, 0]
+        total[again], rest[again] = self.after(size, fields)
+        return counts, total, rest
 
     def word_probability(self, neighbours: np.ndarray) -> np.ndarray:
         """P(word) from its number of distinct left neighbours; the unknown word has none."""
@@ -387,27 +414,26 @@ class Model:
 
     def probabilities(self, left: np.ndarray, right: np.ndarray, bounds: np.ndarray):
         """P(token | the tokens before it) and how often each token was seen in training."""
-        words, code = np.unique(right, return_inverse=True)
-        ended = self.words(words)[code]  # the fields of the gram that ends at each token
-        seen = ended[:, 5]
-        likely = self.word_probability(ended[:, 0])
+        words, code = distinct_keys(right)
+        ended = self.words(words)  # the fields of the gram that ends at each token
+        seen = ended[:, 5][code]
+        likely = self.word_probability(ended[:, 0])[code]
         # a context is the gram that ended one token earlier; only what begins a text is looked up
-        led = np.roll(ended, 1, axis=0)
         opening, at = np.unique(left[bounds[:-1]], return_inverse=True)
-        led[bounds[:-1]] = self.words(opening)[at]
+        totals, rests = np.zeros(len(right) + 1, np.int64), np.zeros(len(right) + 1)
+        for held, own, begun in zip(
+            (totals, rests), self.after(1, ended), self.after(1, self.words(opening))
+        ):
+            held[1:] = own[code]
+            held[bounds[:-1]] = begun[at]
         for size, at, gram, _ in grams(left, right, bounds, self.order):
-            d, context = np.array(self.discounts[size]), led[at]
+            d, total, rest = np.array(self.discounts[size]), totals[at], rests[at]
             if size < self.order:
-                own = self.fields(size, gram)
-                counts = own[:, 0]
-                led = np.zeros_like(led)
-                led[at[at + 1 < len(right)] + 1] = own[at + 1 < len(right)]
+                counts, totals[at + 1], rests[at + 1] = self.led(size, gram)
             else:
                 counts = self.times(size, gram)
-            total = np.maximum(context[:, 1], 1)
-            rest = (context[:, 2:5] * d[1:]).sum(axis=1) / total
-            direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total
-            likely[at] = np.where(context[:, 1] > 0, direct + rest * likely[at], likely[at])
+            direct = np.maximum(counts - d[np.minimum(counts, 3)], 0) / np.maximum(total, 1)
+            likely[at] = np.where(total > 0, direct + rest * likely[at], likely[at])
         return likely, seen
 
 
@@ -478,6 +504,7 @@ def _score(model: Model):
                 )
                 at = bounds[:-1]
                 n = len(at)
+                likely = np.add.reduceat(np.log10(likely), at)
                 yield pa.record_batch(
                     {
                         "doc_id": piece.column("doc_id"),
@@ -486,10 +513,8 @@ def _score(model: Model):
                         "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), at)),
                         "train_tokens": pa.array(np.full(n, model.tokens, np.int64)),
                         "base_score": pa.array(np.add.reduceat(base, at)),
-                        "score": pa.array(np.add.reduceat(np.log10(likely), at)),
-                        "perplexity": pa.array(
-                            10.0 ** (-np.add.reduceat(np.log10(likely), at) / np.diff(bounds))
-                        ),
+                        "score": pa.array(likely),
+                        "perplexity": pa.array(10.0 ** (-likely / np.diff(bounds))),
                     }
                 )
 

@@ -56,7 +56,7 @@ def get(folder: str, name: str, dtype) -> np.ndarray:
         elif os.path.getsize(f"{path}/{name}") == 0:
             held[key] = np.zeros(0, dtype)
         else:
-            held[key] = np.memmap(f"{path}/{name}", dtype, "r")
+            held[key] = np.asarray(np.memmap(f"{path}/{name}", dtype, "r"))
         while len(held) > MOST_MAPPED:
             held.popitem(last=False)
     held.move_to_end(key)

@@ -18,7 +18,7 @@ from loomlog.llm import (
     decontaminate, kneser_ney, lines, packing, quality, repeats, sharding, simhash, store,
     toolcalls, urls,
 )
-from loomlog.llm.flat import worker_cache
+from loomlog.llm.flat import distinct_keys, sorted_keys, worker_cache
 from loomlog.llm.simhash import text_fingerprints
 import corpus_pipeline
 
@@ -687,6 +687,59 @@ def test_shards_are_contiguous_and_even(spark):
         last = max(ids)
 
 
+# -- sorted hashes -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["hashes", "few", "low bits", "none"])
+def test_sorted_keys_are_the_stable_order(kind):
+    rng = np.random.default_rng(7)
+    keys = {
+        "hashes": rng.integers(0, 1 << 64, 5000, np.uint64),
+        "few": rng.integers(0, 1 << 64, 9, np.uint64)[rng.integers(0, 9, 5000)],
+        # keys that share the bits that are sorted first, as the marks of start and end do
+        "low bits": np.r_[rng.integers(0, 1 << 64, 50, np.uint64), np.arange(3000, dtype=np.uint64) * 7 % 11],
+        "none": np.zeros(0, np.uint64),
+    }[kind]
+    order, ordered = sorted_keys(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+    assert ordered.tolist() == np.sort(keys).tolist()
+    known, code = distinct_keys(keys)
+    assert known.tolist() == np.unique(keys).tolist() and known[code].tolist() == keys.tolist()
+
+
+def test_model_looks_keys_up_without_sorting_places(tmp_path, monkeypatch):
+    """Sorting the places of each batch's keys was most of the model's time."""
+    sorts = []
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or plain(x, *a, **k))
+    folder = f"file://{tmp_path}/keys"
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 64, 4000, np.uint64))
+    high, low = kneser_ney._split(keys, 0)
+    high, low = np.r_[high[:1], high], np.r_[low[:1] ^ np.uint8(1), low]
+    order = np.lexsort((low, high))
+    times = np.r_[np.arange(1, 300), np.ones(len(high) - 299, np.int64)]
+    store.put(folder, "raw3-0.high", high[order])
+    store.put(folder, "raw3-0.low", low[order])
+    store.put(folder, "raw3-0.short", np.minimum(times, 255).astype(np.uint8))
+    many = np.flatnonzero(times >= 255)
+    store.put(folder, "raw3-0.long", np.stack([many, times[many]]))
+    table = np.arange(6 * len(keys), dtype=np.int32).reshape(-1, 6)
+    store.put(folder, "grams2-0.keys", keys)
+    store.put(folder, "grams2-0.counts", table)
+    at = rng.permutation(len(keys))
+    asked = np.r_[keys[at], rng.integers(0, 1 << 64, 100, np.uint64)]
+    wanted = dict(zip(zip(high[order].tolist(), low[order].tolist()), times.tolist()))
+    parts = zip(*(x.tolist() for x in kneser_ney._split(asked, 0)))
+    found = kneser_ney.look_up_small(asked, folder, "raw3", 0)
+    assert found.tolist() == [wanted.get(part, 0) for part in parts] and 299 in found
+    rows = kneser_ney.look_up(asked, folder, "grams2", 0, np.int32, 6)
+    assert (rows[: len(at)] == table[at]).all() and not rows[len(at) :].any()
+    only = kneser_ney.look_up(asked, folder, "grams2", 0, np.int32, 6, only=3)
+    assert only.tolist() == rows[:, 3].tolist()
+    assert not sorts
+
+
 # -- arrays in the shared folder ---------------------------------------------------------------
 
 
