@@ -7,8 +7,9 @@ a context, its followers and how many of them count once, twice or more often: a
 occurs c times adds 1/c at each occurrence. Counts are combined in every task before the
 shuffle, and what was shuffled for a table is let go when the table is written. The tables are sorted
 arrays of hashes, cut by the leading bits of the hash into files of bounded size in the shared
-folder; a task merges one file at a time. Scoring maps the files and looks up each batch's sorted
-keys. Words have 64-bit keys, longer grams the 40 bits that follow those of their file: of the
+folder; a task merges one file at a time. The files of a large model are then joined, in order, into
+``2 ** GROUP_BITS`` with a directory of small buckets of keys, so a look-up costs the same whatever
+the size of the corpus. Scoring maps the files and looks up each batch's sorted keys. Words have 64-bit keys, longer grams the 40 bits that follow those of their file: of the
 million keys of a file some thirty share theirs with another. A gram that occurs once has no row of
 fields, as they follow from that.
 
@@ -33,13 +34,17 @@ from pyspark.sql import functions as F
 from loomlog.llm.flat import (
     IS_WORD, LOWER, chain, distinct_keys, flat, pieces, prefix, sorted_keys, span_hash, word_spans,
 )
-from loomlog.llm.store import get, put
+from loomlog.llm.store import delete, exists, get, put, put_joined, read
 from loomlog.session import shared_folder
 
 END, START = np.uint64(1), np.uint64(2)
 FLUSH_TOKENS = 3_000_000
 # text bytes for each file of the model: about a million tokens
 FILE_BYTES = 8 << 20
+# the files of a model of more than 2 ** GROUP_BITS of them are joined by so many leading bits
+GROUP_BITS = 6
+# text bytes for each bucket of a joined file: fewer than two hundred tokens
+BUCKET_BYTES = 1 << 10
 SMOOTHING = 0.1
 ORDER = 3
 # of a gram: distinct left neighbours, its followers' counts, followers that count once, twice, more; uses
@@ -169,7 +174,7 @@ def _count_grams(size: int, bits: int):
     return run
 
 
-def _count_neighbours(size: int, order: int, folder: str, bits: int):
+def _count_neighbours(size: int, order: int, folder: str, bits: int, deep: int | None):
     """The fields of the grams of one length, from those longer by one."""
 
     def run(batches):
@@ -183,11 +188,11 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
                 left, right, bounds = tokens(piece.column("text"))
                 levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
                 at, longer, _ = levels[size + 1]
-                times = look_up_small(longer, folder, f"raw{size + 1}", bits)
+                times = look_up_small(longer, folder, f"raw{size + 1}", bits, deep=deep)
                 share = 1.0 / times
                 counts = times
                 if size + 1 < order:
-                    counts = gram_neighbours(longer, times, folder, size + 1, bits)
+                    counts = gram_neighbours(longer, times, folder, size + 1, bits, deep)
                 own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
                 known, code = distinct_keys(np.append(own, START) if size == 1 else own)
                 own_code = code[: len(own)]
@@ -209,7 +214,7 @@ def _count_neighbours(size: int, order: int, folder: str, bits: int):
                 table[:, 2:5] = kinds.reshape(-1, 4)[:, 1:]
                 table[:, 5] = np.bincount(own_code, minlength=len(known))
                 if size > 1:
-                    again = look_up_small(known, folder, f"raw{size}", bits) > 1
+                    again = look_up_small(known, folder, f"raw{size}", bits, deep=deep) > 1
                     known, table = known[again], table[again]
                 keys.append(known)
                 sums.append(table)
@@ -280,6 +285,66 @@ def _write_files(folder: str, name: str, bits: int, dtype=None):
 _FILE_ROWS = "file int, types long, uses long, tally long, n1 long, n2 long, n3 long, n4 long, n3up long"
 
 
+_SMALL = {"high": np.uint32, "low": np.uint8, "short": np.uint8}
+
+
+def _part(name: str) -> str:
+    """The name of a table while its files are not joined."""
+    return f"part-{name}"
+
+
+def _join_group(folder: str, name: str, group: int, files: list[int], bits: int, deep: int, kinds):
+    """Join the files of a group, one array at a time, and write where each bucket begins.
+
+    The directory is written last: where it is there, the files may be gone already.
+    """
+    def parts(suffix, dtype):
+        return (read(folder, f"{_part(name)}-{file}.{suffix}", dtype) for file in files)
+
+    fine = deep - bits
+    sizes = np.zeros((1 << (bits - GROUP_BITS), 1 << fine), np.int64)
+
+    def leading(suffix, dtype):
+        for file, part in zip(files, parts(suffix, dtype)):
+            # the bits that follow those of the file
+            own = part << np.uint64(bits) if dtype is np.uint64 else part
+            bucket = own >> dtype(8 * own.itemsize - fine)
+            sizes[file % len(sizes)] = np.bincount(bucket.astype(np.int64), minlength=1 << fine)
+            yield part
+
+    if not exists(folder, f"{name}-{group}.first"):
+        for k, (suffix, dtype) in enumerate(kinds.items()):
+            put_joined(folder, f"{name}-{group}.{suffix}", (parts if k else leading)(suffix, dtype))
+        first = np.r_[0, np.cumsum(sizes)]
+        if "high" in kinds:
+            begins = first[:: 1 << fine]
+            long = [x.reshape(2, -1) for x in parts("long", np.int64)]
+            long = [x + [[begins[file % len(sizes)]], [0]] for file, x in zip(files, long)]
+            put(folder, f"{name}-{group}.long", np.concatenate(long, axis=1))
+        put(folder, f"{name}-{group}.first", first)
+    for file in files:
+        for suffix in (*kinds, "long"):
+            delete(folder, f"{_part(name)}-{file}.{suffix}")
+
+
+def _join_files(spark, folder: str, name: str, files: frozenset, bits: int, deep: int, kinds) -> frozenset:
+    """Join the files of a table by their leading bits; the groups that have any."""
+    by_group = {}
+    for file in sorted(files):
+        by_group.setdefault(file >> (bits - GROUP_BITS), []).append(file)
+
+    def run(batches):
+        for batch in batches:
+            for group in batch.column(0).to_pylist():
+                if group in by_group:
+                    _join_group(folder, name, group, by_group[group], bits, deep, kinds)
+            yield batch
+
+    groups = spark.range(0, 1 << GROUP_BITS, numPartitions=1 << GROUP_BITS)
+    groups.mapInArrow(run, "id long").collect()
+    return frozenset(by_group)
+
+
 def _by_file(ordered: np.ndarray, bits: int, files=None):
     """The files that hold sorted keys, each with the span of its keys."""
     file = file_of(ordered, bits)
@@ -289,39 +354,69 @@ def _by_file(ordered: np.ndarray, bits: int, files=None):
             yield one, a, b
 
 
+def _placed(stored: np.ndarray, wanted: np.ndarray, keys, folder: str, name: str, deep: int | None):
+    """Where keys belong among those stored, and where those stored for them end.
+
+    Of joined files a bucket is searched: all keys take a step at a time, so their reads of
+    memory that is far apart overlap. ``deep`` is the leading bits of the keys of a bucket.
+    """
+    if deep is None:
+        return np.searchsorted(stored, wanted), len(stored)
+    first = get(folder, f"{name}.first", np.int64)
+    bucket = (keys << np.uint64(GROUP_BITS)) >> np.uint64(64 - deep + GROUP_BITS)
+    bucket = bucket.astype(np.int64)
+    place, stop = first[bucket], first[bucket + 1]
+    step = 1 << int((stop - place).max()).bit_length() >> 1
+    while step:
+        probe = place + (step - 1)
+        less = stored[np.minimum(probe, len(stored) - 1)] < wanted
+        less &= probe < stop
+        place += step * less
+        step >>= 1
+    return place, stop
+
+
 def look_up(
-    keys, folder: str, name: str, bits: int, dtype, fields: int, files=None, only: int | None = None
+    keys, folder: str, name: str, bits: int, dtype, fields: int, files=None, only: int | None = None,
+    deep: int | None = None,
 ) -> np.ndarray:
-    """The counts of each key, or one of them ``only``; zeros for those that are not there."""
+    """The counts of each key, or one of them ``only``; zeros for those that are not there.
+
+    With ``deep`` the files are joined ones, and ``files`` their groups.
+    """
     found = np.zeros((len(keys), fields) if only is None else len(keys), dtype)
     order, ordered = sorted_keys(keys)
-    for file, a, b in _by_file(ordered, bits, files):
+    for file, a, b in _by_file(ordered, bits if deep is None else GROUP_BITS, files):
         stored = get(folder, f"{name}-{file}.keys", np.uint64)
         counts = get(folder, f"{name}-{file}.counts", dtype).reshape(-1, fields)
         wanted = ordered[a:b]
-        place = np.minimum(np.searchsorted(stored, wanted), len(stored) - 1)
+        place, _ = _placed(stored, wanted, wanted, folder, f"{name}-{file}", deep)
+        place = np.minimum(place, len(stored) - 1)
         hit = stored[place] == wanted
         found[order[a:b][hit]] = counts[place[hit]] if only is None else counts[place[hit], only]
     return found
 
 
-def look_up_small(keys: np.ndarray, folder: str, name: str, bits: int, files=None) -> np.ndarray:
+def look_up_small(
+    keys: np.ndarray, folder: str, name: str, bits: int, files=None, deep: int | None = None
+) -> np.ndarray:
     """Occurrences of grams with short keys, zero for those that are not there."""
     found = np.zeros(len(keys), np.int64)
     order, ordered = sorted_keys(keys)
     high, low = _split(ordered, bits)
-    for file, a, b in _by_file(ordered, bits, files):
+    for file, a, b in _by_file(ordered, bits if deep is None else GROUP_BITS, files):
         own, rest = get(folder, f"{name}-{file}.high", np.uint32), get(folder, f"{name}-{file}.low", np.uint8)
-        place = np.searchsorted(own, high[a:b])
+        place, stop = _placed(own, high[a:b], ordered[a:b], folder, f"{name}-{file}", deep)
+        stop = np.broadcast_to(stop, len(place))
         near = np.minimum(place, len(own) - 1)
-        hit = own[near] == high[a:b]
+        hit = (own[near] == high[a:b]) & (place < stop)
         open_ = np.flatnonzero(hit)
         hit[open_] = same = rest[near[open_]] == low[a:b][open_]
         # of the few keys with equal first bits one may have the last ones too
         open_ = open_[~same]
         while len(open_):
             place[open_] += 1
-            open_ = open_[place[open_] < len(own)]
+            open_ = open_[place[open_] < stop[open_]]
             open_ = open_[own[place[open_]] == high[a:b][open_]]
             same = rest[place[open_]] == low[a:b][open_]
             hit[open_[same]] = True
@@ -337,11 +432,15 @@ def look_up_small(keys: np.ndarray, folder: str, name: str, bits: int, files=Non
     return found
 
 
-def gram_neighbours(keys: np.ndarray, times: np.ndarray, folder: str, size: int, bits: int):
+def gram_neighbours(
+    keys: np.ndarray, times: np.ndarray, folder: str, size: int, bits: int, deep: int | None = None
+):
     """The left neighbours of grams of two words and more; one that occurs once has one."""
     found = np.minimum(times, 1)
     again = np.flatnonzero(times > 1)
-    found[again] = look_up(keys[again], folder, f"grams{size}", bits, np.int32, _FIELDS, only=0)
+    found[again] = look_up(
+        keys[again], folder, f"grams{size}", bits, np.int32, _FIELDS, only=0, deep=deep
+    )
     return found
 
 
@@ -363,8 +462,9 @@ class Model:
 
     folder: str
     bits: int
+    deep: int | None  # leading bits of the buckets of joined files
     order: int
-    files: dict  # table -> the files it has
+    files: dict  # table -> the files it has, or the groups of joined ones
     tokens: int  # N
     types: int  # V
     pair_types: int
@@ -374,12 +474,13 @@ class Model:
     def words(self, keys: np.ndarray) -> np.ndarray:
         """The fields of words."""
         return look_up(
-            keys, self.folder, "grams1", self.bits, np.int64, _FIELDS, self.files["grams1"]
+            keys, self.folder, "grams1", self.bits, np.int64, _FIELDS, self.files["grams1"],
+            deep=self.deep,
         )
 
     def times(self, size: int, keys: np.ndarray) -> np.ndarray:
         name = f"raw{size}"
-        return look_up_small(keys, self.folder, name, self.bits, self.files[name])
+        return look_up_small(keys, self.folder, name, self.bits, self.files[name], self.deep)
 
     def after(self, size: int, fields: np.ndarray):
         """Of contexts of one length: the sum of their followers' counts, and the probability
@@ -398,7 +499,8 @@ class Model:
         total, rest = counts.copy(), counts * self.discounts[size + 1][1]
         name, again = f"grams{size}", np.flatnonzero(times > 1)
         fields = look_up(
-            keys[again], self.folder, name, self.bits, np.int32, _FIELDS, self.files[name]
+            keys[again], self.folder, name, self.bits, np.int32, _FIELDS, self.files[name],
+            deep=self.deep,
         )
         counts[again] = fields[:, 0]
         total[again], rest[again] = self.after(size, fields)
@@ -466,14 +568,20 @@ def fit(
     texts = training.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(0, int(size / file_bytes).bit_length()))
+    fine = max(1, int(file_bytes / BUCKET_BYTES).bit_length() - 1)
+    deep = bits + fine if bits > GROUP_BITS else None
     folder = f"{shared_folder(spark)}/ngrams"
     files, discounted = {}, {}
 
     def counted(job, name, dtype=None):
         parts = texts.mapInArrow(job, _BLOBS).repartition("file").sortWithinPartitions("file")
+        own = name if deep is None else _part(name)
         sums, files[name] = _totals(
-            parts.mapInArrow(_write_files(folder, name, bits, dtype), _FILE_ROWS)
+            parts.mapInArrow(_write_files(folder, own, bits, dtype), _FILE_ROWS)
         )
+        if deep is not None:
+            kinds = _SMALL if dtype is None else {"keys": np.uint64, "counts": np.uint8}
+            files[name] = _join_files(spark, folder, name, files[name], bits, deep, kinds)
         return sums
 
     once = {}
@@ -483,14 +591,14 @@ def fit(
             once[length] = top[3]
         discounted[order] = discounts(*top[3:7])
         for length in range(order - 1, 0, -1):
-            job = _count_neighbours(length, order, folder, bits)
+            job = _count_neighbours(length, order, folder, bits, deep)
             sums = counted(job, f"grams{length}", np.float64 if length == 1 else np.float32)
             # grams that occur once are not in the table; each of them counts one
             discounted[length] = discounts(sums[3] + once.get(length, 0), *sums[4:7])
     types, uses, tally, n1, n2, n3, n4, n3up = sums
     kept = discounted[1]
     rest = (kept[1] * n1 + kept[2] * n2 + kept[3] * n3up) / tally if tally else 1.0
-    return Model(folder, bits, order, files, uses, types, tally, discounted, rest)
+    return Model(folder, bits, deep, order, files, uses, types, tally, discounted, rest)
 
 
 def _score(model: Model):

@@ -23,20 +23,49 @@ def _local(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
-def put(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array under its name. A repeated task writes the same bytes again, whole."""
+def _opened(folder: str):
+    """The file system of a folder, and the path in it."""
     path = _local(folder)
     if path is None:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    else:
-        fs = pyarrow.fs.LocalFileSystem()
+        return pyarrow.fs.FileSystem.from_uri(folder)
+    return pyarrow.fs.LocalFileSystem(), path
+
+
+def put(folder: str, name: str, array: np.ndarray) -> None:
+    """Write an array under its name. A repeated task writes the same bytes again, whole."""
+    put_joined(folder, name, [array])
+
+
+def put_joined(folder: str, name: str, arrays) -> None:
+    """As ``put``, for arrays that come one at a time and are written end to end."""
+    fs, path = _opened(folder)
     fs.create_dir(path, recursive=True)
     passing = f"{path}/{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(passing) as out:
-        out.write(np.ascontiguousarray(array).data.cast("B") if array.size else b"")
+        for array in arrays:
+            out.write(np.ascontiguousarray(array).data.cast("B") if array.size else b"")
     fs.move(passing, f"{path}/{name}")
 
 
+def read(folder: str, name: str, dtype) -> np.ndarray:
+    """An array by its name, which the worker does not keep."""
+    fs, path = _opened(folder)
+    with fs.open_input_file(f"{path}/{name}") as file:
+        return np.frombuffer(file.read(), dtype)
+
+
+def exists(folder: str, name: str) -> bool:
+    fs, path = _opened(folder)
+    return fs.get_file_info(f"{path}/{name}").type == pyarrow.fs.FileType.File
+
+
+def delete(folder: str, name: str) -> None:
+    """Delete an array that nothing reads any more, if it is there."""
+    if exists(folder, name):
+        fs, path = _opened(folder)
+        fs.delete_file(f"{path}/{name}")
+
+
 def get(folder: str, name: str, dtype) -> np.ndarray:
     """An array by its name: memory-mapped where the folder is mounted, else read.
 
@@ -47,9 +76,7 @@ def get(folder: str, name: str, dtype) -> np.ndarray:
     key = (folder, name)
     if key not in held:
         if path is None:
-            fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-            with fs.open_input_file(f"{path}/{name}") as file:
-                held[key] = np.frombuffer(file.read(), dtype)
+            held[key] = read(folder, name, dtype)
             size = sum(array.nbytes for array in held.values())
             while size > MOST_READ and len(held) > 1:
                 size -= held.popitem(last=False)[1].nbytes

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import json
+import pathlib
 import random
 import time
 import zlib
@@ -707,6 +708,61 @@ def test_sorted_keys_are_the_stable_order(kind):
     assert known.tolist() == np.unique(keys).tolist() and known[code].tolist() == keys.tolist()
 
 
+def test_files_of_a_large_model_are_joined(spark):
+    """A look-up went through all files of a model, whose number grows with the corpus."""
+    rng = random.Random(6)
+    word = lambda: chr(97 + min(rng.randrange(14), rng.randrange(14)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 40))) for _ in range(90)]
+    # more than 255 times, so that counts beyond a byte are joined too
+    texts += ["often seen words"] * 300
+    model = kneser_ney.fit(documents(spark, list(enumerate(texts))), order=4, file_bytes=8)
+    assert model.bits > kneser_ney.GROUP_BITS
+    names = [p.name for p in pathlib.Path(model.folder).iterdir() if not p.name.startswith(".")]
+    for suffix in ("raw3", "raw4", "grams1", "grams2"):
+        found = {n.split(".")[0] for n in names if n.startswith(f"{suffix}-")}
+        assert 8 < len(found) <= 1 << kneser_ney.GROUP_BITS
+    assert not any(n.startswith("part-") for n in names)
+    asked = [*texts[:95], "zz a b c d", "a b c often seen words a", ""]
+    rows = documents(spark, list(enumerate(asked)), clash=False).withColumn("held_out", F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in kneser_ney.score(rows, model).collect()}
+    wanted = direct_scores(texts, asked, 4)
+    assert [scores[k] for k in range(len(asked))] == pytest.approx(wanted)
+
+
+def test_joined_files_keep_equal_first_bits_apart(tmp_path):
+    """Keys whose first bits are equal within a file, and across the files of a group."""
+    folder = f"file://{tmp_path}/joined"
+    rng = np.random.default_rng(5)
+    bits, fine = kneser_ney.GROUP_BITS + 2, 3
+    heads = np.unique(rng.integers(0, 1 << bits, 150, np.uint64)) << np.uint64(64 - bits)
+    tails = rng.integers(0, 1 << 32, 20, np.uint64) << np.uint64(64 - bits - 32)
+    ends = np.arange(3, dtype=np.uint64) << np.uint64(64 - bits - 40)
+    keys = np.sort((heads[:, None, None] | tails[:, None] | ends).ravel())
+    times = rng.choice([1, 2, 254, 255, 256, 70_000], len(keys))
+    absent = rng.random(len(keys)) < 0.3
+    own, count = keys[~absent], times[~absent]
+    files = kneser_ney.file_of(own, bits)
+    for file in np.unique(files):
+        mine, n = own[files == file], count[files == file]
+        high, low = kneser_ney._split(mine, bits)
+        many = np.flatnonzero(n >= 255)
+        for suffix, array in (
+            ("high", high), ("low", low), ("short", np.minimum(n, 255).astype(np.uint8)),
+            ("long", np.stack([many, n[many]])),
+        ):
+            store.put(folder, f"part-raw3-{file}.{suffix}", array)
+    groups = {}
+    for file in np.unique(files).tolist():
+        groups.setdefault(file >> 2, []).append(file)
+    for group, of in groups.items():
+        for _ in range(2):  # a repeated task finds it done
+            kneser_ney._join_group(folder, "raw3", group, of, bits, bits + fine, kneser_ney._SMALL)
+    asked = rng.permutation(np.r_[keys, rng.integers(0, 1 << 64, 500, np.uint64)])
+    found = kneser_ney.look_up_small(asked, folder, "raw3", bits, frozenset(groups), bits + fine)
+    wanted = dict(zip(own.tolist(), count.tolist()))
+    assert found.tolist() == [wanted.get(k, 0) for k in asked.tolist()]
+
+
 def test_model_looks_keys_up_without_sorting_places(tmp_path, monkeypatch):
     """Sorting the places of each batch's keys was most of the model's time."""
     sorts = []
