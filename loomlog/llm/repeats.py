@@ -9,6 +9,9 @@ next one before or after it for equality over ``LENGTH`` bytes. Lengths of longe
 factors are not computed. With ``keep_first`` windows with an earlier match are removed; else
 all that have a match anywhere, as the query asks.
 
+Anchors and classes of windows come sorted, so a task holds a few of them, or one large one, and
+not all that was dealt to it.
+
 Rows are numbered in a written table, as ids may be null or repeated.
 
 Defined cases: a null or empty text, or one below ``LENGTH`` bytes, loses nothing. Repeated
@@ -34,7 +37,9 @@ from loomlog.session import shared_folder
 LENGTH, GRAM = 200, 100
 _REACH = LENGTH - GRAM + 1  # places of an anchor in a window
 # windows whose bytes are in memory at once: 200 bytes each
-SLAB = 100_000
+SLAB = 50_000
+# bytes of text whose hashes are in memory at once, and of sorted rows that a task holds
+PIECE, HELD = 1 << 20, 4 << 20
 _NONE = ~np.uint64(0)
 # windows of a stretch that travel together when bytes are compared
 CLASS = 32
@@ -97,7 +102,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 # anchors of a task that are combined before the shuffle
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 600_000
 _PARTS = {"deal": "long", "anchor": "long", "stretch": "long", "id": "long", "place": "long",
           "many": "boolean", "settled": "boolean"}
 
@@ -130,7 +135,7 @@ def _anchors(keep_first: bool):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 data, offsets = flat(piece.column("text"))
                 row, anchor, stretch, first, count, back = anchors(data, offsets)
                 held.append(
@@ -151,24 +156,32 @@ def _anchors(keep_first: bool):
     return run
 
 
+def _groups(batches, key: str):
+    """Rows that come sorted by a key as tables of whole groups, with ``HELD`` bytes and more."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < HELD or held[0].column(key)[0] == batch.column(key)[-1]:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        # the last group may go on
+        whole = int(np.searchsorted(keys, keys[-1]))
+        yield table.slice(0, whole)
+        held = table.slice(whole).to_batches()
+        size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _settle(keep_first: bool):
-    """Sort the anchors of a partition: what is settled by hash, and what needs its bytes."""
+    """Of anchors in their order: what is settled by hash, and what needs its bytes."""
 
-    def run(batches):
-        rows = []
-        for batch in batches:
-            _, *columns, settled = (
-                c.to_numpy(zero_copy_only=False) for c in batch.columns
-            )
-            if settled.any():
-                _, _, ids, place, _ = (c[settled] for c in columns)
-                yield _marked(ids, place, True, False)
-            if not settled.all():
-                rows.append([c[~settled] for c in columns])
-        if not rows:
-            return
-        columns, new_anchor, new = _ordered(*(np.concatenate(x) for x in zip(*rows)))
-        del rows
+    def settled_and_asked(columns):
+        columns, new_anchor, new = _ordered(*columns)
         anchor, stretch, ids, place, many = columns
         if keep_first:  # the same row from two tasks
             same = ~new & np.r_[False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])]
@@ -182,7 +195,16 @@ def _settle(keep_first: bool):
         settled = ~new if keep_first else copies > 1
         asked = new & (kinds > 1) & ((singles > 0) | keep_first)
         at = np.flatnonzero(settled | asked)
-        yield _marked(ids[at], place[at], settled[at], asked[at])
+        return _marked(ids[at], place[at], settled[at], asked[at])
+
+    def run(batches):
+        for table in _groups(batches, "anchor"):
+            _, *columns, settled = (c.to_numpy() for c in table.columns)
+            if settled.any():
+                _, _, ids, place, _ = (c[settled] for c in columns)
+                yield _marked(ids, place, True, False)
+            if not settled.all():
+                yield settled_and_asked([c[~settled] for c in columns])
 
     return run
 
@@ -206,7 +228,7 @@ def _snippets(batches):
     all but ``CLASS - 1`` of their bytes, and the hash of those decides where they meet.
     """
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=PIECE):
             data, offsets = flat(piece.column("text"))
             wanted = piece.column("wanted")
             row = row_of(np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())])
@@ -257,8 +279,24 @@ def suffix_matches(windows: np.ndarray, position: np.ndarray, keep_first: bool)
     return found
 
 
+def _shares(data: np.ndarray, first: np.ndarray, count: np.ndarray, parts: int) -> np.ndarray:
+    """A number below ``parts`` for each window of rows that follow each other, by its hash."""
+    found, low = [], 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(first, first[low] + PIECE)))
+        start, windows = first[low:high], count[low:high]
+        sums = prefix(data[start[0] : start[-1] + windows[-1] - 1 + LENGTH])
+        window = np.arange(windows.sum()) + np.repeat(
+            start - start[0] - np.cumsum(windows) + windows, windows
+        )
+        share = span_hash(sums, window, window + LENGTH) % np.uint64(parts)
+        found.append(share.astype(np.uint32))
+        low = high
+    return np.concatenate(found)
+
+
 def _match(keep_first: bool):
-    def slabs(sums, deal, first, count):
+    def slabs(data, deal, first, count):
         """Windows that may be equal, at most about ``SLAB`` of them together."""
         head = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
         total = np.cumsum(np.add.reduceat(count, head))
@@ -267,26 +305,18 @@ def _match(keep_first: bool):
         while k < len(head):
             done = total[k - 1] if k else 0
             stop = max(k + 1, int(np.searchsorted(total, done + SLAB, "right")))
-            at = np.arange(head[k], ends[stop - 1])
-            owner = np.repeat(at, count[at])
-            window = first[owner] + np.arange(len(owner)) - np.repeat(
-                np.cumsum(count[at]) - count[at], count[at]
-            )
-            parts = -(-len(owner) // SLAB)
-            if parts == 1:
-                yield owner, window
-            else:  # very many rows with the same bytes in common: equal windows hash alike
-                share = span_hash(sums, window, window + LENGTH) % np.uint64(parts)
-                for part in range(parts):
-                    chosen = share == part
-                    yield owner[chosen], window[chosen]
+            own = slice(head[k], ends[stop - 1])
+            upto = np.cumsum(count[own])
+            parts = -(-int(upto[-1]) // SLAB)
+            if parts > 1:  # very many rows with the same bytes in common: equal windows hash alike
+                share = _shares(data, first[own], count[own], parts)
+            for part in range(parts):
+                at = np.flatnonzero(share == part) if parts > 1 else np.arange(upto[-1])
+                row = np.searchsorted(upto, at, "right")
+                yield head[k] + row, first[own][row] + at - upto[row] + count[own][row]
             k = stop
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by("deal")
+    def matches(table):
         data, offsets = flat(table.column("bytes"))
         deal, ids, place = (table.column(c).to_numpy() for c in ("deal", "id", "place"))
         start, count, _ = unpack_place(place)
@@ -294,8 +324,7 @@ def _match(keep_first: bool):
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((place, ids))] = np.arange(len(ids))
         every = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-        sums = prefix(data)
-        for owner, window in slabs(sums, deal, offsets[:-1], count):
+        for owner, window in slabs(data, deal, offsets[:-1], count):
             if not len(owner):
                 continue
             inner = window - offsets[owner]
@@ -304,6 +333,10 @@ def _match(keep_first: bool):
             own, at = owner[hit], inner[hit]
             yield _runs(ids[own], pack_place(start[own] + at, 1))
 
+    def run(batches):
+        for table in _groups(batches, "deal"):
+            yield from matches(table)
+
     return run
 
 
@@ -344,7 +377,7 @@ def covered(data: np.ndarray, offsets: np.ndarray, marks) -> np.ndarray:
 def _cut(texts: bool):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 data, offsets = flat(piece.column("text"))
                 gone = covered(data, offsets, piece.column("marks"))
                 _, _, first = word_spans(gone, offsets)
@@ -406,7 +439,8 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True)
         own = _in_order(own, folder)
     spread = own.filter(F.octet_length("text") >= LENGTH).select("id", "text")
     parts = ", ".join(f"{name} {kind}" for name, kind in _PARTS.items())
-    spread.mapInArrow(_anchors(keep_first), parts).repartition("deal").mapInArrow(
+    dealt = spread.mapInArrow(_anchors(keep_first), parts).repartition("deal")
+    dealt.sortWithinPartitions("anchor").mapInArrow(
         _settle(keep_first), f"{_MARK}, settled boolean, asked boolean"
     ).write.parquet(f"{folder}/anchors")
     seen = spark.read.parquet(f"{folder}/anchors")
@@ -420,6 +454,7 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, texts: bool = True)
         once.select("id", "text", "wanted")
         .mapInArrow(_snippets, f"deal long, {_MARK}, bytes binary")
         .repartition("deal")
+        .sortWithinPartitions("deal")
         .mapInArrow(_match(keep_first), _MARK)
     )
     marks = (

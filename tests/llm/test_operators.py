@@ -478,6 +478,73 @@ def test_repeats_in_rows_of_one_id(spark, keep_first):
         assert all(r["doc_id"] == same for r in out)
 
 
+def _sorted_batches(table, key, rows):
+    return table.sort_by(key).to_batches(max_chunksize=rows)
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_windows_are_matched_a_few_classes_at_a_time(monkeypatch, alike):
+    """A task hashed the bytes of all classes dealt to it at once, 32 bytes of memory for one."""
+    monkeypatch.setattr(repeats, "HELD", 1 << 14)
+    monkeypatch.setattr(repeats, "PIECE", 1 << 12)
+    monkeypatch.setattr(repeats, "SLAB", 256)
+    hashed, plain = [], repeats.prefix
+    monkeypatch.setattr(repeats, "prefix", lambda data: hashed.append(len(data)) or plain(data))
+    rng = np.random.default_rng(3)
+    count, length = 20, repeats.LENGTH
+    texts = [rng.integers(97, 99, count - 1 + length, np.uint8).tobytes() for _ in range(150)]
+    rows = [texts[k] for k in rng.integers(0, 150, 400)]
+    rows = [r[: (cut := int(rng.integers(1, 20)))] + rng.bytes(8) + r[cut + 8 :] for r in rows]
+    # windows are equal only where their rows were dealt alike
+    deal = [0 if alike else zlib.crc32(r[40:180]) for r in rows]
+    place = repeats.pack_place(np.zeros(400, np.int64), np.full(400, count))
+    table = pa.table({
+        "deal": pa.array(deal, pa.int64()), "id": pa.array(np.arange(400)),
+        "place": pa.array(place), "bytes": pa.array(rows, pa.binary()),
+    })
+    seen = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        for p in range(count):
+            seen[deal[k], r[p : p + length]].append((k, p))
+    for keep_first in (False, True):
+        wanted = {x for found in seen.values() if len(found) > 1 for x in found[keep_first:]}
+        marks = set()
+        for out in repeats._match(keep_first)(_sorted_batches(table, "deal", 16)):
+            start, n, _ = repeats.unpack_place(out.column("place").to_numpy())
+            for k, a, c in zip(out.column("id").to_pylist(), start.tolist(), n.tolist()):
+                marks |= {(k, a + x) for x in range(c)}
+        assert marks == wanted and wanted
+    assert max(hashed, default=0) < 3 * repeats.PIECE and bool(hashed) == alike
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_anchors_are_settled_a_few_at_a_time(monkeypatch, keep_first):
+    """A task sorted all anchors dealt to it at once."""
+    monkeypatch.setattr(repeats, "HELD", 1 << 12)
+    sorted_rows, plain = [], repeats._ordered
+    monkeypatch.setattr(repeats, "_ordered", lambda *x: sorted_rows.append(len(x[0])) or plain(*x))
+    rng = np.random.default_rng(4)
+    n = 3000
+    anchor = rng.integers(0, 600, n)
+    stretch = anchor * 10 + rng.integers(0, 3, n)
+    place = repeats.pack_place(rng.integers(0, 50, n) * 300, np.full(n, 9))
+    table = pa.table({
+        "deal": pa.array(anchor), "anchor": pa.array(anchor), "stretch": pa.array(stretch),
+        "id": pa.array(np.arange(n)), "place": pa.array(place),
+        "many": pa.array(np.zeros(n, bool)), "settled": pa.array(rng.random(n) < 0.1),
+    })
+
+    def marks(batches):
+        return sorted(
+            tuple(r.values()) for b in repeats._settle(keep_first)(batches) for r in b.to_pylist()
+        )
+
+    few = marks(_sorted_batches(table, "anchor", 64))
+    assert max(sorted_rows) < 400
+    monkeypatch.setattr(repeats, "HELD", 1 << 30)
+    assert few == marks(_sorted_batches(table, "anchor", 64)) and len(few) > 300
+
+
 def test_slabs_split_by_hash(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLAB", 16)
     test_repeats_as_by_brute_force(spark, False)
