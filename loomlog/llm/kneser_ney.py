@@ -158,7 +158,9 @@ def _count_grams(size: int, bits: int):
         held, rows = [], 0
 
         def flush():
-            return _small_blobs(*np.unique(np.concatenate(held), return_counts=True), bits)
+            every = np.concatenate(held)
+            held.clear()
+            return _small_blobs(*np.unique(every, return_counts=True), bits)
 
         for batch in batches:
             for piece in pieces(batch):
@@ -167,7 +169,7 @@ def _count_grams(size: int, bits: int):
                 rows += len(gram)
                 if rows >= FLUSH_TOKENS:
                     yield flush()
-                    held, rows = [], 0
+                    rows = 0
         if rows:
             yield flush()
 
@@ -177,51 +179,60 @@ def _count_grams(size: int, bits: int):
 def _count_neighbours(size: int, order: int, folder: str, bits: int, deep: int | None):
     """The fields of the grams of one length, from those longer by one."""
 
+    def fields(piece):
+        left, right, bounds = tokens(piece.column("text"))
+        levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
+        at, longer, _ = levels[size + 1]
+        times = look_up_small(longer, folder, f"raw{size + 1}", bits, deep=deep)
+        share = 1.0 / times
+        counts = times
+        if size + 1 < order:
+            counts = gram_neighbours(longer, times, folder, size + 1, bits, deep)
+        own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
+        known, code = distinct_keys(np.append(own, START) if size == 1 else own)
+        own_code = code[: len(own)]
+        ended = np.full(len(right), -1)
+        ended[own_at] = own_code
+        # a context is the gram that ends one token earlier, or the start mark
+        led = ended[at - 1]
+        if size == 1:
+            led[bounds[:-1]] = code[-1]
+        table = np.empty((len(known), _FIELDS), np.float64 if size == 1 else np.float32)
+        # the gram that a longer one ends with; those that begin a text have none
+        table[:, 0] = np.bincount(ended[at], share, len(known))
+        if size > 1:
+            first = np.ones(len(right), bool)
+            first[at] = False
+            table[:, 0] += np.bincount(own_code, first[own_at], len(known))
+        table[:, 1] = np.bincount(led, share * counts, len(known))
+        kinds = np.bincount(4 * led + np.minimum(counts, 3), share, 4 * len(known))
+        table[:, 2:5] = kinds.reshape(-1, 4)[:, 1:]
+        table[:, 5] = np.bincount(own_code, minlength=len(known))
+        if size > 1:
+            again = look_up_small(known, folder, f"raw{size}", bits, deep=deep) > 1
+            known, table = known[again], table[again]
+        return known, table
+
     def run(batches):
         keys, sums, rows = [], [], 0
 
         def flush():
-            return _blobs(*_summed(np.concatenate(keys), np.concatenate(sums)), bits)
+            # what was held of the pieces goes before the sums are made
+            parts = np.concatenate(keys), np.concatenate(sums)
+            keys.clear()
+            sums.clear()
+            return _blobs(*_summed(*parts), bits)
 
         for batch in batches:
             for piece in pieces(batch):
-                left, right, bounds = tokens(piece.column("text"))
-                levels = {k: found for k, *found in grams(left, right, bounds, size + 1)}
-                at, longer, _ = levels[size + 1]
-                times = look_up_small(longer, folder, f"raw{size + 1}", bits, deep=deep)
-                share = 1.0 / times
-                counts = times
-                if size + 1 < order:
-                    counts = gram_neighbours(longer, times, folder, size + 1, bits, deep)
-                own_at, own = (np.arange(len(right)), right) if size == 1 else levels[size][:2]
-                known, code = distinct_keys(np.append(own, START) if size == 1 else own)
-                own_code = code[: len(own)]
-                ended = np.full(len(right), -1)
-                ended[own_at] = own_code
-                # a context is the gram that ends one token earlier, or the start mark
-                led = ended[at - 1]
-                if size == 1:
-                    led[bounds[:-1]] = code[-1]
-                table = np.empty((len(known), _FIELDS), np.float64 if size == 1 else np.float32)
-                # the gram that a longer one ends with; those that begin a text have none
-                table[:, 0] = np.bincount(ended[at], share, len(known))
-                if size > 1:
-                    first = np.ones(len(right), bool)
-                    first[at] = False
-                    table[:, 0] += np.bincount(own_code, first[own_at], len(known))
-                table[:, 1] = np.bincount(led, share * counts, len(known))
-                kinds = np.bincount(4 * led + np.minimum(counts, 3), share, 4 * len(known))
-                table[:, 2:5] = kinds.reshape(-1, 4)[:, 1:]
-                table[:, 5] = np.bincount(own_code, minlength=len(known))
-                if size > 1:
-                    again = look_up_small(known, folder, f"raw{size}", bits, deep=deep) > 1
-                    known, table = known[again], table[again]
+                known, table = fields(piece)
                 keys.append(known)
                 sums.append(table)
                 rows += len(known)
+                del known, table
                 if rows >= FLUSH_TOKENS // 4:
                     yield flush()
-                    keys, sums, rows = [], [], 0
+                    rows = 0
         if rows:
             yield flush()
 
